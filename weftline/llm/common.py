@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ class Bloom:
     HASHES = 4
 
     def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 22):
-        self.bits = bits
+        self.bits, self.spark = bits, keys.sparkSession
         at = [F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(bits)) for i in range(self.HASHES)]
         words = (
             keys.select(F.explode(F.array(*at)).alias("p"))
@@ -78,15 +79,20 @@ class Bloom:
         self.words = np.zeros(bits // 32, np.uint32)
         self.words[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
 
-    def positions(self, column: str):
-        """Column of the key's bit positions, for ``holds``."""
-        return F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(self.bits)) for i in range(self.HASHES)])
+    def flag(self, column: str):
+        """Column: may the key be in the filter? Only bit positions go to Python, other columns stay in the JVM."""
+        bits = self.spark.sparkContext.broadcast(self.words)
 
-    @staticmethod
-    def holds(words: np.ndarray, positions: np.ndarray) -> np.ndarray:
-        """positions: flat, HASHES for each key."""
-        hit = (words[positions >> 5] >> (positions & 31).astype(np.uint32)) & np.uint32(1)
-        return hit.reshape(-1, Bloom.HASHES).all(axis=1)
+        @F.pandas_udf("boolean")
+        def held(p0: pd.Series, p1: pd.Series, p2: pd.Series, p3: pd.Series) -> pd.Series:
+            hit = None
+            for p in (p0, p1, p2, p3):
+                p = p.to_numpy(np.int64)
+                one = (bits.value[p >> 5] >> (p & 31).astype(np.uint32)) & np.uint32(1) == 1
+                hit = one if hit is None else hit & one
+            return pd.Series(hit)
+
+        return held(*[F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(self.bits)) for i in range(self.HASHES)])
 
 
 def crc_mod(column: str, n: int):

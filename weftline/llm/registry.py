@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, sharding
+from . import dedup, mixing, neardup, pii, sharding
 from .common import Scratch, small_batches, table
 
 SHARDS = 40
@@ -17,6 +17,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_dedup(table(spark, sf_dir, "documents"), Scratch(spark, "dedup"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "near"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix"))
 
@@ -30,8 +38,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op6_near_dedup, op8_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.pii_sql(), "op8_mixing": mixing.mix_sql()}
+    return {"op1_pii": pii.pii_sql(), "op2_exact_dedup": dedup.SQL, "op8_mixing": mixing.mix_sql()}
