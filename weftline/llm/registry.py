@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, mixing, neardup, pii, sharding
+from . import bpe, dedup, mixing, neardup, pii, sharding
 from .common import Scratch, small_batches, table
 
 SHARDS = 40
@@ -21,6 +21,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"), Scratch(spark, "dedup"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "near"))
 
@@ -38,7 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op6_near_dedup, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op5_bpe, op6_near_dedup, op8_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
