@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, mixing, neardup, pii, sharding, toxicity
+from . import bpe, dedup, lattice, mixing, neardup, pii, sharding, toxicity
 from .common import Scratch, small_batches, table
 
 SHARDS = 40
@@ -33,6 +33,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "near"))
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(table(spark, sf_dir, "documents"), Scratch(spark, "lattice"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix"))
 
@@ -46,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_toxicity, op5_bpe, op6_near_dedup, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_toxicity, op5_bpe, op6_near_dedup, op7_lattice_lm, op8_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
