@@ -64,8 +64,12 @@ def plan_segments(counts: DataFrame, shards: int, virtual: int = VIRTUAL) -> Dat
     ends = [p for p, _ in points]
     arcs = len(points)
     # a position's arc ends at the first point at or after it; beyond the last point the ring closes
-    arc = F.expr(f"aggregate(from_json('{ends}', 'array<int>'), 0, (acc, e) -> acc + if(e < pos, 1, 0)) % {arcs}")
-    at = counts.select("pos", "n", arc.alias("arc"))
+    spans = [[lo, hi, a] for a, (lo, hi) in enumerate(zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True))]
+    spans.append([ends[-1] + 1, (1 << RING_BITS) - 1, 0])
+    ring = counts.sparkSession.range(1).select(
+        F.explode(F.from_json(F.lit(str([x for x in spans if x[0] <= x[1]])), "array<array<int>>")).alias("s")
+    ).select(F.explode(F.sequence(F.col("s")[0], F.col("s")[1])).alias("pos"), F.col("s")[2].alias("arc"))
+    at = counts.join(ring, "pos").select("pos", "n", "arc")
     at = at.withColumn("before", F.sum("n").over(W.partitionBy("arc").orderBy("pos")) - F.col("n"))
     per_arc = at.groupBy("arc").agg(F.sum("n").alias("n"))
     # one row: arcs' counts in ring order
