@@ -117,6 +117,8 @@ def mix(
         F.expr("coalesce(budget div nullif(supply, 0), 0)").alias("whole"),
         F.expr("coalesce(budget % nullif(supply, 0), 0)").alias("rest"),
     )
+    # written, so that its size is known where the join is planned: a small plan is broadcast, a large one isn't
+    plan = scratch.save(plan, "plan")
     # the order of the epoch that is read in part has its number in the hash
     keyed = rows.join(plan, leaf).withColumn(
         "h", F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.col("doc_id"))),
