@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, lattice, mixing, neardup, pii, sharding, toxicity
+from . import annforest, bpe, dedup, lattice, mixing, neardup, pii, sharding, toxicity
 from .common import Scratch, small_batches, table
 
 SHARDS = 40
@@ -21,6 +21,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"), Scratch(spark, "dedup"))
 
 
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annforest.nearest(table(spark, sf_dir, "embeddings"), Scratch(spark, "ann"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_toxicity, op5_bpe, op6_near_dedup, op7_lattice_lm, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_ann_forest, op4_toxicity, op5_bpe, op6_near_dedup, op7_lattice_lm, op8_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
