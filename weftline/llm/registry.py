@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, bpe, dedup, lattice, mixing, neardup, pii, sharding, toxicity
+from . import annforest, bpe, dedup, lattice, mixing, neardup, pii, sharding, toxicity, warc
 from .common import Scratch, small_batches, table
 
 SHARDS = 40
@@ -45,6 +45,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derived_digests(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
     return rows.select(
@@ -54,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_ann_forest, op4_toxicity, op5_bpe, op6_near_dedup, op7_lattice_lm, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_ann_forest, op4_toxicity, op5_bpe, op6_near_dedup, op7_lattice_lm, op8_mixing, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
