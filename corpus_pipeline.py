@@ -1,12 +1,80 @@
-"""Corpus pipeline: toxicity, exact duplicates, near duplicates, mixing, token ids."""
+"""Corpus pipeline: toxicity, exact duplicates, near duplicates, mixing, token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import bpe, dedup, mixing, neardup, toxicity
+from weftline.llm.common import Scratch, small_batches, table, without_ids
+
+#: The mix keeps nine tenths of the tokens; a document is read once at most.
+MIX = {"fraction": (9, 10), "max_epochs": 1}
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.5."""
+    small_batches(spark)
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
+    score = toxicity.score_column(model, spark)
+    return docs.filter(score("text") < 0.5)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of equal texts."""
+    scratch = Scratch(spark, "exact")
+    result = scratch.save(dedup.exact_dedup(docs, scratch).filter(~F.col("kept")).select("doc_id"), "dropped")
+    scratch.drop("runs0", "level1", "looked_up", "verified")
+    return without_ids(docs, result)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates."""
+    scratch = Scratch(spark, "near")
+    result = neardup.near_duplicates(docs, scratch).filter("not kept and doc_id is not null").select("doc_id")
+    result = scratch.save(result, "dropped")
+    scratch.drop("signed", "reps", "named")
+    return without_ids(docs, result)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the budgets of domain, language and source select."""
+    scratch = Scratch(spark, "mix")
+    result = mixing.mix(docs, scratch, **MIX).groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    result = scratch.save(result.filter("copies = 0 and doc_id is not null").select("doc_id"), "dropped")
+    scratch.drop("tokens", "plan")
+    return without_ids(docs, result)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document and the digests of ids and decoded text."""
+    return bpe.encode_documents(docs, ids=True)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: The classifier, MinHash and token ids aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies STAGES to documents in order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies STAGES to documents in order, writing what each stage keeps."""
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.save(docs, name)
+            if i:
+                scratch.drop(STAGES[i - 1][0])
     return docs

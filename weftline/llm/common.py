@@ -98,3 +98,15 @@ class Bloom:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """docs without the rows whose doc_id is in dropped(doc_id); null ids stay.
+
+    Rows that a filter of fixed size tells apart pass without a shuffle; only
+    those that may be dropped are joined.
+    """
+    maybe = F.col("_maybe")
+    flagged = docs.withColumn("_maybe", Bloom(dropped, "doc_id", bits).flag("doc_id"))
+    joined = flagged.filter(maybe).join(dropped.select("doc_id"), "doc_id", "left_anti")
+    return flagged.filter(~maybe).unionByName(joined).select(*docs.columns)
