@@ -279,6 +279,31 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.filter("ca <> cb")
 
 
+def _hub_pairs(open_: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
+    """For open pairs, each side with the most linked member of the other side's class: (a, b, ca, cb)."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
+    member = degree.join(comps, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    hubs = member.groupBy("c").agg(F.max(F.struct(F.col("d"), (-F.col("v")).alias("m"))).alias("h"))
+    hubs = hubs.select("c", (-F.col("h.m")).alias("hub"))
+    sides = open_.select(F.col("a").alias("x"), F.col("ca").alias("cx"), F.col("cb").alias("c")).unionByName(
+        open_.select(F.col("b").alias("x"), F.col("cb").alias("cx"), F.col("ca").alias("c"))
+    ).distinct()
+    tries = sides.join(hubs, "c")
+    return tries.select(
+        F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"),
+        F.when(F.col("x") < F.col("hub"), F.col("cx")).otherwise(F.col("c")).alias("ca"),
+        F.when(F.col("x") < F.col("hub"), F.col("c")).otherwise(F.col("cx")).alias("cb"),
+    ).distinct()
+
+
+def _renamed(table: DataFrame, merged: DataFrame, *columns: str) -> DataFrame:
+    """Class columns after merged(v, c): class v is now c."""
+    for k in columns:
+        table = table.join(merged.select(F.col("v").alias(k), F.col("c").alias("_new")), k, "left")
+        table = table.withColumn(k, F.coalesce("_new", k)).drop("_new")
+    return table
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_links) for every row of docs(doc_id, text).
 
@@ -306,27 +331,27 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     links = scratch.save(_verify(pairs.filter(F.col("kind") == LEADER), sets), "links0")
     comps = scratch.save(components(links, scratch, "c0_"), "comps0")
-    more = _across(pairs.filter(F.col("kind") == NEIGHBOUR), comps)
-    fresh = scratch.save(_verify(more, sets), "links1")
-    turn = 1
-    tested = pairs.select("a", "b")
-    while not fresh.isEmpty() or turn == 1:
-        links = links.unionByName(fresh)
-        comps = scratch.save(components(links, scratch, f"c{turn}_"), f"comps{turn}")
-        degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-        member = degree.join(comps, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        hubs = member.groupBy("c").agg(F.max(F.struct(F.col("d"), (-F.col("v")).alias("m"))).alias("h"))
-        hubs = hubs.select("c", (-F.col("h.m")).alias("hub"))
-        open_ = _across(pairs, comps)
-        tries = [
-            open_.join(hubs, F.col(f"c{far}") == F.col("c")).select(F.col(near_).alias("x"), F.col("hub").alias("y"))
-            for near_, far in (("a", "b"), ("b", "a"))
-        ]
-        tries = tries[0].unionByName(tries[1]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        tries = scratch.save(tries.distinct().join(tested, ["a", "b"], "left_anti"), f"tries{turn}")
-        tested = tested.unionByName(tries)
+    # classes only grow, so a pair within one is settled for good; the rest carry their classes along
+    open_ = scratch.save(_across(pairs, comps), "open0")
+    tries, tested = open_.filter(F.col("kind") == NEIGHBOUR).select("a", "b", "ca", "cb"), None
+    turn = 0
+    while True:
         turn += 1
-        fresh = scratch.save(_verify(tries, sets), f"links{turn}")
+        fresh = scratch.save(_verify(tries, sets).join(tries, ["a", "b"]), f"links{turn}")
+        if turn > 1 and fresh.isEmpty():
+            break
+        links = links.unionByName(fresh.select("a", "b"))
+        edges = fresh.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        merged = scratch.save(components(edges, scratch, f"c{turn}_"), f"merged{turn}")
+        comps = scratch.save(_renamed(comps, merged, "c").unionByName(merged).select("v", "c"), f"comps{turn}")
+        open_ = scratch.save(
+            _renamed(open_, merged, "ca", "cb").filter("ca <> cb").select("a", "b", "ca", "cb"), f"open{turn}"
+        )
+        tries = _hub_pairs(open_, links, comps).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        if tested is not None:
+            tries = tries.join(tested, ["a", "b"], "left_anti")
+        tries = scratch.save(tries, f"tries{turn}")
+        tested = tries.select("a", "b") if tested is None else tested.unionByName(tries.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = reps.select("set_key", "rep").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
     named = named.join(degree, "rep", "left").select(
