@@ -22,7 +22,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from .common import crc_mod, small_batches
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.05, 1e-4
-MAX_TOXIC, MAX_CLEAN = 4000, 6000
+MAX_TOXIC, MAX_CLEAN = 2000, 3000
 #: A word has an embedding if so many training texts hold it; rarer ones could only be learnt by heart.
 MIN_TEXTS = 5
 CALIBRATION = 5  # one row in so many
@@ -231,9 +231,14 @@ def _start_from_counts(model: Model, two: list[np.ndarray], toxic: np.ndarray) -
 
 def _calibrate(model: Model, texts: list[np.ndarray], toxic: np.ndarray) -> None:
     """For each language the logit with the fewest errors on held rows; with few rows, that of all."""
-    first = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-    h = np.concatenate([*texts, np.zeros(0, np.uint64)])
-    z, lang = model.logits(model.buckets(h), first), languages(h, first)
+    z, lang = [], []
+    for at in range(0, len(texts), BATCH):
+        some = texts[at : at + BATCH]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
+        h = np.concatenate([*some, np.zeros(0, np.uint64)])
+        z.append(model.logits(model.buckets(h), first))
+        lang.append(languages(h, first))
+    z, lang = np.concatenate([*z, np.zeros(0)]), np.concatenate([*lang, np.zeros(0, np.int64)])
 
     def best(z: np.ndarray, y: np.ndarray) -> float:
         if len(set(y)) < 2:
@@ -278,29 +283,34 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
         ids = some if ids is None else ids.unionByName(some)
     # MAX_TOXIC + MAX_CLEAN rows at most
     joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = joined.mapInArrow(_hashes, "doc_id long, h binary, toxic int").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.frombuffer(x, np.uint64) for x in rows["h"]], rows["toxic"].to_numpy(np.int64))
+    # Arrow's buffers are used as they are: the sample is in the driver once
+    rows = joined.mapInArrow(_hashes, "doc_id long, h binary, toxic int").orderBy("doc_id", "toxic").toArrow()
+    texts = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("h")]
+    return fit(texts, rows.column("toxic").to_numpy().astype(np.int64))
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
+def score_column(model: Model, spark) -> Callable:
+    """Function of a text column that gives its score; only the text goes to Python."""
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [np.zeros(0)]
-            with np.errstate(over="ignore"):
-                for _, raw, offs in textvec.pieces(batch.column(1), 1 << 19):
-                    h, _, _, first = textvec.words(raw, offs)
-                    got.append(shared.value.scores(h, first))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.concatenate(got), pa.float64())],
-                names=["doc_id", "held_out", "score"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        got = [np.zeros(0)]
+        with np.errstate(over="ignore"):
+            for _, raw, offs in textvec.pieces(text, 1 << 19):
+                h, _, _, first = textvec.words(raw, offs)
+                got.append(shared.value.scores(h, first))
+        return pa.array(np.concatenate(got), pa.float64())
+
+    return score
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text)."""
+    score = score_column(model, docs.sparkSession)
+    scored = docs.select(
+        F.col("doc_id").cast("long"), (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), score("text").alias("score")
+    )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
