@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("weftline.plans.mining",)
+_MODULES = tuple(f"weftline.plans.{m}" for m in ("mining", "series", "memory"))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -1,4 +1,4 @@
-"""Co-occurrence mining over the event log."""
+"""Mining queries over events and documents, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,48 +6,163 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.catalogue import query
+from weftline.functions import text as T
+from weftline.operators import mining as M
+from weftline.operators.range_join import seconds
 from weftline.session import table
 
-PMI_SQL = """
-WITH rec AS (SELECT event_type, concat(user_id, '|', CAST(ts AS DATE)) AS trace FROM events),
-n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM rec),
-m AS (SELECT event_type, CAST(count(*) AS DOUBLE) AS c FROM rec GROUP BY 1),
-tr AS (SELECT DISTINCT trace, event_type FROM rec),
-co AS (SELECT a.event_type AS src, b.event_type AS dst, count(*) AS cooc
-       FROM tr a JOIN tr b ON a.trace = b.trace AND a.event_type < b.event_type GROUP BY 1, 2)
-SELECT src, dst, cooc, round(log2((cooc / n) / ((x.c / n) * (y.c / n))), 6) AS pmi
-FROM co JOIN m x ON src = x.event_type JOIN m y ON dst = y.event_type CROSS JOIN n
-WHERE round(log2((cooc / n) / ((x.c / n) * (y.c / n))), 6) >= 0
-"""
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as mined records: the entity is the type, a trace is a user's day."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("rid"), F.col("event_type").alias("entity"), "ts", seconds("ts").alias("at"),
+        F.concat_ws("|", F.col("user_id"), F.to_date("ts")).alias("trace"), "user_id", "value", "props",
+    )
+
+
+REC = """rec AS (SELECT event_id AS rid, event_type AS entity, ts, epoch_us(ts) / 1e6 AS at,
+  concat(user_id, '|', CAST(ts AS DATE)) AS trace, user_id, value, props FROM events)"""
 
-@query(PMI_SQL)
+
+@query(f"""
+WITH {REC}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM rec), m AS (SELECT entity, CAST(count(*) AS DOUBLE) AS c FROM rec GROUP BY 1),
+tr AS (SELECT DISTINCT trace, entity FROM rec),
+co AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS cooc FROM tr a JOIN tr b ON a.trace = b.trace AND a.entity < b.entity GROUP BY 1, 2)
+SELECT src, dst, cooc, round(log2((cooc / n) / ((x.c / n) * (y.c / n))), 6) AS pmi
+FROM co JOIN m x ON src = x.entity JOIN m y ON dst = y.entity CROSS JOIN n
+WHERE round(log2((cooc / n) / ((x.c / n) * (y.c / n))), 6) >= 0""")
 def pmi_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PMI of event types that share a trace (user and day), kept from 0 up."""
-    rec = table(spark, sf_dir, "events").select(
-        "event_type", F.concat_ws("|", F.col("user_id"), F.to_date("ts")).alias("trace")
+    """PMI of event types that share a trace."""
+    rec = records(spark, sf_dir)
+    m = rec.groupBy("entity").agg(F.count("*").cast("double").alias("c"))
+    return M.pmi(M.trace_pairs(rec), m, m.agg(F.sum("c").alias("n")), 0.0)
+
+
+@query(f"""
+WITH {REC}
+SELECT least(a.entity, b.entity) AS src, greatest(a.entity, b.entity) AS dst, count(*) AS cooc
+FROM rec a JOIN rec b ON a.rid < b.rid AND a.entity <> b.entity AND abs(a.at - b.at) <= 60 GROUP BY 1, 2""")
+def window_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type pairs of two records within a minute."""
+    return M.window_pairs(records(spark, sf_dir), 60.0)
+
+
+@query(f"""
+WITH {REC}, g AS (SELECT a.entity AS src, b.entity AS dst, count(*) FILTER (a.at < b.at) AS f, count(*) FILTER (a.at > b.at) AS s
+FROM rec a JOIN rec b ON a.entity < b.entity AND abs(a.at - b.at) <= 60 GROUP BY 1, 2)
+SELECT src, dst, round(f / nullif(f + s, 0), 6) AS lead,
+ CASE WHEN round(f / nullif(f + s, 0), 6) >= 0.7 THEN 'forward' WHEN round(f / nullif(f + s, 0), 6) <= 0.3 THEN 'backward'
+ WHEN f + s > 0 THEN 'undirected' END AS direction FROM g""")
+def lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temporal direction of type pairs within a minute."""
+    return M.lead_ratio(records(spark, sf_dir), 60.0)
+
+
+@query("SELECT event_type AS entity, count(*) AS records, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def marginal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and users of each entity."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("entity")).agg(
+        F.count("*").alias("records"), F.countDistinct("user_id").alias("users")
+    )
+
+
+@query(r"""
+WITH c AS (SELECT event_type AS cluster, unnest([0, 1, 2]) AS slot,
+  unnest([event_type, CAST(user_id AS VARCHAR), json_extract_string(props, '$.k')]) AS v FROM events),
+g AS (SELECT cluster, slot, count(v) AS n, count(DISTINCT v) AS n_distinct,
+  avg(CAST(regexp_matches(v, '^(?:https?|urn|ftp):\S+$') AS INT)) AS iri, avg(CAST(regexp_matches(v, '^\d{1,3}(?:\.\d{1,3}){3}$') AS INT)) AS ip,
+  avg(CAST(regexp_matches(v, '^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$') AS INT)) AS uuid,
+  avg(CAST(regexp_matches(v, '^[+-]?\d+(?:\.\d+)?$') AS INT)) AS num, avg(CAST(regexp_matches(v, '^(?:0x)?[0-9a-fA-F]+$') AS INT)) AS hex
+  FROM c GROUP BY 1, 2)
+SELECT cluster, slot, n, n_distinct, CASE WHEN iri >= .8 THEN 'IRI' WHEN ip >= .8 THEN 'IP' WHEN uuid >= .8 THEN 'UUID'
+  WHEN n_distinct <= 8 AND n_distinct < n THEN 'ENUM' WHEN num >= .8 THEN 'NUMERIC' WHEN hex >= .8 THEN 'HEX' ELSE 'FREETEXT' END AS slot_type FROM g""")
+def slot_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot types of the events' three slots by the type ladder."""
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("cluster_id"),
+        F.array("event_type", F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("slots"),
+    )
+    return M.slot_profiles(e).withColumnRenamed("cluster_id", "cluster")
+
+
+@query(r"""
+WITH c AS (SELECT event_type AS cluster, json_extract_string(props, '$.k') AS v, count(*) AS n FROM events GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, v) AS rank FROM c WHERE v IS NOT NULL)
+SELECT cluster, v, n, rank FROM r WHERE rank <= 5""")
+def slot_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five most common values of a slot for each cluster."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("cluster"), F.get_json_object("props", "$.k").alias("v"))
+    return M.top_values(e.filter("v is not null"), ["cluster"], "v")
+
+
+@query("""
+WITH s AS (SELECT event_type, CASE WHEN value < 10 THEN 'low' ELSE 'high' END AS sev, ts FROM events),
+n AS (SELECT event_type, sev, count(*) AS n, min(ts) AS t0 FROM s GROUP BY 1, 2),
+m AS (SELECT event_type, sev, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, t0, sev) AS k FROM n)
+SELECT s.event_type AS cluster_id, count(*) AS hits, min(ts) AS first_seen, max(ts) AS last_seen, any_value(m.sev) AS modal_severity,
+  s.event_type AS modal_service FROM s JOIN m ON s.event_type = m.event_type AND k = 1 GROUP BY s.event_type""")
+def template_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, first and last time, modal severity and service of each cluster."""
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("cluster_id"), F.col("event_type").alias("service"),
+        F.when(F.col("value") < 10, "low").otherwise("high").alias("severity"), "ts",
     )
-    n = rec.agg(F.count("*").cast("double").alias("n"))
-    m = rec.groupBy("event_type").agg(F.count("*").cast("double").alias("c"))
-    types = rec.groupBy("trace").agg(F.sort_array(F.collect_set("event_type")).alias("t"))
-    pairs = types.select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "t",
-                    lambda x: F.transform(
-                        F.filter("t", lambda y: y > x), lambda y: F.struct(x.alias("src"), y.alias("dst"))
-                    ),
-                )
-            )
-        ).alias("p")
-    ).select("p.src", "p.dst")
-    co = pairs.groupBy("src", "dst").agg(F.count("*").alias("cooc"))
-    mx = m.select(F.col("event_type").alias("src"), F.col("c").alias("cx"))
-    my = m.select(F.col("event_type").alias("dst"), F.col("c").alias("cy"))
-    score = F.round(F.log2((F.col("cooc") / F.col("n")) / ((F.col("cx") / F.col("n")) * (F.col("cy") / F.col("n")))), 6)
-    return (
-        co.join(mx, "src").join(my, "dst").crossJoin(n)
-        .select("src", "dst", "cooc", score.alias("pmi"))
-        .filter(F.col("pmi") >= 0)
+    return M.template_stats(e)
+
+
+@query()
+def template_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of conversation lines: (template, hits), order-independent."""
+    lines = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("message"))
+    return M.templates(lines.filter("message != ''")).groupBy("template").agg(F.count("*").alias("hits"))
+
+
+def _masked_sql(column: str) -> str:
+    for pattern, name in T.MASKS:
+        column = f"regexp_replace({column}, '{pattern}', '{name}', 'g')"
+    return column
+
+
+@query(f"SELECT page_id, {_masked_sql('url')} AS masked FROM pages")
+def masked_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variable parts of URLs masked."""
+    return table(spark, sf_dir, "pages").select("page_id", T.mask(F.col("url")).alias("masked"))
+
+
+@query("""
+WITH t AS (SELECT event_type, count(*) AS hits FROM events GROUP BY 1)
+SELECT a.event_type AS a, b.event_type AS b, CAST(levenshtein(a.event_type, b.event_type) AS INT) AS distance
+FROM t a JOIN t b ON a.event_type < b.event_type AND levenshtein(a.event_type, b.event_type) <= 6""")
+def template_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of templates within an edit distance (a catalogue is small: one row for each template)."""
+    t = table(spark, sf_dir, "events").select("event_type").distinct()
+    a, b = t.select(F.col("event_type").alias("a")), t.select(F.col("event_type").alias("b"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).withColumn("distance", F.levenshtein("a", "b", 6)).filter("distance >= 0")
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS w FROM documents),
+n AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM w),
+tf AS (SELECT w, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w GROUP BY 1)
+SELECT w AS term, tf, df, round(tf * (ln(n / (df + 1)) + 1), 4) AS score FROM tf, n WHERE df >= 5""")
+def entity_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term scores tf * (ln(N / (df + 1)) + 1) over all documents."""
+    d = table(spark, sf_dir, "documents")
+    w = d.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), 0)).alias("term"))
+    by_doc = w.groupBy("doc_id", "term").agg(F.count("*").alias("c"))
+    n = by_doc.agg(F.countDistinct("doc_id").cast("double").alias("n"))
+    tf = by_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count("*").alias("df")).filter("df >= 5")
+    return tf.crossJoin(F.broadcast(n)).select(
+        "term", "tf", "df", F.round(F.col("tf") * (F.log(F.col("n") / (F.col("df") + 1)) + 1), 4).alias("score")
     )
+
+
+@query(r"""
+WITH s AS (SELECT event_type, list_sort(list_distinct(regexp_extract_all(lower(event_type || ' ' || props), '[a-z_]{2,}'))) AS toks FROM events)
+SELECT event_type, substr(sha256(array_to_string(toks, ' ')), 1, 16) AS signature, count(*) AS n FROM s GROUP BY 1, 2""")
+def template_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature of sorted distinct tokens."""
+    toks = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "event_type", "props")), F.lit("[a-z_]{2,}"), 0)))
+    return table(spark, sf_dir, "events").select(
+        "event_type", F.substring(F.sha2(F.array_join(toks, " "), 256), 1, 16).alias("signature")
+    ).groupBy("event_type", "signature").agg(F.count("*").alias("n"))
