@@ -15,7 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = tuple(f"weftline.plans.{m}" for m in ("mining", "series", "memory"))
+_MODULES = tuple(
+    f"weftline.plans.{m}" for m in ("mining", "series", "memory", "relational", "retrieval", "graph", "rules")
+)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
