@@ -101,16 +101,16 @@ def limited(df: DataFrame, most: int = LIMIT) -> DataFrame:
 
 
 def timed(df: DataFrame, seconds: float) -> list:
-    """Rows, or TimeoutError when the jobs take longer; their tag is interrupted."""
-    spark, tag = df.sparkSession, f"timed-{uuid.uuid4().hex}"
+    """Rows, or TimeoutError when the jobs take longer; jobs with its tag are cancelled."""
+    sc, tag = df.sparkSession.sparkContext, f"timed-{uuid.uuid4().hex}"
     late = threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        sc.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    sc.addJobTag(tag)
     timer.start()
     try:
         return df.collect()
@@ -120,7 +120,7 @@ def timed(df: DataFrame, seconds: float) -> list:
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        sc.removeJobTag(tag)
 
 
 def deidentify(df: DataFrame, columns: list[str]) -> DataFrame:
