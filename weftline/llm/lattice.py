@@ -223,6 +223,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+    """Batches of words joined to some tens of thousands: the recursions run over many words at once."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 class LatticeModel:
     """Counts of the training words (h, word, c) and the fitted weights."""
 
@@ -255,10 +268,9 @@ class LatticeModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
-            for b in batches:
-                if b.num_rows:
-                    got = _lattice(path).expected(b.column(0).to_pylist(), b.column(1).to_numpy(), weight.value)
-                    total = got if total is None else total + got
+            for b in _gathered(batches):
+                got = _lattice(path).expected(b.column(0).to_pylist(), b.column(1).to_numpy(), weight.value)
+                total = got if total is None else total + got
             if total is not None:
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
@@ -279,10 +291,11 @@ class LatticeModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nw = None
-            for b in batches:
+            for b in _gathered(batches):
                 nw = _lattice(path).node_weights(weight.value) if nw is None else nw
                 lp = _lattice(path).log_probabilities(b.column(1).to_pylist(), nw)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lp)], names=["h", "c", "lp"])
+                cols = [b.column(0).combine_chunks(), b.column(2).combine_chunks(), pa.array(lp)]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "lp"])
 
         rows = self.counts.filter(F.col("c") >= least).select("h", "word", "c")
         out = rows.mapInArrow(run, "h long, c long, lp double").toPandas()
