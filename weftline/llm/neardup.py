@@ -9,8 +9,9 @@ those that share the longest prefix with them. Candidates are
 * the smallest id of a row's region, for each depth of the region from
   MIN_DEPTH on (a dense region has deeper ones inside, a sparse one hasn't);
 * the neighbours in sorted order that share MIN_DEPTH values or more;
-* the hub (most links) of the class that a neighbour was linked to, until no
-  new link is found.
+* the HUBS members with most links and the HUBS most central members (those
+  whose regions hold most rows) of the class that a neighbour was linked to,
+  until no new link is found.
 
 All candidates are confirmed on full sets (100 * both >= 75 * either), region
 leaders first; a neighbour that is already in the same class needs no check.
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import textvec
 from .common import Bloom, Scratch, small_batches
@@ -45,7 +47,8 @@ from .components import components
 SHINGLE = 5
 POOL, TREES, DEPTH, MIN_DEPTH = 64, 24, 6, 3
 PERCENT = 75
-NEIGHBOURS = 2
+NEIGHBOURS = 3
+HUBS = 6
 ROWS_A_RANGE = 250_000
 
 _rng = np.random.default_rng(75)
@@ -144,7 +147,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PAIR = "kind int, a long, b long, region binary, n long, part int"
-LEADER, NEIGHBOUR, CUT = 0, 1, 2
+LEADER, NEIGHBOUR, CUT, CENTRAL = 0, 1, 2, 3
 
 
 def _close(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -195,6 +198,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(kind[new], a[new], b[new], None, None, part)
     starts = np.flatnonzero(shared < MIN_DEPTH)
     ends = np.append(starts[1:], m)
+    mates = np.repeat(ends - starts, ends - starts)
+    who, back = np.unique(rep[mates > 1], return_inverse=True)
+    total = np.bincount(back, mates[mates > 1], len(who)).astype(np.int64)
+    yield _pairs(np.full(len(who), CENTRAL), who, who, None, total, part)
     for k in {0, len(starts) - 1}:
         s, e = starts[k], ends[k]
         prefix = keys[s, : 1 + MIN_DEPTH * 4].tobytes()
@@ -245,8 +252,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """reps(rep, n, sig). Gives distinct (a, b, kind) with a < b, kind 0 if a region's leader made it."""
+def candidates(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """reps(rep, n, sig). Gives distinct (a, b, kind) with a < b, kind 0 if a region's leader made it, and (v, mates)."""
     spark = reps.sparkSession
     rows = reps.count() * TREES
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_RANGE + 1)
@@ -262,7 +269,8 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
         F.lit(LEADER).alias("kind"), F.col("lead.a").alias("a"), "b", F.col("lead.n").alias("n1"), "n"
     ).filter(f"a <> b and 100 * least(n, n1) >= {PERCENT} * greatest(n, n1)").select("kind", "a", "b")
     pairs = raw.filter(F.col("kind") < CUT).select("kind", "a", "b").unionByName(led)
-    return pairs.groupBy("a", "b").agg(F.min("kind").alias("kind"))
+    central = raw.filter(F.col("kind") == CENTRAL).groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("mates"))
+    return pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")), central
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -279,12 +287,17 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.filter("ca <> cb")
 
 
-def _hub_pairs(open_: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
-    """For open pairs, each side with the most linked member of the other side's class: (a, b, ca, cb)."""
+def _hubs(links: DataFrame, comps: DataFrame, central: DataFrame) -> DataFrame:
+    """(c, hub): of each class with links its members with most links and its most central ones."""
     degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-    member = degree.join(comps, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    hubs = member.groupBy("c").agg(F.max(F.struct(F.col("d"), (-F.col("v")).alias("m"))).alias("h"))
-    hubs = hubs.select("c", (-F.col("h.m")).alias("hub"))
+    member = degree.join(comps, "v", "left").withColumn("c", F.coalesce("c", "v")).join(central, "v", "left")
+    first = lambda by: F.row_number().over(W.partitionBy("c").orderBy(F.desc_nulls_last(by), "v"))
+    best = [member.withColumn("k", first(by)).filter(F.col("k") <= HUBS).select("c", F.col("v").alias("hub")) for by in ("d", "mates")]
+    return best[0].unionByName(best[1]).distinct()
+
+
+def _hub_pairs(open_: DataFrame, hubs: DataFrame) -> DataFrame:
+    """For open pairs, each side with the hubs of the other side's class: (a, b, ca, cb)."""
     sides = open_.select(F.col("a").alias("x"), F.col("ca").alias("cx"), F.col("cb").alias("c")).unionByName(
         open_.select(F.col("b").alias("x"), F.col("cb").alias("cx"), F.col("ca").alias("c"))
     ).distinct()
@@ -322,7 +335,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         ),
         "reps",
     )
-    pairs = scratch.save(candidates(reps, scratch), "pairs")
+    pairs, central = candidates(reps, scratch)
+    pairs, central = scratch.save(pairs, "pairs"), scratch.save(central, "central")
     scratch.drop("raw_pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     near = texts.filter(Bloom(ids, "id").flag("doc_id")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
@@ -347,7 +361,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         open_ = scratch.save(
             _renamed(open_, merged, "ca", "cb").filter("ca <> cb").select("a", "b", "ca", "cb"), f"open{turn}"
         )
-        tries = _hub_pairs(open_, links, comps).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        tries = _hub_pairs(open_, _hubs(links, comps, central)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         if tested is not None:
             tries = tries.join(tested, ["a", "b"], "left_anti")
         tries = scratch.save(tries, f"tries{turn}")
