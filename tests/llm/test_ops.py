@@ -181,7 +181,7 @@ def test_bpe_against_library(spark, docs, rows):
     rnd = random.Random(2)
     pool = [chr(x) for x in [*range(0, 0x250), 0x20AC, 0x4E2D, 0x1F600, 0x558, 0x88F, 0x2028, 0x85, 0x3000]] + ["<|endoftext|>", "'s", "  ", "aaa"]
     texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 60))) for _ in range(500)] + ["a" * 3000, " " * 500]
-    coder = bpe.Coder(bpe.compiled(bpe.default_path()))
+    coder = bpe.Coder(bpe.compile_file(bpe.default_path()))
     for s in texts:
         want = t.encode(s, add_special_tokens=False).ids
         got = coder.encode(s)
