@@ -202,3 +202,50 @@ def test_rate_detector_matches_batch(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("rates").orderBy("day").collect()
     assert len(got) == 21 and got[0].z is None and got[-1].z > 100 and abs(got[10].z) < 3
+
+
+def test_tables_and_sinks(spark, tmp_path):
+    from weftline.operators import catalog_rules, review, stores
+    from weftline.sources import sinks, tables
+
+    ddl = tables.import_ddl("""-- shop
+CREATE TABLE IF NOT EXISTS public.orders (id BIGSERIAL PRIMARY KEY, customer_id INT NOT NULL REFERENCES customers(id),
+  total NUMERIC(10, 2), note VARCHAR(20) DEFAULT 'a,b', CONSTRAINT fk FOREIGN KEY (shop_id) REFERENCES shops (id), shop_id INT);
+CREATE TABLE [customers] (id int not null, created_at TIMESTAMPTZ, PRIMARY KEY (id));""")
+    assert ddl["orders"]["key"] == ["id"] and ddl["orders"]["foreign"] == [("customer_id", "customers", "id"), ("shop_id", "shops", "id")]
+    assert [f.dataType.simpleString() for f in tables.schema_of(ddl["orders"])] == ["bigint", "bigint", "decimal(10,2)", "string", "bigint"]
+    cols = spark.createDataFrame([("orders", "customer_id"), ("orders", "shop_id"), ("customers", "id"), ("shop", "id")], "table_name string, column_name string")
+    assert {(r.column_name, r.target, r.confidence) for r in tables.soft_keys(cols).collect()} == {("customer_id", "customers", 0.75), ("shop_id", "shop", 0.85)}
+    assert tables.jdbc_options("postgresql://u:p@h:5432/db") == {
+        "url": "jdbc:postgresql://h:5432/db", "driver": "org.postgresql.Driver", "user": "u", "password": "p"}
+    assert tables.jdbc_options("mssql://h/db")["url"] == "jdbc:sqlserver://h;databaseName=db"
+    with pytest.raises(ValueError):
+        tables.jdbc_options("nosuch://x")
+    t = spark.createDataFrame([("a b", "p", 'x"y\nz', False)], "s string, p string, o string, o_is_iri boolean")
+    assert sinks.n_triples(t).first().value == '<http://example.org/a_b> <http://example.org/p> "x\\"y\\nz" .'
+    edge = spark.createDataFrame([("it's", "b", "leads to")], "src string, dst string, label string")
+    assert sinks.cypher(edge).first().statement == "MERGE (a:Entity {id: 'it\\'s'}) MERGE (b:Entity {id: 'b'}) MERGE (a)-[:LEADS_TO]->(b);"
+    store = stores.ParquetStore(spark, str(tmp_path / "v"), "vec_id long, embedding array<float>, tier string, cls string")
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "Public", "a"), (2, [0.0, 1.0], "Restricted", "b")], store.schema)
+    store.upsert(rows)
+    store.upsert(rows.filter("vec_id = 1"))
+    assert store.count() == 2 and [r.vec_id for r in store.search([1.0, 0.1], 5, "Internal").collect()] == [1]
+    store.delete(rows.filter("vec_id = 1"))
+    assert store.count() == 1
+    prov = catalog_rules.provenance(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "iri string, source_ref string"))
+    assert {r.iri: r.chain for r in prov.collect()} == {"a": ["a", "b"], "b": ["b", "a"], "c": ["c"]}
+    q = spark.createDataFrame([("1", "open", "x"), ("2", "approved", "y")], "proposal_id string, status string, evidence string")
+    f = spark.createDataFrame([("1", "n"), ("2", "n"), ("3", "n")], "proposal_id string, evidence string")
+    assert sorted(tuple(r) for r in review.upsert(q, f).collect()) == [("1", "open", "n"), ("2", "approved", "y"), ("3", "open", "n")]
+
+
+def test_models():
+    from weftline.operators import models
+
+    x = np.arange(0, 96.0)
+    y = 10 + 5 * np.sin(2 * np.pi * x / 24)
+    assert np.abs(models.gp_baseline(x, y, x) - y).max() < 0.5
+    assert np.abs(models.sparse_gp(x, y, x, 40) - y).max() < 1.0
+    seqs = [np.array([0, 1, 2] * 4) for _ in range(10)]
+    m = models.AttentionModel(3).fit(seqs)
+    assert m.score(seqs[0]) > m.score(np.array([2, 1, 0] * 4))

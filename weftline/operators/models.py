@@ -66,6 +66,8 @@ def nearest_templates(vectors: DataFrame, most: float = 0.25) -> DataFrame:
     """Pairs of the catalogue at a cosine distance of most at the most: (a, b, distance)."""
     from weftline.functions.vector import dot
 
+    if vectors.count() > 20_000:
+        raise ValueError("too many templates to compare all pairs; use the forest index")
     a = vectors.select(F.col("template").alias("a"), F.col("v").alias("va"))
     b = vectors.select(F.col("template").alias("b"), F.col("v").alias("vb"))
     x = a.join(b, F.col("a") < F.col("b")).withColumn("distance", 1 - dot(F.col("va"), F.col("vb")))

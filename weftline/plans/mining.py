@@ -134,10 +134,8 @@ WITH t AS (SELECT event_type, count(*) AS hits FROM events GROUP BY 1)
 SELECT a.event_type AS a, b.event_type AS b, CAST(levenshtein(a.event_type, b.event_type) AS INT) AS distance
 FROM t a JOIN t b ON a.event_type < b.event_type AND levenshtein(a.event_type, b.event_type) <= 6""")
 def template_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of templates within an edit distance (a catalogue is small: one row for each template)."""
-    t = table(spark, sf_dir, "events").select("event_type").distinct()
-    a, b = t.select(F.col("event_type").alias("a")), t.select(F.col("event_type").alias("b"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).withColumn("distance", F.levenshtein("a", "b", 6)).filter("distance >= 0")
+    """Pairs of templates within an edit distance."""
+    return M.near_texts(table(spark, sf_dir, "events").select("event_type").distinct(), "event_type", 6)
 
 
 @query(r"""

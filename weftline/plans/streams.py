@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.catalogue import query
-from weftline.session import table
+from weftline.session import shared_folder, table
 from weftline.streaming import rates as R
 
 
@@ -28,8 +27,7 @@ def rate_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.operators.series import hourly_counts
 
     hourly = hourly_counts(table(spark, sf_dir, "events").withColumnRenamed("event_type", "cluster"), "cluster", "ts")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    path = f"{base.rstrip('/')}/hourly-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
     hourly.write.parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -38,8 +36,7 @@ def rate_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _update(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """An update-mode stream, each batch appended to Parquet."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{root}/out")).outputMode("update").option(
         "checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()

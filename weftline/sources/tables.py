@@ -135,10 +135,11 @@ def soft_keys(columns: DataFrame) -> DataFrame:
     """columns(table_name, column_name): foreign keys guessed from x_id names, with confidence by how the table is named."""
     stem = F.regexp_extract("column_name", r"^(\w+)_id$", 1)
     tables = columns.select(F.col("table_name").alias("target")).distinct()
-    x = columns.withColumn("stem", stem).filter("stem <> ''").crossJoin(F.broadcast(tables)).filter("target <> table_name")
-    conf = F.when(F.col("target") == F.col("stem"), 0.85).when(
-        F.col("target").isin(F.concat("stem", F.lit("s")), F.concat("stem", F.lit("es"))), 0.75
-    ).when(F.col("target") == F.concat("stem", F.lit("s")), 0.75).when(F.concat("target", F.lit("s")) == F.col("stem"), 0.60)
-    best = x.withColumn("confidence", conf).filter("confidence is not null")
+    guess = lambda name, conf: F.struct(name.alias("target"), F.lit(conf).alias("confidence"))
+    s = F.col("stem")
+    names = F.array(
+        guess(s, 0.85), guess(F.concat(s, F.lit("s")), 0.75), guess(F.concat(s, F.lit("es")), 0.75), guess(F.regexp_replace(s, "s$", ""), 0.60))
+    x = columns.withColumn("stem", stem).filter("stem <> ''").select("table_name", "column_name", F.explode(names).alias("g"))
+    best = x.select("table_name", "column_name", "g.*").join(tables, "target").filter("target <> table_name")
     return best.groupBy("table_name", "column_name").agg(
         F.max_by("target", "confidence").alias("target"), F.max("confidence").alias("confidence"))
