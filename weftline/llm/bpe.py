@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,7 @@ from .common import small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAFE = r"[\x00-՗ -₎　-鿿가-힣]*+"
 CACHE_WORDS = 300_000
+WORD32 = "I"  # unsigned, 32 bits
 
 
 def default_path() -> str:
@@ -124,15 +127,6 @@ def compile_file(path: str) -> dict:
     }
 
 
-_compiled: dict[str, dict] = {}
-
-
-def compiled(path: str) -> dict:
-    if path not in _compiled:
-        _compiled[path] = compile_file(path)
-    return _compiled[path]
-
-
 class Coder(dict):
     """Encodes words (kept: word -> packed ids) and texts, decodes ids."""
 
@@ -142,48 +136,51 @@ class Coder(dict):
         self.parts = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.split, self.safe = regex.compile(PATTERN).findall, regex.compile(SAFE).fullmatch
         self.path, self.library = tables["path"], None
-        self.next: dict[int, int] = {}
-        self.token = [-1]
+        # a node of the trie: byte -> node; under -1 its token, where its arcs' bits start, and its length
+        self.root: dict = {}
         for i, x in enumerate(tables["plain"]):
-            at = 0
+            at = self.root
             for b in x:
-                key = at << 8 | b
-                at = self.next.get(key)
-                if at is None:
-                    at = self.next[key] = len(self.token)
-                    self.token.append(-1)
+                at = at.setdefault(b, {})
             if x:
-                self.token[at] = i
+                at[-1] = (i, self.col[i] * self.width, len(x))
         self.lengths = np.array([len(x) for x in tables["label"]], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.labels = np.frombuffer(b"".join(tables["label"]), np.uint8)
 
     def encode_word(self, word: bytes) -> list[int]:
-        n = len(word)
-        last: list[int] = [-1] * (n + 1)  # token by which the path reaches each position
-        step, token, row, col, bits, width = self.next.get, self.token, self.row, self.col, self.bits, self.width
+        n, row, bits, root = len(word), self.row, self.bits, self.root
+        last: list = [None] * (n + 1)  # the arc by which the path reaches each position
         for i in range(n):
-            r = row[last[i]] if i else 0
-            if i and last[i] < 0:
-                continue
-            at, byte, bit, k = 0, r >> 3, r & 7, i
-            while k < n:
-                at = step(at << 8 | word[k])
-                if at is None:
+            if i:
+                arc = last[i]
+                if arc is None:
+                    continue
+                r = row[arc[0]]
+            else:
+                r = 0
+            byte, bit, node, k = r >> 3, 1 << (r & 7), root, i
+            for b in word[i:] if i else word:
+                node = node.get(b)
+                if node is None:
                     break
                 k += 1
-                t = token[at]
-                if t >= 0 and last[k] < 0 and bits[col[t] * width + byte] >> bit & 1:
-                    last[k] = t
+                arc = node.get(-1)
+                if arc is not None and last[k] is None and bits[arc[1] + byte] & bit:
+                    last[k] = arc
         out = []
         while n:
-            t = last[n]
-            out.append(t)
-            n -= int(self.lengths[t])
-        return out[::-1]
+            arc = last[n]
+            out.append(arc[0])
+            n -= arc[2]
+        out.reverse()
+        return out
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode_word(word.encode()), "<u4").tobytes()
+        ids = array(WORD32, self.encode_word(word.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        ids = ids.tobytes()
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -231,7 +228,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = T
     """docs(doc_id, text) -> doc_id, n_tokens, then the digests of ids and decoded text, then the ids if asked for."""
     spark = docs.sparkSession
     small_batches(spark)
-    tables = spark.sparkContext.broadcast(compiled(path or default_path()))
+    tables = spark.sparkContext.broadcast(compile_file(path or default_path()))
     names = ["doc_id", "n_tokens"] + ["ids_sha256", "decoded_sha256"] * digests + ["ids"] * ids
     types = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>"}
 
