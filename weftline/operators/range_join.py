@@ -8,6 +8,7 @@ filter, which Spark can shuffle, sort and split where keys are skewed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,3 +29,31 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, width
 def seconds(ts) -> object:
     """A timestamp without zone as seconds."""
     return F.unix_micros(F.to_timestamp(ts)) / F.lit(1e6)
+
+
+def ordered_pair_counts(rows: DataFrame, kind: str, micros: str, width: int) -> DataFrame:
+    """How many pairs of rows lie within width of each other, by kind: (x, y, later, same).
+
+    later counts pairs with 0 < y's time - x's time <= width, same those with
+    equal times. No pair is made: rows are counted by (kind, time) first, then
+    each time of x reads two running counts of y, those after it in its own
+    bucket of the width and those of the next bucket, moved back by the width.
+    The work is rows times the kinds that share a bucket, not pairs.
+    """
+    n = rows.groupBy(F.col(kind).alias("k"), F.col(micros).alias("t")).agg(F.count("*").alias("n"))
+    n = n.withColumn("b", F.floor(F.col("t") / width).cast("long"))
+    moved = n.select("k", (F.col("t") - width).alias("t"), "n", (F.col("b") - 1).alias("b"))
+    present = n.select("k", "b").unionByName(moved.select("k", "b")).distinct()
+    ask = n.select("b", "t", F.col("k").alias("x"), F.col("n").alias("weight")).join(present.withColumnRenamed("k", "y"), "b")
+    zero = F.lit(0).cast("long")
+    own = n.select("b", F.col("k").alias("y"), "t", F.col("n").alias("own"), zero.alias("next"))
+    nxt = moved.select("b", F.col("k").alias("y"), "t", zero.alias("own"), F.col("n").alias("next"))
+    asked = ask.select("b", "y", "t", zero.alias("own"), zero.alias("next"), "x", "weight")
+    none = [F.lit(None).cast(dict(asked.dtypes)["x"]).alias("x"), F.lit(None).cast("long").alias("weight")]
+    every = asked.unionByName(own.select("*", *none)).unionByName(nxt.select("*", *none))
+    so_far = W.partitionBy("b", "y").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
+    now, whole = W.partitionBy("b", "y").orderBy("t").rangeBetween(0, 0), W.partitionBy("b", "y")
+    later = F.sum("own").over(whole) - F.sum("own").over(so_far) + F.sum("next").over(so_far)
+    each = every.select("x", "y", "weight", later.alias("later"), F.sum("own").over(now).alias("same")).filter("weight is not null")
+    return each.groupBy("x", "y").agg(
+        F.sum(F.col("weight") * F.col("later")).alias("later"), F.sum(F.col("weight") * F.col("same")).alias("same"))
