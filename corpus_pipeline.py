@@ -28,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of equal texts."""
     scratch = Scratch(spark, "exact")
     result = scratch.save(dedup.exact_dedup(docs, scratch).filter(~F.col("kept")).select("doc_id"), "dropped")
-    scratch.drop("runs0", "level1", "looked_up", "verified")
+    scratch.drop("level1", "looked_up", "verified")
     return without_ids(docs, result)
 
 
@@ -47,7 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     result = mixing.mix(docs, scratch, **MIX).groupBy("doc_id").agg(F.max("copies").alias("copies"))
     result = scratch.save(result.filter("copies = 0 and doc_id is not null").select("doc_id"), "dropped")
     scratch.drop("tokens", "plan")
-    return without_ids(docs, result)
+    # a plain join: this stage runs DataFrame operations only
+    return docs.join(result, "doc_id", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

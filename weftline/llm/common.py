@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -24,6 +25,10 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Rows of a written table for each file, where its size is known.
+FILE_ROWS = 20_000
+
+
 class Scratch:
     """Tables written to the cluster's shared folder: cut lineage, and survive lost executors.
 
@@ -41,8 +46,12 @@ class Scratch:
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes and rereads df; where its size is known about, small tables get few files."""
+        if rows is not None:
+            df = df.coalesce(rows // FILE_ROWS + 1)
         path = f"{self.root}/{name}"
+        self.tidy()
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -50,6 +59,14 @@ class Scratch:
         for name in names:
             self._delete(f"{self.root}/{name}")
 
+    def tidy(self) -> None:
+        """Collects the driver's garbage, upon which Spark deletes finished jobs' shuffle files and broadcasts.
+
+        A driver that rarely fills its heap would else keep them on the executors' disks.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         try:
             jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

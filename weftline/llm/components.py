@@ -33,15 +33,19 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """edges(a, b) with a < b. Gives (v, c) for each vertex but the smallest of its component."""
     now = scratch.save(edges.select("a", "b").distinct(), f"{name}0")
-    mark, i = None, 0
-    while True:
+    i, rows = 0, now.count()
+    while not now.isEmpty():
         i += 1
-        now = scratch.save(_small(_large(now)), f"{name}{i}")
-        got = now.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("b")
-        ).first()
+        now = scratch.save(_small(_large(now)), f"{name}{i}", rows)
         scratch.drop(f"{name}{i - 1}")
-        # stars: every vertex hangs on one smallest vertex, and nothing changed
-        if tuple(got) == mark or got[0] == 0:
-            return now.select(F.col("b").alias("v"), F.col("a").alias("c"))
-        mark = tuple(got)
+        if _stars(now):
+            break
+    return now.select(F.col("b").alias("v"), F.col("a").alias("c"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every vertex is a centre or hangs on one centre only; steps keep what is connected, so that is the end."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("centre"), F.lit(0).alias("leaf")).unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("centre"), F.lit(1).alias("leaf")))
+    each = ends.groupBy("v").agg(F.max("centre").alias("centre"), F.sum("leaf").alias("leaf"))
+    return each.filter("centre + leaf > 1").isEmpty()

@@ -115,7 +115,7 @@ class DigestIndex:
         alone, maybe = rows.filter(~F.col("maybe")), rows.filter("maybe")
         bytes_of = maybe.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
         same = bytes_of.select("digest", (F.col("lo") == F.col("hi")).alias("same"))
-        index = save(several.join(same, "digest"), "verified")
+        index = save(several.join(same, "digest"), "verified", several.count())
         out = ["doc_id", "full", "keep_id", "n"]
         lone = alone.select("doc_id", "full", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
         found = maybe.join(index.withColumnRenamed("n", "n_all"), "digest", "left")
@@ -140,6 +140,7 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, **settings) -> DataFrame:
     index = DigestIndex(docs.sparkSession, scratch, **settings)
     index.insert(docs)
     index.compact()
+    scratch.drop("runs0")
     return index.resolve(docs)
 
 

@@ -335,43 +335,44 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         ),
         "reps",
     )
+    n = reps.count()  # pairs, links and classes are of this order
     pairs, central = candidates(reps, scratch)
-    pairs, central = scratch.save(pairs, "pairs"), scratch.save(central, "central")
+    pairs, central = scratch.save(pairs, "pairs", n), scratch.save(central, "central", n)
     scratch.drop("raw_pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     near = texts.filter(Bloom(ids, "id").flag("doc_id")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     sets = scratch.save(
         near.dropDuplicates(["doc_id"]).mapInArrow(_full_sets, "id long, items binary"), "sets"
     )
-    links = scratch.save(_verify(pairs.filter(F.col("kind") == LEADER), sets), "links0")
-    comps = scratch.save(components(links, scratch, "c0_"), "comps0")
+    links = scratch.save(_verify(pairs.filter(F.col("kind") == LEADER), sets), "links0", n)
+    comps = scratch.save(components(links, scratch, "c0_"), "comps0", n)
     # classes only grow, so a pair within one is settled for good; the rest carry their classes along
-    open_ = scratch.save(_across(pairs, comps), "open0")
+    open_ = scratch.save(_across(pairs, comps), "open0", n)
     tries, tested = open_.filter(F.col("kind") == NEIGHBOUR).select("a", "b", "ca", "cb"), None
     turn = 0
     while True:
         turn += 1
-        fresh = scratch.save(_verify(tries, sets).join(tries, ["a", "b"]), f"links{turn}")
+        fresh = scratch.save(_verify(tries, sets).join(tries, ["a", "b"]), f"links{turn}", n)
         if turn > 1 and fresh.isEmpty():
             break
         links = links.unionByName(fresh.select("a", "b"))
         edges = fresh.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-        merged = scratch.save(components(edges, scratch, f"c{turn}_"), f"merged{turn}")
-        comps = scratch.save(_renamed(comps, merged, "c").unionByName(merged).select("v", "c"), f"comps{turn}")
+        merged = scratch.save(components(edges, scratch, f"c{turn}_"), f"merged{turn}", n)
+        comps = scratch.save(_renamed(comps, merged, "c").unionByName(merged).select("v", "c"), f"comps{turn}", n)
         open_ = scratch.save(
-            _renamed(open_, merged, "ca", "cb").filter("ca <> cb").select("a", "b", "ca", "cb"), f"open{turn}"
+            _renamed(open_, merged, "ca", "cb").filter("ca <> cb").select("a", "b", "ca", "cb"), f"open{turn}", n
         )
         tries = _hub_pairs(open_, _hubs(links, comps, central)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         if tested is not None:
             tries = tries.join(tested, ["a", "b"], "left_anti")
-        tries = scratch.save(tries, f"tries{turn}")
+        tries = scratch.save(tries, f"tries{turn}", n)
         tested = tries.select("a", "b") if tested is None else tested.unionByName(tries.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = reps.select("set_key", "rep").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
     named = named.join(degree, "rep", "left").select(
         "set_key", F.coalesce("c", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    named = scratch.save(named, "named")
+    named = scratch.save(named, "named", n)
     scratch.drop("sets", "pairs")
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select(
