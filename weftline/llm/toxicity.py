@@ -38,6 +38,7 @@ MAX_TOXIC, MAX_CLEAN = 2000, 3000
 #: A word has an embedding if so many training texts hold it; rarer ones could only be learnt by heart.
 MIN_TEXTS = 5
 CALIBRATION = 5  # one row in so many
+EMPTY = 20  # one clean empty text for so many rows
 FOLDS, HELD_OUT = 5, 0
 
 #: Function words by language.
@@ -152,6 +153,9 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 4) -> Model:
         return model
     seen, df = np.unique(np.concatenate([np.unique(h) for h in texts]), return_counts=True)
     model.known = seen[df >= MIN_TEXTS]
+    # empty texts are clean: what says nothing isn't toxic
+    texts = [*texts, *[np.zeros(0, np.uint64)] * (len(texts) // EMPTY + 1)]
+    toxic = np.concatenate([toxic, np.zeros(len(texts) - len(toxic), toxic.dtype)])
     two = [model.buckets(h) for h in texts]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
@@ -167,7 +171,9 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 4) -> Model:
     for _ in range(EPOCHS):
         rng.shuffle(train)
         for at in range(0, len(train), BATCH):
-            ids = [i for i in train[at : at + BATCH] if len(two[i])]
+            ids = train[at : at + BATCH]
+            model.offset -= _offset_step(model, toxic, weight, [i for i in ids if not len(two[i])])
+            ids = [i for i in ids if len(two[i])]
             if not ids:
                 continue
             words = np.concatenate([two[i] for i in ids])
@@ -213,6 +219,12 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 4) -> Model:
     return model
 
 
+def _offset_step(model: Model, toxic: np.ndarray, weight: np.ndarray, empty: list[int]) -> np.float32:
+    """What texts without words, whose logit is the offset, take from it."""
+    p = 1 / (1 + np.exp(-float(model.offset)))
+    return np.float32(RATE * sum((p - toxic[i]) * weight[i] for i in empty) / BATCH)
+
+
 def _start_from_counts(model: Model, two: list[np.ndarray], toxic: np.ndarray) -> None:
     """First coordinate of each bucket: smoothed log odds of the texts that hold it; one filter of each width starts there."""
     counts = np.zeros((2, 2 * BUCKETS + 1), np.float32)
@@ -259,6 +271,8 @@ def _calibrate(model: Model, texts: list[np.ndarray], toxic: np.ndarray) -> None
         some = lang == k
         if some.sum() >= 60 and toxic[some].sum() >= 10:
             model.thresholds[k] = best(z[some], toxic[some])
+    # never below what a text without evidence has
+    model.thresholds[:] = np.maximum(model.thresholds, model.offset + 0.1)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
