@@ -213,17 +213,6 @@ class Coder(dict):
         return self.labels[at].tobytes().decode("utf-8", "replace")
 
 
-_coders: dict[str, Coder] = {}
-
-
-def _coder(tables) -> Coder:
-    """One coder for each worker process."""
-    path = tables.value["path"]
-    if path not in _coders:
-        _coders[path] = Coder(tables.value)
-    return _coders[path]
-
-
 def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = True, ids: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, then the digests of ids and decoded text, then the ids if asked for."""
     spark = docs.sparkSession
@@ -233,7 +222,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = T
     types = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(tables)
+        coder = Coder(tables.value)  # of the task, so that an idle worker holds no words
         for batch in batches:
             n, one, two, all_ids = [], [], [], []
             for text in batch.column(1):

@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         ),
         "reps",
     )
-    n = reps.count()  # pairs, links and classes are of this order
+    n = reps.count()  # pairs and classes are of this order; confirming links reads whole sets and keeps its own partitions
     pairs, central = candidates(reps, scratch)
     pairs, central = scratch.save(pairs, "pairs", n), scratch.save(central, "central", n)
     scratch.drop("raw_pairs")
@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.save(
         near.dropDuplicates(["doc_id"]).mapInArrow(_full_sets, "id long, items binary"), "sets"
     )
-    links = scratch.save(_verify(pairs.filter(F.col("kind") == LEADER), sets), "links0", n)
+    links = scratch.save(_verify(pairs.filter(F.col("kind") == LEADER), sets), "links0")
     comps = scratch.save(components(links, scratch, "c0_"), "comps0", n)
     # classes only grow, so a pair within one is settled for good; the rest carry their classes along
     open_ = scratch.save(_across(pairs, comps), "open0", n)
@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     turn = 0
     while True:
         turn += 1
-        fresh = scratch.save(_verify(tries, sets).join(tries, ["a", "b"]), f"links{turn}", n)
+        fresh = scratch.save(_verify(tries, sets).join(tries, ["a", "b"]), f"links{turn}")
         if turn > 1 and fresh.isEmpty():
             break
         links = links.unionByName(fresh.select("a", "b"))
