@@ -155,6 +155,22 @@ def test_near_duplicates(spark, docs, rows):
     assert neardup.near_duplicates(empty(spark), Scratch(spark, "t")).count() == 0
 
 
+def test_near_pairs_within_a_shared_passage(spark):
+    """All texts share a passage that makes no two of them similar; pairs among them are."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(331)]
+    tails = [[word() for _ in range(69)] for _ in range(600)]
+    tails += [t[:14] + [word() for _ in range(55)] for t in tails[:60]]
+    ids = rnd.sample(range(10_000), len(tails))
+    once = [(i, " ".join(passage + t)) for i, t in zip(ids, tails)]
+    sets, want = brute_components(once)
+    assert len(set(want.values())) == 600
+    df = spark.createDataFrame(once, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, Scratch(spark, "t")).collect()}
+    assert sum(got[i] != want[i] for i in ids) == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, j) for j in range(101, 160)] + [(99, 159)]
     got = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()

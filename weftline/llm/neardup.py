@@ -11,13 +11,23 @@ those that share the longest prefix with them. Candidates are
 * the neighbours in sorted order that share MIN_DEPTH values or more;
 * the HUBS members with most links and the HUBS most central members (those
   whose regions hold most rows) of the class that a neighbour was linked to,
-  until no new link is found.
+  until no new link is found;
+* what these leave open: neighbours are all pairs of a region of up to
+  NEIGHBOURS + 1 rows; the members of larger ones are joined on the rarest
+  shingles of their sets, over all pairs that are not in one class yet.
 
 All candidates are confirmed on full sets (100 * both >= 75 * either), region
 leaders first; a neighbour that is already in the same class needs no check.
 With TREES trees of MIN_DEPTH values a pair at the similarity limit shares a
 region in at least one tree with probability 1 - (1 - 0.75^3)^TREES, about
-1 - 2e-6; there is no cap on a region's size or on partners.
+1 - 2e-6, and a pair that shares a region ends in one class: leaders and hubs
+only settle most pairs early, the join on rare shingles is exact for the rest.
+
+Sets are ordered by the frequency of a shingle's bucket, the same order for
+all, so that similar sets meet in the first quarter of the larger and the first
+seventh of the smaller one. A long passage that many texts share is frequent
+and comes last: only texts that it makes similar by itself meet in it. The
+buckets are of fixed number and change the cost of the join, never its result.
 
 Nothing is grouped by region: the sorted order is cut into even ranges by
 sampling, so a region with a third of all rows spreads over many tasks; what
@@ -50,6 +60,7 @@ PERCENT = 75
 NEIGHBOURS = 3
 HUBS = 6
 ROWS_A_RANGE = 250_000
+BUCKETS = 1 << 20
 
 _rng = np.random.default_rng(75)
 _FACTORS = _rng.integers(1, 1 << 63, POOL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,7 +158,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PAIR = "kind int, a long, b long, region binary, n long, part int"
-LEADER, NEIGHBOUR, CUT, CENTRAL = 0, 1, 2, 3
+LEADER, NEIGHBOUR, CUT, CENTRAL, DENSE = 0, 1, 2, 3, 4
 
 
 def _close(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -155,7 +166,7 @@ def _close(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted range of the forest -> candidate pairs, and the members of its first and last region."""
+    """One sorted range of the forest -> candidate pairs, members of large regions, and those of its first and last one."""
     from pyspark import TaskContext
 
     got = [b for b in batches if b.num_rows]
@@ -202,6 +213,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     who, back = np.unique(rep[mates > 1], return_inverse=True)
     total = np.bincount(back, mates[mates > 1], len(who)).astype(np.int64)
     yield _pairs(np.full(len(who), CENTRAL), who, who, None, total, part)
+    dense = np.unique(rep[mates > NEIGHBOURS + 1])
+    yield _pairs(np.full(len(dense), DENSE), dense, dense, None, None, part)
     for k in {0, len(starts) - 1}:
         s, e = starts[k], ends[k]
         prefix = keys[s, : 1 + MIN_DEPTH * 4].tobytes()
@@ -252,8 +265,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def candidates(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """reps(rep, n, sig). Gives distinct (a, b, kind) with a < b, kind 0 if a region's leader made it, and (v, mates)."""
+def candidates(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """reps(rep, n, sig). Gives distinct (a, b, kind) with a < b, kind 0 if a region's leader made it, (v, mates), and (v)
+    for members of regions whose neighbours aren't all pairs."""
     spark = reps.sparkSession
     rows = reps.count() * TREES
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_RANGE + 1)
@@ -270,7 +284,8 @@ def candidates(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     ).filter(f"a <> b and 100 * least(n, n1) >= {PERCENT} * greatest(n, n1)").select("kind", "a", "b")
     pairs = raw.filter(F.col("kind") < CUT).select("kind", "a", "b").unionByName(led)
     central = raw.filter(F.col("kind") == CENTRAL).groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("mates"))
-    return pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")), central
+    dense = raw.filter(F.col("kind") == DENSE).select(F.col("a").alias("v")).distinct()
+    return pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")), central, dense
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,6 +332,94 @@ def _renamed(table: DataFrame, merged: DataFrame, *columns: str) -> DataFrame:
     return table
 
 
+def _bucket(items: np.ndarray) -> np.ndarray:
+    return (textvec.mix(items) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _items(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+    return (np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(k))
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, items -> bucket, n: sets' shingles by bucket, for a task."""
+    total = np.zeros(BUCKETS, np.int64)
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for x in _items(batch, 1):
+                np.add.at(total, _bucket(x), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
+
+
+def _rarest(frequency):
+    """id, items, c -> h, id, c, n, at: the first shingles of each set by frequency; at is the place in that order.
+
+    100 * both >= PERCENT * either means (100 + PERCENT) * both >= PERCENT * (sum of sizes), so a set of n has
+    least = ceil(PERCENT * n / 100) of its shingles in common with a partner at least, and the first common one is
+    among its first n - least + 1. A bucket that counts one shingle is in no other set.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                h, at, size = [], [], []
+                for x in _items(batch, 1):
+                    often = frequency.value[_bucket(x)]
+                    least = -(-PERCENT * len(x) // 100)
+                    order = np.lexsort((x, often))[: len(x) - least + 1]
+                    some = np.flatnonzero(often[order] > 1)
+                    h.append(x[order[some]])
+                    at.append(some)
+                    size.append(len(x))
+                rows = [len(x) for x in h]
+                if not sum(rows):
+                    continue
+                each = pa.array(np.repeat(np.arange(len(rows)), rows))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(h).view(np.int64)), batch.column(0).take(each), batch.column(2).take(each),
+                        pa.array(np.repeat(np.array(size, np.int64), rows)), pa.array(np.concatenate(at).astype(np.int64)),
+                    ],
+                    names=["h", "id", "c", "n", "at"],
+                )
+
+    return run
+
+
+def _rare_pairs(dense: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, ca, cb) of dense(v) in two classes that can be similar: none that is similar is left out."""
+    spark = sets.sparkSession
+    mine = sets.join(dense.select(F.col("v").alias("id")), "id", "left_semi")
+    counts = mine.mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(BUCKETS, np.uint32)
+    frequency[counts["bucket"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), 2**32 - 1)
+    classed = mine.join(comps.withColumnRenamed("v", "id"), "id", "left").select("id", "items", F.coalesce("c", "id").alias("c"))
+    rare = scratch.save(
+        classed.mapInArrow(_rarest(spark.sparkContext.broadcast(frequency)), "h long, id long, c long, n long, at long"), "rare"
+    )
+    # both >= PERCENT / (100 + PERCENT) * (sum of sizes) >= 2 * PERCENT / (100 + PERCENT) * (size of the smaller set): so early
+    # does the smaller set meet a partner, and a shingle that comes so early in no set pairs nobody
+    early = f"{100 + PERCENT} * (n - at) >= {2 * PERCENT} * n"
+    rare = rare.withColumn("early", F.expr(early))
+    sizes = rare.groupBy("h", "c").agg(F.count("*").alias("k"), F.max("early").alias("early"))
+    mixed = sizes.groupBy("h").agg(
+        F.max(F.struct("k", "c"))["c"].alias("top"), F.count("*").alias("classes"), F.max("early").alias("early")
+    ).filter("classes > 1 and early").select("h", "top")
+    met = scratch.save(rare.join(mixed, "h"), "met")
+    side = lambda k: met.select("h", "top", *[F.col(c).alias(f"{c}{k}") for c in ("id", "c", "n", "at", "early")])
+    low, high = side(1).filter("early1"), side(2).withColumnRenamed("top", "top2")
+    # one of two classes isn't the shingle's largest, which so is never paired with itself
+    both = low.filter("c1 <> top").join(high, "h").unionByName(
+        low.filter("c1 = top").join(high.filter("c2 <> top2"), "h")
+    ).filter(f"c1 <> c2 and (n1 < n2 or n1 = n2 and id1 < id2) and 100 * n1 >= {PERCENT} * n2")
+    # the first common shingle: all others come after it on both sides
+    both = both.filter(f"{100 + PERCENT} * least(n1 - at1, n2 - at2) >= {PERCENT} * (n1 + n2)")
+    return both.select(
+        F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"),
+        F.when(F.col("id1") < F.col("id2"), F.col("c1")).otherwise(F.col("c2")).alias("ca"),
+        F.when(F.col("id1") < F.col("id2"), F.col("c2")).otherwise(F.col("c1")).alias("cb"),
+    ).distinct()
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_links) for every row of docs(doc_id, text).
 
@@ -336,10 +439,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         "reps",
     )
     n = reps.count()  # pairs and classes are of this order; confirming links reads whole sets and keeps its own partitions
-    pairs, central = candidates(reps, scratch)
+    pairs, central, dense = candidates(reps, scratch)
     pairs, central = scratch.save(pairs, "pairs", n), scratch.save(central, "central", n)
+    dense = scratch.save(dense, "dense", n)
     scratch.drop("raw_pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(dense.select(F.col("v").alias("id"))).distinct()
     near = texts.filter(Bloom(ids, "id").flag("doc_id")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     sets = scratch.save(
         near.dropDuplicates(["doc_id"]).mapInArrow(_full_sets, "id long, items binary"), "sets"
@@ -367,6 +471,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
             tries = tries.join(tested, ["a", "b"], "left_anti")
         tries = scratch.save(tries, f"tries{turn}", n)
         tested = tries.select("a", "b") if tested is None else tested.unionByName(tries.select("a", "b"))
+    rest = scratch.save(_rare_pairs(dense, comps, sets, scratch), "rest")  # one pass: it takes every open pair there is
+    fresh = scratch.save(_verify(rest, sets).join(rest, ["a", "b"]), "links_rest")
+    scratch.drop("rare", "met", "rest")
+    if not fresh.isEmpty():
+        links = links.unionByName(fresh.select("a", "b"))
+        edges = fresh.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        merged = scratch.save(components(edges, scratch, "c_rest_"), "merged_rest", n)
+        comps = scratch.save(_renamed(comps, merged, "c").unionByName(merged).select("v", "c"), "comps_rest", n)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = reps.select("set_key", "rep").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
     named = named.join(degree, "rep", "left").select(
