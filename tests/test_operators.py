@@ -249,3 +249,22 @@ def test_models():
     seqs = [np.array([0, 1, 2] * 4) for _ in range(10)]
     m = models.AttentionModel(3).fit(seqs)
     assert m.score(seqs[0]) > m.score(np.array([2, 1, 0] * 4))
+
+
+def test_gp_rates_fit_long_series_in_full(spark):
+    import datetime
+
+    from weftline.operators import models
+
+    x = np.arange(0, 720.0)
+    y = np.round(50 + 20 * np.sin(2 * np.pi * x / 24) + 15 * np.sin(2 * np.pi * x / 170))
+    day = datetime.date(2024, 1, 1)
+    rows = [("a", day + datetime.timedelta(int(i) // 24), int(i) % 24, int(n)) for i, n in zip(x, y)]
+    hourly = spark.createDataFrame(rows, "cluster string, day date, hour int, n long")
+    fits = {
+        k: np.array([r.expected for r in models.gp_rates(hourly, "cluster", **k_args).orderBy("day", "hour").collect()])
+        for k, k_args in (("full", {}), ("sparse", {"inducing": 48}))
+    }
+    assert np.abs(fits["full"] - models.gp_baseline(x, y, x)).max() < 1e-6
+    assert np.abs(fits["sparse"] - models.sparse_gp(x, y, x, 48)).max() < 1e-6
+    assert np.abs(fits["full"] - fits["sparse"]).max() > 1

@@ -29,8 +29,11 @@ def sparse_gp(x: np.ndarray, y: np.ndarray, at: np.ndarray, inducing: int = 24,
     return m + s * (_kernel(at, z) @ w)
 
 
-def gp_rates(hourly: DataFrame, key: str, least: int = 12, hours: int = 4, exact: int = 300) -> DataFrame:
-    """Expected count and MAD z of each hourly count under its key's process; keys with too few points have nulls."""
+def gp_rates(hourly: DataFrame, key: str, least: int = 12, hours: int = 4, inducing: int | None = None) -> DataFrame:
+    """Expected count and MAD z of each hourly count under its key's process; keys with too few points have nulls.
+
+    The process is the full one for any number of points; only with ``inducing`` it is the sparse one, of so many points.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "hour"])
         out = pdf[[key, "day", "hour", "n"]].copy()
@@ -38,7 +41,7 @@ def gp_rates(hourly: DataFrame, key: str, least: int = 12, hours: int = 4, exact
             return out.assign(expected=None, z=None)
         t = (pd.to_datetime(pdf["day"]).astype("int64") // 3_600_000_000_000).to_numpy(float) + pdf["hour"].to_numpy(float)
         t, y = t - t[0], pdf["n"].to_numpy(float)
-        fit = gp_baseline(t, y, t) if len(t) <= exact else sparse_gp(t, y, t, 48)
+        fit = gp_baseline(t, y, t) if inducing is None else sparse_gp(t, y, t, inducing)
         r = y - fit
         mad = max(1.4826 * np.median(np.abs(r - np.median(r))), 0.5)
         return out.assign(expected=fit, z=(r - np.median(r)) / mad)
