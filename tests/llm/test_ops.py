@@ -171,6 +171,20 @@ def test_near_pairs_within_a_shared_passage(spark):
     assert sum(got[i] != want[i] for i in ids) == 0
 
 
+def test_near_regions_over_cuts(spark):
+    """With a range for each row every pair of a region is a candidate or goes to the exact join."""
+    same = bytes(range(256))
+    reps = spark.createDataFrame([(i, 100, same) for i in (1, 2, 3, 4)], "rep long, n long, sig binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(4 * neardup.TREES))
+    try:
+        pairs, _, dense = neardup.candidates(reps, Scratch(spark, "t"))
+        tried, left = {(r.a, r.b) for r in pairs.collect()}, {r.v for r in dense.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all((a, b) in tried or {a, b} <= left for a in range(1, 5) for b in range(a + 1, 5))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, j) for j in range(101, 160)] + [(99, 159)]
     got = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()

@@ -31,7 +31,8 @@ buckets are of fixed number and change the cost of the join, never its result.
 
 Nothing is grouped by region: the sorted order is cut into even ranges by
 sampling, so a region with a third of all rows spreads over many tasks; what
-crosses a cut gets its leader in a second step with two regions from each range.
+crosses a cut gets its leader in a second step with two regions from each range,
+and its members take part in the join on rare shingles, whatever the region's size.
 
 Edge cases: null counts as empty text; texts without words have no shingles
 and stay alone; 1 to 4 words are one shingle; rows with a null id stay alone
@@ -267,7 +268,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """reps(rep, n, sig). Gives distinct (a, b, kind) with a < b, kind 0 if a region's leader made it, (v, mates), and (v)
-    for members of regions whose neighbours aren't all pairs."""
+    for members of regions whose neighbours in a range aren't all pairs."""
     spark = reps.sparkSession
     rows = reps.count() * TREES
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_RANGE + 1)
@@ -284,7 +285,9 @@ def candidates(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame,
     ).filter(f"a <> b and 100 * least(n, n1) >= {PERCENT} * greatest(n, n1)").select("kind", "a", "b")
     pairs = raw.filter(F.col("kind") < CUT).select("kind", "a", "b").unionByName(led)
     central = raw.filter(F.col("kind") == CENTRAL).groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("mates"))
-    dense = raw.filter(F.col("kind") == DENSE).select(F.col("a").alias("v")).distinct()
+    # neighbours on both sides of a cut never meet in a range
+    apart = cut.join(F.broadcast(crossing), "region").select(F.col("b").alias("v"))
+    dense = raw.filter(F.col("kind") == DENSE).select(F.col("a").alias("v")).unionByName(apart).distinct()
     return pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")), central, dense
 
 
