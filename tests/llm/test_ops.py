@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from weftline.llm import annforest, bpe, components, dedup, lattice, mixing, neardup, pii, sharding, textvec, toxicity, warc
-from weftline.llm.common import Bloom, Scratch, without_ids
+from weftline.llm.common import Bloom, Scratch, keyed, without_rows
 
 SPACES = re.compile(r"[ \t-\r]+")
 WORDS = re.compile(r"[^ \t-\r]+")
@@ -50,12 +50,17 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, label int")
 
 
-def test_filter_and_removal(spark, docs):
-    keys = spark.range(0, 50).withColumnRenamed("id", "doc_id")
-    got = without_ids(docs, keys, 1 << 10)
-    assert got.columns == docs.columns
-    assert got.count() == docs.filter("doc_id >= 50").count()
-    held = spark.range(0, 300).select(Bloom(keys, "doc_id", 1 << 12).flag("id").alias("f"), "id").collect()
+def test_filter_and_removal(spark, docs, tmp_path):
+    docs.withColumnsRenamed({"keep_id": "row", "source": "maybe"}).write.parquet(f"{tmp_path}/d")
+    for table in (docs, spark.read.parquet(f"{tmp_path}/d")):
+        rows, key = keyed(table, Scratch(spark, "t"))
+        assert rows.select(key).distinct().count() == table.count()
+        some = rows.filter("doc_id < 50 or text is null").select(key)
+        got = without_rows(rows, key, some, 1 << 10)
+        assert got.columns == table.columns
+        assert got.count() == table.filter("doc_id >= 50 and text is not null").count()
+    keys = spark.range(0, 50)
+    held = spark.range(0, 300).select(Bloom(keys, "id", 1 << 12).flag("id").alias("f"), "id").collect()
     assert all(r.f for r in held if r.id < 50) and sum(r.f for r in held) < 100
 
 
@@ -109,13 +114,29 @@ def test_exact_dedup(spark, docs, rows, settings):
 
 
 def test_index_grows_by_runs(spark):
-    a = spark.createDataFrame([(5, "x y"), (7, "z")], "doc_id long, text string")
-    b = spark.createDataFrame([(2, "x  y"), (9, "w")], "doc_id long, text string")
-    index = dedup.DigestIndex(spark, Scratch(spark, "t"))
-    index.insert(a)
-    index.compact()
-    index.insert(b)
-    assert {r.keep_id: r.n for r in index.compact().collect()}[2] >= 2
+    batches = [[(5, "x y"), (7, "z")], [(2, "x  y"), (9, "w"), (None, "z")], [(1, "w")], []]
+    index = dedup.DigestIndex(spark, Scratch(spark, "t"), memtable_rows=2)
+    want = {}
+    for batch in batches:
+        index.insert(spark.createDataFrame(batch, "doc_id long, text string"))
+        for i, t in batch:
+            low, n = want.get(SPACES.sub(" ", t), (None, 0))
+            want[SPACES.sub(" ", t)] = (min(x for x in (low, i) if x is not None) if (low, i) != (None, None) else None, n + 1)
+        by = {hashlib.sha256(t.encode()).digest(): v for t, v in want.items()}
+        found = {bytes(r.digest): (r.keep_id, r.n) for r in index.find(list(by)).collect()}  # before the merge
+        assert found == by
+        level = index.compact()
+        assert {bytes(r.digest): (r.keep_id, r.n) for r in level.collect()} == by
+        assert index.compact() is level  # nothing is merged twice
+    assert index.find([b"?" * 32]).count() == 0
+
+
+def test_later_copies_by_row(spark):
+    rows = [(4, "a b"), (4, "a b"), (4, "other"), (6, "a  b"), (None, "n"), (None, "n"), (None, "a b"), (8, None), (9, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    gone = {r.k for r in dedup.later_copies(df, "k", Scratch(spark, "t")).collect()}
+    assert gone == {1, 3, 5, 6, 8}
+    assert dedup.later_copies(df.limit(0), "k", Scratch(spark, "t")).count() == 0
 
 
 def brute_components(rows):
@@ -151,7 +172,16 @@ def test_near_duplicates(spark, docs, rows):
     assert neardup.near_duplicates(docs, Scratch(spark, "t")).count() == len(rows)
     odd = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in neardup.near_duplicates(odd, Scratch(spark, "t")).collect()) == [
-        (-1, -1, False), (4, 4, True), (4, 4, True)]
+        (-1, 4, False), (4, 4, True), (4, 4, True)]
+    rnd = random.Random(3)
+    a, b = ([f"w{rnd.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    near = lambda w: " ".join(w[:-1] + ["changed"])
+    twice = spark.createDataFrame(
+        [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (None, near(b)), (None, "q r s"), (None, "q r s")], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in neardup.near_duplicates(twice, Scratch(spark, "t")).collect()) == [
+        (-1, -1), (-1, -1), (-1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+    keyed_rows = twice.coalesce(1).selectExpr("doc_id", "text", "monotonically_increasing_id() as k")
+    assert {r.k for r in neardup.later_members(keyed_rows, "k", Scratch(spark, "t")).collect()} == {2, 3, 4, 6}
     assert neardup.near_duplicates(empty(spark), Scratch(spark, "t")).count() == 0
 
 
@@ -178,7 +208,7 @@ def test_near_regions_over_cuts(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(4 * neardup.TREES))
     try:
-        pairs, _, dense = neardup.candidates(reps, Scratch(spark, "t"))
+        pairs, dense = neardup.candidates(reps, 4, Scratch(spark, "t"))
         tried, left = {(r.a, r.b) for r in pairs.collect()}, {r.v for r in dense.collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -311,6 +341,16 @@ def test_shortage_goes_to_siblings_first(spark):
     got = {r.source: r.budget for r in mixing.plan_budgets(leaves, F.lit(400), 1).collect()}
     # web : books = 5 : 3; what src0 lacks stays with its sibling src3
     assert got == {"src0": 10, "src3": 240, "src1": 150}
+    # a source of weight 0 is no room: what its node lacks goes to the other domain
+    none = {**mixing.WEIGHTS, "source": {"src3": 0, "*": 1}}
+    got = {r.source: r.budget for r in mixing.plan_budgets(leaves, F.lit(400), 1, none).collect()}
+    assert got == {"src0": 10, "src3": 0, "src1": 390}
+
+
+def test_mixing_spreads_null_ids(spark):
+    df = spark.createDataFrame([(None, f"a b {i}", "en", "src0") for i in range(300)], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, Scratch(spark, "t"), fraction=(1, 2), max_epochs=1).agg({"copies": "sum"}).first()[0]
+    assert got == 150
 
 
 def test_sharding_law(spark, docs, rows):

@@ -1,5 +1,7 @@
 """Each stage of the pipeline against brute force over what its predecessor kept."""
 
+import collections
+import hashlib
 import random
 import re
 
@@ -7,6 +9,7 @@ import pytest
 
 import corpus_pipeline as P
 from test_ops import brute_components
+from weftline.llm import mixing
 
 
 @pytest.fixture(scope="module")
@@ -28,38 +31,95 @@ def data(spark, tmp_path_factory):
         near = clean[60 + k].split()
         near[0] = "changed"
         docs.append((600 + k, " ".join(near)))
-    docs += [(700, None), (701, ""), (None, "a null id")]
-    rows = [(i, t, "en", f"src{k % 4}", len(t or "")) for k, (i, t) in enumerate(docs)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    docs += [(700, None), (701, ""), (None, "a null id"), (None, "a null id")]
+    # a repeated row, an id with a second text that is a copy, one with a second text of its own
+    docs += [(1, docs[1][1]), (8, docs[3][1]), (4, "quite another text of document four")]
+    rows = [(i, t, "en" if k % 3 else "fr", f"src{k % 4}" if k % 11 else None, k, k % 2 == 0) for k, (i, t) in enumerate(docs)]
+    spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, row long, maybe boolean"
+    ).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
+def fill(amount, children):
+    """children: (weight, capacity, key); what each gets of the amount, in integers, smallest capacity for its weight first."""
+    got, rest, w = {}, amount, sum(x for x, _, _ in children)
+    order = sorted(children, key=lambda c: (c[0] == 0, c[1] / c[0] if c[0] else 0, c[2]))
+    for n, (x, cap, key) in enumerate(order):
+        if x and cap * w <= rest * x:
+            got[key], rest, w = cap, rest - cap, w - x
+        else:
+            return got | {k: min(c, y * rest // w) if w else 0 for y, c, k in order[n:]}
+    return got
+
+
+def brute_mix(rows, fraction, weights):
+    """Rows that a budget of the tokens selects, each at most once: k of (k, doc_id, text, lang, source)."""
+    words = lambda t: len(re.findall(r"[^ \t-\r]+", t or ""))
+    leaf_of = {}
+    for k, _, t, lang, source in rows:
+        number = re.search("([0-9]{1,9})$", source or "")
+        leaf_of[k] = (mixing.DOMAINS[int(number[1]) % 3 if number else 0], lang or "", source or "")
+    supply = collections.Counter()
+    for k, _, t, _, _ in rows:
+        supply[leaf_of[k]] += words(t)
+    weight = lambda level, v: weights[level].get(v, weights[level]["*"])
+    cap = lambda p: sum(n for leaf, n in supply.items() if leaf[: len(p)] == p)
+    budget = {(): sum(supply.values()) * fraction[0] // fraction[1]}
+    for depth, level in enumerate(("domain", "lang", "source")):
+        nodes = sorted({leaf[: depth + 1] for leaf in supply})
+        for parent in {n[:-1] for n in nodes}:
+            budget |= fill(budget[parent], [(weight(level, n[-1]), cap(n), n) for n in nodes if n[:-1] == parent])
+    out = set()
+    for leaf, n in supply.items():
+        whole, rest = divmod(budget[leaf], n) if n else (0, 0)
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        order = sorted((md5(":".join(["mix", str(whole), *([str(i)] if i is not None else []), md5(t or "")])), k, words(t))
+                       for k, i, t, _, _ in rows if leaf_of[k] == leaf)
+        before = 0
+        for _, k, w in order:
+            if whole or before < rest:
+                out.add(k)
+            before += w
+    return out
+
+
 def test_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "bpe"]
-    kept = []
+    kept = [{r.row: r for r in docs.collect()}]
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, docs, data)
         assert out.columns == docs.columns
         out.write.parquet(f"{data}/{name}")
         docs = spark.read.parquet(f"{data}/{name}")
-        kept.append({r.doc_id: r.text for r in docs.collect()})
-    toxic = {i for i in range(0, 500, 5)}
-    whole = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    assert whole - set(kept[0]) == toxic  # rejects these and no clean one
-    first = {}
-    for i, t in sorted(kept[0].items(), key=lambda x: (x[0] is None, x[0])):
-        first.setdefault(re.sub(r"[ \t-\r]+", " ", t or ""), i)
-    assert set(kept[1]) == set(first.values())
-    _, comp = brute_components([(i, t) for i, t in kept[1].items() if i is not None])
-    assert set(kept[2]) - {None} == {i for i, c in comp.items() if i == c}
-    assert set(kept[3]) <= set(kept[2])
-    words = lambda d: sum(len((t or "").split()) for t in d.values())
-    assert 0.8 * words(kept[2]) <= words(kept[3]) <= words(kept[2])
-    last = {r.doc_id: r for r in P.STAGES[-1][1](spark, docs, data).collect()}
-    assert set(last) == set(kept[3])
-    assert all(len(r.ids) == r.n_tokens for r in last.values())
+        kept.append({r.row: r for r in docs.collect()})
+        assert docs.count() == len(kept[-1])
+    whole, clean, once, apart, mixed = kept
+    assert {r.doc_id for r in whole.values()} - {r.doc_id for r in clean.values()} == set(range(0, 500, 5))  # these and no clean one
+    last = lambda r: (r.doc_id is None, r.doc_id)
+    groups = collections.defaultdict(list)
+    for r in clean.values():
+        groups[re.sub(r"[ \t-\r]+", " ", r.text or "")].append(r)
+    assert len(once) == len(groups)
+    assert all(sum(r.row in once for r in g) == 1 for g in groups.values())
+    assert {r.doc_id for r in once.values()} == {min(g, key=last).doc_id for g in groups.values()}
+    assert sum(r.doc_id == 4 for r in once.values()) == 2 and sum(r.doc_id == 8 for r in once.values()) == 1
+    number = {k: n for n, k in enumerate(sorted(once, key=lambda k: last(once[k])))}
+    _, comp = brute_components([(number[k], r.text) for k, r in once.items()])
+    assert {number[k] for k in apart} == {i for i, c in comp.items() if i == c}
+    rows = [(k, r.doc_id, r.text, r.lang, r.source) for k, r in apart.items()]
+    assert set(mixed) == brute_mix(rows, P.MIX["fraction"], mixing.WEIGHTS)
+    ids = P.STAGES[-1][1](spark, docs, data).collect()
+    assert sorted(r.doc_id for r in ids if r.doc_id is not None) == sorted(r.doc_id for r in mixed.values() if r.doc_id is not None)
+    assert len(ids) == len(mixed) and all(len(r.ids) == r.n_tokens for r in ids)
+
+
+def test_empty_tables(spark, data, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{data}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
 
 
 def test_run_is_repeatable(spark, data):

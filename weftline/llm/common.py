@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -27,6 +26,7 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 #: Rows of a written table for each file, where its size is known.
 FILE_ROWS = 20_000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -46,27 +46,26 @@ class Scratch:
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
-    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """Writes and rereads df; where its size is known about, small tables get few files."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+        """Writes and rereads df; where its size is known about, small tables get few files.
+
+        The write's own shuffle files go as soon as it ends: nothing reads them again.
+        """
         if rows is not None:
             df = df.coalesce(rows // FILE_ROWS + 1)
-        path = f"{self.root}/{name}"
-        self.tidy()
-        df.write.mode("overwrite").parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(CLEAN_UP, "false")
+        conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").options(**options).parquet(path)
+        finally:
+            conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.root}/{name}")
 
-    def tidy(self) -> None:
-        """Collects the driver's garbage, upon which Spark deletes finished jobs' shuffle files and broadcasts.
-
-        A driver that rarely fills its heap would else keep them on the executors' disks.
-        """
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def _delete(self, path: str) -> None:
         try:
             jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -117,13 +116,37 @@ def crc_mod(column: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped(doc_id); null ids stay.
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first longer one that no column of df has (Spark's names don't tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with a column that no two rows share, and its name: hash of the row's file, and its place in that file.
+
+    A table that is read from Parquet has both for nothing, the same in every
+    job; any other is written first.
+    """
+    key = free_name(docs, "row")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = scratch.save(docs, f"{key}s")
+    at = docs.metadataColumn("_metadata")
+    place = F.struct(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("i"))
+    return docs.select("*", place.alias(key)), key
+
+
+def without_rows(docs: DataFrame, key: str, dropped: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """docs without the rows whose key is in dropped(key), and without the key.
 
     Rows that a filter of fixed size tells apart pass without a shuffle; only
     those that may be dropped are joined.
     """
-    maybe = F.col("_maybe")
-    flagged = docs.withColumn("_maybe", Bloom(dropped, "doc_id", bits).flag("doc_id"))
-    joined = flagged.filter(maybe).join(dropped.select("doc_id"), "doc_id", "left_anti")
-    return flagged.filter(~maybe).unionByName(joined).select(*docs.columns)
+    flag = free_name(docs, "maybe")
+    maybe = F.col(flag)
+    columns = [c for c in docs.columns if c != key]
+    flagged = docs.withColumn(flag, Bloom(dropped, key, bits).flag(key))
+    joined = flagged.filter(maybe).join(dropped.select(key), key, "left_anti")
+    return flagged.filter(~maybe).select(*columns).unionByName(joined.select(*columns))

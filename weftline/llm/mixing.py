@@ -11,13 +11,16 @@ the leaf's remaining budget.
 
 All amounts are integers, so the plan is the same in any engine. The running
 sum has two steps, a bucket of the hash and the rows of a bucket, so a leaf
-that holds a third of all rows is still 1/4096 of that in any one window.
+that holds a third of all rows is still 1/4096 of that in any one window. The
+hash takes id and text, so rows without an id spread too. Only sources (a
+catalogue, with one row each) meet in a window by language.
 
 Edge cases: null lang, source or text count as the empty text; a text without
-words has no tokens and comes with its leaf's prefix like any other; a node
-whose children all have weight 0 gets nothing; rows that repeat an id take one
-place each, in an order that only equal rows can swap; an empty table gives no
-rows; other columns are ignored.
+words has no tokens and comes with its leaf's prefix like any other; a leaf below
+a weight of 0 gets nothing and supplies nothing, so its tokens are no room of its
+node; rows that repeat an id take one place each, in an order that only equal
+rows can swap; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -79,7 +82,10 @@ def _share(nodes: DataFrame, parent: list[str], key: str, amount: str) -> DataFr
 
 def plan_budgets(leaves: DataFrame, budget: Column, max_epochs: int, weights: dict = WEIGHTS) -> DataFrame:
     """leaves: (domain, lang, source, supply). Adds budget, the leaf's tokens."""
-    cap = leaves.withColumn("cap", F.col("supply") * max_epochs)
+    used = F.lit(True)
+    for level in ("domain", "lang", "source"):
+        used = used & (_weight(level, level, weights) > 0)
+    cap = leaves.withColumn("cap", F.when(used, F.col("supply") * max_epochs).otherwise(0).cast("long"))
     langs = cap.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply"))
     domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply"))
     total = domains.agg(F.sum("cap").alias("tcap"), F.sum("supply").alias("supply"))
@@ -96,17 +102,18 @@ def plan_budgets(leaves: DataFrame, budget: Column, max_epochs: int, weights: di
 
 def mix(
     docs: DataFrame, scratch: Scratch, fraction: tuple[int, int] = (3, 5), max_epochs: int = 2,
-    weights: dict = WEIGHTS, seed: str = "mix",
+    weights: dict = WEIGHTS, seed: str = "mix", carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How often each row is read: (doc_id, domain, lang, source, tokens, leaf_budget, copies), a row for each row.
 
     The budget is fraction (as a quotient of integers) of all tokens. copies
-    counts the epochs that hold the row, 0 if none does.
+    counts the epochs that hold the row, 0 if none does. Carried columns come last.
     """
     lang, source = (F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source"))
+    text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"),
-        word_count(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"),
+        word_count(text).alias("tokens"), F.md5(text).alias("digest"), *carry,
     )
     rows = scratch.save(rows, "tokens")
     leaf = ["domain", "lang", "source"]
@@ -121,7 +128,7 @@ def mix(
     plan = scratch.save(plan, "plan")
     # the order of the epoch that is read in part has its number in the hash
     keyed = rows.join(plan, leaf).withColumn(
-        "h", F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.col("doc_id"))),
+        "h", F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.col("doc_id"), F.col("digest"))),
     ).withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
     buckets = keyed.groupBy(*leaf, "b").agg(F.sum("tokens").alias("n"))
     run = W.partitionBy(*leaf).orderBy("b")
@@ -131,7 +138,7 @@ def mix(
     )
     placed = keyed.withColumn("_in", inside - F.col("tokens")).join(buckets, [*leaf, "b"])
     copies = F.col("whole") + (F.col("base") + F.col("_in") < F.col("rest")).cast("long")
-    return placed.select("doc_id", *leaf, "tokens", "leaf_budget", copies.alias("copies"))
+    return placed.select("doc_id", *leaf, "tokens", "leaf_budget", copies.alias("copies"), *carry)
 
 
 def mix_sql(fraction: tuple[int, int] = (3, 5), max_epochs: int = 2, weights: dict = WEIGHTS, seed: str = "mix") -> str:
@@ -155,9 +162,10 @@ def mix_sql(fraction: tuple[int, int] = (3, 5), max_epochs: int = 2, weights: di
     names = ", ".join(f"'{d}'" for d in DOMAINS)
     return f"""
 WITH r AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens, md5(coalesce(text, '')) AS digest FROM documents),
 rows_ AS (SELECT *, ([{names}])[coalesce(TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT), 0) % {len(DOMAINS)} + 1] AS domain FROM r),
-leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS supply, sum(tokens)::HUGEINT * {max_epochs} AS cap FROM rows_ GROUP BY ALL),
+leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS supply,
+   CASE WHEN {case("domain")} > 0 AND {case("lang")} > 0 AND {case("source")} > 0 THEN sum(tokens)::HUGEINT * {max_epochs} ELSE 0 END AS cap FROM rows_ GROUP BY domain, lang, source),
 langs AS (SELECT domain, lang, sum(cap)::HUGEINT AS cap FROM leaves GROUP BY ALL),
 doms AS (SELECT domain, sum(cap)::HUGEINT AS cap FROM langs GROUP BY ALL),
 tot AS (SELECT least((sum(supply)::HUGEINT * {fraction[0]}) // {fraction[1]}, sum(cap)::HUGEINT) AS amount FROM leaves),
@@ -170,7 +178,7 @@ s0 AS (SELECT leaves.*, g1.got AS amount, {case("source")} AS w FROM leaves JOIN
 keyed AS (SELECT rows_.*, s1.got AS leaf_budget, coalesce(s1.got // nullif(s1.supply, 0), 0) AS whole,
    coalesce(s1.got % nullif(s1.supply, 0), 0) AS rest FROM rows_ JOIN s1 USING (domain, lang, source)),
 placed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source
-   ORDER BY md5(concat_ws(':', '{seed}', whole, doc_id)), doc_id, tokens ROWS UNBOUNDED PRECEDING) - tokens AS before FROM keyed)
+   ORDER BY md5(concat_ws(':', '{seed}', whole, doc_id, digest)), doc_id, tokens ROWS UNBOUNDED PRECEDING) - tokens AS before FROM keyed)
 SELECT doc_id, domain, lang, source, tokens, leaf_budget::BIGINT AS leaf_budget,
    (whole + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM placed
 """

@@ -1,27 +1,27 @@
 """Near duplicates by an LSH forest over MinHash signatures, with links confirmed on full sets.
 
-A document's set holds the hashes of its distinct 5-word shingles. Documents
-with equal sets are one class, represented by the smallest id. Each
-representative has a pool of minimum hashes; a tree of the forest is an order
-of some of them, and the representatives sorted by (tree, values) lie beside
-those that share the longest prefix with them. Candidates are
-
-* the smallest id of a row's region, for each depth of the region from
-  MIN_DEPTH on (a dense region has deeper ones inside, a sparse one hasn't);
+A row's set holds the hashes of its text's distinct 5-word shingles. Rows with
+equal sets are one class, and classes are the vertices; rows are told apart by
+a key of their own, so an id that comes with two texts has two vertices. Each
+class has a pool of minimum hashes; a tree of the forest is an order of some of
+them, and the classes sorted by (tree, values) lie beside those that share the
+longest prefix with them. Candidates are
+
+* the smallest class of a region, for each depth of the region from MIN_DEPTH
+  on (a dense region has deeper ones inside, a sparse one hasn't);
 * the neighbours in sorted order that share MIN_DEPTH values or more;
-* the HUBS members with most links and the HUBS most central members (those
-  whose regions hold most rows) of the class that a neighbour was linked to,
-  until no new link is found;
 * what these leave open: neighbours are all pairs of a region of up to
-  NEIGHBOURS + 1 rows; the members of larger ones are joined on the rarest
-  shingles of their sets, over all pairs that are not in one class yet.
+  NEIGHBOURS + 1 classes; the members of larger ones are joined on the rarest
+  shingles of their sets, over all pairs that are not in one group yet.
 
-All candidates are confirmed on full sets (100 * both >= 75 * either), region
-leaders first; a neighbour that is already in the same class needs no check.
+All candidates are confirmed on full sets (100 * both >= 75 * either). Groups
+are labels first: a class takes the smallest leader that it is linked to, and
+that one's label again, so most pairs of a dense region have one label and need
+no check. What is linked across labels ends in one component at last.
 With TREES trees of MIN_DEPTH values a pair at the similarity limit shares a
 region in at least one tree with probability 1 - (1 - 0.75^3)^TREES, about
-1 - 2e-6, and a pair that shares a region ends in one class: leaders and hubs
-only settle most pairs early, the join on rare shingles is exact for the rest.
+1 - 2e-6, and a pair that shares a region ends in one component: leaders only
+settle most pairs early, the join on rare shingles is exact for the rest.
 
 Sets are ordered by the frequency of a shingle's bucket, the same order for
 all, so that similar sets meet in the first quarter of the larger and the first
@@ -30,14 +30,15 @@ and comes last: only texts that it makes similar by itself meet in it. The
 buckets are of fixed number and change the cost of the join, never its result.
 
 Nothing is grouped by region: the sorted order is cut into even ranges by
-sampling, so a region with a third of all rows spreads over many tasks; what
+sampling, so a region with a third of all classes spreads over many tasks; what
 crosses a cut gets its leader in a second step with two regions from each range,
 and its members take part in the join on rare shingles, whatever the region's size.
 
 Edge cases: null counts as empty text; texts without words have no shingles
-and stay alone; 1 to 4 words are one shingle; rows with a null id stay alone
-with a null component and kept false; rows that repeat an id and a text
-share a result; an empty table gives no rows; other columns are ignored.
+and stay alone; 1 to 4 words are one shingle; a row with a null id has links
+like any other, its component's smallest id (null if there is none) and kept
+false; rows that repeat an id and a text share a result; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,19 +50,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import textvec
-from .common import Bloom, Scratch, small_batches
+from .common import Bloom, Scratch, keyed, small_batches
 from .components import components
 
 SHINGLE = 5
 POOL, TREES, DEPTH, MIN_DEPTH = 64, 24, 6, 3
 PERCENT = 75
 NEIGHBOURS = 3
-HUBS = 6
+JUMPS = 2
 ROWS_A_RANGE = 250_000
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 
 _rng = np.random.default_rng(75)
 _FACTORS = _rng.integers(1, 1 << 63, POOL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,10 +105,10 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, n_shingles, set_key, sig."""
+    """doc_id, row, text -> doc_id, row, n_shingles, set_key, sig."""
     for batch in batches:
         n, key, sig = [], [], []
-        for _, sh, so in _sets(batch.column(1)):
+        for _, sh, so in _sets(batch.column(2)):
             some = np.flatnonzero(np.diff(so) > 0)
             low = np.zeros((POOL, len(so) - 1), ">u4")
             if len(some):
@@ -122,8 +122,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest() if len(one) else None)
                 sig.append(low[i].tobytes() if len(one) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "sig"],
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
+            names=["doc_id", "row", "n_shingles", "set_key", "sig"],
         )
 
 
@@ -159,7 +159,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PAIR = "kind int, a long, b long, region binary, n long, part int"
-LEADER, NEIGHBOUR, CUT, CENTRAL, DENSE = 0, 1, 2, 3, 4
+LEADER, NEIGHBOUR, CUT, DENSE = 0, 1, 2, 3
 
 
 def _close(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -211,9 +211,6 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(shared < MIN_DEPTH)
     ends = np.append(starts[1:], m)
     mates = np.repeat(ends - starts, ends - starts)
-    who, back = np.unique(rep[mates > 1], return_inverse=True)
-    total = np.bincount(back, mates[mates > 1], len(who)).astype(np.int64)
-    yield _pairs(np.full(len(who), CENTRAL), who, who, None, total, part)
     dense = np.unique(rep[mates > NEIGHBOURS + 1])
     yield _pairs(np.full(len(dense), DENSE), dense, dense, None, None, part)
     for k in {0, len(starts) - 1}:
@@ -266,29 +263,28 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def candidates(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """reps(rep, n, sig). Gives distinct (a, b, kind) with a < b, kind 0 if a region's leader made it, (v, mates), and (v)
+def candidates(reps: DataFrame, classes: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """reps(rep, n, sig), so many classes. Gives distinct (a, b, kind) with a < b, kind 0 if a region's leader made it, and (v)
     for members of regions whose neighbours in a range aren't all pairs."""
     spark = reps.sparkSession
-    rows = reps.count() * TREES
+    rows = classes * TREES
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_RANGE + 1)
     forest = reps.select("rep", "n", "sig").mapInArrow(_plant, "key binary, rep long, n long")
     ordered = forest.repartitionByRange(ranges, "key", "rep").sortWithinPartitions("key", "rep")
     raw = scratch.save(ordered.mapInArrow(_neighbours, PAIR), "raw_pairs")
     cut = raw.filter(F.col("kind") == CUT)
-    # two regions of each range at most: a bound that follows the number of ranges, not of rows
+    # two regions of each range at most; the join is planned by its size
     crossing = cut.groupBy("region").agg(
         F.min("part").alias("lo"), F.max("part").alias("hi"), F.min(F.struct("a", "n")).alias("lead")
     ).filter("lo < hi").select("region", "lead")
-    led = cut.join(F.broadcast(crossing), "region").select(
+    led = cut.join(crossing, "region").select(
         F.lit(LEADER).alias("kind"), F.col("lead.a").alias("a"), "b", F.col("lead.n").alias("n1"), "n"
     ).filter(f"a <> b and 100 * least(n, n1) >= {PERCENT} * greatest(n, n1)").select("kind", "a", "b")
     pairs = raw.filter(F.col("kind") < CUT).select("kind", "a", "b").unionByName(led)
-    central = raw.filter(F.col("kind") == CENTRAL).groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("mates"))
     # neighbours on both sides of a cut never meet in a range
-    apart = cut.join(F.broadcast(crossing), "region").select(F.col("b").alias("v"))
+    apart = cut.join(crossing, "region").select(F.col("b").alias("v"))
     dense = raw.filter(F.col("kind") == DENSE).select(F.col("a").alias("v")).unionByName(apart).distinct()
-    return pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")), central, dense
+    return pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")), dense
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -297,44 +293,23 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirm, "a long, b long")
 
 
-def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose sides are not in one class yet, with both classes."""
+def _labels(links: DataFrame) -> DataFrame:
+    """(v, c): for each class with a smaller partner the smallest one's label; a label is linked to the class over partners."""
+    low = links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("c"))
+    for _ in range(JUMPS):
+        low = low.join(low.select(F.col("v").alias("c"), F.col("c").alias("up")), "c", "left").select(
+            "v", F.coalesce("up", "c").alias("c"))
+    return low
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the labels of both sides, ca and cb, where they differ."""
     for k in ("a", "b"):
-        pairs = pairs.join(comps.select(F.col("v").alias(k), F.col("c").alias(f"c{k}")), k, "left")
+        pairs = pairs.join(labels.select(F.col("v").alias(k), F.col("c").alias(f"c{k}")), k, "left")
         pairs = pairs.withColumn(f"c{k}", F.coalesce(f"c{k}", k))
     return pairs.filter("ca <> cb")
 
 
-def _hubs(links: DataFrame, comps: DataFrame, central: DataFrame) -> DataFrame:
-    """(c, hub): of each class with links its members with most links and its most central ones."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-    member = degree.join(comps, "v", "left").withColumn("c", F.coalesce("c", "v")).join(central, "v", "left")
-    first = lambda by: F.row_number().over(W.partitionBy("c").orderBy(F.desc_nulls_last(by), "v"))
-    best = [member.withColumn("k", first(by)).filter(F.col("k") <= HUBS).select("c", F.col("v").alias("hub")) for by in ("d", "mates")]
-    return best[0].unionByName(best[1]).distinct()
-
-
-def _hub_pairs(open_: DataFrame, hubs: DataFrame) -> DataFrame:
-    """For open pairs, each side with the hubs of the other side's class: (a, b, ca, cb)."""
-    sides = open_.select(F.col("a").alias("x"), F.col("ca").alias("cx"), F.col("cb").alias("c")).unionByName(
-        open_.select(F.col("b").alias("x"), F.col("cb").alias("cx"), F.col("ca").alias("c"))
-    ).distinct()
-    tries = sides.join(hubs, "c")
-    return tries.select(
-        F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"),
-        F.when(F.col("x") < F.col("hub"), F.col("cx")).otherwise(F.col("c")).alias("ca"),
-        F.when(F.col("x") < F.col("hub"), F.col("c")).otherwise(F.col("cx")).alias("cb"),
-    ).distinct()
-
-
-def _renamed(table: DataFrame, merged: DataFrame, *columns: str) -> DataFrame:
-    """Class columns after merged(v, c): class v is now c."""
-    for k in columns:
-        table = table.join(merged.select(F.col("v").alias(k), F.col("c").alias("_new")), k, "left")
-        table = table.withColumn(k, F.coalesce("_new", k)).drop("_new")
-    return table
-
-
 def _bucket(items: np.ndarray) -> np.ndarray:
     return (textvec.mix(items) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
@@ -351,7 +326,7 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for x in _items(batch, 1):
                 np.add.at(total, _bucket(x), 1)
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
 
 
 def _rarest(frequency):
@@ -388,17 +363,19 @@ def _rarest(frequency):
     return run
 
 
-def _rare_pairs(dense: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, ca, cb) of dense(v) in two classes that can be similar: none that is similar is left out."""
+def _rare_pairs(dense: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, ca, cb) of dense(v) with two labels that can be similar: none that is similar is left out."""
     spark = sets.sparkSession
     mine = sets.join(dense.select(F.col("v").alias("id")), "id", "left_semi")
-    counts = mine.mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = mine.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(
+        F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     frequency = np.zeros(BUCKETS, np.uint32)
-    frequency[counts["bucket"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), 2**32 - 1)
-    classed = mine.join(comps.withColumnRenamed("v", "id"), "id", "left").select("id", "items", F.coalesce("c", "id").alias("c"))
-    rare = scratch.save(
-        classed.mapInArrow(_rarest(spark.sparkContext.broadcast(frequency)), "h long, id long, c long, n long, at long"), "rare"
-    )
+    frequency[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    del counts
+    classed = mine.join(labels.withColumnRenamed("v", "id"), "id", "left").select("id", "items", F.coalesce("c", "id").alias("c"))
+    shared = spark.sparkContext.broadcast(frequency)
+    rare = scratch.save(classed.mapInArrow(_rarest(shared), "h long, id long, c long, n long, at long"), "rare")
+    shared.destroy()
     # both >= PERCENT / (100 + PERCENT) * (sum of sizes) >= 2 * PERCENT / (100 + PERCENT) * (size of the smaller set): so early
     # does the smaller set meet a partner, and a shingle that comes so early in no set pairs nobody
     early = f"{100 + PERCENT} * (n - at) >= {2 * PERCENT} * n"
@@ -423,76 +400,84 @@ def _rare_pairs(dense: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Sc
     ).distinct()
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links) for every row of docs(doc_id, text).
+def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs(doc_id, text, row), rows of their own keys -> doc_id, row, n_shingles, c, component_id, n_links.
 
-    n_links counts the confirmed links of the row's class representative.
+    c numbers the component (null without shingles), component_id is its smallest
+    id. n_links counts the confirmed links of the row's class.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = docs.select(F.col("doc_id").cast("long"), "row", "text")
     signed = scratch.save(
-        texts.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, sig binary"), "signed"
+        texts.mapInArrow(
+            _signatures, f"doc_id long, row {dict(texts.dtypes)['row']}, n_shingles long, set_key binary, sig binary"),
+        "signed",
     )
-    usable = signed.filter("set_key is not null and doc_id is not null")
-    reps = scratch.save(
-        usable.groupBy("set_key").agg(
-            F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")
-        ),
-        "reps",
+    reps = signed.filter("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")
     )
+    reps = scratch.save(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")  # numbers are fixed where they are written
     n = reps.count()  # pairs and classes are of this order; confirming links reads whole sets and keeps its own partitions
-    pairs, central, dense = candidates(reps, scratch)
-    pairs, central = scratch.save(pairs, "pairs", n), scratch.save(central, "central", n)
-    dense = scratch.save(dense, "dense", n)
+    pairs, dense = candidates(reps, n, scratch)
+    pairs, dense = scratch.save(pairs, "pairs", n), scratch.save(dense, "dense", n)
     scratch.drop("raw_pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(dense.select(F.col("v").alias("id"))).distinct()
-    near = texts.filter(Bloom(ids, "id").flag("doc_id")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = scratch.save(
-        near.dropDuplicates(["doc_id"]).mapInArrow(_full_sets, "id long, items binary"), "sets"
-    )
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(dense.select(F.col("v").alias("rep"))).distinct()
+    wanted = scratch.save(reps.select("rep", "row").join(ids, "rep"), "wanted", n)
+    near = texts.filter(Bloom(wanted, "row").flag("row")).join(wanted, "row").select("rep", "text")
+    sets = scratch.save(near.mapInArrow(_full_sets, "id long, items binary"), "sets")
     links = scratch.save(_verify(pairs.filter(F.col("kind") == LEADER), sets), "links0")
-    comps = scratch.save(components(links, scratch, "c0_"), "comps0", n)
-    # classes only grow, so a pair within one is settled for good; the rest carry their classes along
-    open_ = scratch.save(_across(pairs, comps), "open0", n)
-    tries, tested = open_.filter(F.col("kind") == NEIGHBOUR).select("a", "b", "ca", "cb"), None
-    turn = 0
-    while True:
-        turn += 1
-        fresh = scratch.save(_verify(tries, sets).join(tries, ["a", "b"]), f"links{turn}")
-        if turn > 1 and fresh.isEmpty():
-            break
-        links = links.unionByName(fresh.select("a", "b"))
-        edges = fresh.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-        merged = scratch.save(components(edges, scratch, f"c{turn}_"), f"merged{turn}", n)
-        comps = scratch.save(_renamed(comps, merged, "c").unionByName(merged).select("v", "c"), f"comps{turn}", n)
-        open_ = scratch.save(
-            _renamed(open_, merged, "ca", "cb").filter("ca <> cb").select("a", "b", "ca", "cb"), f"open{turn}", n
-        )
-        tries = _hub_pairs(open_, _hubs(links, comps, central)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        if tested is not None:
-            tries = tries.join(tested, ["a", "b"], "left_anti")
-        tries = scratch.save(tries, f"tries{turn}", n)
-        tested = tries.select("a", "b") if tested is None else tested.unionByName(tries.select("a", "b"))
-    rest = scratch.save(_rare_pairs(dense, comps, sets, scratch), "rest")  # one pass: it takes every open pair there is
-    fresh = scratch.save(_verify(rest, sets).join(rest, ["a", "b"]), "links_rest")
-    scratch.drop("rare", "met", "rest")
-    if not fresh.isEmpty():
-        links = links.unionByName(fresh.select("a", "b"))
-        edges = fresh.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-        merged = scratch.save(components(edges, scratch, "c_rest_"), "merged_rest", n)
-        comps = scratch.save(_renamed(comps, merged, "c").unionByName(merged).select("v", "c"), "comps_rest", n)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = reps.select("set_key", "rep").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
-    named = named.join(degree, "rep", "left").select(
-        "set_key", F.coalesce("c", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    named = scratch.save(named, "named", n)
-    scratch.drop("sets", "pairs")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    return out.select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(False)).alias("kept"),
+    labels = scratch.save(_labels(links), "labels", n)
+    open_ = scratch.save(_labelled(pairs.filter(F.col("kind") == NEIGHBOUR), labels), "open", n)
+    more = scratch.save(_verify(open_, sets), "links1")
+    edges = links.unionByName(more)
+    merged = scratch.save(components(_between(edges, labels), scratch, "c1_"), "merged1", n)
+    labels = scratch.save(_renamed(labels, merged), "labels1", n)
+    rest = scratch.save(_rare_pairs(dense, labels, sets, scratch), "rest")  # takes every open pair there is
+    last = scratch.save(_verify(rest, sets), "links2")
+    scratch.drop("rare", "met", "rest", "sets", "pairs", "open")
+    if not last.isEmpty():
+        edges = edges.unionByName(last)
+        merged = scratch.save(components(_between(last, labels), scratch, "c2_"), "merged2", n)
+        labels = scratch.save(_renamed(labels, merged), "labels2", n)
+    degree = edges.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    named = reps.select("set_key", "rep", "doc").join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(
+        degree, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    least = named.groupBy("c").agg(F.min("doc").alias("component_id"))
+    named = scratch.save(named.join(least, "c").select("set_key", "c", "component_id", "n_links"), "named", n)
+    return signed.select("doc_id", "row", "n_shingles", "set_key").join(named, "set_key", "left").select(
+        "doc_id", "row", "n_shingles", "c", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between labels, as (a, b) with a < b."""
+    across = _labelled(edges.select("a", "b"), labels)
+    return across.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+
+
+def _renamed(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """Labels after merged(v, c): label v is now c."""
+    up = merged.select(F.col("v").alias("c"), F.col("c").alias("up"))
+    out = labels.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c"))
+    return out.unionByName(merged.select("v", "c")).distinct()
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, n_links) for every row of docs(doc_id, text)."""
+    rows, key = keyed(docs, scratch)
+    found = near_classes(rows.select("doc_id", "text", F.col(key).alias("row")), scratch)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "n_links")
+
+
+def later_members(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(key) of the rows of docs(doc_id, text, key) to drop: all of a component but one.
+
+    The row with the smallest id stays (of null ids, and of rows that repeat it, the first by key).
+    """
+    rows = docs.select("doc_id", "text", F.col(key).alias("row"))
+    found = scratch.save(near_classes(rows, scratch).filter("c is not null").select("doc_id", "row", "c"), "members")
+    first = found.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))["row"].alias("row"))
+    return found.join(first, "row", "left_anti").select(F.col("row").alias(key))

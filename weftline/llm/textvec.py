@@ -4,6 +4,9 @@ A word is a run of bytes outside white space (0x20, 0x09 to 0x0D), with A to Z
 lower-cased. Its hash is a polynomial over random byte values modulo 2**64,
 taken from prefix sums, then mixed. Work goes in pieces of bounded size; only a
 text that is longer than a piece makes a larger one.
+
+``starts`` takes words of letters and digits instead (any other ASCII byte ends
+one), lower-cases Latin-1 letters too, and hashes the beginnings of each word.
 """
 
 from __future__ import annotations
@@ -68,24 +71,51 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarra
         i = j
 
 
+def _bounds(solid: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of solid bytes, cut where texts meet."""
+    n = len(solid)
+    begin, finish = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1]
+    finish[:-1] &= ~solid[1:]
+    cut = offs[(offs > 0) & (offs < n)]
+    begin[cut] = solid[cut]
+    finish[cut - 1] = solid[cut - 1]
+    return np.flatnonzero(begin), np.flatnonzero(finish) + 1
+
+
+def _hash(total: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, first): of all words in order; words of text i are first[i]:first[i + 1]."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, np.zeros(len(offs), np.int64)
-    solid = ~IS_SPACE[raw]
-    begin = solid.copy()
-    begin[1:] &= ~solid[:-1]
-    cut = offs[(offs > 0) & (offs < n)]
-    begin[cut] = solid[cut]
-    finish = solid.copy()
-    finish[:-1] &= ~solid[1:]
-    finish[cut - 1] = solid[cut - 1]
-    start, end = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    start, end = _bounds(~IS_SPACE[raw], offs)
     up, down = _power(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE_LOW[raw] * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, start, end, np.searchsorted(start, offs)
+    return _hash(total, down, start, end), start, end, np.searchsorted(start, offs)
+
+
+_LETTER = (_bytes >= 128) | np.isin(_bytes, list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+
+
+def starts(raw: np.ndarray, offs: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): a row for each word, its whole hash and those of its first bytes, by length (0 if it isn't longer)."""
+    n = len(raw)
+    if not n:
+        return np.zeros((0, 1 + len(lengths)), np.uint64), np.zeros(len(offs), np.int64)
+    start, end = _bounds(_LETTER[raw], offs)
+    up, down = _power(n)
+    raw = LOWER[raw]
+    accent = np.flatnonzero((raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)) + 1
+    raw[accent] += 0x20
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUE[raw] * up[:n], out=total[1:])
+    out = [_hash(total, down, start, end)]
+    for k in lengths:
+        out.append(np.where(end - start > k, _hash(total, down, start, np.minimum(start + k, n)), np.uint64(0)))
+    return np.stack(out, axis=1), np.searchsorted(start, offs)
