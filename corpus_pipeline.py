@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept. All but the last return the columns of documents.
+
+Decisions are made and applied by row, not by id. Edge cases: null counts as
+empty text, which isn't toxic; of rows that repeat an id and a text one stays;
+an id that comes with two texts is two documents; null ids are documents too
+(the last choice of a group); null lang or source count as the empty text; an
+empty table goes through all stages; other columns are kept, whatever their
+names, by all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, dedup, mixing, neardup, toxicity
-from weftline.llm.common import Scratch, small_batches, table, without_ids
+from weftline.llm.common import Scratch, keyed, small_batches, table, without_rows
 
-#: The mix keeps nine tenths of the tokens; a document is read once at most.
-MIX = {"fraction": (9, 10), "max_epochs": 1}
+#: The budget of tokens, as a quotient; a document is read once at most.
+MIX = {"fraction": (3, 5), "max_epochs": 1}
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,28 +34,30 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of equal texts."""
     scratch = Scratch(spark, "exact")
-    result = scratch.save(dedup.exact_dedup(docs, scratch).filter(~F.col("kept")).select("doc_id"), "dropped")
-    scratch.drop("level1", "looked_up", "verified")
-    return without_ids(docs, result)
+    rows, key = keyed(docs, scratch)
+    dropped = scratch.save(dedup.later_copies(rows, key, scratch), "dropped")
+    scratch.drop("looked_up", "verified", "copies")
+    return without_rows(rows, key, dropped)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates."""
     scratch = Scratch(spark, "near")
-    result = neardup.near_duplicates(docs, scratch).filter("not kept and doc_id is not null").select("doc_id")
-    result = scratch.save(result, "dropped")
-    scratch.drop("signed", "reps", "named")
-    return without_ids(docs, result)
+    rows, key = keyed(docs, scratch)
+    dropped = scratch.save(neardup.later_members(rows, key, scratch), "dropped")
+    scratch.drop("signed", "reps", "wanted", "dense", "labels", "labels1", "named", "members")
+    return without_rows(rows, key, dropped)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the budgets of domain, language and source select."""
     scratch = Scratch(spark, "mix")
-    result = mixing.mix(docs, scratch, **MIX).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    result = scratch.save(result.filter("copies = 0 and doc_id is not null").select("doc_id"), "dropped")
-    scratch.drop("tokens", "plan")
+    rows, key = keyed(docs, scratch)
+    result = mixing.mix(rows, scratch, carry=(key,), **MIX)
     # a plain join: this stage runs DataFrame operations only
-    return docs.join(result, "doc_id", "left_anti").select(*docs.columns)
+    dropped = scratch.save(result.filter("copies = 0").select(key), "dropped")
+    scratch.drop("tokens", "plan")
+    return rows.join(dropped, key, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
