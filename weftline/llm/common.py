@@ -124,17 +124,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+def keyed(docs: DataFrame, scratch: Scratch, repeatable: bool = False) -> tuple[DataFrame, str]:
     """docs with a column that no two rows share, and its name: hash of the row's file, and its place in that file.
 
     A table that is read from Parquet has both for nothing, the same in every
-    job; any other is written first.
+    job; any other is written first. ``repeatable`` puts a hash of the row's
+    columns before them, so that the first of several keys means an equal row
+    wherever the table lies (maps and variants are left out of it).
     """
     key = free_name(docs, "row")
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = scratch.save(docs, f"{key}s")
     at = docs.metadataColumn("_metadata")
-    place = F.struct(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("i"))
+    place = [F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("i")]
+    if repeatable:
+        hashed = [c for c, t in docs.dtypes if c != key and "map<" not in t and "variant" not in t]
+        place.insert(0, F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in hashed]).alias("h"))
+    place = F.struct(*place)
     return docs.select("*", place.alias(key)), key
 
 
