@@ -34,7 +34,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of equal texts."""
     scratch = Scratch(spark, "exact")
-    rows, key = keyed(docs, scratch)
+    rows, key = keyed(docs, scratch, repeatable=True)
     dropped = scratch.save(dedup.later_copies(rows, key, scratch), "dropped")
     scratch.drop("looked_up", "verified", "copies")
     return without_rows(rows, key, dropped)
@@ -43,7 +43,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates."""
     scratch = Scratch(spark, "near")
-    rows, key = keyed(docs, scratch)
+    rows, key = keyed(docs, scratch, repeatable=True)
     dropped = scratch.save(neardup.later_members(rows, key, scratch), "dropped")
     scratch.drop("signed", "reps", "wanted", "dense", "labels", "labels1", "named", "members")
     return without_rows(rows, key, dropped)
@@ -52,7 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the budgets of domain, language and source select."""
     scratch = Scratch(spark, "mix")
-    rows, key = keyed(docs, scratch)
+    rows, key = keyed(docs, scratch, repeatable=True)
     result = mixing.mix(rows, scratch, carry=(key,), **MIX)
     # a plain join: this stage runs DataFrame operations only
     dropped = scratch.save(result.filter("copies = 0").select(key), "dropped")
