@@ -22,30 +22,44 @@ def one(spark, column, **values):
 def test_jsonl_skips_empty_keys(spark):
     raw = json.dumps({"timestamp": "", "time": "2024-01-01", "msg": "hi", "level": "error", "app": "amf", "count": 3})
     r = logs.parse(spark.createDataFrame([(raw,)], "raw string"), "jsonl").first()
-    assert (r.timestamp, r.message, r.severity, r.app, r.value, r.confidence) == ("2024-01-01", "hi", "ERROR", "amf", 3.0, 0.95)
+    assert (r.timestamp, r.message, r.severity, r.app, r.value, r.confidence) == ("2024-01-01", "hi", "ERROR", "amf", 3.0, 0.85)
 
 
 def test_syslog_cef_otlp_auto(spark):
     lines = [
-        "<34>1 2024-01-01T00:00:00Z host1 app1 77 ID1 - failed login", "<13>Jan  1 00:00:00 h2 cron[12]: started", "no format at all",
-        "CEF:0|v|prod|1|100|worm stopped|9|rt=today src=10.0.0.1 shost=box a",
-        json.dumps({"traceId": "1", "name": "call", "startTimeUnixNano": "1000000", "endTimeUnixNano": "4000000"}),
+        "<34>1 2024-01-01T00:00:00Z host1 app1 77 ID1 failed login", "Jan  1 00:00:00 h2 cron[12]: started", "no format at all", "  ",
+        "Jan 1 x CEF:0|v|prod|1|100|worm stopped|9|rt=today src=10.0.0.1 shost=box a dhost=box b", "CEF: broken", '{"broken": ',
+        json.dumps({"traceId": "1", "kind": 3, "startTimeUnixNano": "1000000", "endTimeUnixNano": "4000000"}),
     ]
-    got = logs.parse(spark.createDataFrame([(x,) for x in lines], "raw string")).collect()
+    got = logs.parse(spark.createDataFrame([(x,) for x in lines], "raw string").coalesce(1)).collect()
     assert [r.format for r in got] == ["syslog", "syslog", "syslog", "cef", "otlp"]
-    assert (got[0].severity, got[0].host, got[0].message) == ("CRITICAL", "host1", "failed login")
-    assert (got[1].app, got[1].pid, got[1].message) == ("cron", "12", "started")
+    assert (got[0].severity, got[0].host, got[0].message, got[0].confidence) == ("2", "host1", "failed login", 0.95)
+    assert (got[1].app, got[1].pid, got[1].message, got[1].confidence) == ("cron", "12", "started", 0.55)
     assert got[2].confidence == 0.4 and got[2].message == "no format at all"
-    assert (got[3].timestamp, got[3].host, got[3].severity) == ("today", "box a", "CRITICAL")
-    assert got[4].value == 3.0
-    routed = logs.route(logs.parse(spark.createDataFrame([(x,) for x in lines], "raw string")), ["cron", "started"])
-    assert [r.route for r in routed.collect()] == ["event", "observation", "rejected", "event", "observation"]
+    assert (got[3].timestamp, got[3].host, got[3].severity, got[3].confidence) == ("today", "box b", "9", 1.0)
+    assert got[3].fields["shost"] == "box a"
+    assert (got[4].value, got[4].unit, got[4].message) == (3.0, "ms", "3")
+    routed = logs.route(logs.parse(spark.createDataFrame([(x,) for x in lines], "raw string").coalesce(1)), ["cron", "started"])
+    assert [r.route for r in routed.collect()] == ["event", "observation", "rejected", "rejected", "observation"]
+
+
+def test_lines_are_numbered(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name, n in (("a/x.log", 700), ("y.jsonl", 3), ("z.bin", 5)):
+        (tmp_path / name).write_text("".join(f"line {i}\n" for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = logs.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 703 and all(r.raw == f"line {r.line_no}" for r in got)
 
 
 def test_custom_pattern_and_extension(spark):
     df = spark.createDataFrame([("user=bob code=7",)], "raw string")
     assert df.select(logs.parse_pattern(F.col("raw"), r"user=(?P<user>\w+) code=(?P<code>\d+)").alias("m")).first().m == {"user": "bob", "code": "7"}
-    assert one(spark, logs.cef_extension(F.lit("a=1 b=two words c=3"))) == {"a": "1", "b": "two words", "c": "3"}
+    got = logs.parse(df, "regex", pattern=r"user=(?P<message>\w+) code=(?P<code>\d+)").first()
+    assert (got.message, got.severity, got.confidence, got.fields["code"]) == ("bob", "INFO", 0.6, "7")
 
 
 def test_text_functions(spark):

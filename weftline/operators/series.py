@@ -158,14 +158,19 @@ def causal_tests(series: DataFrame, key: str, edges: DataFrame, value: str = "n"
     return spread.mapInPandas(run, f"src {kind['src']}, dst {kind['dst']}, granger_p double, te_z double")
 
 
+#: What a causal edge needs.
+GRANGER_P, TE_Z = 0.05, 2.0
+
+
 def causal_gate(edges: DataFrame, tests: DataFrame, least_pmi: float = 2.0, least_lead: float = 0.7) -> DataFrame:
-    """Directed edges with enough PMI and lead that a test supports; confidence .4 pmi + .3 lead + .3 test."""
-    x = edges.join(tests, ["src", "dst"])
-    stat = F.greatest(F.when(F.col("granger_p") < 0.05, 1 - F.col("granger_p")).otherwise(0.0),
-                      F.when(F.col("te_z") > 2, F.least(F.col("te_z") / 5, F.lit(1.0))).otherwise(0.0))
-    x = x.filter((F.col("pmi") >= least_pmi) & (F.col("lead") >= least_lead)).withColumn("stat", stat).filter("stat > 0")
-    conf = 0.4 * F.least(F.col("pmi") / 10, F.lit(1.0)) + 0.3 * F.col("lead") + 0.3 * F.col("stat")
-    return x.withColumn("confidence", F.round(conf, 6))
+    """edges(src, dst, pmi, lead) that a test supports, Granger's first, else transfer entropy: adds via and confidence."""
+    clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    via = F.when(F.col("granger_p") < GRANGER_P, "granger").when(F.col("te_z") > TE_Z, "transfer-entropy")
+    x = edges.filter((F.col("pmi") >= least_pmi) & (F.col("lead") >= least_lead)).join(tests, ["src", "dst"])
+    x = x.withColumn("via", via).filter("via is not null")
+    stat = F.when(F.col("via") == "granger", 1 - F.col("granger_p") / GRANGER_P).otherwise(F.col("te_z") / (2 * TE_Z))
+    conf = 0.4 * clip((F.col("pmi") - 2) / 8) + 0.3 * clip((F.col("lead") - 0.7) / 0.3) + 0.3 * clip(stat)
+    return x.withColumn("confidence", F.round(clip(conf), 6))
 
 
 def correlations(series: DataFrame, key: str, value: str = "n") -> DataFrame:

@@ -121,7 +121,7 @@ def bag_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT concat(event_type, '@', hour(ts)) AS template, ts < TIMESTAMP '2024-01-03' AS old FROM events),
 n AS (SELECT template, count(*) AS hits FROM t WHERE NOT old AND template NOT IN (SELECT template FROM t WHERE old) GROUP BY 1)
-SELECT template, hits, round(least(1, 0.3 + 0.05 * hits), 6) AS confidence FROM n WHERE hits >= 3""")
+SELECT template, hits, round(least(1, 0.3 + 0.05 * hits)::DOUBLE, 6) AS confidence FROM n WHERE hits >= 3""")
 def new_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates that the catalogue of the first days lacks."""
     cut = F.lit("2024-01-03").cast("timestamp_ntz")

@@ -24,18 +24,46 @@ REC = """rec AS (SELECT event_id AS rid, event_type AS entity, ts, epoch_us(ts)
   concat(user_id, '|', CAST(ts AS DATE)) AS trace, user_id, value, props FROM events)"""
 
 
-@query(f"""
-WITH {REC}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM rec), m AS (SELECT entity, CAST(count(*) AS DOUBLE) AS c FROM rec GROUP BY 1),
-tr AS (SELECT DISTINCT trace, entity FROM rec),
-co AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS cooc FROM tr a JOIN tr b ON a.trace = b.trace AND a.entity < b.entity GROUP BY 1, 2)
-SELECT src, dst, cooc, round(log2((cooc / n) / ((x.c / n) * (y.c / n))), 6) AS pmi
-FROM co JOIN m x ON src = x.entity JOIN m y ON dst = y.entity CROSS JOIN n
-WHERE round(log2((cooc / n) / ((x.c / n) * (y.c / n))), 6) >= 0""")
+def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as mined records with slots: the type, the user as a name with a prefix, and a number."""
+    return records(spark, sf_dir).select(
+        "rid", "at", "trace", F.col("entity").alias("cluster_id"),
+        F.array("entity", F.concat(F.lit("user:u"), "user_id"), F.get_json_object("props", "$.k")).alias("slots"),
+    )
+
+
+ENTITIES = f"""{REC}, ent AS (SELECT rec.rid, rec.at, rec.trace, unnest([entity, 'user:u' || user_id]) AS v FROM rec),
+n AS (SELECT count(DISTINCT rid) AS n FROM ent), m AS (SELECT v, count(DISTINCT rid) AS c FROM ent GROUP BY 1),
+tr AS (SELECT DISTINCT trace, v FROM ent),
+co AS (SELECT src, dst, CAST(sum(k) AS BIGINT) AS cooc FROM (
+  SELECT a.v AS src, b.v AS dst, count(*) AS k FROM tr a JOIN tr b ON a.trace = b.trace AND a.v < b.v GROUP BY 1, 2 UNION ALL
+  SELECT least(a.v, b.v), greatest(a.v, b.v), count(*) FROM ent a JOIN ent b ON a.rid < b.rid AND a.v <> b.v AND abs(a.at - b.at) <= 60 GROUP BY 1, 2) GROUP BY 1, 2),
+pmi AS (SELECT src, dst, cooc, round(log2((cooc / n) / ((x.c / n) * (y.c / n))), 6) AS pmi FROM co JOIN m x ON src = x.v JOIN m y ON dst = y.v CROSS JOIN n),
+edges AS (SELECT * FROM pmi WHERE pmi >= 2)"""
+
+
+def entity_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities of the events and their PMI edges."""
+    x = extractions(spark, sf_dir)
+    ent = M.entity_values(x, M.slot_profiles(x), "rid", "at", "trace")
+    return ent, M.entity_edges(ent)
+
+
+@query(f"WITH {ENTITIES} SELECT src, dst, cooc, pmi FROM edges")
 def pmi_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PMI of event types that share a trace."""
-    rec = records(spark, sf_dir)
-    m = rec.groupBy("entity").agg(F.count("*").cast("double").alias("c"))
-    return M.pmi(M.trace_pairs(rec), m, m.agg(F.sum("c").alias("n")), 0.0)
+    """PMI of slot values that share a trace or lie within a minute."""
+    return entity_edges(spark, sf_dir)[1]
+
+
+@query(f"""WITH {ENTITIES}, t AS (SELECT DISTINCT ent.v, ent.rid, ent.at FROM ent),
+l AS (SELECT e.src, e.dst, e.pmi, e.cooc, round(count(*) FILTER (a.at < b.at) / nullif(count(*) FILTER (a.at <> b.at), 0), 6) AS lead
+  FROM edges e LEFT JOIN (t a JOIN t b ON abs(a.at - b.at) <= 60 AND a.v < b.v) ON a.v = e.src AND b.v = e.dst GROUP BY ALL)
+SELECT CASE WHEN lead <= 0.3 THEN dst ELSE src END AS src, CASE WHEN lead <= 0.3 THEN src ELSE dst END AS dst, cooc, pmi,
+ round(CASE WHEN lead <= 0.3 THEN 1 - lead ELSE lead END, 6) AS lead, coalesce(lead <= 0.3 OR lead >= 0.7, false) AS directed FROM l""")
+def directed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PMI edges with their lead ratio, turned so that a directed one runs from first to second."""
+    ent, edges = entity_edges(spark, sf_dir)
+    return M.directed(edges, M.lead_ratio(ent, M.WINDOW_SECONDS))
 
 
 @query(f"""
@@ -67,22 +95,26 @@ def marginal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH c AS (SELECT event_type AS cluster, unnest([0, 1, 2]) AS slot,
-  unnest([event_type, CAST(user_id AS VARCHAR), json_extract_string(props, '$.k')]) AS v FROM events),
+WITH c AS (SELECT event_type AS cluster, unnest([0, 1, 2, 3, 4]) AS slot,
+  unnest([event_type, 'user:u' || user_id, json_extract_string(props, '$.k'), CASE WHEN user_id % 3 > 0 THEN event_id || 'e-3' ELSE '' END, 'imsi-' || user_id % 40]) AS v FROM events),
+k AS (SELECT cluster, slot, v, count(*) AS k FROM c WHERE v <> '' GROUP BY ALL),
+top AS (SELECT cluster, slot, list(v ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY cluster, slot ORDER BY k DESC, v) AS r FROM k) WHERE r <= 5 GROUP BY 1, 2),
 g AS (SELECT cluster, slot, count(v) AS n, count(DISTINCT v) AS n_distinct,
-  avg(CAST(regexp_matches(v, '^(?:https?|urn|ftp):\S+$') AS INT)) AS iri, avg(CAST(regexp_matches(v, '^\d{1,3}(?:\.\d{1,3}){3}$') AS INT)) AS ip,
+  avg(CAST(regexp_matches(v, '^(?:https?|urn|ftp):\S+$|^[A-Za-z][\w-]*:[A-Za-z][\w-]*$') AS INT)) AS iri, avg(CAST(regexp_matches(v, '^\d{1,3}(?:\.\d{1,3}){3}$') AS INT)) AS ip,
   avg(CAST(regexp_matches(v, '^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$') AS INT)) AS uuid,
-  avg(CAST(regexp_matches(v, '^[+-]?\d+(?:\.\d+)?$') AS INT)) AS num, avg(CAST(regexp_matches(v, '^(?:0x)?[0-9a-fA-F]+$') AS INT)) AS hex
-  FROM c GROUP BY 1, 2)
-SELECT cluster, slot, n, n_distinct, CASE WHEN iri >= .8 THEN 'IRI' WHEN ip >= .8 THEN 'IP' WHEN uuid >= .8 THEN 'UUID'
-  WHEN n_distinct <= 8 AND n_distinct < n THEN 'ENUM' WHEN num >= .8 THEN 'NUMERIC' WHEN hex >= .8 THEN 'HEX' ELSE 'FREETEXT' END AS slot_type FROM g""")
+  avg(CAST(regexp_matches(v, '^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$') AS INT)) AS num, avg(CAST(regexp_matches(v, '^(?:0x)?[0-9a-fA-F]{8,}$') AS INT)) AS hex
+  FROM c WHERE v <> '' GROUP BY 1, 2)
+SELECT cluster, slot, n, n_distinct, array_to_string(top, '|') AS top_values, regexp_matches(array_to_string(top, '|'), '(?i)imsi|msisdn|email|ssn|tax') AS pii_risk, CASE WHEN iri >= .8 THEN 'IRI' WHEN ip >= .8 THEN 'IP' WHEN uuid >= .8 THEN 'UUID'
+  WHEN n_distinct <= 8 AND n_distinct < n THEN 'ENUM' WHEN num >= .8 THEN 'NUMERIC' WHEN hex >= .8 THEN 'HEX' ELSE 'FREETEXT' END AS slot_type FROM g JOIN top USING (cluster, slot)""")
 def slot_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slot types of the events' three slots by the type ladder."""
+    """Profiles of the events' slots by the type ladder; empty values don't count."""
+    number = F.when(F.col("user_id") % 3 > 0, F.concat("event_id", F.lit("e-3"))).otherwise("")
     e = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("cluster_id"),
-        F.array("event_type", F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("slots"),
+        F.array("event_type", F.concat(F.lit("user:u"), "user_id"), F.get_json_object("props", "$.k"), number,
+                F.concat(F.lit("imsi-"), F.col("user_id") % 40)).alias("slots"),
     )
-    return M.slot_profiles(e).withColumnRenamed("cluster_id", "cluster")
+    return M.slot_profiles(e).withColumnRenamed("cluster_id", "cluster").withColumn("top_values", F.array_join("top_values", "|"))
 
 
 @query(r"""

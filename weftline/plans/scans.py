@@ -15,7 +15,7 @@ from weftline.sources import logs
 
 LEVELS = ("ERROR", "WARN", "INFO", "DEBUG")
 LEVEL = "(['ERROR', 'WARN', 'INFO', 'DEBUG'])[event_id % 4 + 1]"
-CONF = f"CASE {LEVEL} WHEN 'ERROR' THEN 0.95 WHEN 'WARN' THEN 0.85 WHEN 'INFO' THEN 0.65 ELSE 0.4 END"
+CONF = f"CASE {LEVEL} WHEN 'ERROR' THEN 0.85 WHEN 'WARN' THEN 0.70 WHEN 'INFO' THEN 0.55 ELSE 0.35 END"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,39 +23,46 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("level", level)
 
 
-@query(f"""SELECT event_id, event_type AS message, {LEVEL} AS severity, concat('u', user_id) AS app, CAST(user_id AS DOUBLE) AS value, {CONF}::DOUBLE AS confidence FROM events""")
+@query(f"""SELECT event_id, event_type AS message, {LEVEL} AS severity, concat('h', user_id % 9) AS host, concat('u', user_id) AS app, CAST(user_id AS DOUBLE) AS value, 'ms' AS unit,
+ {CONF}::DOUBLE AS confidence FROM events WHERE event_id % 7 <> 0""")
 def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines with an empty first key, as records."""
-    raw = F.format_string('{"message": "", "msg": "%s", "level": "%s", "service": "u%d", "count": %d}', "event_type", F.lower("level"), "user_id", "user_id")
+    """JSON lines with an empty first key, as records; broken lines are dropped."""
+    raw = F.format_string('{"message": "", "msg": "%s", "level": "%s", "service": "u%d", "hostname": "h%d", "count": %d, "unit": "ms"}',
+                          "event_type", F.lower("level"), "user_id", F.col("user_id") % 9, "user_id")
+    raw = F.when(F.col("event_id") % 7 == 0, F.substring(raw, 1, 40)).otherwise(raw)
     x = logs.parse(_events(spark, sf_dir).select("event_id", raw.alias("raw")), "jsonl")
-    return x.select("event_id", "message", "severity", "app", "value", "confidence")
+    return x.select("event_id", "message", "severity", "host", "app", "value", "unit", "confidence")
 
 
-@query("""SELECT event_id, event_type AS message, (['EMERGENCY', 'ALERT', 'CRITICAL', 'ERROR', 'WARNING', 'NOTICE', 'INFO', 'DEBUG'])[event_id % 8 + 1] AS severity, concat('h', user_id % 9) AS host FROM events""")
+@query("""SELECT event_id, CASE event_id % 3 WHEN 2 THEN concat('plain ', event_type) ELSE event_type END AS message, CASE event_id % 3 WHEN 0 THEN CAST(event_id % 8 AS VARCHAR) END AS severity,
+ CASE event_id % 3 WHEN 2 THEN NULL ELSE concat('h', user_id % 9) END AS host, CASE event_id % 3 WHEN 1 THEN '7' WHEN 0 THEN '1' END AS pid,
+ CASE event_id % 3 WHEN 0 THEN ([1.0, 1.0, 0.95, 0.9, 0.75, 0.6, 0.5, 0.35])[event_id % 8 + 1] WHEN 1 THEN 0.55 ELSE 0.4 END::DOUBLE AS confidence FROM events""")
 def syslog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Syslog lines of both kinds, as records."""
-    pri = F.col("event_id") % 8 + 8
-    new = F.format_string("<%d>1 2024-01-01T00:00:00Z h%d app 1 - - %s", pri, F.col("user_id") % 9, "event_type")
-    old = F.format_string("<%d>Jan  2 03:04:05 h%d app[7]: %s", pri, F.col("user_id") % 9, "event_type")
-    raw = F.when(F.col("event_id") % 2 == 0, new).otherwise(old)
+    """Syslog lines of both kinds and plain ones, as records."""
+    k = F.col("event_id") % 3
+    new = F.format_string("<%d>1 2024-01-01T00:00:00Z h%d app 1 id %s", F.col("event_id") % 8 + 8, F.col("user_id") % 9, "event_type")
+    old = F.format_string("Jan  2 03:04:05 h%d app[7]: %s", F.col("user_id") % 9, "event_type")
+    raw = F.when(k == 0, new).when(k == 1, old).otherwise(F.concat(F.lit("plain "), "event_type"))
     x = logs.parse(_events(spark, sf_dir).select("event_id", raw.alias("raw")), "syslog")
-    return x.select("event_id", "message", "severity", "host")
+    return x.select("event_id", "message", "severity", "host", "pid", "confidence")
 
 
-@query("""SELECT event_id, event_type AS message, CASE WHEN event_id % 11 >= 9 THEN 'CRITICAL' WHEN event_id % 11 >= 7 THEN 'ERROR' WHEN event_id % 11 >= 4 THEN 'WARNING' ELSE 'INFO' END AS severity, concat('t', event_id) AS timestamp FROM events""")
+@query("""SELECT event_id, event_type AS message, CAST(event_id % 12 AS VARCHAR) AS severity, concat('t', event_id) AS timestamp, 'two' AS host,
+ coalesce(([0.3, 0.35, 0.4, 0.55, 0.6, 0.7, 0.75, 0.85, 0.9, 1.0, 1.0])[event_id % 12 + 1], 0.5)::DOUBLE AS confidence FROM events""")
 def cef_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CEF lines, as records."""
-    raw = F.format_string("CEF:0|v|p|1|sig|%s|%d|src=1 end=t%d msg=two words", "event_type", F.col("event_id") % 11, "event_id")
+    """CEF lines behind a syslog prefix, as records."""
+    raw = F.format_string("Jan 2 host CEF:0|v|p|1|sig|%s|%d|src=1 end=t%d shost=one dhost=two msg=two words", "event_type", F.col("event_id") % 12, "event_id")
     x = logs.parse(_events(spark, sf_dir).select("event_id", raw.alias("raw")), "auto")
-    return x.select("event_id", "message", "severity", "timestamp")
+    return x.select("event_id", "message", "severity", "timestamp", "host", "confidence")
 
 
-@query("""SELECT event_id, event_type AS message, (user_id * 1000)::DOUBLE / 1e6 AS value FROM events""")
+@query("""SELECT event_id, CASE event_id % 2 WHEN 0 THEN event_type ELSE 'kind' END AS message, 'INFO' AS severity, (user_id * 1000)::DOUBLE / 1e6 AS value, 'ms' AS unit, 0.8::DOUBLE AS confidence FROM events""")
 def otlp_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans with their duration, told from other JSON."""
-    raw = F.format_string('{"traceId": "%d", "name": "%s", "startTimeUnixNano": "1000", "endTimeUnixNano": "%d"}',
-                          "event_id", "event_type", F.col("user_id") * 1000 + 1000)
-    return logs.parse(_events(spark, sf_dir).select("event_id", raw.alias("raw")), "auto").select("event_id", "message", "value")
+    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"name": "'), "event_type", F.lit('"'))).otherwise('"kind": "kind"')
+    raw = F.format_string('{"traceId": "%d", %s, "startTimeUnixNano": "1000", "endTimeUnixNano": "%d"}', "event_id", name, F.col("user_id") * 1000 + 1000)
+    x = logs.parse(_events(spark, sf_dir).select("event_id", raw.alias("raw")), "auto")
+    return x.select("event_id", "message", "severity", "value", "unit", "confidence")
 
 
 @query(f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'observation' WHEN {LEVEL} = 'ERROR' THEN 'event' WHEN event_type IN ('click', 'error') THEN 'observation' ELSE 'rejected' END AS route FROM events""")

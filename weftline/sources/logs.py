@@ -10,34 +10,56 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Confidence of a severity, syslog's names for its levels, keys by order of preference.
-SEVERITY_CONFIDENCE = {
-    "EMERGENCY": 0.99, "ALERT": 0.98, "CRITICAL": 0.97, "FATAL": 0.97, "ERROR": 0.95, "WARNING": 0.85, "WARN": 0.85,
-    "NOTICE": 0.75, "INFO": 0.65, "DEBUG": 0.40, "TRACE": 0.30,
+#: Confidence by format and severity.
+JSON_CONFIDENCE = {"CRITICAL": 0.95, "ERROR": 0.85, "WARNING": 0.70, "WARN": 0.70, "INFO": 0.55, "DEBUG": 0.35, "TRACE": 0.25}
+SYSLOG_CONFIDENCE = {"0": 1.0, "1": 1.0, "2": 0.95, "3": 0.90, "4": 0.75, "5": 0.60, "6": 0.50, "7": 0.35}
+CEF_CONFIDENCE = {
+    "10": 1.0, "9": 1.0, "8": 0.90, "7": 0.85, "6": 0.75, "5": 0.70, "4": 0.60, "3": 0.55, "2": 0.40, "1": 0.35, "0": 0.30,
 }
-SYSLOG_LEVELS = ("EMERGENCY", "ALERT", "CRITICAL", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG")
+BSD_CONFIDENCE, PLAIN_CONFIDENCE, OTHER_CONFIDENCE, OTLP_CONFIDENCE, PATTERN_CONFIDENCE = 0.55, 0.40, 0.50, 0.80, 0.60
+#: Keys by order of preference, suffixes of log files, severities that make an event.
 TIME_KEYS = ("timestamp", "time", "ts", "@timestamp")
 MESSAGE_KEYS = ("message", "msg", "text")
 LEVEL_KEYS = ("level", "severity", "loglevel")
+HOST_KEYS = ("host", "hostname")
 SERVICE_KEYS = ("service", "app", "source")
 VALUE_KEYS = ("value", "metric_value", "metric", "count", "duration_ms")
 LOG_SUFFIXES = ("log", "jsonl", "json", "txt", "cef", "syslog", "ndjson")
 
-SYSLOG_5424 = r"^<(\d{1,3})>\d\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(?:-|\[.*?\])\s*(.*)$"
-SYSLOG_BSD = r"^<(\d{1,3})>([A-Z][a-z]{2}\s+\d{1,2}\s\d\d:\d\d:\d\d)\s+(\S+)\s+([^:\[\s]+)(?:\[(\d+)\])?:\s*(.*)$"
-CEF = r"^CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
+SEVERE = ("0", "1", "2", "3", "CRITICAL", "ALERT", "ERROR", "EMERGENCY", "EMERG", "CRIT")
 
-FIELDS = ("timestamp", "message", "severity", "host", "app", "pid", "value", "confidence", "format")
+SYSLOG_5424 = r"^<(\d+)>\d+\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)$"
+SYSLOG_BSD = r"^(?:<\d+>)?(\w{3}\s+\d+\s+[\d:]+)\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s+(.*)$"
+CEF = r"^.*?CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
+CEF_PAIR = r"(\w+)=((?:[^=\\]|\\.)*?)(?=\s+\w+=|$)"
+
+FIELDS = (
+    "timestamp", "message", "severity", "host", "app", "pid", "value", "unit", "confidence", "fields", "format",
+)
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of all log files below a folder: source_file, line_no within the file's split order, raw."""
+    """Lines of all log files below a folder: source_file, line_no (from 1 in each file), raw.
+
+    A line's number is its place in the file: ranges of a file's splits are
+    counted first, so that files of any size are numbered over many tasks.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "*.{" + ",".join(LOG_SUFFIXES) + "}"
     ).text(folder)
-    return lines.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
+    block = F.col("_metadata.file_block_start")
+    x = lines.select(
+        F.col("_metadata.file_path").alias("source_file"), block.alias("block"), F.col("value").alias("raw"),
+        F.monotonically_increasing_id().alias("at"),  # rises within a split, which one task reads in order
+    )
+    n = x.groupBy("source_file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    w = W.partitionBy("source_file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    n = n.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    y = x.join(n, ["source_file", "block"])
+    return y.select("source_file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "raw")
 
 
 def first_filled(*columns: Column) -> Column:
@@ -45,82 +67,100 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
-def confidence_of(severity: Column, default: float = 0.5) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in SEVERITY_CONFIDENCE.items() for x in kv])
+def confidence_of(severity: Column, known: dict[str, float], default: float = OTHER_CONFIDENCE) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     return F.coalesce(F.try_element_at(table, severity), F.lit(default))
 
 
+def record(fmt: str, fields: Column | None = None, **given: Column) -> Column:
+    """A record of FIELDS: what isn't given is null."""
+    kinds = {"value": "double", "confidence": "double"}
+    given |= {"format": F.lit(fmt), "fields": fields if fields is not None else F.lit(None).cast("map<string,string>")}
+    return F.struct(*[given.get(f, F.lit(None).cast(kinds.get(f, "string"))).alias(f) for f in FIELDS])
+
+
 def _json(raw: Column, *keys: str) -> Column:
     return first_filled(*[F.get_json_object(raw, f"$['{k}']") for k in keys])
 
 
+def _json_fields(raw: Column) -> Column:
+    """Keys and values of a JSON object; null where raw isn't one."""
+    return F.from_json(raw, "map<string,string>")
+
+
 def parse_jsonl(raw: Column) -> Column:
+    """Null for a line that isn't a JSON object."""
+    fields = _json_fields(raw)
     level = F.upper(_json(raw, *LEVEL_KEYS))
     value = F.coalesce(*[F.get_json_object(raw, f"$['{k}']").try_cast("double") for k in VALUE_KEYS])
-    return F.struct(
-        _json(raw, *TIME_KEYS).alias("timestamp"), _json(raw, *MESSAGE_KEYS).alias("message"), level.alias("severity"),
-        _json(raw, "host").alias("host"), _json(raw, *SERVICE_KEYS).alias("app"), _json(raw, "pid").alias("pid"),
-        value.alias("value"), confidence_of(level).alias("confidence"), F.lit("jsonl").alias("format"),
-    )
+    return F.when(fields.isNotNull(), record(
+        "jsonl", fields, timestamp=_json(raw, *TIME_KEYS), message=_json(raw, *MESSAGE_KEYS), severity=level,
+        host=_json(raw, *HOST_KEYS), app=_json(raw, *SERVICE_KEYS), value=value,
+        unit=F.when(value.isNotNull(), F.coalesce(F.get_json_object(raw, "$.unit"), F.lit(""))),
+        confidence=confidence_of(level, JSON_CONFIDENCE),
+    ))
 
 
 def parse_syslog(raw: Column) -> Column:
+    """RFC 5424, else BSD, else a plain line."""
     new, old = raw.rlike(SYSLOG_5424), raw.rlike(SYSLOG_BSD)
     part = lambda i, j: F.nullif(
         F.when(new, F.regexp_extract(raw, SYSLOG_5424, i)).when(old, F.regexp_extract(raw, SYSLOG_BSD, j)), F.lit("")
     )
-    level = F.element_at(F.array(*[F.lit(x) for x in SYSLOG_LEVELS]), part(1, 1).cast("int").bitwiseAND(7) + 1)
-    return F.struct(
-        part(2, 2).alias("timestamp"), F.coalesce(part(7, 6), raw).alias("message"), level.alias("severity"),
-        part(3, 3).alias("host"), part(4, 4).alias("app"), part(5, 5).alias("pid"), F.lit(None).cast("double").alias("value"),
-        F.when(new | old, confidence_of(level)).otherwise(F.lit(0.4)).alias("confidence"), F.lit("syslog").alias("format"),
+    level = F.when(new, F.regexp_extract(raw, SYSLOG_5424, 1).try_cast("int").bitwiseAND(7).cast("string"))
+    return record(
+        "syslog", timestamp=part(2, 1), message=F.coalesce(part(7, 5), raw), severity=level, host=part(3, 2), app=part(4, 3),
+        pid=part(5, 4),
+        confidence=F.when(new, confidence_of(level, SYSLOG_CONFIDENCE)).when(old, BSD_CONFIDENCE).otherwise(PLAIN_CONFIDENCE),
     )
 
 
-def cef_extension(text: Column) -> Column:
-    """Map of a CEF record's k=v pairs; a value runs to the next key."""
-    keys = F.regexp_extract_all(text, F.lit(r"(?:^|\s)(\w+)="), 1)
-    values = F.transform(F.regexp_extract_all(text, F.lit(r"(?:^|\s)\w+=(.*?)(?=\s\w+=|$)"), 1), lambda v: F.trim(v))
-    return F.map_from_entries(F.array_distinct(F.arrays_zip(keys.alias("key"), values.alias("value"))))
-
-
 def parse_cef(raw: Column) -> Column:
+    """Null for a line without a CEF header; text before the header is allowed."""
     ok = raw.rlike(CEF)
-    part = lambda i: F.when(ok, F.nullif(F.regexp_extract(raw, CEF, i), F.lit("")))
-    ext = lambda k: F.nullif(F.regexp_extract(F.regexp_extract(raw, CEF, 8), rf"(?:^|\s){k}=(.*?)(?=\s\w+=|$)", 1), F.lit(""))
-    number = part(7).try_cast("int")
-    level = F.when(number >= 9, "CRITICAL").when(number >= 7, "ERROR").when(number >= 4, "WARNING").when(
-        number.isNotNull(), "INFO"
-    ).otherwise(F.upper(part(7)))
-    return F.struct(
-        first_filled(ext("rt"), ext("end"), ext("start")).alias("timestamp"), F.coalesce(part(6), raw).alias("message"),
-        level.alias("severity"), first_filled(ext("shost"), ext("dhost")).alias("host"), part(3).alias("app"),
-        F.lit(None).cast("string").alias("pid"), F.lit(None).cast("double").alias("value"),
-        F.when(ok, confidence_of(level)).otherwise(F.lit(0.4)).alias("confidence"), F.lit("cef").alias("format"),
+    part = lambda i: F.regexp_extract(raw, CEF, i)
+    keys = F.regexp_extract_all(part(8), F.lit(CEF_PAIR), 1)
+    values = F.transform(F.regexp_extract_all(part(8), F.lit(CEF_PAIR), 2), lambda v: F.trim(v))
+    # the last of repeated keys counts
+    pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
+    fields = F.aggregate(
+        pairs, F.create_map().cast("map<string,string>"),
+        lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.map_from_entries(F.array(p))),
     )
+    ext = lambda *names: first_filled(*[F.try_element_at(fields, F.lit(k)) for k in names])
+    return F.when(ok, record(
+        "cef", fields, timestamp=ext("rt", "end", "start"), message=part(6), severity=part(7), host=ext("dhost", "shost"),
+        app=part(3), confidence=confidence_of(F.trim(part(7)), CEF_CONFIDENCE),
+    ))
 
 
 def parse_otlp(raw: Column) -> Column:
-    """A span: its duration in milliseconds is the value."""
+    """A span: its duration in milliseconds is the value. Null for a line that isn't one."""
+    fields = _json_fields(raw)
     at = lambda k: F.get_json_object(raw, f"$.{k}")
-    start, end = (at(k).try_cast("double") for k in ("startTimeUnixNano", "endTimeUnixNano"))
-    level = F.when(F.upper(F.coalesce(at("status.code"), F.lit(""))).isin("ERROR", "2", "STATUS_CODE_ERROR"), "ERROR").otherwise("INFO")
-    return F.struct(
-        at("startTimeUnixNano").alias("timestamp"), at("name").alias("message"), level.alias("severity"),
-        at("host").alias("host"), first_filled(at("service"), at("serviceName")).alias("app"),
-        F.lit(None).cast("string").alias("pid"), ((end - start) / 1e6).alias("value"), F.lit(0.8).alias("confidence"),
-        F.lit("otlp").alias("format"),
-    )
+    start, end = (at(k).try_cast("decimal(20,0)") for k in ("startTimeUnixNano", "endTimeUnixNano"))
+    value = F.when((start != 0) & (end != 0), ((end - start) / F.lit(1000000)).cast("double"))
+    span = F.map_contains_key(fields, "traceId") | F.map_contains_key(fields, "resourceSpans")
+    return F.when(span, record(
+        "otlp", fields, timestamp=at("startTimeUnixNano"), message=first_filled(at("name"), at("kind"), F.lit("span")),
+        severity=F.lit("INFO"), value=value, unit=F.when(value.isNotNull(), F.lit("ms")), confidence=F.lit(OTLP_CONFIDENCE),
+    ))
 
 
 def parse_auto(raw: Column) -> Column:
-    """Format by the line's start; spans are told from other JSON by their keys."""
-    t = F.ltrim(raw)
-    span = t.startswith("{") & (raw.contains('"traceId"') | raw.contains('"resourceSpans"'))
-    return (
-        F.when(span, parse_otlp(raw)).when(t.startswith("{"), parse_jsonl(raw)).when(t.startswith("CEF:"), parse_cef(raw))
-        .otherwise(parse_syslog(raw))
-    )
+    """Format by the line's look; spans are told from other JSON by their keys."""
+    return F.when(raw.startswith("{"), F.coalesce(parse_otlp(raw), parse_jsonl(raw))).when(
+        raw.contains("CEF:"), parse_cef(raw)).otherwise(parse_syslog(raw))
+
+
+def parse_custom(raw: Column, pattern: str) -> Column:
+    """A record from a pattern's named groups; null where it doesn't match."""
+    got = parse_pattern(raw, pattern)
+    at = lambda k: F.try_element_at(got, F.lit(k))
+    return F.when(got.isNotNull(), record(
+        "regex", got, message=F.coalesce(at("message"), raw), timestamp=at("timestamp"),
+        severity=F.upper(F.coalesce(at("severity"), F.lit("INFO"))), confidence=F.lit(PATTERN_CONFIDENCE),
+    ))
 
 
 def parse_pattern(raw: Column, pattern: str) -> Column:
@@ -132,13 +172,13 @@ def parse_pattern(raw: Column, pattern: str) -> Column:
     return F.when(raw.rlike(plain), F.map_from_entries(F.filter(pairs, lambda p: p["value"] != "")))
 
 
-def parse(lines: DataFrame, fmt: str = "auto", column: str = "raw") -> DataFrame:
-    """Adds the record's fields to lines."""
-    parser = {"auto": parse_auto, "jsonl": parse_jsonl, "syslog": parse_syslog, "cef": parse_cef, "otlp": parse_otlp}[fmt]
-    return lines.withColumn("_r", parser(F.col(column))).select("*", "_r.*").drop("_r")
-
-
-SEVERE = ("EMERGENCY", "ALERT", "CRITICAL", "FATAL", "ERROR")
+def parse(lines: DataFrame, fmt: str = "auto", column: str = "raw", pattern: str | None = None) -> DataFrame:
+    """Adds the record's fields to lines; empty lines and lines that the format can't read are dropped."""
+    raw = F.trim(F.col(column))
+    parsers = {"auto": parse_auto, "jsonl": parse_jsonl, "syslog": parse_syslog, "cef": parse_cef, "otlp": parse_otlp}
+    found = parse_custom(raw, pattern) if fmt == "regex" else parsers[fmt](raw)
+    x = lines.filter(raw != "").withColumn("_r", found).filter("_r is not null")
+    return x.select("*", "_r.*").drop("_r")
 
 
 def route(records: DataFrame, entities: list[str]) -> DataFrame:
@@ -149,5 +189,5 @@ def route(records: DataFrame, entities: list[str]) -> DataFrame:
     return records.withColumn(
         "route",
         F.when(F.col("value").isNotNull(), "observation").when(F.col("severity").isin(*SEVERE), "event")
-        .when(named, "observation").otherwise("rejected"),
+        .when(named & (F.length("message") > 3), "observation").otherwise("rejected"),
     )
