@@ -1,5 +1,6 @@
 """Operators on hand-made inputs with known answers."""
 
+import itertools
 import json
 import math
 import uuid
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions.vector import cosine, hash_embedding
-from weftline.operators import causal_graph, gates, graph, mining, range_join, sequences, series, vectors
+from weftline.operators import causal_graph, gates, graph, mining, range_join, ranks, sequences, series, vectors
 from weftline.sources import logs
 
 
@@ -148,10 +149,64 @@ def test_hmm_prefers_its_own_data():
     assert sequences.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649, abs=1e-8)
     bound = [sequences.fit_vb_hmm(normal, s, 3)[3] for s in (1, 2)]
     assert bound[1] > bound[0]
-    z, n = sequences.regimes(normal + [np.array([2, 2, 2, 1, 2, 2, 2, 2])] * 10, 3)
+    z, n, _ = sequences.regimes(normal + [np.array([2, 2, 2, 1, 2, 2, 2, 2])] * 10, 3)
     assert n >= 2 and len(set(z[:20])) == 1 and z[0] != z[-1]
 
 
+def test_batched_recursions_equal_single_ones():
+    rng = np.random.RandomState(5)
+    seqs = [rng.randint(0, 4, k) for k in (1, 2, 5, 5, 9)]
+    start, move, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(4), 3)
+    x, n = sequences.padded(seqs)
+    want = [sequences.log_likelihood(q, start, move, emit) for q in seqs]
+    assert np.allclose(sequences.log_likelihoods(x, n, start, move, emit), want)
+    s, m, e, ll = sequences._expected(x, n, start, move, emit)
+    # brute force over all paths of states
+    bs, bm, be = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 4))
+    for q in seqs[:4]:
+        paths = [(p, start[p[0]] * np.prod([move[a, b] for a, b in zip(p, p[1:])]) * np.prod([emit[a, o] for a, o in zip(p, q)]))
+                 for p in itertools.product(range(3), repeat=len(q))]
+        total = sum(w for _, w in paths)
+        for p, w in paths:
+            bs[p[0]] += w / total
+            for a, b in zip(p, p[1:]):
+                bm[a, b] += w / total
+            for a, o in zip(p, q):
+                be[a, o] += w / total
+    s4, m4, e4, _ = sequences._expected(*sequences.padded(seqs[:4]), start, move, emit)
+    assert np.allclose(s4, bs) and np.allclose(m4, bm) and np.allclose(e4, be)
+    assert ll == pytest.approx(sum(want)) and s.sum() == pytest.approx(5) and e.sum() == pytest.approx(n.sum())
+    sharp = (np.array([1e4, 1]), np.array([[1e4, 1], [1, 1e4]]), np.array([[1e4, 1], [1, 1e4]]))
+    assert sequences.calibrated_confidence(np.array([0, 0, 0]), sharp, -5.0) < 0.01 < 0.99 < sequences.calibrated_confidence(np.array([1, 1, 1]), sharp, -1.0)
+
+
+def test_ranks_and_percentiles(spark):
+    rng = np.random.RandomState(1)
+    data = [(k, float(v), i) for i, (k, v) in enumerate(zip(rng.choice(["a", "b"], 500), rng.randint(0, 60, 500)))]
+    data += [("a", None, 1000), ("c", 1.0, 1001)]
+    df = spark.createDataFrame(data, "k string, v double, id long")
+    got = {(r.k, r.id): (r["rank"], r.n) for r in ranks.ranked(df, ["k"], "v", ["id"], bins=7).collect()}
+    for key in "abc":
+        order = sorted((r for r in data if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[key, r[2]] for r in order] == [(i, len(order)) for i in range(len(order))]
+    p = {r.k: (r.mid, r.high) for r in ranks.percentiles(df, ["k"], "v", {"mid": 0.5, "high": 0.95}).collect()}
+    for key in "ab":
+        v = sorted(r[1] for r in data if r[0] == key and r[1] is not None)
+        assert p[key] == tuple(v[int(s * (len(v) - 1) + 0.5)] for s in (0.5, 0.95))
+    assert ranks.ranked(df.limit(0), ["k"], "v").count() == 0
+    assert [r.low for r in ranks.lowest(df.filter("k = 'c'"), "v", ["id"], 0.05).collect()] == [True]
+
+
+def test_injected_outlier_is_flagged(spark):
+    rows = [("s", f"t{i:03d}", ["up", "run", "idle", "run", "down"][: 4 + i % 2]) for i in range(60)]
+    rows += [("s", "odd", ["up", "fail", "down", "fail"]), ("few", "x", ["a", "b"])]
+    got = {r.trace: r for r in sequences.score_trajectories(
+        spark.createDataFrame(rows, "service string, trace string, symbols array<string>"), "service").collect()}
+    assert got["odd"].anomalous and got["odd"].confidence >= 0.6 and (got["odd"].change, got["odd"].change_at) == ("fail", 1)
+    assert got["odd"].novelty == pytest.approx((2 + 1) / len([s for s in ("up", "run", "idle", "down")]))
+    assert sum(r.anomalous for r in got.values()) == 3 and got["x"].states == 0 and got["x"].per_step == 0.0
+
+
 def test_graph_patterns_and_fixpoint(spark):
     t = spark.createDataFrame([("a", "in", "b", True), ("b", "in", "c", True), ("c", "in", "a", True), ("a", "k", "1", False)],
                               "s string, p string, o string, o_is_iri boolean")

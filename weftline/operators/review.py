@@ -54,11 +54,10 @@ def divergence(counts: DataFrame, key: str, a: str, b: str, floor: float = 1e-9)
 
 def slices(rows: DataFrame, key: str, order: list[str], parts: int) -> DataFrame:
     """Ordinal windows: row i of n goes to slice i * parts / n."""
-    from pyspark.sql import Window as W
+    from .ranks import ranked
 
-    i = F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1
-    n = F.count("*").over(W.partitionBy(key))
-    return rows.withColumn("slice", F.floor(i * parts / n).cast("int"))
+    x = ranked(rows, [key], order[0], order[1:])
+    return x.withColumn("slice", F.floor(F.col("rank") * parts / F.col("n")).cast("int")).drop("rank", "n")
 
 
 def output_gate(answers: DataFrame, required: dict[str, int]) -> DataFrame:

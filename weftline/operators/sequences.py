@@ -1,7 +1,9 @@
 """Event sequences: trajectories, hidden Markov models, regimes, anomaly scores.
 
-A service's trajectories are fitted in one task by numpy; services spread over
-the cluster. Trajectories themselves are made by Spark.
+Trajectories, rates of their symbols and ranks are made by Spark over all rows.
+A service's models are fitted by numpy on its first FIT_TRAJECTORIES by hash
+order (all, if it has no more), all sequences of a step at once; every
+trajectory is scored, in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranks import lowest
+
 
 def trajectories(records: DataFrame, keys: list[str], ts: str, symbol: str, least: int = 4, tie: str | None = None) -> DataFrame:
     """Symbols in time order by key without consecutive repeats: (keys, symbols, times)."""
@@ -36,11 +40,6 @@ def bag_novelty(traj: DataFrame, service: str, common: float = 0.5, rare: float
         F.col("rate") < rare, "novel").otherwise("ordinary").alias("kind"))
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 def log_likelihood(seq: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
     """Forward recursion with scaling."""
     a, total = start * emit[:, seq[0]], 0.0
@@ -53,16 +52,48 @@ def log_likelihood(seq: np.ndarray, start: np.ndarray, move: np.ndarray, emit: n
     return total
 
 
-def _passes(seq, start, move, emit):
-    n, k = len(seq), len(start)
-    al, be, sc = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
-    for i in range(n):
-        a = (start if not i else al[i - 1] @ move) * emit[:, seq[i]]
-        sc[i] = max(a.sum(), 1e-300)
-        al[i] = a / sc[i]
-    for i in range(n - 2, -1, -1):
-        be[i] = move @ (emit[:, seq[i + 1]] * be[i + 1]) / sc[i + 1]
-    return al, be, sc
+def padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences as one matrix with their lengths."""
+    n = np.array([len(q) for q in seqs])
+    out = np.zeros((len(seqs), max(n, default=0)), np.int64)
+    for i, q in enumerate(seqs):
+        out[i, : len(q)] = q
+    return out, n
+
+
+def log_likelihoods(x: np.ndarray, n: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Of each sequence of padded(), by the scaled forward recursion."""
+    return np.log(_forward(x, n, start, move, emit)[1]).sum(axis=0)
+
+
+def _forward(x, n, start, move, emit):
+    steps, k = x.shape[1], len(start)
+    al, sc = np.zeros((steps, len(x), k)), np.ones((steps, len(x)))
+    for t in range(steps):
+        a = (start if not t else al[t - 1] @ move) * emit.T[x[:, t]]
+        live = t < n
+        sc[t] = np.where(live, np.maximum(a.sum(axis=1), 1e-300), 1)
+        al[t] = np.where(live[:, None], a / sc[t][:, None], al[t - 1] if t else a)
+    return al, sc
+
+
+def _expected(x, n, start, move, emit):
+    """Expected counts of starts, moves and emissions over all sequences, and the log likelihood."""
+    al, sc = _forward(x, n, start, move, emit)
+    steps, k = x.shape[1], len(start)
+    be, m, e = np.ones((len(x), k)), np.zeros((k, k)), np.zeros(emit.shape)
+    for t in range(steps - 1, -1, -1):
+        live = t < n
+        if t + 1 < steps:
+            on = t + 1 < n
+            ahead = emit.T[x[:, t + 1]] * be / sc[t + 1][:, None] * on[:, None]
+            m += al[t].T @ ahead
+            be = np.where(on[:, None], ahead @ move.T, 1)
+        g = al[t] * be
+        g = np.where(live[:, None], g / np.maximum(g.sum(axis=1, keepdims=True), 1e-300), 0)
+        for j in range(emit.shape[1]):
+            e[:, j] += g[x[:, t] == j].sum(axis=0)
+    return g.sum(axis=0), m * move, e, float(np.log(sc).sum())
 
 
 def fit_hmm(seqs: list[np.ndarray], states: int, symbols: int, rounds: int = 50, seed: int = 0, prior: float = 0.0):
@@ -70,16 +101,10 @@ def fit_hmm(seqs: list[np.ndarray], states: int, symbols: int, rounds: int = 50,
     rng = np.random.RandomState(seed)
     start, move, emit = (rng.dirichlet(np.ones(n), s) for n, s in ((states, 1), (states, states), (symbols, states)))
     start, last = start[0], -np.inf
+    x, n = padded(seqs)
     for _ in range(rounds):
-        s, m, e, ll = np.full(states, prior + 1e-6), np.full((states, states), prior + 1e-6), np.full((states, symbols), prior + 1e-6), 0.0
-        for q in seqs:
-            al, be, sc = _passes(q, start, move, emit)
-            g = al * be
-            ll += np.log(sc).sum()
-            s += g[0]
-            np.add.at(e.T, q, g)
-            for i in range(len(q) - 1):
-                m += np.outer(al[i], emit[:, q[i + 1]] * be[i + 1]) * move / sc[i + 1]
+        s, m, e, ll = _expected(x, n, start, move, emit)
+        s, m, e = s + prior + 1e-6, m + prior + 1e-6, e + prior + 1e-6
         start, move, emit = s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
         if abs(ll - last) < 1e-4 * max(1.0, abs(ll)):
             break
@@ -106,7 +131,7 @@ def fit_vb_hmm(seqs: list[np.ndarray], states: int, symbols: int, rounds: int =
         return float((lg(s) - lg(q).sum(-1) - lg(np.full(s.shape, p * q.shape[-1])) + q.shape[-1] * math.lgamma(p)
                       + ((q - p) * (digamma(q) - digamma(s)[..., None])).sum(-1)).sum())
 
-    best = None
+    best, (x, n) = None, padded(seqs)
     for r in range(restarts):
         rng = np.random.RandomState(r)
         qs, qm, qe = prior + rng.rand(states), prior + rng.rand(states, states), prior + rng.rand(states, symbols) * 3
@@ -114,16 +139,7 @@ def fit_vb_hmm(seqs: list[np.ndarray], states: int, symbols: int, rounds: int =
         for _ in range(rounds):
             sub = [np.exp(digamma(q) - digamma(q.sum(-1))[..., None]) for q in (qs[None], qm, qe)]
             start, move, emit = sub[0][0], sub[1], sub[2]
-            s, m, e, ll = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols)), 0.0
-            for q in seqs:
-                al, be, sc = _passes(q, start, move, emit)
-                g = al * be
-                g /= g.sum(1, keepdims=True)
-                ll += np.log(sc).sum()
-                s += g[0]
-                np.add.at(e.T, q, g)
-                for i in range(len(q) - 1):
-                    m += np.outer(al[i], emit[:, q[i + 1]] * be[i + 1]) * move / sc[i + 1]
+            s, m, e, ll = _expected(x, n, start, move, emit)
             bound = ll - kl(qs[None], prior) - kl(qm, prior) - kl(qe, prior)
             qs, qm, qe = prior + s, prior + m, prior + e
             if abs(bound - last) < 1e-4 * max(1.0, abs(bound)):
@@ -146,55 +162,157 @@ def choose_hmm(seqs: list[np.ndarray], symbols: int, most: int = 8):
     return best
 
 
-def regimes(seqs: list[np.ndarray], symbols: int, most: int = 5, rounds: int = 10) -> tuple[np.ndarray, int]:
-    """Clusters of sequences by models of their transitions: the K whose members all number 2 or more and whose bound is best."""
-    def model(members):
-        e = np.full((symbols + 1, symbols), 0.5)
-        for q in members:
-            np.add.at(e, (np.concatenate([[symbols], q[:-1]]), q), 1)
-        return np.log(e / e.sum(1, keepdims=True))
+def predictive(seq: np.ndarray, posterior, draws: int = 30, seed: int = 1) -> tuple[float, float]:
+    """Mean and deviation of a sequence's log likelihood a step under draws of a variational posterior (qs, qm, qe)."""
+    rng = np.random.RandomState(seed)
+    x, n = padded([seq])
+    got = []
+    for _ in range(draws):
+        start, move, emit = rng.dirichlet(posterior[0]), *(np.stack([rng.dirichlet(r) for r in q]) for q in posterior[1:3])
+        got.append(log_likelihoods(x, n, *(np.maximum(p, 1e-12) for p in (start, move, emit)))[0] / len(seq))
+    return float(np.mean(got)), float(np.std(got, ddof=1))
+
+
+def calibrated_confidence(seq: np.ndarray, posterior, threshold: float, draws: int = 30, seed: int = 1) -> float:
+    """Posterior probability that a sequence's log likelihood a step is below a threshold."""
+    mean, sd = predictive(seq, posterior, draws, seed)
+    if sd <= 1e-9:
+        return float(mean < threshold)
+    return 0.5 * (1 + math.erf((threshold - mean) / sd / math.sqrt(2)))
+
 
-    def score(q, lp):
-        return lp[np.concatenate([[symbols], q[:-1]]), q].sum()
+def choose_vb_hmm(seqs: list[np.ndarray], symbols: int, sizes: tuple[int, ...] = (2, 3, 4, 5)):
+    """(posterior with its bound, states): the number of states with the largest bound."""
+    return max(((fit_vb_hmm(seqs, k, symbols), k) for k in sizes), key=lambda f: f[0][3])
 
-    best = (np.zeros(len(seqs), int), 1, sum(score(q, model(seqs)) for q in seqs) - symbols * math.log(len(seqs) + 1))
+
+def regimes(seqs: list[np.ndarray], symbols: int, most: int = 5, rounds: int = 10) -> tuple[np.ndarray, int, np.ndarray]:
+    """Clusters of sequences by models of their transitions: the K whose members all number 2 or more and whose bound is best.
+
+    Gives the clusters, K, and each cluster's log transition table.
+    """
+    width = (symbols + 1) * symbols
+    moves = np.zeros((len(seqs), width))
+    for i, q in enumerate(seqs):
+        np.add.at(moves[i], np.concatenate([[symbols], q[:-1]]) * symbols + q, 1)
+
+    def models(z, k):
+        e = np.stack([moves[z == j].sum(axis=0) for j in range(k)]).reshape(k, symbols + 1, symbols) + 0.5
+        return np.log(e / e.sum(2, keepdims=True))
+
+    def bound(z, tables):
+        return float(np.take_along_axis(moves @ tables.reshape(len(tables), -1).T, z[:, None], 1).sum()) - (
+            len(tables) * symbols * math.log(len(seqs) + 1))
+
+    z = np.zeros(len(seqs), int)
+    one = models(z, 1)
+    best = (z, 1, one, bound(z, one))
     for k in range(2, min(most, len(seqs) // 2) + 1):
-        rng = np.random.RandomState(k)
-        z = rng.randint(0, k, len(seqs))
+        z = np.random.RandomState(k).randint(0, k, len(seqs))
         for _ in range(rounds):
-            lps = [model([q for q, c in zip(seqs, z, strict=True) if c == j]) for j in range(k)]
-            new = np.array([int(np.argmax([score(q, lp) for lp in lps])) for q in seqs])
+            tables = models(z, k)
+            new = (moves @ tables.reshape(k, -1).T).argmax(axis=1)
             if (new == z).all():
                 break
             z = new
-        if min(np.bincount(z, minlength=k)) < 2:
-            continue
-        bound = sum(score(q, lps[c]) for q, c in zip(seqs, z, strict=True)) - k * symbols * math.log(len(seqs) + 1)
-        if bound > best[2]:
-            best = (z, k, bound)
-    return best[0], best[1]
+        if min(np.bincount(z, minlength=k)) >= 2 and bound(z, tables) > best[3]:
+            best = (z, k, tables, bound(z, tables))
+    return best[:3]
 
 
-def score_trajectories(traj: DataFrame, service: str, share: float = 0.05) -> DataFrame:
-    """Per-step log likelihood under the service's model, regime, and the lowest share flagged (one at least).
+#: Least observations and symbols of a service, share of scores below a threshold, shares of rare and common
+#: symbols, weight of novelty, and the floors of confidence by the rarest symbol's share.
+LEAST_STEPS, LEAST_SYMBOLS, LOW_SHARE, RARE, COMMON, NOVELTY = 12, 2, 0.05, 0.3, 0.5, 2.0
+FLOORS = ((0.1, 0.8), (0.2, 0.7), (1.0, 0.6))
+MISSING_FLOOR = 0.5
+FIT_TRAJECTORIES, GROUP_ROWS = 5_000, 50_000
 
-    Services with fewer than 12 observations or 2 symbols get null scores.
-    """
+
+def fit_services(traj: DataFrame, service: str, sample: int = FIT_TRAJECTORIES) -> DataFrame:
+    """(service, symbols, states, start, move, emit, threshold, regimes): a row for each service with enough to fit."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted({s for q in pdf["symbols"] for s in q})
         at = {s: i for i, s in enumerate(names)}
         seqs = [np.array([at[s] for s in q]) for q in pdf["symbols"]]
-        out = pd.DataFrame({service: pdf[service], "trace": pdf["trace"], "steps": [len(q) for q in seqs]})
-        if len(names) < 2 or sum(map(len, seqs)) < 12:
-            return out.assign(states=0, regime=0, score=None, anomalous=False)
+        if len(names) < LEAST_SYMBOLS or sum(map(len, seqs)) < LEAST_STEPS:
+            return pd.DataFrame(columns=columns)
         (start, move, emit, _), _, k = choose_hmm(seqs, len(names))
-        score = np.array([log_likelihood(q, start, move, emit) / len(q) for q in seqs])
-        z, _ = regimes(seqs, len(names)) if len(seqs) >= 4 else (np.zeros(len(seqs), int), 1)
-        low = np.zeros(len(seqs), bool)
-        low[np.argsort(score, kind="stable")[: max(1, int(len(seqs) * share))]] = True
-        return out.assign(states=k, regime=z, score=score, anomalous=low)
-
-    kind = dict(traj.dtypes)
-    return traj.groupBy(service).applyInPandas(
-        run, f"{service} {kind[service]}, trace {kind['trace']}, steps int, states int, regime int, score double, anomalous boolean"
-    )
+        x, n = padded(seqs)
+        threshold = float(np.percentile(log_likelihoods(x, n, start, move, emit) / n, 100 * LOW_SHARE))
+        tables = regimes(seqs, len(names))[2] if len(seqs) >= 4 else np.zeros((1, len(names) + 1, len(names)))
+        return pd.DataFrame([[pdf[service].iloc[0], names, k, start.tolist(), move.ravel().tolist(), emit.ravel().tolist(),
+                              threshold, tables.ravel().tolist()]], columns=columns)
+
+    columns = [service, "symbols", "states", "start", "move", "emit", "threshold", "regimes"]
+    kinds = dict(traj.dtypes)
+    order = W.partitionBy(service).orderBy(F.xxhash64("trace"), "trace")
+    some = traj.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= sample).drop("_k")
+    return some.select(service, "trace", "symbols").orderBy(service, F.xxhash64("trace"), "trace").groupBy(service).applyInPandas(
+        run, f"{service} {kinds[service]}, symbols {kinds['symbols']}, states int, start array<double>, move array<double>, "
+        "emit array<double>, threshold double, regimes array<double>")
+
+
+def score_trajectories(traj: DataFrame, service: str, share: float = LOW_SHARE) -> DataFrame:
+    """traj(service, trace, symbols, ...): how unusual each trajectory is.
+
+    per_step is the log likelihood a step under the service's model (0 without
+    one, or with a symbol that the model doesn't know), novelty counts its rare
+    and missing common symbols over the common ones, score = per_step - 2 *
+    novelty. The lowest share of all trajectories, one at least, is anomalous.
+    The change point is the first place of the symbol that is rarest in the
+    service; confidence blends novelty and the gap to the service's threshold,
+    with floors where rare symbols occur or common ones are missing.
+    """
+    kinds = dict(traj.dtypes)
+    n = traj.groupBy(service).agg(F.count("*").alias("_n"))
+    each = traj.select(service, "trace", F.explode(F.array_distinct("symbols")).alias("s"))
+    rates = each.groupBy(service, "s").agg(F.count("*").alias("k")).join(n, service)
+    rates = rates.groupBy(service).agg(F.map_from_entries(F.collect_list(F.struct("s", F.col("k") / F.col("_n")))).alias("rates"))
+    facts = n.join(rates, service).join(fit_services(traj, service), service, "left")
+    parts = F.ceil(F.col("_n") / GROUP_ROWS).cast("int")
+    left = traj.select(service, "trace", "symbols").join(n, service).withColumn("_part", F.pmod(F.xxhash64("trace"), parts).cast("int"))
+    right = facts.withColumn("_each", F.explode(F.sequence(F.lit(0), parts - 1))).select(
+        F.col(service).alias("_service"), F.col("_each").alias("_at"), *[F.col(c).alias(c) for c in (
+            "rates", "symbols", "states", "start", "move", "emit", "threshold", "regimes")])
+
+    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        m = known.iloc[0]
+        rate = dict(m["rates"])
+        common = {s for s, r in rate.items() if r >= COMMON}
+        per_step, regime, threshold, states = np.zeros(len(pdf)), np.zeros(len(pdf), int), 0.0, 0
+        if m["symbols"] is not None:
+            at, k = {s: i for i, s in enumerate(m["symbols"])}, int(m["states"])
+            size, states, threshold = len(at), k, float(m["threshold"])
+            fits = [i for i, q in enumerate(pdf["symbols"]) if all(s in at for s in q)]
+            if fits:
+                x, steps = padded([np.array([at[s] for s in pdf["symbols"].iloc[i]]) for i in fits])
+                model = np.array(m["start"]), np.array(m["move"]).reshape(k, k), np.array(m["emit"]).reshape(k, size)
+                tables = np.array(m["regimes"]).reshape(-1, size + 1, size)
+                before = np.concatenate([np.full((len(x), 1), size), x[:, :-1]], axis=1)
+                live = np.arange(x.shape[1]) < steps[:, None]
+                per_step[fits] = log_likelihoods(x, steps, *model) / steps
+                regime[fits] = (tables[:, before, x] * live).sum(axis=2).argmax(axis=0)
+        out = []
+        for symbols, step in zip(pdf["symbols"], per_step, strict=True):
+            mine = set(symbols)
+            novel, missing = [s for s in mine if rate[s] < RARE], common - mine
+            bag = (len(missing) + len(novel)) / max(1, len(common))
+            change = min(list(dict.fromkeys(symbols)), key=rate.__getitem__)
+            gap = min(1.0, max(0.0, (threshold - step) / (abs(threshold) + 1))) if states else 0.0
+            sure = 0.5 * min(1.0, bag) + 0.5 * gap
+            if novel:
+                sure = max(sure, next(f for r, f in FLOORS if min(rate[s] for s in novel) <= r))
+            elif missing:
+                sure = max(sure, MISSING_FLOOR)
+            out.append((bag, step - NOVELTY * bag, list(symbols).index(change), change, sure))
+        cols = list(zip(*out, strict=True))
+        return pd.DataFrame({
+            service: pdf[service], "trace": pdf["trace"], "steps": [len(q) for q in pdf["symbols"]], "states": states, "regime": regime,
+            "per_step": per_step, "novelty": cols[0], "score": cols[1], "change_at": cols[2], "change": cols[3], "confidence": cols[4],
+        })
+
+    symbol = kinds["symbols"].removeprefix("array<").removesuffix(">")
+    schema = (f"{service} {kinds[service]}, trace {kinds['trace']}, steps int, states int, regime int, per_step double, "
+              f"novelty double, score double, change_at int, change {symbol}, confidence double")
+    scored = left.groupBy(service, "_part").cogroup(right.groupBy("_service", "_at")).applyInPandas(run, schema)
+    return lowest(scored, "score", [service, "trace"], share).withColumnRenamed("low", "anomalous")
