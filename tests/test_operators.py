@@ -270,7 +270,23 @@ def test_rate_detector_matches_batch(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("rates").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.table("rates").orderBy("day").collect()
-    assert len(got) == 21 and got[0].z is None and got[-1].z > 100 and abs(got[10].z) < 3
+    counts = [r[3] for r in rows]
+    for i, r in enumerate(got):  # the batch form: median and MAD of up to 30 counts before
+        past = np.array(counts[max(0, i - 30) : i])
+        mid = float(np.median(past)) if i else 0.0
+        sd = max(1.4826 * float(np.median(np.abs(past - mid))), 0.5) if i else 0.5
+        assert (r.expected, r.sd, r.z) == pytest.approx((mid, sd, (counts[i] - mid) / sd))
+        assert r.is_anomaly == (i >= 3 and abs(r.z) >= 2.576) and r.via == "median_mad"
+    assert [r.direction for r in got] == ["normal"] * 20 + ["spike"]
+    fit = {r.hour: r for r in rates.refit(df).collect()}
+    assert len(fit) == 24 and 9 < fit[3].mu < 30 and fit[3].sd > 0
+    again = rates.detect_rates(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), rates.refit(df))
+    q = again.writeStream.format("memory").queryName("refitted").outputMode("update").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.via for r in spark.table("refitted").collect()} == {"gp"}
+    hourly = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    rates.consolidate(hourly, f"{tmp_path}/fits", f"{tmp_path}/e").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/fits/fit-000000000").count() == 24
 
 
 def test_tables_and_sinks(spark, tmp_path):

@@ -194,33 +194,46 @@ def nodes_edges(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, triples.filter("o_is_iri").select(F.col("s").alias("src"), F.col("p").alias("label"), F.col("o").alias("dst"))
 
 
+#: Terms that need no type of their own, and what declares a licence.
+BUILT_IN, LICENCE, LEAST_SIGNATURE = ("owl:Thing", "owl:Nothing"), ("dcterms:license", "dcterms:rights"), 3
+
+
 def pitfalls(triples: DataFrame) -> DataFrame:
-    """Modelling pitfalls with the element that has them: (pitfall, element)."""
-    p = lambda name: triples.filter(F.col("p") == name)
+    """Modelling pitfalls with the element that has them: (pitfall, element).
+
+    P04 classes that no property or hierarchy names, P07 classes that share a
+    label, P08 no label, P11 no domain or no range, P13 object properties where
+    nothing has an inverse, P19 several domains, P24 a class below itself, P30
+    classes with the same three or more properties that aren't declared
+    equivalent, P35 domains and ranges without a type, P41 an ontology without
+    a licence.
+    """
+    p = lambda *names: triples.filter(F.col("p").isin(*names))
     kinds = lambda *c: p(TYPE).filter(F.col("o").isin(*c)).select("s").distinct()
+    o = lambda df: df.select(F.col("o").alias("s"))
+    without = lambda df, other: df.join(other.select("s").distinct(), "s", "left_anti")
     classes, objects = kinds("owl:Class"), kinds("owl:ObjectProperty")
     props = kinds("owl:ObjectProperty", "owl:DatatypeProperty")
-    used = triples.filter(F.col("p") != TYPE).select(F.col("s").alias("e")).unionByName(
-        triples.filter(F.col("p").isin(SUB, "rdfs:domain", "rdfs:range")).select(F.col("o").alias("e"))
-    ).distinct()
-    linked = triples.filter(F.col("p").isin(SUB, "rdfs:domain", "rdfs:range", "owl:disjointWith", "owl:equivalentClass"))
-    linked = linked.select(F.col("s").alias("s")).unionByName(linked.select(F.col("o").alias("s"))).distinct()
+    ends = p("rdfs:domain", "rdfs:range")
+    labels = p("rdfs:label").join(classes, "s").select("s", F.lower(F.trim("o")).alias("label")).distinct()
+    shared = labels.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
+    domains = p("rdfs:domain").join(props, "s").select(F.col("o").alias("c"), F.col("s").alias("prop")).distinct()
+    signature = domains.groupBy("c").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("prop")).alias("sig"))
+    signature = signature.filter(F.col("n") >= LEAST_SIGNATURE)
+    twins = signature.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1").select("sig")
+    used = o(ends).distinct().filter(~F.col("s").isin(*BUILT_IN) & ~F.col("s").rlike(r"^(xsd:|http://www\.w3\.org/2001/XMLSchema#)"))
     say = lambda code, df: df.select(F.lit(code).alias("pitfall"), F.col("s").alias("element"))
-    inverse = p("owl:inverseOf").select("s").unionByName(p("owl:inverseOf").select(F.col("o").alias("s")))
-    label = p("rdfs:label").select("s")
     parts = [
-        say("P04", classes.join(linked, "s", "left_anti")),
-        say("P07", classes.filter(F.lower("s").rlike(r"(?:_and_|_or_|[a-z]And[A-Z])"))),
-        say("P08", classes.unionByName(props).join(label, "s", "left_anti")),
-        say("P11", props.join(p("rdfs:domain").select("s"), "s", "left_anti").unionByName(
-            props.join(p("rdfs:range").select("s"), "s", "left_anti")).distinct()),
-        say("P13", objects.join(inverse, "s", "left_anti")),
+        say("P04", without(classes, o(ends.join(props, "s")).unionByName(p(SUB).select("s")).unionByName(o(p(SUB))))),
+        say("P07", labels.join(shared, "label").select("s").distinct()),
+        say("P08", without(classes.unionByName(props).distinct(), p("rdfs:label"))),
+        say("P11", without(props, p("rdfs:domain")).unionByName(without(props, p("rdfs:range"))).distinct()),
+        say("P13", objects.join(p("owl:inverseOf").select(F.lit(1).alias("one")).limit(1), how="left_anti")),
         say("P19", p("rdfs:domain").groupBy("s").agg(F.countDistinct("o").alias("n")).filter("n > 1")),
-        say("P24", p(SUB).filter("s = o")),
-        say("P30", p("rdfs:label").groupBy(F.lower("o").alias("k")).agg(F.collect_set("s").alias("e")).filter("size(e) > 1")
-            .select(F.explode("e").alias("s"))),
-        say("P35", triples.filter(~F.col("p").contains(":")).select(F.col("p").alias("s")).distinct()),
-        say("P41", classes.join(used.withColumnRenamed("e", "s"), "s", "left_anti").join(label, "s", "left_semi")),
+        say("P24", p(SUB).filter("s = o").select("s").distinct()),
+        say("P30", without(signature.join(twins, "sig").select(F.col("c").alias("s")), p("owl:equivalentClass"))),
+        say("P35", without(used, kinds("owl:Class", "rdfs:Datatype"))),
+        say("P41", without(kinds("owl:Ontology"), p(*LICENCE))),
     ]
     return reduce(DataFrame.unionByName, parts)
 

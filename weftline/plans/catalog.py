@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,15 +159,52 @@ def n_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.n_triples(triples(spark, sf_dir).filter("p = 'name' and s like 'nation/%'"))
 
 
-@query()
+ONTOLOGY = """t AS (SELECT * FROM (
+ SELECT DISTINCT 'b:' || p_brand AS s, 'rdf:type' AS p, 'owl:Class' AS o FROM part
+ UNION SELECT DISTINCT 'b:' || p_brand, 'rdfs:label', ' Brand ' || right(p_brand, 1) FROM part WHERE p_size > 3
+ UNION SELECT DISTINCT 'y:' || p_size, 'rdf:type', CASE WHEN p_size % 2 = 0 THEN 'owl:ObjectProperty' ELSE 'owl:DatatypeProperty' END FROM part
+ UNION SELECT DISTINCT 'y:' || p_size, 'rdfs:domain', 'b:' || p_brand FROM part WHERE p_size % 5 < 3
+ UNION SELECT DISTINCT 'y:' || p_size, 'rdfs:range', CASE WHEN p_size % 3 = 0 THEN 'xsd:string' ELSE 'z:' || p_size END FROM part WHERE p_size % 7 > 0
+ UNION SELECT DISTINCT 'z:' || p_size, 'rdf:type', 'rdfs:Datatype' FROM part WHERE p_size % 11 = 0
+ UNION SELECT DISTINCT 'b:' || p_brand, 'rdfs:subClassOf', 'b:' || CASE WHEN p_size = 7 THEN p_brand ELSE 'top' END FROM part WHERE p_size < 9
+ UNION SELECT 'onto:' || r_name, 'rdf:type', 'owl:Ontology' FROM region UNION SELECT 'onto:' || r_name, 'dcterms:rights', 'free' FROM region WHERE r_regionkey > 2))"""
+
+
+def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of an ontology made of the parts: brands are classes, sizes properties."""
+    part, region = table(spark, sf_dir, "part"), table(spark, sf_dir, "region")
+    brand, size = F.concat(F.lit("b:"), "p_brand"), F.concat(F.lit("y:"), F.col("p_size"))
+    z, n, onto = F.concat(F.lit("z:"), F.col("p_size")), F.col("p_size"), F.concat(F.lit("onto:"), "r_name")
+    t = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    parts = [
+        t(part, brand, "rdf:type", F.lit("owl:Class")),
+        t(part.filter(n > 3), brand, "rdfs:label", F.concat(F.lit(" Brand "), F.right(F.col("p_brand"), F.lit(1)))),
+        t(part, size, "rdf:type", F.when(n % 2 == 0, "owl:ObjectProperty").otherwise("owl:DatatypeProperty")),
+        t(part.filter(n % 5 < 3), size, "rdfs:domain", brand),
+        t(part.filter(n % 7 > 0), size, "rdfs:range", F.when(n % 3 == 0, F.lit("xsd:string")).otherwise(z)),
+        t(part.filter(n % 11 == 0), z, "rdf:type", F.lit("rdfs:Datatype")),
+        t(part.filter(n < 9), brand, "rdfs:subClassOf", F.concat(F.lit("b:"), F.when(n == 7, F.col("p_brand")).otherwise("top"))),
+        t(region, onto, "rdf:type", F.lit("owl:Ontology")), t(region.filter("r_regionkey > 2"), onto, "dcterms:rights", F.lit("free")),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+@query(f"""WITH {ONTOLOGY}, cls AS (SELECT s FROM t WHERE p = 'rdf:type' AND o = 'owl:Class'), prop AS (SELECT s FROM t WHERE p = 'rdf:type' AND o IN ('owl:ObjectProperty', 'owl:DatatypeProperty')),
+lab AS (SELECT DISTINCT s, lower(trim(o)) AS l FROM t JOIN cls USING (s) WHERE p = 'rdfs:label'),
+sig AS (SELECT o AS c, list_sort(list(DISTINCT s)) AS g FROM t WHERE p = 'rdfs:domain' AND s IN (FROM prop) GROUP BY 1 HAVING count(DISTINCT s) >= 3)
+SELECT 'P04' AS pitfall, s AS element FROM cls WHERE s NOT IN (SELECT o FROM t WHERE p IN ('rdfs:domain', 'rdfs:range') AND s IN (FROM prop)) AND s NOT IN (SELECT s FROM t WHERE p = 'rdfs:subClassOf' UNION SELECT o FROM t WHERE p = 'rdfs:subClassOf')
+UNION ALL SELECT DISTINCT 'P07', s FROM lab WHERE l IN (SELECT l FROM lab GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'P08', s FROM (SELECT s FROM cls UNION SELECT s FROM prop) WHERE s NOT IN (SELECT s FROM t WHERE p = 'rdfs:label')
+UNION ALL SELECT 'P11', s FROM prop WHERE s NOT IN (SELECT s FROM t WHERE p = 'rdfs:domain') OR s NOT IN (SELECT s FROM t WHERE p = 'rdfs:range')
+UNION ALL SELECT 'P13', s FROM t WHERE p = 'rdf:type' AND o = 'owl:ObjectProperty' AND NOT EXISTS (SELECT 1 FROM t WHERE p = 'owl:inverseOf')
+UNION ALL SELECT 'P19', s FROM t WHERE p = 'rdfs:domain' GROUP BY s HAVING count(DISTINCT o) > 1
+UNION ALL SELECT DISTINCT 'P24', s FROM t WHERE p = 'rdfs:subClassOf' AND s = o
+UNION ALL SELECT 'P30', c FROM sig WHERE g IN (SELECT g FROM sig GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT DISTINCT 'P35', o FROM t WHERE p IN ('rdfs:domain', 'rdfs:range') AND NOT starts_with(o, 'xsd:') AND o NOT IN (SELECT s FROM t WHERE p = 'rdf:type' AND o IN ('owl:Class', 'rdfs:Datatype'))
+UNION ALL SELECT 'P41', s FROM t WHERE p = 'rdf:type' AND o = 'owl:Ontology' AND s NOT IN (SELECT s FROM t WHERE p IN ('dcterms:license', 'dcterms:rights'))""")
 def quality_pitfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modelling pitfalls of the schema as an ontology."""
-    c = columns(spark, sf_dir)
-    iri = lambda x: F.concat(F.lit("ex:"), x)
-    t = c.select("table_name").distinct().select(iri(F.col("table_name")).alias("s"), F.lit("rdf:type").alias("p"), F.lit("owl:Class").alias("o"))
-    p = c.select(iri(F.col("column_name")).alias("s"), F.lit("rdf:type").alias("p"), F.lit("owl:DatatypeProperty").alias("o"))
-    d = c.select(iri(F.col("column_name")).alias("s"), F.lit("rdfs:domain").alias("p"), iri(F.col("table_name")).alias("o"))
-    return graph.pitfalls(t.unionByName(p).unionByName(d).withColumn("o_is_iri", F.lit(True)))
+    """Modelling pitfalls of an ontology made of the parts."""
+    return graph.pitfalls(ontology(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)

@@ -21,7 +21,12 @@ def sessionised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
-@query()
+@query("""WITH h AS (SELECT event_type AS cluster, CAST(hour(ts) AS INT) AS hour, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2, 3),
+x AS (SELECT *, list(n) OVER (PARTITION BY cluster, hour ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS l FROM h),
+m AS (SELECT *, coalesce(list_median(l), 0)::DOUBLE AS mid FROM x),
+d AS (SELECT *, greatest(coalesce(1.4826 * list_median(list_transform(l, lambda v: abs(v - mid))), 0.5), 0.5)::DOUBLE AS s FROM m)
+SELECT cluster, hour, day, n, round(mid, 6) AS expected, round(s, 6) AS sd, round((n - mid) / s, 6) AS z,
+ CASE WHEN coalesce(len(l), 0) < 3 OR abs((n - mid) / s) < 2.576 THEN 'normal' WHEN n > mid THEN 'spike' ELSE 'dip' END AS direction FROM d""")
 def rate_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The online detector over the hourly counts of all events."""
     from weftline.operators.series import hourly_counts
@@ -31,7 +36,8 @@ def rate_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly.write.parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _update(spark, R.detect_rates(spark.readStream.schema(hourly.schema).parquet(path)))
+    found = _update(spark, R.detect_rates(spark.readStream.schema(hourly.schema).parquet(path)))
+    return found.select("cluster", "hour", "day", "n", *[F.round(c, 6).alias(c) for c in ("expected", "sd", "z")], "direction")
 
 
 def _update(spark: SparkSession, stream: DataFrame) -> DataFrame:

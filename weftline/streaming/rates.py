@@ -13,33 +13,47 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-RATE_OUT = "cluster string, hour int, day date, n long, expected double, z double"
+RATE_OUT = (
+    "cluster string, hour int, day date, n long, expected double, sd double, z double, is_anomaly boolean, direction string, via string"
+)
 
 
 class RateDetector(StatefulProcessor):
-    """Scores a (cluster, hour)'s count against its last 30, then appends it; scores from 3 on, deviation 0.5 at least."""
+    """Scores a (cluster, hour)'s count against the median and MAD of its last 30, then appends it.
 
-    SIZE, WARM, FLOOR = 30, 3, 0.5
+    A refitted baseline (columns mu and sd of the rows, where given) takes their
+    place. A count is an anomaly from 3 earlier ones on; the scale is 0.5 at least.
+    """
+
+    SIZE, WARM, FLOOR, SCALE, LEAST_Z = 30, 3, 0.5, 1.4826, 2.576
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.past = handle.getValueState("past", "counts string")
 
+    def baseline(self, past: list[int]) -> tuple[float, float]:
+        if not past:
+            return 0.0, self.FLOOR
+        mid = float(np.median(past))
+        return mid, max(self.SCALE * float(np.median(np.abs(np.array(past) - mid))), self.FLOOR)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         past = json.loads(self.past.get()[0]) if self.past.exists() else []
         new = pd.concat(list(rows)).sort_values("day")
         out = []
         for r in new.itertuples():
-            mid = z = None
-            if len(past) >= self.WARM:
-                mid = float(np.median(past))
-                z = float((r.n - mid) / max(np.std(past), self.FLOOR))
-            out.append((key[0], int(key[1]), r.day, int(r.n), mid, z))
+            fitted = getattr(r, "mu", None) is not None and not pd.isna(r.mu)
+            mid, sd = (float(r.mu), max(float(r.sd), self.FLOOR)) if fitted else self.baseline(past)
+            z = (r.n - mid) / sd
+            odd = abs(z) >= self.LEAST_Z and len(past) >= self.WARM
+            way = ("spike" if z > 0 else "dip") if odd else "normal"
+            out.append((key[0], int(key[1]), r.day, int(r.n), mid, sd, z, odd, way, "gp" if fitted else "median_mad"))
             past = (past + [int(r.n)])[-self.SIZE :]
         self.past.update((json.dumps(past),))
-        yield pd.DataFrame(out, columns=["cluster", "hour", "day", "n", "expected", "z"])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in RATE_OUT.split(", ")])
 
     def close(self) -> None:
         pass
@@ -52,13 +66,43 @@ def hourly_stream(events: DataFrame, ts: str, key: str, late: str = "2 hours") -
     return g.select("cluster", F.to_date("w.start").alias("day"), F.hour("w.start").alias("hour"), "n")
 
 
-def detect_rates(hourly: DataFrame) -> DataFrame:
-    """The detector over a stream of hourly counts."""
+def detect_rates(hourly: DataFrame, baselines: DataFrame | None = None) -> DataFrame:
+    """The detector over a stream of hourly counts, with refitted baselines(cluster, hour, mu, sd) where there are any."""
+    if baselines is not None:
+        hourly = hourly.join(baselines.select("cluster", "hour", "mu", "sd"), ["cluster", "hour"], "left")
     return hourly.groupBy("cluster", "hour").transformWithStateInPandas(
         RateDetector(), outputStructType=RATE_OUT, outputMode="Update", timeMode="None"
     )
 
 
+def refit(hourly: DataFrame, least: int = 4, noise: float = 0.1) -> DataFrame:
+    """Baselines of each cluster and hour of day by a daily Gaussian process over its last counts: (cluster, hour, mu, sd).
+
+    Only each hour's last 30 counts take part, as their number, mean and spread;
+    clusters with fewer than ``least`` counts have no baseline.
+    """
+    last = W.partitionBy("cluster", "hour").orderBy(F.desc("day"))
+    some = hourly.withColumn("k", F.row_number().over(last)).filter(F.col("k") <= RateDetector.SIZE)
+    each = some.groupBy("cluster", "hour").agg(
+        F.count("*").alias("k"), F.sum(F.col("n").cast("double")).alias("s"), F.sum(F.col("n") * F.col("n").cast("double")).alias("q"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = pdf["k"].to_numpy(float)
+        if k.sum() < least:
+            return pd.DataFrame(columns=["cluster", "hour", "mu", "sd"])
+        mean = pdf["s"].sum() / k.sum()
+        scale = max(float(np.sqrt(max(pdf["q"].sum() / k.sum() - mean**2, 0))), 1e-9)
+        x, y, every = pdf["hour"].to_numpy(float), (pdf["s"] / pdf["k"] - mean).to_numpy() / scale, np.arange(24.0)
+        kernel = lambda a, b: np.exp(-2 * np.sin(np.pi * np.abs(a[:, None] - b) / 24) ** 2)
+        solve = np.linalg.solve(kernel(x, x) + np.diag(noise / k), np.column_stack([y, kernel(x, every)]))
+        mu = kernel(every, x) @ solve[:, 0]
+        var = 1 - (kernel(every, x).T * solve[:, 1:]).sum(axis=0) + noise
+        return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "hour": np.arange(24), "mu": mean + scale * mu,
+                             "sd": scale * np.sqrt(np.maximum(var, 0))})
+
+    return each.groupBy("cluster").applyInPandas(run, "cluster string, hour int, mu double, sd double")
+
+
 class RegimeAssigner(StatefulProcessor):
     """Assigns a service's trajectories to frozen regimes by likelihood and online mixing weights (with decay)."""
 
@@ -108,9 +152,14 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
-def consolidate(stream: DataFrame, refit, checkpoint: str):
-    """A periodic refit over all that has arrived: refit(batch, number) for each available batch, then it ends."""
-    return stream.writeStream.foreachBatch(refit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def consolidate(stream: DataFrame, path: str, checkpoint: str, fit=refit):
+    """A periodic refit over all that has arrived: each available batch is appended to path/seen, then the fit of all is
+    written to path/fit-<number>; a batch that is repeated after a failure replaces its own files."""
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        fit(df.sparkSession.read.parquet(f"{path}/seen")).write.mode("overwrite").parquet(f"{path}/fit-{number:09d}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def confidence(z: float) -> float:
