@@ -194,10 +194,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.repeat(_argmin(rep, starts, lead, size), size)
         ok = (who != rep) & _close(n, n[order])
         found.append((LEADER, who[ok], rep[ok]))
+    starts = np.flatnonzero(shared < MIN_DEPTH)
+    ends = np.append(starts[1:], m)
+    mates = np.repeat(ends - starts, ends - starts)
     reach = np.full(m, DEPTH)
     for j in range(1, NEIGHBOURS + 1):
         reach = np.minimum(reach[:-1], shared[j:])  # values that rows i and i + j share
-        i = np.flatnonzero(reach >= MIN_DEPTH)
+        i = np.flatnonzero(reach >= MIN_DEPTH)  # all pairs of a small region
         i = i[_close(n[i], n[i + j]) & (rep[i] != rep[i + j])]
         found.append((NEIGHBOUR, np.minimum(rep[i], rep[i + j]), np.maximum(rep[i], rep[i + j])))
     a, b = (np.concatenate([f[k] for f in found]) for k in (1, 2))
@@ -208,9 +211,6 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     part = TaskContext.get().partitionId()
     yield _pairs(kind[new], a[new], b[new], None, None, part)
-    starts = np.flatnonzero(shared < MIN_DEPTH)
-    ends = np.append(starts[1:], m)
-    mates = np.repeat(ends - starts, ends - starts)
     dense = np.unique(rep[mates > NEIGHBOURS + 1])
     yield _pairs(np.full(len(dense), DENSE), dense, dense, None, None, part)
     for k in {0, len(starts) - 1}:
@@ -422,7 +422,8 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pairs, dense = candidates(reps, n, scratch)
     pairs, dense = scratch.save(pairs, "pairs", n), scratch.save(dense, "dense", n)
     scratch.drop("raw_pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(dense.select(F.col("v").alias("rep"))).distinct()
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(
+        dense.select(F.col("v").alias("rep"))).distinct()
     wanted = scratch.save(reps.select("rep", "row").join(ids, "rep"), "wanted", n)
     near = texts.filter(Bloom(wanted, "row").flag("row")).join(wanted, "row").select("rep", "text")
     sets = scratch.save(near.mapInArrow(_full_sets, "id long, items binary"), "sets")
