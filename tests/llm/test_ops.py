@@ -1,7 +1,9 @@
 """Corpus operators against brute force, with nulls, empty and repeated rows, empty tables and extra columns."""
 
 import collections
+import gzip
 import hashlib
+import json
 import math
 import random
 import re
@@ -270,6 +272,15 @@ def test_lattice_sums_all_segmentations():
     want = [math.log(brute(b" " + w)) for w in words]
     assert np.allclose(lat.log_probabilities(words, nw), want)
     assert np.allclose([lat.word(b" " + w, nw) for w in words], want)
+    # long words are whole: the recursion for them gives what the one for short words gives
+    rnd = random.Random(1)
+    long = ["".join(rnd.choice("ab") for _ in range(k)).encode() for k in (lattice.LONG_WORD, lattice.LONG_WORD + 1, 300)]
+    one = [lat._word_expected(b" " + w, 2, nw, np.append(weight, lattice.NEVER))[:-1] for w in [*long, *words]]
+    assert np.allclose(one[0], lat.expected(long[:1], np.array([2]), weight)) and np.allclose(one[1], lat.expected(long[1:2], np.array([2]), weight))
+    assert np.allclose(sum(one[3:]), lat.expected(words, np.full(len(words), 2), weight))
+    spelled = np.array([len(p) for p in pieces])
+    assert all(abs((u * spelled).sum() - 2 * (len(w) + 1)) < 1e-6 for u, w in zip(one, [*long, *words]))  # every letter once
+    assert all(u[0] + u[4] == pytest.approx(2) for u in one)  # one start of a word, however long
     uses = lat.expected([b"b"], np.array([3]), weight)
     assert abs(uses[0] - 3) < 1e-9 and abs(uses[2] + uses[6] - 3) < 1e-9
 
@@ -286,6 +297,29 @@ def test_lattice_base_scores(spark, docs, rows):
     want = sorted((i, len(toks(t)), sum(c[x] > 0 for x in toks(t)), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in toks(t)), 5)) for i, t in rows)
     assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == want
     assert all(r.train_tokens == n and r.score < 0 for r in got)
+    # the whole model by brute force, with the vocabulary's own weights
+    pieces, first = lattice.load_pieces(lattice.default_path())
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)
+    total = len(first) + ends + 1
+    prob = collections.defaultdict(float)
+    for p, w in zip(pieces, first):
+        prob[p] += math.exp(w) * len(first) / total
+
+    def word_log(w):
+        x = b" " + w.encode()
+        alpha = [1.0] + [0.0] * len(x)
+        for k in range(1, len(x) + 1):
+            alpha[k] = sum(alpha[j] * prob[x[j:k]] for j in range(max(0, k - 64), k) if x[j:k] in prob)
+        return math.log10(alpha[-1])
+
+    end = math.log10((ends + 1) / total)
+    want = sorted((i, round(end + sum(word_log(w) for w in WORDS.findall(lower(t or ""))), 4)) for i, t in rows)
+    plain = lattice.score_documents(docs, Scratch(spark, "t"), steps=0).collect()
+    plain_scores = sorted((r.doc_id, round(r.score, 4)) for r in plain)
+    assert len(plain_scores) == len(want)
+    assert all(a == b and abs(x - y) < 1e-3 for (a, x), (b, y) in zip(plain_scores, want))
+    mean = lambda x: sum(r.score for r in x if r.held_out)
+    assert mean(got) > mean(plain)  # fitted weights explain held-out texts better
     assert lattice.score_documents(empty(spark), Scratch(spark, "t")).count() == 0
 
 
@@ -366,6 +400,38 @@ def test_sharding_law(spark, docs, rows):
     assert sharding.shard_rows(empty(spark), 7).count() == 0
 
 
+def brute_ring(rows, shards):
+    """Rows (id, crc, pos) -> shard: homes first, then overflow clockwise, arc by arc, to the next shard with room."""
+    points = sharding.ring_points(shards)
+    total, ends = len(rows), [p for p, _ in points]
+    room = {s: (total - s + shards - 1) // shards for s in range(shards)}
+    left = collections.defaultdict(int)
+    for _, _, pos in rows:
+        left[next((a for a, e in enumerate(ends) if e >= pos), 0)] += 1
+    order = [list(dict.fromkeys(points[(a + j) % len(points)][1] for j in range(len(points)))) for a in range(len(points))]
+    placed = collections.Counter()
+    for j in range(shards):
+        for a in range(len(points)):
+            s = order[a][j]
+            n = min(left[a], room[s])
+            left[a] -= n
+            room[s] -= n
+            placed[a, s] += n
+    return {k: v for k, v in placed.items() if v}, ends
+
+
+def test_sharding_against_a_simulated_ring(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as text", "1 as shard", "2 as slot")
+    keyed_rows = d.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("c")).withColumn(
+        "pos", sharding.ring_position(F.col("doc_id").cast("string"), F.col("c"))).collect()
+    want, ends = brute_ring([tuple(r) for r in keyed_rows], 12)
+    arc = {r.doc_id: next((a for a, e in enumerate(ends) if e >= r.pos), 0) for r in keyed_rows}
+    got = collections.Counter((arc[r.doc_id], r.shard) for r in sharding.shard_rows(d, 12).collect())
+    assert got == want
+
+
 def test_sharding_moves_little(spark):
     d = spark.range(5000).selectExpr("id as doc_id", "cast(id as string) as text")
     a = {r.doc_id: r.shard for r in sharding.shard_rows(d, 20).collect()}
@@ -388,6 +454,12 @@ def test_nearest_exact_on_small_tables(spark):
         s = m @ m[q]
         want = [i for i in sorted(range(460), key=lambda i: (-round(s[i], 9), i)) if i != q][:20]
         assert by[q] == want
+    # other lengths are other spaces; an id with two vectors asks twice
+    mixed = spark.createDataFrame(
+        [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.5, 0.5]), (20, [1.0, 0.0, 0.0]), (3, [2.0, 1.0, 1.0]), (4, [1.0] * 4), (0, [-1.0, 0.0]), (0, [-1.0, 0.0])],
+        "vec_id long, embedding array<float>")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in annforest.nearest(mixed, Scratch(spark, "t")).collect()) == [
+        (0, 1, 1, 4.0), (0, 1, 2, -0.5), (0, 2, 1, -2.0), (0, 2, 2, 1.5), (20, 1, 3, 2.0)]
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in annforest.nearest(few, Scratch(spark, "t")).orderBy("rank").collect()] == [(0, 1), (0, 2)]
     assert annforest.nearest(df.limit(0), Scratch(spark, "t")).count() == 0
@@ -423,6 +495,22 @@ def test_warc_records(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(source)
     again = warc.derive_files(spark, str(tmp_path / "a.warc")).collect()
     assert len(again) == 4 and {r.record_sha256 for r in again} == {r.record_sha256 for r in got if r.page_id == 1}
+    # repeated headers and folded lines stay, quoted attributes are whole, links of hidden elements are read
+    page = """<p title='a>b' data-x="<i>">x</p><script src="s.js">if (a<b) "<a href='no'>"</script><noscript><img src=n.png></noscript>
+<iframe src='f?a=1&amp;b'>t</iframe><img srcset="1.png 1x, 2.png 2x"><form action=/go><video poster=p.jpg></video><a title="it's" href="q>r">y</a></form>"""
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nContent-Type: text/html\r\n\r\n" + page.encode()
+    source = warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:1>"), ("WARC-Concurrent-To", "<urn:a>"),
+                                ("WARC-Concurrent-To", "<urn:b>"), ("X-Long", "one\r\n two"), ("Content-Length", str(len(block)))], block)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(source) + gzip.compress(source))
+    got = warc.derive_files(spark, str(tmp_path / "b.warc.gz")).collect()
+    assert len(got) == 4
+    (own, meta), = warc.parse_records(bytes(next(r.record for r in got if r.record_type == "metadata")))
+    facts = json.loads(meta)
+    assert [v for k, v in facts["http"]["headers"] if k == "Set-Cookie"] == ["a=1", "b=2"] and ["X-Long", "one two"] in facts["source"]
+    assert [v for k, v in own if k == "WARC-Concurrent-To"] == ["<urn:a>", "<urn:b>"]
+    assert [x["url"] for x in facts["html"]["links"]] == ["s.js", "n.png", "f?a=1&b", "1.png", "2.png", "/go", "p.jpg", "q>r"]
+    (_, text), = warc.parse_records(bytes(next(r.record for r in got if r.record_type == "conversion")))
+    assert text.decode() == "x\ny"
     warc.write_warc(warc.derive_pages(df), f"file://{tmp_path}/out")
     count = sum(len(list(warc.parse_records(f.read_bytes()))) for f in (tmp_path / "out").iterdir())
     assert count == 8

@@ -17,11 +17,13 @@ all queries visit lands in one task. On vectors without any structure (the
 test tables are uniform on the sphere) recall of 0.9 needs a constant share of
 the rows; with structure, lower ``share``.
 
-Edge cases: vectors that are null, empty, zero, of another length than the
-longest, or hold null or non-finite components take no part, as query or
-candidate; rows that repeat an id count once at each distance; null ids take no
-part; with fewer than TOP candidates all are returned; an empty table gives no
-rows; other columns are ignored.
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite
+components take no part, as query or candidate; vectors of each length are a
+space of their own (between lengths there is no inner product) with a forest of
+its own; rows that repeat an id and a vector are one query, an id with several
+vectors asks once for each, and rows with the query's id aren't its candidates;
+null ids take no part; with fewer than TOP candidates all are returned; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,11 +132,17 @@ def nearest(vectors: DataFrame, scratch: Scratch, share: float = SHARE, top: int
         "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
         " and exists(v, x -> x <> 0)"
     )
-    facts = usable.agg(F.max(F.size("v")).alias("dim")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if facts["dim"] is None:
-        return empty
-    usable = usable.filter(F.size("v") == facts["dim"])
+    lengths = [r["n"] for r in usable.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # one row for each length
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        part = _nearest(usable.filter(F.size("v") == n), Scratch(spark, "ann") if len(lengths) > 1 else scratch, share, top, modulus)
+        found = part if len(lengths) == 1 else found.unionByName(part)
+    return found
+
+
+def _nearest(usable: DataFrame, scratch: Scratch, share: float, top: int, modulus: int) -> DataFrame:
+    """The same for usable(vec_id, v), vectors of one length."""
+    spark = usable.sparkSession
     # Spark cuts each group to its first rows before the shuffle
     few = usable.withColumn("k", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("k") <= top + 1)
     entries = scratch.save(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
@@ -173,9 +181,10 @@ def nearest(vectors: DataFrame, scratch: Scratch, share: float = SHARE, top: int
                     [b.column(0), b.column(1), pa.ListArray.from_arrays(offs, flat)], names=["query_id", "q", "cells"]
                 )
 
-    queries = usable.filter(F.col("vec_id") % modulus == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = scratch.save(queries.mapInArrow(ask, "query_id long, q array<double>, cells array<int>"), "asked")
-    visits = asked.select("query_id", "q", F.explode("cells").alias("cell"))
+    queries = usable.filter(F.col("vec_id") % modulus == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+    asked = queries.mapInArrow(ask, "query_id long, q array<double>, cells array<int>")
+    asked = scratch.save(asked.withColumn("ask", F.monotonically_increasing_id()), "asked")  # numbers are fixed where they are written
+    visits = asked.select("ask", "query_id", "q", F.explode("cells").alias("cell"))
     asked_n = visits.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
     by_cell = np.zeros(cells, np.int64)
     by_cell[asked_n["cell"]] = asked_n["n"]
@@ -193,26 +202,25 @@ def nearest(vectors: DataFrame, scratch: Scratch, share: float = SHARE, top: int
     rows = rows.withColumn("p", F.pmod(F.xxhash64("ids"), F.col("parts"))).select(
         "v", "ids", F.explode(F.transform(F.sequence(F.lit(0), F.col("q_parts") - 1), lambda j: key(F.col("p"), j))).alias("block")
     )
-    visits = visits.join(cuts, "cell").withColumn("p", F.pmod(F.xxhash64("query_id"), F.col("q_parts"))).select(
-        "query_id", "q",
+    visits = visits.join(cuts, "cell").withColumn("p", F.pmod(F.xxhash64("ask"), F.col("q_parts"))).select(
+        "ask", "query_id", "q",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: key(j, F.col("p")))).alias("block"),
     )
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
+        found: list[tuple[int, int, int, float]] = []
         if left.num_rows and right.num_rows:
             x, q = _vectors(left.column("v")), _vectors(right.column("q"))
             ids = [np.array(i) for i in left.column("ids").to_pylist()]
             scores = q @ x.T
-            for own, s in zip(right.column("query_id").to_pylist(), scores, strict=True):
-                found += [(own, v, z) for v, z in _top(s, ids, own, top)]
-        cols = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table(
-            {"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())}
-        )
-
-    ranked = rows.groupBy("block").cogroup(visits.groupBy("block")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = ranked.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for ask, own, s in zip(right.column("ask").to_pylist(), right.column("query_id").to_pylist(), scores, strict=True):
+                found += [(ask, own, v, z) for v, z in _top(s, ids, own, top)]
+        cols = list(zip(*found, strict=True)) or [(), (), (), ()]
+        names = ("ask", "query_id", "vec_id")
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, cols[:3], strict=True)} | {"score": pa.array(cols[3], pa.float64())})
+
+    ranked = rows.groupBy("block").cogroup(visits.groupBy("block")).applyInArrow(rank, "ask long, query_id long, vec_id long, score double")
+    best = ranked.groupBy("ask", "query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = W.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return best.select("query_id", "rank", "vec_id", "score")

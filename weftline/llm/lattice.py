@@ -2,8 +2,8 @@
 
 A word, with a mark for its start, has many segmentations into the pieces of
 an existing vocabulary. The vocabulary's own scores give each piece a first
-weight; expectation steps over the training words' lattices then fit the
-weights to the corpus. A text's probability is the product of its words' and
+weight; expectation steps over the training words' lattices (``steps``, 0 for
+none) then fit the weights to the corpus. A text's probability is the product of its words' and
 of an end; a word's sums over all its segmentations, by a forward recursion in
 log space. Pieces and the end together have probability 1. Byte pieces make
 every text possible.
@@ -86,6 +86,9 @@ class Lattice:
         for key, to in step.items():
             self.next[key >> 8, key & 255] = to
         # a byte piece can spell the same as a letter: a node has up to two pieces
+        if max(map(len, ends)) > 2:
+            raise ValueError("more than two pieces of the vocabulary spell the same")
+        self.longest = max(map(len, pieces))
         self.slots = np.full((len(ends), 2), len(pieces), np.int32)
         for at, ids in enumerate(ends):
             self.slots[at, : len(ids)] = ids[:2]
@@ -117,18 +120,50 @@ class Lattice:
             alpha[k, rows] = np.logaddexp(alpha[k, rows], alpha[i, rows] + nw[node])
         return alpha
 
+    def _spans(self, x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, node) of all pieces in one word of any length, by end: all starts walk the trie together."""
+        letters = np.frombuffer(x, np.uint8)
+        at, node = np.arange(len(x)), np.ones(len(x), np.int32)
+        found = []
+        for k in range(self.longest):
+            at, node = at[at + k < len(x)], node[at + k < len(x)]
+            node = self.next[node, letters[at + k]]
+            at, node = at[node > 0], node[node > 0]
+            full = self.slots[node, 0] < len(self.pieces)
+            found.append((at[full], at[full] + k + 1, node[full]))
+        start, end, node = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], node[order]
+
+    @staticmethod
+    def _alpha(n: int, start: np.ndarray, end: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Forward values of one word's positions; spans are ordered by end."""
+        alpha = np.full(n + 1, NEVER)
+        alpha[0] = 0.0
+        cuts = np.searchsorted(end, np.arange(n + 2))
+        for k in range(1, n + 1):
+            lo, hi = cuts[k], cuts[k + 1]
+            if hi > lo:
+                alpha[k] = np.logaddexp.reduce(alpha[start[lo:hi]] + w[lo:hi])
+        return alpha
+
     def word(self, x: bytes, nw: np.ndarray) -> float:
         """Log probability of one word, any length."""
-        alpha = [NEVER] * (len(x) + 1)
-        alpha[0] = 0.0
-        for i in range(len(x)):
-            node = 1
-            for k in range(i, len(x)):
-                node = self.next[node, x[k]]
-                if not node:
-                    break
-                alpha[k + 1] = np.logaddexp(alpha[k + 1], alpha[i] + nw[node])
-        return float(alpha[-1])
+        start, end, node = self._spans(x)
+        return float(self._alpha(len(x), start, end, nw[node])[-1])
+
+    def _word_expected(self, x: bytes, count: float, nw: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in one word, any length."""
+        n, (start, end, node) = len(x), self._spans(x)
+        alpha = self._alpha(n, start, end, nw[node])
+        # backward values are forward ones of the word from its end
+        order = np.argsort(n - start, kind="stable")
+        beta = self._alpha(n, n - end[order], n - start[order], nw[node[order]])[::-1]
+        rest, total = alpha[start] + beta[end] - alpha[-1], np.zeros(len(self.pieces) + 1)
+        for j in (0, 1):
+            ids = self.slots[node, j]
+            total += np.bincount(ids, np.exp(np.minimum(rest + wide[ids], 0)) * count, len(total))
+        return total
 
     def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(indices, letters with the start's space) by length, in bounded chunks; long words left out."""
@@ -154,13 +189,13 @@ class Lattice:
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over all segmentations of the words, long ones cut into parts."""
+        """Expected uses of each piece over all segmentations of the words, long ones one by one."""
         total = np.zeros(len(self.pieces) + 1)
         nw = self.node_weights(weight)
         wide = np.append(weight, NEVER)
-        if any(len(w) > LONG_WORD for w in words):
-            cut = [(w[a : a + LONG_WORD], c) for w, c in zip(words, counts, strict=True) for a in range(0, len(w), LONG_WORD)]
-            words, counts = [w for w, _ in cut], np.array([c for _, c in cut])
+        for w, c in zip(words, counts, strict=True):
+            if len(w) > LONG_WORD:
+                total += self._word_expected(b" " + w, c, nw, wide)
         for some, letters in self._groups(words):
             arcs = self._arcs(letters)
             n, length = letters.shape
@@ -239,7 +274,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator
 class LatticeModel:
     """Counts of the training words (h, word, c) and the fitted weights."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch, path: str | None = None):
+    def __init__(self, docs: DataFrame, scratch: Scratch, path: str | None = None, steps: int = STEPS):
         """docs(doc_id, text): learns from those outside the held-out fold."""
         spark = self.spark = docs.sparkSession
         self.scratch, self.path = scratch, path or default_path()
@@ -253,7 +288,7 @@ class LatticeModel:
         self.v = int(total[1]) + (1 if self.ends else 0)
         _, first = load_pieces(self.path)
         self.weight, self.end = self._normal(np.exp(first) * PRIOR * len(first), self.ends)
-        for _ in range(STEPS if self.n else 0):
+        for _ in range(steps if self.n else 0):
             self.weight, self.end = self._normal(
                 self._expected() + PRIOR * len(first) * np.exp(first), self.ends
             )
@@ -383,6 +418,6 @@ class LatticeModel:
         )
 
 
-def score_documents(docs: DataFrame, scratch: Scratch, path: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, scratch: Scratch, path: str | None = None, steps: int = STEPS) -> DataFrame:
     """Fit on the training fold of docs and score all of docs."""
-    return LatticeModel(docs, scratch, path).score(docs)
+    return LatticeModel(docs, scratch, path, steps).score(docs)

@@ -1,8 +1,9 @@
 """WARC derivatives: responses become linked metadata and plain-text conversion records.
 
 For each response record two records are built. The metadata record holds, as
-JSON, the source record's headers, the HTTP status line and headers, and the
-page's title, language, encoding and links. The conversion record holds the
+JSON, the source record's headers and the HTTP status line and headers (as pairs
+in their order, repeated ones too), and the page's title, language, encoding and
+links. The conversion record holds the
 page's text: no scripts, styles or markup, character references resolved, block
 elements on lines of their own. Both name the response in WARC-Refers-To, keep
 its target, date and payload digest, and carry a digest of their own block; the
@@ -14,7 +15,7 @@ its partition. Parsing is linear in the page (one scan with one pattern).
 Edge cases: a null page is an empty one and a null URL an empty target; markup
 that isn't closed runs to the end of the page; bytes outside the encoding are
 replaced; rows that repeat an id give records with equal identifiers; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,16 +40,27 @@ VERSION = "WARC/1.1"
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 
 #: Elements whose content isn't text, and elements that stand on lines of their own.
-HIDDEN = ("script", "style", "noscript", "template", "textarea", "iframe")
+HIDDEN = ("noscript", "template", "iframe")
 BLOCK = (
     "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul"
 ).split()
 
+#: Attributes that hold a link, by element.
+LINKS = {
+    "a": ("href",), "area": ("href",), "link": ("href",), "base": ("href",), "img": ("src", "srcset"), "source": ("src", "srcset"),
+    "script": ("src",), "iframe": ("src",), "frame": ("src",), "embed": ("src",), "audio": ("src",), "video": ("src", "poster"),
+    "track": ("src",), "input": ("src",), "form": ("action",), "object": ("data",), "blockquote": ("cite",), "q": ("cite",),
+}
+#: Elements whose content is raw text, in which nothing is markup; the other hidden ones hold markup.
+RAW = ("script", "style", "textarea")
+
+# attributes of a tag; a quoted value may hold ">", a quote that isn't closed is an ordinary character
+_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<hidden>{'|'.join(HIDDEN)})\b[^>]*+>.*?(?:</(?P=hidden)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>[^>]*+)(?:>|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW)})\b(?P<rattrs>{_ATTRS})>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_ATTRS})(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -97,31 +109,48 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
+def _links(tag: str, got: dict[str, str]) -> Iterator[dict]:
+    for key in LINKS.get(tag, ()):
+        if value := got.get(key, "").strip():
+            parts = [p.split()[0] for p in value.split(",") if p.strip()] if key == "srcset" else [value]
+            yield from ({"path": f"{tag}@/{key}", "url": p} for p in parts)
+
+
 def read_page(page: str) -> dict:
-    """text, title, lang and links of a page."""
+    """text, title, lang and links of a page; links also from elements whose content isn't text."""
     parts: list[str] = []
-    title, lang, links, at, title_at = None, "", [], 0, None
+    title, lang, links, at, title_at, inside = None, "", [], 0, None, []
     for m in _MARKUP.finditer(page):
-        parts.append(page[at : m.start()])
+        if not inside:
+            parts.append(page[at : m.start()])
         at = m.end()
+        if m["raw"]:
+            links += _links(m["raw"].lower(), attributes(m["rattrs"]))
+            continue
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
-        if tag in _BLOCKS:
+        if tag in HIDDEN:
+            if not m["close"]:
+                links += _links(tag, attributes(m["attrs"]))
+                inside.append(tag)
+            elif tag in inside:
+                del inside[inside.index(tag) :]
+            continue
+        if tag in _BLOCKS and not inside:
             parts.append("\0")  # a line break, told apart from those of the source
         if m["close"]:
             if tag == "title" and title_at is not None and title is None:
                 title = "".join(parts[title_at:])
         elif tag == "title":
             title_at = len(parts)
-        elif tag in ("a", "img", "link", "frame", "area", "html"):
+        elif tag == "html" or tag in LINKS:
             got = attributes(m["attrs"])
             if tag == "html":
                 lang = lang or got.get("lang", "")
-            for key in ("href", "src"):
-                if got.get(key):
-                    links.append({"path": f"{tag}@/{key}", "url": got[key]})
-    parts.append(page[at:])
+            links += _links(tag, got)
+    if not inside:
+        parts.append(page[at:])
     tidy = lambda s: " ".join(html.unescape(s.replace("\0", " ")).split())
     lines = [" ".join(html.unescape(x).split()) for x in "".join(parts).split("\0")]
     return {"text": "\n".join(x for x in lines if x), "title": tidy(title or ""), "lang": lang, "links": links}
@@ -142,7 +171,7 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, list
     payload = source.get("warc-payload-digest") or digest(body)
     meta = json.dumps(
         {
-            "source": dict(headers), "payload-digest": payload, "http": {"status": status, "headers": dict(http)},
+            "source": headers, "payload-digest": payload, "http": {"status": status, "headers": http},
             "html": {"title": facts["title"], "lang": facts["lang"], "charset": charset, "links": facts["links"]},
         },
         ensure_ascii=False, sort_keys=True,
@@ -157,7 +186,7 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, list
             ("WARC-Target-URI", source.get("warc-target-uri", "")), ("WARC-Date", source.get("warc-date", "")),
             ("WARC-Refers-To-Payload-Digest", payload), ("WARC-Block-Digest", digest(data)),
         ]
-        own += [(k, v) for k, v in headers if k.lower() in ("warc-ip-address", "warc-warcinfo-id", "warc-truncated")]
+        own += [(k, v) for k, v in headers if k.lower() in KEPT]
         if what == "conversion" and facts["lang"]:
             own.append(("WARC-Identified-Content-Language", facts["lang"]))
         own += [("Content-Type", content), ("Content-Length", str(len(data)))]
@@ -166,21 +195,26 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, list
 
 
 def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and block of each record of a WARC file, gzipped by record or as a whole or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """Headers and block of each record of a WARC file, gzipped by record or as a whole or not; unpacked as it is read."""
     f = io.BytesIO(data)
+    if data[:2] == b"\x1f\x8b":
+        f = io.BufferedReader(gzip.GzipFile(fileobj=f), 1 << 20)
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
         headers = []
         while (line := f.readline().rstrip(b"\r\n")):
+            if line[:1] in b" \t" and headers:  # a folded line goes on with the header before
+                headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.decode('utf-8', 'replace').strip()}")
+                continue
             k, _, v = line.decode("utf-8", "replace").partition(":")
             headers.append((k.strip(), v.strip()))
-        length = next((int(v) for k, v in headers if k.lower() == "content-length"), 0)
+        length = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdigit()), 0)
         yield headers, f.read(length)
 
 
+#: Headers of the response that both records keep, as often as they stand there.
+KEPT = ("warc-ip-address", "warc-warcinfo-id", "warc-truncated", "warc-concurrent-to")
 OUT = (
     "page_id long, record_type string, record_id string, refers_to string, target_uri string, source_digest string, "
     "block_digest string, content_length long, n_links long, title string, record_sha256 string, record binary"
@@ -217,7 +251,7 @@ def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in b.column(0):
             rows: list[tuple] = []
             for headers, block in parse_records(data.as_py()):
-                if dict(headers).get("WARC-Type") == "response":
+                if any(k.lower() == "warc-type" and v == "response" for k, v in headers):
                     rows += _rows(None, headers, block)
                 if len(rows) >= 500:
                     yield _batch(rows)
@@ -232,7 +266,7 @@ def derive_pages(pages: DataFrame) -> DataFrame:
 
 
 def derive_files(spark: SparkSession, path: str) -> DataFrame:
-    """The same from the response records of WARC files; each file is read whole by one task."""
+    """The same from the response records of WARC files; a task holds one file as it is packed (2 GB at most) and one record."""
     small_batches(spark, 1)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_from_files, OUT)
 
