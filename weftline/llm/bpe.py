@@ -12,8 +12,9 @@ Encoding is table-driven: for each start in a word, a trie's transitions give
 the tokens that begin there, and the automaton's bit for (last token, token)
 tells whether the arc exists; exactly one path reaches each position. Decoding
 emits the label (the bytes) of each arc. A whole vocabulary of 50,257 entries
-compiles, in one task, to tables of bounded size that are broadcast packed; each
-task unpacks them and builds its trie. Workers must be able to read the file.
+compiles in seconds to tables of bounded size; each worker process compiles them
+once from the file, which it must be able to read, and keeps them packed, so that
+nothing large passes the driver. Each task unpacks them and builds its trie.
 
 Words are split by the vocabulary's pattern. Characters that were assigned
 after the vocabulary's library are classified by that library instead; texts
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -46,7 +47,7 @@ from .common import small_batches
 #: The pattern that splits texts, and characters whose class never changed.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAFE = r"[\x00-՗ -₎　-鿿가-힣]*+"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 WORD32 = "I"  # unsigned, 32 bits
 
 
@@ -216,27 +217,24 @@ class Coder(dict):
         return self.labels[at].tobytes().decode("utf-8", "replace")
 
 
-def packed_tables(spark: SparkSession, path: str | None) -> bytes:
-    """Tables of a vocabulary file, compiled by a worker: the driver holds no more than what it passes on."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            pass
-        packed = zlib.compress(pickle.dumps(compile_file(path or default_path())), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["tables"])
+_packed: dict[str, bytes] = {}
+
 
-    return bytes(spark.range(0, 1, 1, 1).mapInArrow(run, "tables binary").first()["tables"])
+def tables_of(path: str) -> dict:
+    """Tables of a vocabulary file; a worker process compiles it once and keeps it packed."""
+    if path not in _packed:
+        _packed[path] = zlib.compress(pickle.dumps(compile_file(path)), 1)
+    return pickle.loads(zlib.decompress(_packed[path]))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = True, ids: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, then the digests of ids and decoded text, then the ids if asked for."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    tables = spark.sparkContext.broadcast(packed_tables(spark, path))
+    small_batches(docs.sparkSession)
     names = ["doc_id", "n_tokens"] + ["ids_sha256", "decoded_sha256"] * digests + ["ids"] * ids
     types = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(pickle.loads(zlib.decompress(tables.value)))  # of the task, so that an idle worker holds no words
+        coder = Coder(tables_of(path or default_path()))  # of the task, so that an idle worker holds no words
         for batch in batches:
             n, one, two, all_ids = [], [], [], []
             for text in batch.column(1):

@@ -14,7 +14,7 @@ The fit uses a bounded sample of labelled rows (MAX_TOXIC and MAX_CLEAN, by
 hash order of the id, MAX_BYTES of text in all), one text for an id, and runs
 in one task; CALIBRATION of them are kept from the gradient and set the
 thresholds. Scoring is one pass over all rows without a shuffle; the model has
-a bounded size (BUCKETS x DIM, and the sample's features) and is broadcast.
+a bounded size (the embeddings of the sample's telling features) and is broadcast.
 
 Edge cases: null counts as empty text; a text without words has pooled values
 of 0, so its score is the bias's; every row gives a row, repeated ids too; an id
@@ -27,6 +27,7 @@ gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -96,6 +97,7 @@ class Model:
         self.thresholds = np.zeros(len(LANGUAGES), np.float32)
         self.constant: float | None = None
         self.known = np.zeros(0, np.uint64)  # sorted hashes of the features that enough training texts hold
+        self.ready: np.ndarray | None = None  # their embeddings, in place of the table when the fit is done
 
     def buckets(self, h: np.ndarray) -> np.ndarray:
         """The rows of the table for the features of each word, two each; features that aren't known have the last row, zeros."""
@@ -117,11 +119,25 @@ class Model:
             e[some] += self.table[two[some, k]]
         return e
 
+    def embed_known(self, h: np.ndarray) -> np.ndarray:
+        """The same from features, by the embeddings of the known ones, which is all that a fitted model holds."""
+        e = np.zeros((len(h), DIM), np.float32)
+        for k in range(h.shape[1]):
+            at = self.places(h[:, k])
+            some = np.flatnonzero(at < len(self.known))
+            e[some] += self.ready[at[some]]
+        return e
+
+    def finish(self) -> None:
+        self.ready, self.table = self.embed(self.buckets(self.known[:, None])), None
+
     def shorten(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words that a filter can tell from others: those with a known feature, as many more on both sides as a filter is
         wide, and as many at a text's start. Runs of words that embed to zero give all their filters' response with these."""
         n, wide = len(h), max(WIDTHS)
-        near = (self.places(h) < len(self.known)).any(axis=1)
+        near = np.zeros(n, bool)
+        for k in range(h.shape[1]):
+            near |= self.places(h[:, k]) < len(self.known)
         keep = near.copy()
         for k in range(1, wide + 1):
             keep[k:] |= near[:-k]
@@ -153,7 +169,7 @@ class Model:
         some = np.flatnonzero(n > 0)
         if len(some):
             last = np.repeat(first[1:] - 1, n)
-            r = self.responses(self.embed(self.buckets(h)), last)
+            r = self.responses(self.embed_known(h), last)
             pooled[some] = np.maximum(np.maximum.reduceat(r, first[:-1][some], axis=0), 0)
         return pooled @ self.out + self.offset
 
@@ -176,18 +192,25 @@ class _Ada:
         self.x[rows] -= self.rate * g / np.sqrt(self.g2[rows])
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 4) -> Model:
-    """texts: features of each text, a row for each word."""
+def fit(read: Callable[[], Iterator[np.ndarray]], toxic: np.ndarray, seed: int = 4) -> Model:
+    """read() goes over the texts' features, a row for each word; it is called twice, so that only words that matter are held."""
     model = Model(seed)
     toxic = np.asarray(toxic)
     if not len(toxic) or toxic.min() == toxic.max():
-        model.constant = float(toxic.mean()) if len(toxic) else 0.0
+        model.constant, model.table = float(toxic.mean()) if len(toxic) else 0.0, None
         return model
-    model.known = _telling(texts, toxic)
+    model.known = _telling(read(), toxic)
+    texts, lang = [], []
+    for h in read():
+        whole = np.array([0, len(h)])
+        texts.append(model.shorten(h, whole)[0])
+        lang.append(int(languages(h, whole)[0]))
     # empty texts are clean: what says nothing isn't toxic
-    texts = [*texts, *[np.zeros((0, 1 + len(PREFIXES)), np.uint64)] * (len(texts) // EMPTY + 1)]
-    toxic = np.concatenate([toxic, np.zeros(len(texts) - len(toxic), toxic.dtype)])
-    two = [model.buckets(model.shorten(h, np.array([0, len(h)]))[0]) for h in texts]
+    more = len(texts) // EMPTY + 1
+    texts += [np.zeros((0, 1 + len(PREFIXES)), np.uint64)] * more
+    lang = np.array(lang + [len(FUNCTION_WORDS)] * more)
+    toxic = np.concatenate([toxic, np.zeros(more, toxic.dtype)])
+    two = [model.buckets(h) for h in texts]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     held = order[::CALIBRATION]
@@ -245,7 +268,8 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 4) -> Model:
                 ada["table"].step(total, uniq)
             ada["out"].step(g_out)
             ada["bias"].step(g_bias)
-    _calibrate(model, [texts[i] for i in held], toxic[held])
+    model.finish()
+    _calibrate(model, [texts[i] for i in held], lang[held], toxic[held])
     return model
 
 
@@ -257,12 +281,18 @@ def _log_odds(in_clean: np.ndarray, in_toxic: np.ndarray, clean: int, toxic: int
     )
 
 
-def _telling(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def _telling(texts: Iterator[np.ndarray], toxic: np.ndarray, chunk: int = 500) -> np.ndarray:
     """Sorted features that enough texts hold and that tell the labels apart."""
-    some = [np.unique(h) for h in texts]
-    seen, at = np.unique(np.concatenate(some), return_inverse=True)
-    label = np.repeat(toxic, [len(x) for x in some])
-    n0, n1 = (np.bincount(at[label == y], minlength=len(seen)) for y in (0, 1))
+    seen, counts, labels = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), iter(toxic)
+    while some := [np.unique(h) for h in itertools.islice(texts, chunk)]:
+        label = np.repeat(list(itertools.islice(labels, len(some))), [len(x) for x in some])
+        every, at = np.unique(np.concatenate([seen, *some]), return_inverse=True)
+        total = np.zeros((len(every), 2), np.int64)
+        total[at[: len(seen)]] = counts
+        for y in (0, 1):
+            total[:, y] += np.bincount(at[len(seen) :][label == y], minlength=len(every))
+        seen, counts = every, total
+    n0, n1 = counts[:, 0], counts[:, 1]
     odds = _log_odds(n0, n1, int((toxic == 0).sum()), int((toxic == 1).sum()))
     error = np.sqrt(1 / (n0 + 0.5) + 1 / (n1 + 0.5))
     return seen[(n0 + n1 >= MIN_TEXTS) & (seen > 0) & (np.abs(odds) >= MIN_ERRORS * error)]
@@ -286,16 +316,14 @@ def _start_from_counts(model: Model, two: list[np.ndarray], toxic: np.ndarray) -
         f[0, 0, 0] = 1.0
 
 
-def _calibrate(model: Model, texts: list[np.ndarray], toxic: np.ndarray) -> None:
+def _calibrate(model: Model, texts: list[np.ndarray], lang: np.ndarray, toxic: np.ndarray) -> None:
     """For each language the logit with the fewest errors on held rows; with few rows, that of all."""
-    z, lang = [], []
+    z = []
     for at in range(0, len(texts), BATCH):
         some = texts[at : at + BATCH]
         first = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
-        h = np.concatenate(some)
-        z.append(model.logits(*model.shorten(h, first)))
-        lang.append(languages(h, first))
-    z, lang = np.concatenate([*z, np.zeros(0)]), np.concatenate([*lang, np.zeros(0, np.int64)])
+        z.append(model.logits(np.concatenate(some), first))
+    z = np.concatenate([*z, np.zeros(0)])
 
     def best(z: np.ndarray, y: np.ndarray) -> float:
         if len(set(y)) < 2:
@@ -328,14 +356,16 @@ def _features(column: pa.Array, size: int = textvec.PIECE) -> Iterator[tuple[np.
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text, toxic: the whole sample -> the model."""
-    texts, ids, toxic = [], [], []
-    for batch in batches:
-        ids += batch.column(0).to_pylist()
-        toxic += batch.column(2).to_pylist()
-        for h, first in _features(batch.column(1)):
-            texts += [h[first[i] : first[i + 1]] for i in range(len(first) - 1)]
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    model = fit([texts[i] for i in order], np.array([toxic[i] for i in order], np.int64))
+    if not (rows := list(batches)):
+        return
+    sample = pa.Table.from_batches(rows).sort_by("doc_id")
+
+    def read() -> Iterator[np.ndarray]:
+        for column in sample.column(1).chunks:
+            for h, first in _features(column, 1 << 18):
+                yield from (h[first[i] : first[i + 1]] for i in range(len(first) - 1))
+
+    model = fit(read, sample.column(2).to_numpy().astype(np.int64))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
@@ -353,7 +383,7 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     rank = W.orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = texts.withColumn("sum", F.sum(F.octet_length("text")).over(rank)).filter(F.col("sum") <= MAX_BYTES)
     found = sample.select("doc_id", "text", "toxic").mapInArrow(_fit_task, "model binary").first()
-    return pickle.loads(found["model"]) if found else fit([], np.zeros(0))
+    return pickle.loads(found["model"]) if found else fit(lambda: iter(()), np.zeros(0, np.int64))
 
 
 def score_column(model: Model, spark) -> Callable:
@@ -364,7 +394,7 @@ def score_column(model: Model, spark) -> Callable:
     def score(text: pa.Array) -> pa.Array:
         got = [np.zeros(0)]
         with np.errstate(over="ignore"):
-            for h, first in _features(text, 1 << 19):
+            for h, first in _features(text, 1 << 18):
                 got.append(shared.value.scores(h, first))
         return pa.array(np.concatenate(got), pa.float64())
 
