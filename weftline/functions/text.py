@@ -53,7 +53,7 @@ def local_name(value: Column) -> Column:
     parts = F.filter(F.split(F.trim(value), r"[^A-Za-z0-9]+"), lambda p: p != "")
     cased = F.transform(parts, lambda p: F.when(
         (F.upper(p) == p) & (F.length(p) > 1), F.initcap(F.lower(p))
-    ).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000))))
+    ).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2**31 - 1))))
     return F.array_join(cased, "")
 
 

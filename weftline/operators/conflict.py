@@ -31,3 +31,37 @@ def resolve(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         "a", "b", F.when(priority(F.col("method_b")) < priority(F.col("method_a")), F.col("b")).otherwise(F.col("a")).alias("winner")
     )
+
+
+#: Rules that rows of the domain must keep: rule -> (table, key, what breaks it).
+CONSISTENCY = {
+    "T1-RES-STATE-01": ("resource", "resource_iri", "operational_state = 'Disabled' and admin_state = 'Unlocked'"),
+    "T1-ALARM-CLEARED-01": ("alarm", "alarm_iri", "alarm_state = 'Cleared' and cleared_at is null"),
+    "T1-BILL-DUE-01": ("customer_bill", "bill_number", "amount_due < 0 and bill_type <> 'CreditNote'"),
+    "T1-TICKET-RESOLVE-01": ("trouble_ticket", "ticket_iri", "status in ('Resolved', 'Closed') and resolved_at is null"),
+}
+CONFLICT_RULE, WINDOW_SECONDS, SHARE, LEAST = "T1-CONFLICT-TIER2-01", 300.0, 0.10, 2
+
+
+def violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """(rule_id, key) of the rows of tables(name -> rows) that break a rule; absent tables break none."""
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame([], "rule_id string, key string")
+    for rule, (name, key, breaks) in CONSISTENCY.items():
+        if name in tables:
+            hit = tables[name].filter(breaks).select(F.lit(rule).alias("rule_id"), F.col(key).cast("string").alias("key"))
+            out = out.unionByName(hit)
+    return out
+
+
+def measurement_conflicts(records: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """Keys under which at least two measurements of five minutes differ by a tenth of the one: (keys, n, lo, hi), both ways counted."""
+    cols = ["record", *keys, at, value]
+    x = band_join(records.select(*cols), records.select(*cols), keys, at, WINDOW_SECONDS)
+    x = x.filter((F.col("record") != F.col("r_record")) & (F.abs(F.col(value) - F.col(f"r_{value}")) > SHARE * F.col(value)))
+    return x.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).filter(F.col("n") >= LEAST)
+
+
+def open_escalations(conflicts: DataFrame) -> DataFrame:
+    """Conflicts that wait for a person."""
+    return conflicts.filter("status = 'Escalated' and escalated_to_human")

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .vectors import TIERS, tier_rank
@@ -195,20 +196,116 @@ def boundary(rows: DataFrame, ceiling: str, classes: list[str], agent: str) -> D
     )))
 
 
-#: Weights and bands of a proposal's score.
-SCORE_WEIGHTS = {"frequency": 0.25, "recency": 0.20, "coverage": 0.20, "agreement": 0.20, "novelty": 0.15}
-BANDS = ((0.80, "AUTO"), (0.50, "REVIEW"))
+#: Weights and bands of a proposal's score, hazards of its kinds.
+SCORE_WEIGHTS = {
+    "evidence_volume": 0.25, "evidence_recency": 0.20, "cross_domain": 0.20, "consistency_risk": 0.20, "schema_alignment": 0.15,
+}
+BANDS, LOWEST_BAND = ((0.80, "REVIEW_NOW"), (0.50, "WEEKLY_BATCH")), "CANDIDATE"
+KIND_RISK = {"NEW_CLASS": 0.80, "NEW_PROPERTY": 0.80, "NEW_CONSTRAINT": 0.60, "DEPRECATE": 0.40}
+VOLUME, DAYS, DOMAINS, TITLE = 30, 30.0, 3, 40
+
+
+def proposal_dimensions(proposals: DataFrame, evidence: DataFrame, known: DataFrame, now: str) -> DataFrame:
+    """proposals(proposal_id, title, kind, volume), evidence(text, source, generated_at), known(name): adds the five dimensions.
+
+    A proposal's keyword is its title up to a dash. A seeded volume above 0 counts
+    as it is; without a title volume is 0, recency 0.5, domains 0.33, alignment 0.5.
+    """
+    word = F.lower(F.substring(F.trim(F.split_part("title", F.lit("\u2014"), F.lit(1))), 1, TITLE))
+    p = proposals.withColumn("_word", F.coalesce(word, F.lit("")))
+    # each keyword meets each text once, in the task that holds the text; proposals are a review queue
+    hits = evidence.join(p.filter("_word <> ''").select("_word").distinct(), F.contains(F.lower("text"), F.col("_word")))
+    seen = hits.groupBy("_word").agg(
+        F.count("*").alias("_n"), F.max("generated_at").alias("_last"), F.countDistinct("source").alias("_sources"))
+    tokens = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != ""))
+    title, name = F.lower("title"), F.lower("name")
+    either = F.size(F.array_union(tokens(title), tokens(name)))
+    overlap = F.when(F.contains(title, name) | F.contains(name, title), 0.7).otherwise(
+        F.when(either > 0, F.size(F.array_intersect(tokens(title), tokens(name))) / either).otherwise(0.0))
+    names = known.filter("name <> ''").select("name").distinct()
+    near = p.filter("title <> ''").select("title").distinct().join(names, F.lit(True)).groupBy("title").agg(F.max(overlap).alias("_near"))
+    x = p.join(seen, "_word", "left").join(near, "title", "left")
+    age = (F.unix_micros(F.to_timestamp(F.lit(now))) - F.unix_micros(F.to_timestamp("_last"))) / F.lit(86_400e6)
+    no_word, clip = F.col("_word") == "", lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    risk = F.lit(0.5)
+    for k, r in KIND_RISK.items():
+        risk = F.when(F.col("kind") == k, r).otherwise(risk)
+    return x.select(
+        *proposals.columns,
+        F.when(F.col("volume") > 0, F.least(F.col("volume").cast("double"), F.lit(1.0))).when(no_word, 0.0).otherwise(
+            clip(F.coalesce("_n", F.lit(0)) / VOLUME)).alias("evidence_volume"),
+        F.when(no_word, 0.5).when(F.col("_last").isNull(), 0.3).otherwise(clip(F.exp(-age / DAYS))).alias("evidence_recency"),
+        F.when(F.coalesce("_sources", F.lit(0)) == 0, 0.33).otherwise(clip(F.col("_sources") / DOMAINS)).alias("cross_domain"),
+        risk.alias("consistency_risk"),
+        F.when(F.coalesce("title", F.lit("")) == "", 0.5).otherwise(
+            F.greatest(1 - F.coalesce("_near", F.lit(0.0)), F.lit(0.3))).alias("schema_alignment"),
+    )
 
 
 def proposal_score(rows: DataFrame) -> DataFrame:
     """Weighted score of five dimensions and its band."""
-    s = F.round(reduce(Column.__add__, [F.col(k) * w for k, w in SCORE_WEIGHTS.items()]), 6)
-    band = F.lit("REJECT")
+    s = F.round(reduce(Column.__add__, [F.col(k) * w for k, w in SCORE_WEIGHTS.items()]), 3)
+    band = F.lit(LOWEST_BAND)
     for least, name in reversed(BANDS):
         band = F.when(s >= least, name).otherwise(band)
     return rows.withColumn("score", s).withColumn("band", band)
 
 
+#: What a metric's last runs must show for an alert: (layer, metric) -> (runs, severity, limit).
+ALERTS = {
+    ("L10", "ece"): (3, 2, 0.05), ("L8", "ari"): (2, 3, 0.70), ("L9", "ranker_auc"): (3, 3, 0.10),
+    ("L11", "edge_jaccard"): (2, 3, 0.60), ("L12", "mean_merge_distance"): (3, 4, 0.15),
+}
+
+
+def drift_alerts(history: DataFrame) -> DataFrame:
+    """history(layer, metric, run, value): alerts of the last runs of each metric: (layer, metric, severity, value, threshold, recent).
+
+    Calibration error above its limit in every run, stability indices below
+    theirs in the last, a ranking score that fell from its best, a distance that
+    rose since the first. With fewer runs than a rule needs there is no alert.
+    """
+    last = W.partitionBy("layer", "metric").orderBy(F.desc("run"))
+    some = history.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= max(n for n, _, _ in ALERTS.values()))
+    got = some.groupBy("layer", "metric").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("_k")).alias("k"), "value"))), lambda r: r["value"]).alias("h"))
+    found = None
+    for (layer, metric), (runs, severity, limit) in ALERTS.items():
+        h = F.slice(F.col("h"), F.greatest(F.size("h") - runs + 1, F.lit(1)), F.lit(runs))
+        x = got.filter((F.col("layer") == layer) & (F.col("metric") == metric) & (F.size("h") >= runs)).withColumn("recent", h)
+        end = F.element_at("recent", -1)
+        hit = {
+            "ece": F.array_min("recent") > limit, "ari": end < limit, "edge_jaccard": end < limit,
+            "ranker_auc": F.array_max("recent") - end > limit, "mean_merge_distance": end - F.col("recent")[0] > limit,
+        }[metric]
+        x = x.filter(hit).select("layer", "metric", F.lit(severity).alias("severity"), end.alias("value"), F.lit(limit).alias("threshold"), "recent")
+        found = x if found is None else found.unionByName(x)
+    return found
+
+
+def slot_condition(column: Column, op: str, value=None) -> Column:
+    """A rule's condition on a slot: = != < <= > >= regex in exists not_null; a null slot meets none but !=."""
+    if op in ("exists", "not_null"):
+        return column.isNotNull()
+    if op == "regex":
+        hit = column.cast("string").rlike(value)
+    elif op == "in":
+        if not isinstance(value, (list, tuple)):
+            raise ValueError("in takes a list")
+        hit = column.isin(*value)
+    elif op in _OPS and op != "like":
+        hit = _OPS[op](column, F.lit(value))
+    else:
+        raise ValueError(f"unknown operator {op!r}")
+    return F.coalesce(hit, F.lit(op == "!="))
+
+
+def slot_rule(rows: DataFrame, conditions: list[tuple], assertion: tuple[str, str], subject: str) -> DataFrame:
+    """Triples that a rule asserts of the rows that meet all its conditions (column, operator, value): (s, p, o)."""
+    hit = reduce(Column.__and__, [slot_condition(F.col(c), *rest) for c, *rest in conditions], F.lit(True))
+    return rows.filter(hit).select(F.col(subject).alias("s"), F.lit(assertion[0]).alias("p"), F.lit(str(assertion[1])).alias("o"))
+
+
 def psi(old: Column, new: Column, floor: float = 1e-4) -> Column:
     """One bin's part of the population stability index."""
     a, b = F.greatest(old, F.lit(floor)), F.greatest(new, F.lit(floor))

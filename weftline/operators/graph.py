@@ -78,12 +78,16 @@ def closure(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) ->
     return known
 
 
-def subclasses(edges: DataFrame, classes: list[str], sub: str = "sub", sup: str = "sup") -> DataFrame:
-    """The classes and all below them."""
-    spark = edges.sparkSession
-    own = spark.createDataFrame([(c,) for c in classes], "cls string")
-    below = closure(edges, sub, sup).filter(F.col("b").isin(*classes)).select(F.col("a").alias("cls"))
-    return own.unionByName(below).distinct()
+def subclasses(edges: DataFrame, classes: list[str], sub: str = "sub", sup: str = "sup", rounds: int = 1000) -> DataFrame:
+    """The classes and all below them, searched from the classes down: only what is reached is joined again."""
+    below = edges.select(F.col(sup).alias("cls"), F.col(sub).alias("next")).distinct()
+    known = new = _cut(edges.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(classes)], "cls string"))
+    for _ in range(rounds):
+        new = _cut(new.join(below, "cls").select(F.col("next").alias("cls")).distinct().join(known, "cls", "left_anti"))
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    return known
 
 
 Atom = tuple[str, tuple[str, ...]]
@@ -241,11 +245,3 @@ def pitfalls(triples: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Nodes that reach themselves."""
     return closure(edges, a, b).filter("a = b").select("a").distinct()
-
-
-def sql_closure(spark: SparkSession, view: str, start: str) -> DataFrame:
-    """Levels below a start by a recursive query, for hierarchies without cycles."""
-    return spark.sql(
-        f"WITH RECURSIVE r(id, level) AS (SELECT b, 1 FROM {view} WHERE a = '{start}' UNION ALL "
-        f"SELECT e.b, r.level + 1 FROM r JOIN {view} e ON e.a = r.id) SELECT id, min(level) AS level FROM r GROUP BY id"
-    )

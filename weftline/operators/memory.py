@@ -66,6 +66,28 @@ def contradictions(records: DataFrame, keys: list[str]) -> DataFrame:
     return g.filter("n_values > 1")
 
 
+def escalate(records: DataFrame, now: str) -> DataFrame:
+    """A conflict record for each pair of active measurements of an entity with different values.
+
+    The identifier is made from the pair, so a second run gives the same records.
+    Measurements that agree meet as one row for each value, so a pair is made
+    only where values differ; the pairs themselves are the result.
+    """
+    x = active(records).filter("method = 'MEASURED' and value is not null").select("record", "entity", "value")
+    by_value = x.groupBy("entity", "value").agg(F.count("*").alias("_n"))
+    odd = by_value.groupBy("entity").agg(F.count("*").alias("_values")).filter("_values > 1").select("entity")
+    a = x.join(odd, "entity")
+    b = a.select("entity", F.col("record").alias("record_b"), F.col("value").alias("value_b"))
+    pair = a.join(b, "entity").filter("record < record_b and value <> value_b")
+    return pair.select(
+        F.concat(F.lit("memory/conflict/"), F.substring(F.sha2(F.concat_ws("|", "record", "record_b"), 256), 1, 32)).alias("record"),
+        "entity", F.lit("CONFLICT").alias("kind"), F.lit("SYNTHESIZED").alias("method"),
+        F.lit("MEASURED_CONTRADICTION").alias("conflict_type"), F.col("record").alias("record_a"), "record_b",
+        F.substring(F.col("value").cast("string"), 1, 200).alias("value_a"), F.substring(F.col("value_b").cast("string"), 1, 200).alias("value_b"),
+        F.lit(now).cast("timestamp_ntz").alias("generated_at"),
+    )
+
+
 def chain(records: DataFrame, steps: int = 2) -> DataFrame:
     """Invalidation chains of up to steps: (record, step, by)."""
     link = records.filter("invalidated_by is not null").select("record", "invalidated_by")

@@ -51,13 +51,17 @@ def gp_rates(hourly: DataFrame, key: str, least: int = 12, hours: int = 4, induc
     return x.groupBy(key).applyInPandas(run, f"{key} {kind}, day timestamp, hour int, n long, expected double, z double")
 
 
-def template_vectors(templates: DataFrame, k: int = 12) -> DataFrame:
-    """Bags of words reduced by PCA and scaled to length 1 (templates are a catalogue of a few thousand rows)."""
+def template_vectors(templates: DataFrame, k: int = 12, words: int = 4096) -> DataFrame:
+    """Bags of words reduced by PCA and scaled to length 1; with more than ``words`` words the rarest have no place of
+    their own and count together as one."""
     from pyspark.ml.feature import PCA, CountVectorizer, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     x = templates.withColumn("_w", F.regexp_extract_all(F.lower("template"), F.lit(r"[a-z_]{2,}"), 0))
-    cv = CountVectorizer(inputCol="_w", outputCol="_bag", vocabSize=2048).fit(x)
+    often = x.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(words - 1)
+    kept = F.broadcast(often.agg(F.collect_set("w").alias("_kept")))  # one row of words - 1 words at most
+    x = x.crossJoin(kept).withColumn("_w", F.transform("_w", lambda w: F.when(F.array_contains("_kept", w), w).otherwise("<rare>")))
+    cv = CountVectorizer(inputCol="_w", outputCol="_bag", vocabSize=words).fit(x)
     x = cv.transform(x)
     k = min(k, len(cv.vocabulary))
     x = PCA(k=k, inputCol="_bag", outputCol="_pca").fit(x).transform(x)
@@ -65,16 +69,19 @@ def template_vectors(templates: DataFrame, k: int = 12) -> DataFrame:
     return x.select(*templates.columns, vector_to_array("_unit").alias("v"))
 
 
-def nearest_templates(vectors: DataFrame, most: float = 0.25) -> DataFrame:
-    """Pairs of the catalogue at a cosine distance of most at the most: (a, b, distance)."""
+def nearest_templates(vectors: DataFrame, most: float = 0.25, block: int = 10_000) -> DataFrame:
+    """Pairs of the catalogue at a cosine distance of most at the most: (a, b, distance); one side comes in blocks of bounded size."""
     from weftline.functions.vector import dot
 
-    if vectors.count() > 20_000:
-        raise ValueError("too many templates to compare all pairs; use the forest index")
+    blocks = vectors.count() // block + 1
     a = vectors.select(F.col("template").alias("a"), F.col("v").alias("va"))
-    b = vectors.select(F.col("template").alias("b"), F.col("v").alias("vb"))
-    x = a.join(b, F.col("a") < F.col("b")).withColumn("distance", 1 - dot(F.col("va"), F.col("vb")))
-    return x.filter(F.col("distance") <= most).select("a", "b", "distance")
+    b = vectors.select(F.col("template").alias("b"), F.col("v").alias("vb"), F.pmod(F.xxhash64("template"), F.lit(blocks)).alias("_block"))
+    found = None
+    for i in range(blocks):
+        x = a.join(F.broadcast(b.filter(F.col("_block") == i)), F.col("a") < F.col("b"))
+        x = x.withColumn("distance", 1 - dot(F.col("va"), F.col("vb"))).filter(F.col("distance") <= most).select("a", "b", "distance")
+        found = x if found is None else found.unionByName(x)
+    return found
 
 
 def review_ranker(decisions: DataFrame, numeric: list[str], kind: str, label: str = "approved", least: int = 20):

@@ -41,15 +41,22 @@ def composite(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("score", F.round(F.col("sim") * conf * age, 6)).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def search_many(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """k nearest of each query of a small table (one broadcast of checked size): (qid, vec_id, sim, rank)."""
-    if queries.count() > 10_000:
-        raise ValueError("too many queries for a broadcast; use the forest index")
-    x = records.crossJoin(F.broadcast(queries)).select(
-        "qid", "vec_id", "label", "qlabel", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")
-    )
-    w = W.partitionBy("qid").orderBy(F.desc("sim"), "vec_id")
-    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+#: Queries that one broadcast holds.
+QUERY_BLOCK = 10_000
+
+
+def search_many(records: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """k nearest of each query: (qid, vec_id, sim, rank). The queries meet all records in blocks of bounded size."""
+    blocks = queries.count() // block + 1
+    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    found, w = None, W.partitionBy("qid").orderBy(F.desc("sim"), "vec_id")
+    for i in range(blocks):
+        some = numbered.filter(F.col("_block") == i).drop("_block")  # about block rows, whatever the number of queries
+        x = records.crossJoin(F.broadcast(some)).select(
+            "qid", "vec_id", "label", "qlabel", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim"))
+        x = x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        found = x if found is None else found.unionByName(x)
+    return found
 
 
 def unchanged_removed(rows: DataFrame, index: DataFrame) -> DataFrame:

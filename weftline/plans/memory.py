@@ -125,3 +125,12 @@ def conflict_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winner of each conflict by how its value was derived."""
     o = observations(spark, sf_dir).withColumn("at", seconds("generated_at"))
     return C.resolve(C.kpi_pairs(o, ["entity", "kind"], "at", "value", 300.0, 0.1))
+
+
+@query(f"""WITH {OBS}, m AS (SELECT * FROM o WHERE method = 'MEASURED' AND invalidated_by IS NULL AND value IS NOT NULL)
+SELECT a.entity AS entity, a.record AS record_a, b.record AS record_b, CAST(a.value AS VARCHAR) AS value_a, CAST(b.value AS VARCHAR) AS value_b, 'MEASURED_CONTRADICTION' AS conflict_type
+FROM m a JOIN m b ON a.entity = b.entity AND a.record < b.record AND a.value <> b.value""")
+def memory_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflict records of measurements that contradict each other."""
+    x = M.escalate(observations(spark, sf_dir), T2)
+    return x.select("entity", "record_a", "record_b", "value_a", "value_b", "conflict_type")

@@ -63,17 +63,96 @@ def federation_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.boundary(x, "Internal", ["0", "1", "2", "3"], "agent0").select("vec_id", F.array_join("reasons", ";").alias("reasons"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_size / 50.0 AS frequency, (p_partkey % 10) / 10.0 AS recency, (p_partkey % 7) / 7.0 AS coverage, (p_partkey % 3) / 3.0 AS agreement, (p_partkey % 5) / 5.0 AS novelty FROM part),
-t AS (SELECT p_partkey, round(frequency::DOUBLE * 0.25 + recency::DOUBLE * 0.2 + coverage::DOUBLE * 0.2 + agreement::DOUBLE * 0.2 + novelty::DOUBLE * 0.15, 6) AS score FROM s)
-SELECT p_partkey, score, CASE WHEN score >= 0.8 THEN 'AUTO' WHEN score >= 0.5 THEN 'REVIEW' ELSE 'REJECT' END AS band FROM t""")
+PROPOSALS = """p AS (SELECT DISTINCT p_type AS proposal_id, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE split_part(p_type, ' ', 1) || ' \u2014 seen' END AS title,
+  (['NEW_CLASS', 'NEW_PROPERTY', 'NEW_CONSTRAINT', 'DEPRECATE', 'OTHER'])[p_size % 5 + 1] AS kind, CASE WHEN p_size % 4 = 0 THEN p_size / 50.0 END AS volume FROM part WHERE p_size < 20),
+ev AS (SELECT lower(p_type || ' ' || p_brand) AS text, p_brand AS source, TIMESTAMP '2024-01-01' + INTERVAL (p_partkey % 40) DAY AS made FROM part),
+w AS (SELECT DISTINCT *, lower(trim(split_part(title, '\u2014', 1))[:40]) AS word FROM p),
+seen AS (SELECT word, count(*) AS n, max(ev.made) AS newest, count(DISTINCT source) AS k FROM (SELECT DISTINCT word FROM w WHERE word <> '') JOIN ev ON contains(text, word) GROUP BY 1),
+known AS (SELECT DISTINCT lower(p_brand) AS name FROM part UNION SELECT 'standard'),
+near AS (SELECT title, max(CASE WHEN contains(lower(title), name) OR contains(name, lower(title)) THEN 0.7 ELSE len(list_intersect(string_split(lower(title), ' '), string_split(name, ' '))) / len(list_distinct(string_split(lower(title), ' ') || string_split(name, ' '))) END) AS near
+  FROM (SELECT DISTINCT title FROM p WHERE title <> ''), known GROUP BY 1)"""
+
+
+@query(f"""WITH {PROPOSALS}, d AS (SELECT proposal_id, kind, w.title,
+ CASE WHEN volume > 0 THEN least(volume, 1) WHEN word = '' THEN 0 ELSE least(coalesce(n, 0) / 30, 1) END::DOUBLE AS evidence_volume,
+ CASE WHEN word = '' THEN 0.5 WHEN newest IS NULL THEN 0.3 ELSE least(exp(-(epoch(TIMESTAMP '2024-02-15') - epoch(newest)) / 86400.0 / 30.0), 1) END::DOUBLE AS evidence_recency,
+ CASE WHEN coalesce(k, 0) = 0 THEN 0.33 ELSE least(k / 3, 1) END::DOUBLE AS cross_domain,
+ CASE kind WHEN 'NEW_CLASS' THEN 0.8 WHEN 'NEW_PROPERTY' THEN 0.8 WHEN 'NEW_CONSTRAINT' THEN 0.6 WHEN 'DEPRECATE' THEN 0.4 ELSE 0.5 END::DOUBLE AS consistency_risk,
+ CASE WHEN w.title = '' THEN 0.5 ELSE greatest(1 - coalesce(near, 0), 0.3) END::DOUBLE AS schema_alignment FROM w LEFT JOIN seen USING (word) LEFT JOIN near ON near.title = w.title),
+s AS (SELECT *, round(evidence_volume * 0.25::DOUBLE + evidence_recency * 0.2::DOUBLE + cross_domain * 0.2::DOUBLE + consistency_risk * 0.2::DOUBLE + schema_alignment * 0.15::DOUBLE, 3) AS score FROM d)
+SELECT proposal_id, kind, title, score, CASE WHEN score >= 0.8 THEN 'REVIEW_NOW' WHEN score >= 0.5 THEN 'WEEKLY_BATCH' ELSE 'CANDIDATE' END AS band FROM s""")
 def proposal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of proposals and their bands."""
-    k = F.col("p_partkey")
-    x = table(spark, sf_dir, "part").select(
-        "p_partkey", (F.col("p_size") / 50.0).alias("frequency"), ((k % 10) / 10.0).alias("recency"), ((k % 7) / 7.0).alias("coverage"),
-        ((k % 3) / 3.0).alias("agreement"), ((k % 5) / 5.0).alias("novelty"),
-    )
-    return G.proposal_score(x).select("p_partkey", "score", "band")
+    """Five dimensions of proposals from the evidence for their keyword, their score and band."""
+    part, size = table(spark, sf_dir, "part"), F.col("p_size")
+    kinds = F.array(*[F.lit(k) for k in (*G.KIND_RISK, "OTHER")])
+    p = part.filter("p_size < 20").select(
+        F.col("p_type").alias("proposal_id"),
+        F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.concat(F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit(" \u2014 seen"))).alias("title"),
+        F.element_at(kinds, (size % 5 + 1).cast("int")).alias("kind"), F.when(size % 4 == 0, size / 50.0).alias("volume")).distinct()
+    ev = part.select(
+        F.concat_ws(" ", "p_type", "p_brand").alias("text"), F.col("p_brand").alias("source"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(p_partkey % 40 as int))").alias("generated_at"))
+    known = part.select(F.lower("p_brand").alias("name")).distinct().unionByName(spark.range(1).select(F.lit("standard").alias("name")))
+    x = G.proposal_score(G.proposal_dimensions(p, ev, known, "2024-02-15"))
+    return x.select("proposal_id", "kind", "title", "score", "band")
+
+
+HISTORY = """h AS (SELECT (['L10', 'L8', 'L9', 'L11', 'L12'])[k + 1] AS layer, (['ece', 'ari', 'ranker_auc', 'edge_jaccard', 'mean_merge_distance'])[k + 1] AS metric, run, v AS value
+ FROM (SELECT event_id % 5 AS k, CAST(ts AS DATE) AS run, round(avg(value) / 100, 4) AS v FROM events GROUP BY 1, 2)),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY run DESC) AS k FROM h), l AS (SELECT layer, metric, list(value ORDER BY run) AS t FROM r WHERE k <= 3 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {HISTORY}, a AS (SELECT layer, metric, CASE metric WHEN 'ece' THEN 2 WHEN 'mean_merge_distance' THEN 4 ELSE 3 END AS severity, t[-1] AS value,
+ CASE metric WHEN 'ece' THEN 0.05 WHEN 'ari' THEN 0.7 WHEN 'ranker_auc' THEN 0.1 WHEN 'edge_jaccard' THEN 0.6 ELSE 0.15 END::DOUBLE AS threshold,
+ CASE metric WHEN 'ece' THEN len(t) >= 3 AND list_min(t) > 0.05 WHEN 'ari' THEN len(t) >= 2 AND t[-1] < 0.7 WHEN 'edge_jaccard' THEN len(t) >= 2 AND t[-1] < 0.6
+  WHEN 'ranker_auc' THEN len(t) >= 3 AND list_max(t) - t[-1] > 0.1 ELSE len(t) >= 3 AND t[-1] - t[1] > 0.15 END AS hit FROM l) SELECT layer, metric, severity, value, threshold FROM a WHERE hit""")
+def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of five rules over the last runs of metrics."""
+    names = F.array(*[F.struct(F.lit(a).alias("layer"), F.lit(b).alias("metric")) for a, b in G.ALERTS])
+    order = [("L10", "ece"), ("L8", "ari"), ("L9", "ranker_auc"), ("L11", "edge_jaccard"), ("L12", "mean_merge_distance")]
+    assert list(G.ALERTS) == order
+    e = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 5).alias("k"), F.to_date("ts").alias("run")).agg(
+        F.round(F.avg("value") / 100, 4).alias("value"))
+    h = e.withColumn("n", F.element_at(names, (F.col("k") + 1).cast("int"))).select("n.layer", "n.metric", "run", "value")
+    return G.drift_alerts(h).drop("recent")
+
+
+@query("""SELECT * FROM (SELECT 'T1-RES-STATE-01' AS rule_id, CAST(p_partkey AS VARCHAR) AS key FROM part WHERE p_size % 3 = 0 AND p_brand LIKE '%1'
+UNION ALL SELECT 'T1-ALARM-CLEARED-01', CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'error' AND event_id % 4 = 0
+UNION ALL SELECT 'T1-BILL-DUE-01', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0 AND c_mktsegment <> 'BUILDING'
+UNION ALL SELECT 'T1-TICKET-RESOLVE-01', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0)""")
+def consistency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break the state rules of resources, alarms, bills and tickets."""
+    from weftline.operators import conflict
+
+    t = lambda n: table(spark, sf_dir, n)
+    stamp = F.lit("2024-01-01").cast("timestamp_ntz")
+    return conflict.violations({
+        "resource": t("part").select(
+            F.col("p_partkey").alias("resource_iri"), F.when(F.col("p_size") % 3 == 0, "Disabled").otherwise("Enabled").alias("operational_state"),
+            F.when(F.col("p_brand").endswith("1"), "Unlocked").otherwise("Locked").alias("admin_state")),
+        "alarm": t("events").select(
+            F.col("event_id").alias("alarm_iri"), F.when(F.col("event_type") == "error", "Cleared").otherwise("Raised").alias("alarm_state"),
+            F.when(F.col("event_id") % 4 != 0, stamp).alias("cleared_at")),
+        "customer_bill": t("customer").select(
+            F.col("c_custkey").alias("bill_number"), F.col("c_acctbal").alias("amount_due"),
+            F.when(F.col("c_mktsegment") == "BUILDING", "CreditNote").otherwise("Invoice").alias("bill_type")),
+        "trouble_ticket": t("orders").select(
+            F.col("o_orderkey").alias("ticket_iri"), F.when(F.col("o_orderstatus") == "F", "Resolved").otherwise("Open").alias("status"),
+            F.when(F.col("o_orderkey") % 5 != 0, stamp).alias("resolved_at")),
+    })
+
+
+@query("""WITH k AS (SELECT event_id AS record, user_id, event_type, epoch_us(ts) / 1e6 AS t, value FROM events)
+SELECT a.user_id AS user_id, a.event_type AS event_type, count(*) AS n, min(a.value) AS lo, max(a.value) AS hi FROM k a JOIN k b ON a.user_id = b.user_id AND a.event_type = b.event_type
+ AND a.record <> b.record AND abs(a.t - b.t) < 300 WHERE abs(a.value - b.value) > a.value * 0.1::DOUBLE GROUP BY 1, 2 HAVING count(*) >= 2""")
+def measurement_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with conflicting measurements within five minutes."""
+    from weftline.operators import conflict
+    from weftline.operators.range_join import seconds
+
+    k = table(spark, sf_dir, "events").select(F.col("event_id").alias("record"), "user_id", "event_type", seconds("ts").alias("t"), "value")
+    return conflict.measurement_conflicts(k, ["user_id", "event_type"], "t", "value")
 
 
 @query("""WITH c AS (SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bin, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY 1, 2),

@@ -136,11 +136,14 @@ def output_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.output_gate(d, {"src0": 20, "src1": 5, "src99": 1})
 
 
-@query("""SELECT concat('part/', p_partkey) AS s, 'flag' AS p, 'large' AS o FROM part WHERE p_size >= 40 AND p_retailprice > 100""")
+@query("""SELECT concat('part/', p_partkey) AS s, 'flag' AS p, 'large' AS o FROM part WHERE p_size >= 40 AND p_retailprice > 100 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#21', 'Brand#22', 'Brand#31')
+ AND regexp_matches(p_type, '^[A-Z]') AND p_name IS NOT NULL""")
 def slot_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples that a rule over slots derives."""
-    x = table(spark, sf_dir, "part").filter(G.policy("p_size >= 40 and p_retailprice > 100"))
-    return x.select(F.concat(F.lit("part/"), "p_partkey").alias("s"), F.lit("flag").alias("p"), F.lit("large").alias("o"))
+    x = table(spark, sf_dir, "part").withColumn("iri", F.concat(F.lit("part/"), "p_partkey"))
+    brands = [f"Brand#{n}" for n in (11, 12, 21, 22, 31)]
+    return G.slot_rule(x, [("p_size", ">=", 40), ("p_retailprice", ">", 100), ("p_brand", "in", brands), ("p_type", "regex", "^[A-Z]"), ("p_name", "not_null")],
+                       ("flag", "large"), "iri")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_brand AS a, p_type AS b, p_size >= 25 AS new FROM part), o AS (SELECT a, b FROM e WHERE NOT new), n AS (SELECT a, b FROM e WHERE new)
