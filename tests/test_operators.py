@@ -128,6 +128,51 @@ def test_f_tail_and_causality():
     assert series.granger(x[:10], y[:10]) == 1.0
 
 
+def test_causal_gate(spark):
+    edges = spark.createDataFrame(
+        [("a", "b", 6.0, 0.85), ("c", "d", 12.0, 1.0), ("e", "f", 9.0, 0.9), ("g", "h", 1.9, 0.9), ("i", "j", 5.0, 0.6)],
+        "src string, dst string, pmi double, lead double")
+    tests = spark.createDataFrame(
+        [("a", "b", 0.01, 9.0), ("c", "d", 0.2, 3.0), ("e", "f", 0.2, 2.0), ("g", "h", 0.0, 9.0), ("i", "j", 0.0, 9.0)],
+        "src string, dst string, granger_p double, te_z double")
+    got = {r.src: (r.via, r.confidence) for r in series.causal_gate(edges, tests).collect()}
+    assert got == {"a": ("granger", pytest.approx(0.4 * 0.5 + 0.3 * 0.5 + 0.3 * 0.8)), "c": ("transfer-entropy", pytest.approx(0.4 + 0.3 + 0.3 * 0.75))}
+
+
+def test_guards_and_text_helpers(spark):
+    from weftline.sources import tables
+
+    df = spark.createDataFrame([("x_y", 1), ("x_y", 2), ("b-c", None)], "name string, n int")
+    assert gates.limited(df, 2).count() == 2 and gates.limited(df).count() == 3
+    assert {r.name for r in tables.probe(df, "name").collect()} == {"x_y", "b-c"}
+    assert [r.t for r in df.orderBy("name").select(T.label(F.col("name")).alias("t")).distinct().orderBy("t").collect()] == ["B C", "X Y"]
+    assert {r.t for r in df.select(T.row_text("Thing", name=F.col("name"), n=F.col("n")).alias("t")).collect()} == {
+        "class: Thing | name: x_y | n: 1", "class: Thing | name: x_y | n: 2", "class: Thing | name: b-c"}
+    long = "LINK" + "a" * 3000
+    assert one(spark, T.local_name(F.lit(f"{long} DOWN"))) == f"{long}Down"
+    t = spark.createDataFrame([("a", "p", "b"), ("b", "q", "c")], "s string, p string, o string")
+    made = graph.construct(t, [("?x", "p", "?y"), ("?y", "q", "?z")], ("?x", "r", "?z"))
+    assert graph.explain(made, "a", "r", "c").first().bindings == {"x": "a", "y": "b", "z": "c"}
+    tree = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("a", "d"), ("y", "x")], "sub string, sup string")
+    assert {r.cls for r in graph.subclasses(tree, ["b"]).collect()} == {"a", "b", "c", "d"}
+    assert {r.cls for r in graph.subclasses(tree, []).collect()} == set()
+
+
+def test_search_and_pairs_in_blocks(spark):
+    from weftline.operators import models
+
+    rng = np.random.RandomState(4)
+    v = rng.normal(size=(50, 6)).round(3)
+    recs = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    qs = recs.filter("vec_id < 20").selectExpr("vec_id as qid", "embedding as q", "label as qlabel")
+    rows = lambda n: sorted(tuple(r) for r in vectors.search_many(recs, qs, 4, n).collect())
+    assert rows(7) == rows(1000) and len(rows(7)) == 80
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ts = spark.createDataFrame([(f"t{i:02d}", x.tolist()) for i, x in enumerate(unit)], "template string, v array<double>")
+    want = {(f"t{i:02d}", f"t{j:02d}") for i in range(50) for j in range(i + 1, 50) if 1 - unit[i] @ unit[j] <= 0.4}
+    assert {(r.a, r.b) for r in models.nearest_templates(ts, 0.4, 9).collect()} == want and want
+
+
 def test_pc_finds_collider_and_chain():
     rng = np.random.RandomState(2)
     a, b = rng.normal(size=2000), rng.normal(size=2000)
@@ -315,8 +360,13 @@ CREATE TABLE [customers] (id int not null, created_at TIMESTAMPTZ, PRIMARY KEY (
     store.upsert(rows)
     store.upsert(rows.filter("vec_id = 1"))
     assert store.count() == 2 and [r.vec_id for r in store.search([1.0, 0.1], 5, "Internal").collect()] == [1]
+    other = stores.ParquetStore(spark, str(tmp_path / "v"), store.schema)  # another reader sees the last version
+    assert other.count() == 2 and other.version() == 2
     store.delete(rows.filter("vec_id = 1"))
-    assert store.count() == 1
+    assert store.count() == other.count() == 1
+    assert stores.REGISTRY.make("store", "parquet", spark, str(tmp_path / "v"), store.schema).count() == 1
+    with pytest.raises(KeyError):
+        stores.REGISTRY.make("store", "none")
     prov = catalog_rules.provenance(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "iri string, source_ref string"))
     assert {r.iri: r.chain for r in prov.collect()} == {"a": ["a", "b"], "b": ["b", "a"], "c": ["c"]}
     q = spark.createDataFrame([("1", "open", "x"), ("2", "approved", "y")], "proposal_id string, status string, evidence string")

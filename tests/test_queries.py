@@ -14,9 +14,12 @@ def test_query_equals_sql(spark, name):
     compare(spark, name, QUERIES[name], ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_have_values_tests():
+    import os
+
+    with open(os.path.join(os.path.dirname(__file__), "test_values.py")) as f:
+        text = f.read()
+    assert [n for n in sorted(set(QUERIES) - set(ORACLES)) if f'run("{n}")' not in text] == []
 
 
 def test_entry_has_rows(spark):

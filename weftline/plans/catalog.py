@@ -12,10 +12,10 @@ from weftline.operators import catalog_rules as R
 from weftline.operators import gates as G
 from weftline.operators import graph, models
 from weftline.operators import sequences as S
-from weftline.operators.mining import lead_ratio
+from weftline.operators.mining import WINDOW_SECONDS, directed, lead_ratio
 from weftline.operators.series import hourly_counts
 from weftline.plans.graph import triples
-from weftline.plans.mining import records
+from weftline.plans.mining import ENTITIES, entity_edges
 from weftline.session import table
 from weftline.sources import sinks, tables
 
@@ -147,10 +147,15 @@ def graphql_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.graphql(columns(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {ENTITIES}, t AS (SELECT DISTINCT ent.v, ent.rid, ent.at FROM ent),
+l AS (SELECT e.src, e.dst, round(count(*) FILTER (a.at < b.at) / nullif(count(*) FILTER (a.at <> b.at), 0), 6) AS lead
+  FROM edges e JOIN (t a JOIN t b ON abs(a.at - b.at) <= 60 AND a.v < b.v) ON a.v = e.src AND b.v = e.dst GROUP BY ALL),
+d AS (SELECT CASE WHEN lead <= 0.3 THEN dst ELSE src END AS src, CASE WHEN lead <= 0.3 THEN src ELSE dst END AS dst, CASE WHEN lead <= 0.3 THEN 1 - lead ELSE lead END AS lead FROM l WHERE lead <= 0.3 OR lead >= 0.7)
+SELECT src, dst, printf('rule: %s_then_%s%swhen: %s followed_by %s within 60s%sconfidence: %.2f', src, dst, chr(10), src, dst, chr(10), lead) AS rule FROM d""")
 def detection_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed co-occurrence as correlation rules, if any direction is clear."""
-    return sinks.detection_rules(lead_ratio(records(spark, sf_dir), 60.0))
+    """Directed edges of slot values as correlation rules."""
+    ent, edges = entity_edges(spark, sf_dir)
+    return sinks.detection_rules(directed(edges, lead_ratio(ent, WINDOW_SECONDS)))
 
 
 @query("""SELECT concat('<http://example.org/nation/', n_nationkey, '> <http://example.org/name> "', n_name, '" .') AS value FROM nation""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,9 @@ def build_session(app: str = "weftline", cpus: int | None = None, **extra: str)
     return spark
 
 
+_local: list[str] = []  # a local session's own folder, which goes with the process
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir; a temporary one only where a local session has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,7 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return tempfile.mkdtemp(prefix="weftline-")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="weftline-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

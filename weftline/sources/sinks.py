@@ -43,7 +43,7 @@ def graphql(columns: DataFrame) -> DataFrame:
 
 
 def detection_rules(edges: DataFrame, window: int = 60) -> DataFrame:
-    """Directed edges(src, dst, lead, pmi): a correlation rule as text for each."""
-    return edges.filter("direction = 'forward'").select("src", "dst", F.format_string(
+    """A correlation rule as text for each directed one of edges(src, dst, lead, directed)."""
+    return edges.filter("directed").select("src", "dst", F.format_string(
         "rule: %s_then_%s\nwhen: %s followed_by %s within %ds\nconfidence: %.2f", "src", "dst", "src", "dst", F.lit(window), "lead"
     ).alias("rule"))
