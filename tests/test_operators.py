@@ -158,6 +158,31 @@ def test_guards_and_text_helpers(spark):
     assert {r.cls for r in graph.subclasses(tree, []).collect()} == set()
 
 
+def test_seeding_ranking_and_merging(spark):
+    from weftline.operators import review
+
+    templates = spark.createDataFrame([("1", 10, "ERROR"), ("2", 2, "INFO"), ("3", 100, None)], "cluster_id string, hits long, severity string")
+    slots = spark.createDataFrame([("1", 0, "IRI", 40, True), ("1", 1, "NUMERIC", 40, False)], "cluster_id string, slot int, slot_type string, n long, pii_risk boolean")
+    edges = spark.createDataFrame([("a", "b", 5.0, 60, True), ("c", "d", 4.0, 3, True), ("e", "f", 2.9, 9, False)], "src string, dst string, pmi double, cooc long, directed boolean")
+    causal = spark.createDataFrame([("a", "b", 0.7, 0.01)], "src string, dst string, confidence double, granger_p double")
+    got = {(r.proposal_type, r.name): r for r in review.seed(templates, slots, edges, causal).collect()}
+    assert set(got) == {("LOG_EVENT", "cluster:1"), ("LOG_EVENT", "cluster:3"), ("LOG_ENTITY", "1:0:IRI"), ("LOG_CAUSAL_EDGE", "a::b"), ("LOG_RELATIONSHIP", "c::d")}
+    row = lambda *k: tuple(got[k][c] for c in review.SEED[3:])
+    assert row("LOG_EVENT", "cluster:1") == pytest.approx((0.9, 0.2, 0.8, 0, 0)) and row("LOG_EVENT", "cluster:3") == pytest.approx((1, 1, 0.3, 0, 0))
+    assert row("LOG_ENTITY", "1:0:IRI") == pytest.approx((0.7, 1, 0, 0, 0.8))
+    assert row("LOG_CAUSAL_EDGE", "a::b") == pytest.approx((0.7, 1, 0, 0.5, 0.99)) and row("LOG_RELATIONSHIP", "c::d") == pytest.approx((0.5, 0.1, 0, 0.4, 0))
+    assert len({r.proposal_id for r in got.values()}) == 5
+    top = [r.name for r in review.candidates(review.seed(templates, slots, edges, causal), 2).collect()]
+    assert top == ["cluster:1", "cluster:3"]  # 0.9 * 1.8 before 1.0 * 1.3
+    queue = spark.createDataFrame([("p", "open", "x"), ("q", "open", "y"), ("r", "open", "z")], "proposal_id string, status string, evidence string")
+    session = spark.createDataFrame([("known", ["old"])], "name string, samples array<string>")
+    merges = spark.createDataFrame([("p", "known"), ("q", "unknown")], "proposal_id string, into string")
+    after, entries = review.merge(queue, session, merges)
+    assert sorted((r.proposal_id, r.status, r.note) for r in after.collect()) == [
+        ("p", "approved", "merged-into:known"), ("q", "approved", None), ("r", "open", None)]
+    assert [tuple(r) for r in entries.collect()] == [("known", ["old", "x"])]
+
+
 def test_search_and_pairs_in_blocks(spark):
     from weftline.operators import models
 

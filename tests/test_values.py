@@ -63,6 +63,18 @@ def test_causal_tests_and_graph(run, rates):
     assert edges == {(u, v, True) for u, v in g.directed} | {(u, v, False) for u, v in g.undirected}
 
 
+def test_multimodal_graph(run):
+    series_ = collections.defaultdict(dict)
+    for r in run("multimodal_series"):
+        series_[r.node][r.bin] = r.n
+    names = sorted(series_)
+    assert {n.split(":")[0] for n in names} == {"log", "metric", "span"}
+    x = [[series_[n][b] for b in sorted(series_[n])] for n in names]
+    g = causal_graph.pc(names, np.corrcoef(x), len(x[0]))
+    edges = {(r.u, r.v, r.directed) for r in run("multimodal_graph")}
+    assert edges == {(u, v, True) for u, v in g.directed} | {(u, v, False) for u, v in g.undirected}
+
+
 def test_causal_candidates(run):
     edges = {(r.src, r.dst): r for r in run("directed_edges") if r.directed}
     rows = sql("SELECT event_type, 'user:u' || user_id, epoch_us(ts) / 1e6 FROM events")

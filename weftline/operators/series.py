@@ -178,3 +178,22 @@ def correlations(series: DataFrame, key: str, value: str = "n") -> DataFrame:
     x = series.select("bin", F.col(key).alias("a"), F.col(value).cast("double").alias("x"))
     y = series.select("bin", F.col(key).alias("b"), F.col(value).cast("double").alias("y"))
     return x.join(y, "bin").filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+
+
+def merge_sources(sources: dict[str, DataFrame], width: float) -> DataFrame:
+    """Series of several sources on one grid of bins: (node, bin, n), the node being source:key.
+
+    Each source has rows (key, at, value): a bin is the mean of its values, or the
+    number of its rows where values are null; empty bins are 0.
+    """
+    rows = None
+    for name, df in sources.items():
+        x = df.select(F.concat(F.lit(f"{name}:"), "key").alias("node"), F.col("at").cast("double").alias("at"), F.col("value").cast("double").alias("value"))
+        rows = x if rows is None else rows.unionByName(x)
+    span = rows.agg(F.min("at").alias("t0"), F.max("at").alias("t1"))  # one row
+    span = span.select("t0", (F.floor((F.col("t1") - F.col("t0")) / width) + 1).cast("long").alias("bins"))
+    binned = rows.crossJoin(F.broadcast(span)).groupBy("node", F.floor((F.col("at") - F.col("t0")) / width).cast("long").alias("bin")).agg(
+        F.coalesce(F.avg("value"), F.count("*").cast("double")).alias("n"))
+    grid = rows.select("node").distinct().crossJoin(F.broadcast(span)).select(
+        "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))
+    return grid.join(binned, ["node", "bin"], "left").select("node", "bin", F.coalesce("n", F.lit(0.0)).alias("n"))

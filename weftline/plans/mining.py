@@ -196,3 +196,24 @@ def template_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_type", F.substring(F.sha2(F.array_join(toks, " "), 256), 1, 16).alias("signature")
     ).groupBy("event_type", "signature").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ENTITIES}, t AS (SELECT DISTINCT ent.v, ent.rid, ent.at FROM ent),
+l AS (SELECT e.src, e.dst, e.pmi, e.cooc, round(count(*) FILTER (a.at < b.at) / nullif(count(*) FILTER (a.at <> b.at), 0), 6) AS lead
+  FROM edges e LEFT JOIN (t a JOIN t b ON abs(a.at - b.at) <= 60 AND a.v < b.v) ON a.v = e.src AND b.v = e.dst GROUP BY ALL),
+c AS (SELECT event_type, count(*) AS hits, CASE WHEN avg(value) < 20 THEN 'ERROR' ELSE 'info' END AS sev FROM events GROUP BY 1)
+SELECT 'LOG_EVENT' AS proposal_type, 'cluster:' || event_type AS name, 'LOG_TEMPLATE_CLUSTERING' AS strategy, least(0.4 + 0.05 * hits, 1)::DOUBLE AS confidence, least(hits / 50, 1)::DOUBLE AS evidence_volume,
+ CASE sev WHEN 'ERROR' THEN 0.8 ELSE 0.2 END::DOUBLE AS evidence_recency, 0::DOUBLE AS cross_domain, 0::DOUBLE AS consistency_risk FROM c WHERE hits >= 3
+UNION ALL SELECT 'LOG_ENTITY', event_type || ':' || slot || ':' || kind, 'LOG_TEMPLATE_CLUSTERING', least(0.5 + 0.05 * (hits / 10), 1), least(hits / 20, 1), 0, 0, 0 FROM c, (VALUES (0, 'ENUM'), (1, 'IRI')) s(slot, kind)
+UNION ALL SELECT 'LOG_RELATIONSHIP', CASE WHEN lead <= 0.3 THEN dst || '::' || src ELSE src || '::' || dst END, 'PMI_TEMPORAL_ORDERING', round(least(0.4 + (pmi - 3) / 10, 1), 6), least(cooc / 30, 1), 0, round(least(pmi / 10, 1), 6), 0 FROM l WHERE pmi >= 3""")
+def seeded_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals from templates, slots and edges, without a causal test."""
+    from weftline.operators import review as V
+
+    x = extractions(spark, sf_dir)
+    slots = M.slot_profiles(x)
+    templates = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("cluster_id")).agg(
+        F.count("*").alias("hits"), F.when(F.avg("value") < 20, "ERROR").otherwise("info").alias("severity"))
+    ent, edges = entity_edges(spark, sf_dir)
+    got = V.seed(templates, slots, M.directed(edges, M.lead_ratio(ent, M.WINDOW_SECONDS)))
+    return got.select(*[F.round(c, 6).alias(c) if c not in ("proposal_type", "name", "strategy") else c for c in V.SEED])
