@@ -9,9 +9,14 @@ SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
 
+#: Queries that have no rows, or none of a kind, on the smallest tables.
+LARGER = ("detection_rules", "directed_edges", "pmi_edges", "seeded_proposals")
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
-    compare(spark, name, QUERIES[name], ORACLES[name], SF)
+    rows = compare(spark, name, QUERIES[name], ORACLES[name], "/root/testdata/sf0.01" if name in LARGER else SF)
+    assert rows or name not in LARGER
 
 
 def test_queries_without_sql_have_values_tests():
