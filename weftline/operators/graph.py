@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weftline.session import shared_folder
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through the cluster's checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -67,11 +67,11 @@ def not_exists(left: DataFrame, right: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """All (a, b) that a path joins, with its shortest length; cycles end as known pairs are dropped."""
     step = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    known = new = _cut(step.withColumn("depth", F.lit(1)))
+    known = new = cut(step.withColumn("depth", F.lit(1)))
     for depth in range(2, rounds + 1):
         hop = step.select(F.col("a").alias("b"), F.col("b").alias("c"))
         new = new.join(hop, "b").select("a", F.col("c").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-        new = _cut(new.withColumn("depth", F.lit(depth)))
+        new = cut(new.withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         known = known.unionByName(new)
@@ -81,9 +81,9 @@ def closure(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) ->
 def subclasses(edges: DataFrame, classes: list[str], sub: str = "sub", sup: str = "sup", rounds: int = 1000) -> DataFrame:
     """The classes and all below them, searched from the classes down: only what is reached is joined again."""
     below = edges.select(F.col(sup).alias("cls"), F.col(sub).alias("next")).distinct()
-    known = new = _cut(edges.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(classes)], "cls string"))
+    known = new = cut(edges.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(classes)], "cls string"))
     for _ in range(rounds):
-        new = _cut(new.join(below, "cls").select(F.col("next").alias("cls")).distinct().join(known, "cls", "left_anti"))
+        new = cut(new.join(below, "cls").select(F.col("next").alias("cls")).distinct().join(known, "cls", "left_anti"))
         if new.isEmpty():
             break
         known = known.unionByName(new)
@@ -105,7 +105,7 @@ def datalog(facts: dict[str, DataFrame], rules: list[tuple[str, Atom, list[Atom]
                   F.lit(None).cast("string").alias("rule"), F.lit(0).alias("round"))
         for p, df in facts.items()
     ]
-    known = new = _cut(reduce(DataFrame.unionByName, packed).dropDuplicates(["predicate", "args"]))
+    known = new = cut(reduce(DataFrame.unionByName, packed).dropDuplicates(["predicate", "args"]))
     arity |= {head[0]: len(head[1]) for _, head, _ in rules}
 
     def view(source: DataFrame, atom: Atom) -> DataFrame:
@@ -133,7 +133,7 @@ def datalog(facts: dict[str, DataFrame], rules: list[tuple[str, Atom, list[Atom]
                 args = F.array(*[F.col(t[1:]) if t.startswith("?") else F.lit(t) for t in terms])
                 made.append(x.select(F.lit(head).alias("predicate"), args.alias("args"), F.lit(name).alias("rule")))
         got = reduce(DataFrame.unionByName, made).groupBy("predicate", "args").agg(F.min("rule").alias("rule"))
-        new = _cut(got.join(known, ["predicate", "args"], "left_anti").withColumn("round", F.lit(turn)).select(*known.columns))
+        new = cut(got.join(known, ["predicate", "args"], "left_anti").withColumn("round", F.lit(turn)).select(*known.columns))
         if new.isEmpty():
             break
         known = known.unionByName(new)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.catalogue import query
 from weftline.functions import text as T
 from weftline.operators import mining as M
+from weftline.operators.graph import cut
 from weftline.operators.range_join import seconds
 from weftline.session import table
 
@@ -45,7 +46,8 @@ edges AS (SELECT * FROM pmi WHERE pmi >= 2)"""
 def entity_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Entities of the events and their PMI edges."""
     x = extractions(spark, sf_dir)
-    ent = M.entity_values(x, M.slot_profiles(x), "rid", "at", "trace")
+    # written once: traces, windows, marginals and leads all read them
+    ent = cut(M.entity_values(x, M.slot_profiles(x), "rid", "at", "trace"))
     return ent, M.entity_edges(ent)
 
 
