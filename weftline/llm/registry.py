@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, bpe, dedup, lattice, mixing, neardup, pii, sharding, toxicity, warc
+from . import annforest, bpe, collocations, dedup, lattice, mixing, neardup, packing, pii, sharding, toxicity, warc, whitening
 from .common import Scratch, small_batches, table
 
 SHARDS = 40
@@ -57,9 +57,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), Scratch(spark, "phrases"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "packing"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_ann_forest, op4_toxicity, op5_bpe, op6_near_dedup, op7_lattice_lm, op8_mixing, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (
+        op1_pii, op2_exact_dedup, op3_ann_forest, op4_toxicity, op5_bpe, op6_near_dedup, op7_lattice_lm, op8_mixing, op9_warc, op10_sharding,
+        op11_whitening, op12_collocations, op13_packing,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.pii_sql(), "op2_exact_dedup": dedup.SQL, "op8_mixing": mixing.mix_sql()}
+    return {"op1_pii": pii.pii_sql(), "op2_exact_dedup": dedup.SQL, "op8_mixing": mixing.mix_sql(), "op12_collocations": collocations.collocations_sql()}
