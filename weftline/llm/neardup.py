@@ -18,9 +18,9 @@ All candidates are confirmed on full sets (100 * both >= 75 * either). Groups
 are labels first: a class takes the smallest leader that it is linked to, and
 that one's label again, so most pairs of a dense region have one label and need
 no check. What is linked across labels ends in one component at last.
-With TREES trees of MIN_DEPTH values a pair at the similarity limit shares a
-region in at least one tree with probability 1 - (1 - 0.75^3)^TREES, about
-1 - 2e-6, and a pair that shares a region ends in one component: leaders only
+Trees begin with MIN_DEPTH values of their own (POOL = TREES * MIN_DEPTH), so a
+pair at the similarity limit shares a region in at least one tree with probability
+1 - (1 - 0.75^3)^TREES, about 1 - 2e-6, and a pair that shares a region ends in one component: leaders only
 settle most pairs early, the join on rare shingles is exact for the rest.
 
 Sets are ordered by the frequency of a shingle's bucket, the same order for
@@ -56,7 +56,7 @@ from .common import Bloom, Scratch, keyed, small_batches
 from .components import components
 
 SHINGLE = 5
-POOL, TREES, DEPTH, MIN_DEPTH = 64, 24, 6, 3
+POOL, TREES, DEPTH, MIN_DEPTH = 72, 24, 6, 3
 PERCENT = 75
 NEIGHBOURS = 3
 JUMPS = 2
@@ -65,7 +65,9 @@ BUCKETS = 1 << 19
 
 _rng = np.random.default_rng(75)
 _FACTORS = _rng.integers(1, 1 << 63, POOL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ORDERS = np.array([_rng.permutation(POOL)[:DEPTH] for _ in range(TREES)])
+#: No two trees share one of their first MIN_DEPTH values: regions of different trees are independent.
+_FIRST = _rng.permutation(POOL).reshape(TREES, MIN_DEPTH)
+_ORDERS = np.array([[*f, *_rng.permutation(np.setdiff1d(np.arange(POOL), f))[: DEPTH - MIN_DEPTH]] for f in _FIRST])
 _STEP = [np.uint64(int(x) | 1) for x in _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64)]
 
 
