@@ -9,12 +9,19 @@ elements on lines of their own. Both name the response in WARC-Refers-To, keep
 its target, date and payload digest, and carry a digest of their own block; the
 identifiers are made from the source's, so a second run gives the same records.
 
+Bodies lose their chunks and their gzip or deflate coding first. Pages (HTML, or
+no content type) and other ``text/`` bodies have a conversion record; a body of
+any other type, or in a coding that isn't known, has a metadata record alone.
+The encoding is that of a byte order mark, else of the HTTP header, else of a
+meta element in the first 1,024 bytes, else UTF-8.
+
 Each response is its own unit: one pass, no shuffle, an executor's loss repeats
 its partition. Parsing is linear in the page (one scan with one pattern).
 
 Edge cases: a null page is an empty one and a null URL an empty target; markup
 that isn't closed runs to the end of the page; bytes outside the encoding are
-replaced; rows that repeat an id give records with equal identifiers; an empty
+replaced; a body that isn't in the coding its headers name is taken as it is, a
+stream that ends early as far as it goes; rows that repeat an id give records with equal identifiers; an empty
 table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -28,6 +35,7 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,6 +74,13 @@ _MARKUP = re.compile(
 )
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 _BLOCKS = frozenset(BLOCK)
+_CHUNK = re.compile(rb"(?:\r?\n)?([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r?\n")
+_CANDIDATE = re.compile(r"[\s,]*([^\s]+)")
+
+#: Byte order marks, and the names that mean Windows code page 1252 in pages.
+MARKS = {b"\xef\xbb\xbf": "utf-8", b"\xfe\xff": "utf-16-be", b"\xff\xfe": "utf-16-le"}
+WINDOWS = dict.fromkeys(("iso-8859-1", "iso8859-1", "latin1", "latin-1", "ascii", "us-ascii", "windows-1252"), "cp1252")
+PAGES = ("", "text/html", "application/xhtml+xml")
 
 
 def digest(block: bytes) -> str:
@@ -105,6 +120,89 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], body
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body in chunks (RFC 9112, 7.1) put together; one that doesn't start with a chunk as it is."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size
+        if not size or at >= len(body):
+            return b"".join(out)
+    return b"".join(out) if out else body
+
+
+def inflated(body: bytes, coding: str) -> bytes | None:
+    """A gzip or deflate body unpacked, all members of it; None for another coding."""
+    if coding not in ("gzip", "x-gzip", "deflate"):
+        return None
+    out, rest = [], body
+    for kind in (47, -15) if coding == "deflate" else (47,):  # deflate without the zlib header is common
+        try:
+            while rest:
+                unpack = zlib.decompressobj(kind)
+                out.append(unpack.decompress(rest) + unpack.flush())
+                if rest is body and kind == 47 and not unpack.eof and not out[-1]:
+                    break
+                rest = unpack.unused_data
+        except zlib.error:
+            pass
+        if b"".join(out):
+            return b"".join(out)
+        out = []
+    return body
+
+
+def entity(http: list[tuple[str, str]], body: bytes) -> tuple[bytes | None, str]:
+    """(body without transfer and content codings, or None; media type, in small letters)."""
+    values = lambda name: [x.strip().lower() for k, v in http if k.lower() == name for x in v.split(",")]
+    if "chunked" in values("transfer-encoding"):
+        body = unchunked(body)
+    for coding in reversed([c for c in values("transfer-encoding") + values("content-encoding") if c not in ("", "identity", "chunked")]):
+        body = inflated(body, coding)
+        if body is None:
+            break
+    kind = next((v for k, v in http if k.lower() == "content-type"), "")
+    return body, kind.partition(";")[0].strip().lower()
+
+
+def charset_of(http: list[tuple[str, str]], body: bytes, page: bool) -> str:
+    """Name of the encoding: byte order mark, header, meta element of a page, UTF-8."""
+    for mark, name in MARKS.items():
+        if body.startswith(mark):
+            return name
+    kind = next((v for k, v in http if k.lower() == "content-type"), "")
+    found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind, re.I)
+    if not found and page:
+        found = re.search(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w.:-]+)", body[:1024], re.I)
+    name = (found[1].decode() if found and isinstance(found[1], bytes) else found[1] if found else "utf-8").lower()
+    return WINDOWS.get(name, name)
+
+
+def decoded(body: bytes, charset: str) -> str:
+    try:
+        text = body.decode(charset, "replace")
+    except LookupError:
+        text = body.decode("utf-8", "replace")
+    return text.removeprefix("\ufeff")
+
+
+def srcset(value: str) -> Iterator[str]:
+    """URLs of a srcset: each runs to white space; commas end a candidate only after its URL and outside of brackets."""
+    at = 0
+    while m := _CANDIDATE.match(value, at):
+        at, url = m.end(), m[1]
+        if url.endswith(","):
+            url = url.rstrip(",")
+        else:
+            depth = 0
+            while at < len(value) and (value[at] != "," or depth):
+                depth = max(0, depth + (value[at] == "(") - (value[at] == ")"))
+                at += 1
+        if url:
+            yield url
+
+
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
@@ -112,7 +210,7 @@ def attributes(text: str) -> dict[str, str]:
 def _links(tag: str, got: dict[str, str]) -> Iterator[dict]:
     for key in LINKS.get(tag, ()):
         if value := got.get(key, "").strip():
-            parts = [p.split()[0] for p in value.split(",") if p.strip()] if key == "srcset" else [value]
+            parts = srcset(value) if key == "srcset" else [value]
             yield from ({"path": f"{tag}@/{key}", "url": p} for p in parts)
 
 
@@ -157,16 +255,17 @@ def read_page(page: str) -> dict:
 
 
 def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, list[tuple[str, str]], bytes, dict]]:
-    """(type, headers, block, facts) of the metadata and the conversion record of a response."""
+    """(type, headers, block, facts) of a response's metadata record, and of its conversion record if it is text."""
     source = {k.lower(): v for k, v in headers}
     status, http, body = split_http(block)
-    kind = next((v for k, v in http if k.lower() == "content-type"), "")
-    charset = (re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I) or [None, "utf-8"])[1]
-    try:
-        page = body.decode(charset, "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
-    facts = read_page(page)
+    plain, kind = entity(http, body)
+    page = kind in PAGES
+    charset = charset_of(http, plain or b"", page)
+    facts = {"text": None, "title": "", "lang": "", "links": []}
+    if plain is not None and page:
+        facts = read_page(decoded(plain, charset))
+    elif plain is not None and kind.startswith("text/"):
+        facts["text"] = decoded(plain, charset)
     origin = source.get("warc-record-id", "")
     payload = source.get("warc-payload-digest") or digest(body)
     meta = json.dumps(
@@ -179,8 +278,11 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, list
     out = []
     for what, content, data in (
         ("metadata", "application/json", meta),
-        ("conversion", "text/plain; charset=utf-8", facts["text"].encode()),
+        ("conversion", "text/plain; charset=utf-8", facts["text"]),
     ):
+        if data is None:
+            continue
+        data = data if what == "metadata" else data.encode()
         own = [
             ("WARC-Type", what), ("WARC-Record-ID", record_id(what, origin)), ("WARC-Refers-To", origin),
             ("WARC-Target-URI", source.get("warc-target-uri", "")), ("WARC-Date", source.get("warc-date", "")),
