@@ -76,14 +76,18 @@ class Scratch:
 
 
 class Bloom:
-    """Filter of fixed size over a key column: ``bits`` bounds what is collected and broadcast.
+    """Filter over a key column, a written table: about 16 bits for each key, 16 MB (MAX_BITS) at most.
 
-    With more keys than fit well, more rows pass the filter; none is lost.
+    That bounds what is collected and broadcast. Up to 8 million keys 1 in 400
+    other rows passes; beyond, more rows pass, and none is lost: with 40 million
+    keys about half, with 200 million nearly all, and those take the join.
     """
 
-    HASHES = 4
+    HASHES, MAX_BITS = 4, 27
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 22):
+    def __init__(self, keys: DataFrame, column: str, bits: int | None = None):
+        if bits is None:
+            bits = 1 << min(self.MAX_BITS, max(16, (16 * keys.count()).bit_length()))
         self.bits, self.spark = bits, keys.sparkSession
         at = [F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(bits)) for i in range(self.HASHES)]
         words = (
@@ -144,10 +148,10 @@ def keyed(docs: DataFrame, scratch: Scratch, repeatable: bool = False) -> tuple[
     return docs.select("*", place.alias(key)), key
 
 
-def without_rows(docs: DataFrame, key: str, dropped: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """docs without the rows whose key is in dropped(key), and without the key.
+def without_rows(docs: DataFrame, key: str, dropped: DataFrame, bits: int | None = None) -> DataFrame:
+    """docs without the rows whose key is in dropped(key), a written table, and without the key.
 
-    Rows that a filter of fixed size tells apart pass without a shuffle; only
+    Rows that a filter of bounded size tells apart pass without a shuffle; only
     those that may be dropped are joined.
     """
     flag = free_name(docs, "maybe")

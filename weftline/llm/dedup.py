@@ -9,7 +9,7 @@ rows, in files of disjoint digest ranges, again with filters. A merged run is
 never merged again. Point lookups (``find``) read only the row groups of runs
 and level whose filter and range hold a digest asked for.
 
-Resolving a whole table: a filter of fixed size over the digests that occur
+Resolving a whole table: a filter of bounded size over the digests that occur
 more than once tells most rows, without a shuffle, that they are alone; the
 others join the index, and the bytes of each group are compared (smallest text
 = largest text). A digest under which texts differ is split by the text itself.
@@ -144,7 +144,7 @@ class DigestIndex:
         rows = self._entries().filter(F.col("digest").isin(digests))
         return rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
-    def resolve(self, docs: DataFrame, filter_bits: int = 1 << 22, carry: tuple[str, ...] = ()) -> DataFrame:
+    def resolve(self, docs: DataFrame, filter_bits: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
         """(doc_id, keep_id, group_size, kept, text_sha256, carried columns) for each row of docs, which must have been inserted."""
         save = self.scratch.save
         level = self.compact()
