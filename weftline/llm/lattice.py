@@ -13,6 +13,9 @@ combined shuffle. Words that are frequent enough (HEAD_WORDS at most, by a
 threshold on the count) are broadcast with count and probability; the counts of
 all others are joined, once for each text and distinct word.
 
+A word is known by its 64-bit hash: two words of one hash would share a count
+(with 10 million different words about once in 400,000 corpora).
+
 Edge cases: null counts as empty text (an end alone); a text of any length is
 whole, a very long word too; repeated ids give a row each; with no training
 text N and V are 0 and the weights stay the vocabulary's; an empty table gives

@@ -381,7 +381,9 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= MAX_TEXT)
     texts = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rank = W.orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = texts.withColumn("sum", F.sum(F.octet_length("text")).over(rank)).filter(F.col("sum") <= MAX_BYTES)
+    # lengths alone pass through one task, the texts that fit are read again
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size")).withColumn("sum", F.sum("size").over(rank))
+    sample = texts.join(F.broadcast(sizes.filter(F.col("sum") <= MAX_BYTES).select("doc_id")), "doc_id")
     found = sample.select("doc_id", "text", "toxic").mapInArrow(_fit_task, "model binary").first()
     return pickle.loads(found["model"]) if found else fit(lambda: iter(()), np.zeros(0, np.int64))
 
