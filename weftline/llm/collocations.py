@@ -18,9 +18,11 @@ feed divides pieces, so that the automaton's overlapping matches are exactly the
 occurrences of whole words within pieces. Sums over shards and tasks are exact
 counts; thresholds and scores apply to those alone.
 
-Memory: a sketch has at most 2^MAX_BITS cells a row whatever the input. Beyond
-about 64 words a cell more phrases become candidates than need be: they cost
-shards, that is further scans, never results.
+Memory: a sketch has at most 2^MAX_BITS cells a row whatever the input. Where a
+cell's share of the phrases comes near the threshold (beyond some 4 GB of text
+for a threshold of 100; a threshold that grows with the corpus keeps its
+distance), more phrases become candidates than need be: they cost shards, that
+is further scans, never results.
 
 Edge cases: null texts count as empty, null languages as ``und``; empty texts
 have no pieces; a text of any length is read whole, hashes of its words in
@@ -48,8 +50,9 @@ LEAST, MOST, FIRST = 100, 5, 2000
 ROWS, MIN_BITS, MAX_BITS = 3, 16, 24
 BLOCK = 1 << 15  # cells that travel together
 SHARD = 200_000
+TASK_BYTES = 1 << 29
 HASH_BYTES = 1 << 20  # of text whose words are hashed at once
-HELD = 1 << 21  # hashes that wait to be counted
+HELD = 1 << 22  # hashes that wait to be counted
 UNKNOWN = "und"
 
 #: Capital letters fall, marks that end a piece become line feeds, tabs become spaces.
@@ -160,11 +163,11 @@ def _seeds(langs: dict[str, int]) -> np.ndarray:
 
 def sketch(texts: DataFrame, level: int, earlier: list, width: int, least: int, most: int) -> np.ndarray:
     """Bits of the cells that reach ``least``, ROWS x width / 8 bytes: words (level 1), pairs (2), phrases of three and more (3)."""
-    small, per_row = np.dtype(np.uint8 if least < 256 else np.uint16), max(1, width // BLOCK)
+    small, per_row = np.min_scalar_type(least), max(1, width // BLOCK)
     block = min(BLOCK, width)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((ROWS, width), np.uint32)
+        table = np.zeros((ROWS, width), small)
         langs: dict[str, int] = {}
         bits = [b.value for b in earlier]
         held: list[np.ndarray] = []
@@ -172,8 +175,7 @@ def sketch(texts: DataFrame, level: int, earlier: list, width: int, least: int,
         def add() -> None:
             h = np.concatenate(held)
             for r in range(ROWS):
-                table[r] += np.bincount(cells(h, r, width), minlength=width).astype(np.uint32)
-            np.minimum(table, least, out=table)
+                table[r] = np.minimum(np.bincount(cells(h, r, width), minlength=width) + table[r], least)
             held.clear()
 
         for words in _batches(batches, langs):
@@ -190,7 +192,7 @@ def sketch(texts: DataFrame, level: int, earlier: list, width: int, least: int,
                 add()
         if held:
             add()
-        blocks = table.astype(small).reshape(-1, block)
+        blocks = table.reshape(-1, block)
         some = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(some, pa.int64()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in some], pa.binary())], names=["block", "cells"]
@@ -269,9 +271,15 @@ _compiled: dict = {}  # of the shard that this worker counts
 
 
 def count_patterns(texts: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
-    """(lang, phrase, f) of each pattern that occurs: occurrences in all texts, overlapping ones too, by task."""
+    """(lang, phrase, f) of each pattern that occurs: occurrences in all texts, overlapping ones too.
+
+    A task's counts travel as blocks of numbers in the patterns' order; the sums of a block become rows.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(patterns)
     key = uuid.uuid4().hex
+    starts, total = {}, 0
+    for lang, phrases in patterns.items():
+        starts[lang], total = total, total + len(phrases)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _compiled.get("of") != key:
@@ -285,13 +293,30 @@ def count_patterns(texts: DataFrame, patterns: dict[str, list[str]]) -> DataFram
                 lang = UNKNOWN if lang is None else lang
                 if lang in automata and (text := text.as_py()):
                     found[lang].update(map(number, automata[lang].iter(guarded(text).decode())))
+        sums = np.zeros(total, np.int64)
         for lang, counts in found.items():
-            phrases = shared.value[lang]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(counts), pa.string()), pa.array([phrases[i] for i in counts], pa.string()), pa.array(counts.values(), pa.int64()),
-            ], names=["lang", "phrase", "f"])
+            sums[starts[lang] + np.fromiter(counts.keys(), np.int64, len(counts))] = np.fromiter(counts.values(), np.int64, len(counts))
+        cut = [(i, sums[i * BLOCK : (i + 1) * BLOCK]) for i in range(-(-total // BLOCK))]
+        cut = [(i, zlib.compress(x.tobytes(), 1)) for i, x in cut if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cut], pa.int64()), pa.array([x for _, x in cut], pa.binary())], names=["block", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
+        if sums:
+            names = [(lang, p) for lang, phrases in shared.value.items() for p in phrases]
+            for i, f in sums.items():
+                some = np.flatnonzero(f)
+                named = [names[i * BLOCK + j] for j in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in named], pa.string()), pa.array([x[1] for x in named], pa.string()), pa.array(f[some])],
+                    names=["lang", "phrase", "f"],
+                )
 
-    return texts.mapInArrow(scan, "lang string, phrase string, f long")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.mapInArrow(scan, "block long, sums binary").repartition(parts, "block").mapInArrow(add, "lang string, phrase string, f long")
 
 
 def exact_counts(texts: DataFrame, wanted: DataFrame, scratch: Scratch, shard: int = SHARD) -> DataFrame:
@@ -303,8 +328,7 @@ def exact_counts(texts: DataFrame, wanted: DataFrame, scratch: Scratch, shard: i
         patterns: dict[str, list[str]] = {}
         for r in numbered.filter(F.col("shard") == i).select("lang", "phrase").toLocalIterator():
             patterns.setdefault(r.lang, []).append(r.phrase)
-        counts = count_patterns(texts, patterns).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        counts = scratch.save(counts, f"counts{i}")
+        counts = scratch.save(count_patterns(texts, patterns), f"counts{i}")
         out = counts if out is None else out.unionByName(counts)
     return out
 
@@ -341,10 +365,15 @@ def first_of_each(rows: DataFrame, first: int = FIRST) -> DataFrame:
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
-def sketch_bits(texts: DataFrame) -> int:
-    """Bits of a cell's number: a cell for about 64 bytes of text, within bounds."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MAX_BITS, max(MIN_BITS, (size >> 6).bit_length()))
+def sized(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs(text, lang) in few tasks, and the bits of a cell's number.
+
+    A task sends a sketch and its own different phrases, so tasks are as few as keep all cores busy, with TASK_BYTES
+    of text at most; a row of the sketch has a cell for about 256 bytes of text, within bounds.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return docs.select("text", "lang").coalesce(tasks), min(MAX_BITS, max(MIN_BITS, (size >> 8).bit_length()))
 
 
 def collocations(
@@ -353,8 +382,8 @@ def collocations(
     """docs(text, lang) -> lang, rank, phrase, a, l, r, n, score; all phrases, without rank, if first is None."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("text", "lang")
-    width = 1 << (bits or sketch_bits(texts))
+    texts, fit = sized(docs)
+    width = 1 << (bits or fit)
     levels: list = []
     for level in (1, 2, 3):
         levels.append(spark.sparkContext.broadcast(sketch(texts, level, levels, width, least, most)))
