@@ -115,7 +115,7 @@ def test_templates_are_order_independent(spark):
 
 def test_merge_templates(spark):
     c = spark.createDataFrame([("a b c", 50), ("a b d", 20), ("x y z w", 30), ("a b e", 3)], "template string, hits long")
-    assert mining.merge_templates(c) == {"a b d": "a b c"}
+    assert {tuple(r) for r in mining.merge_templates(c).collect()} == {("a b d", "a b c")}
 
 
 def test_f_tail_and_causality():
@@ -219,8 +219,6 @@ def test_hmm_prefers_its_own_data():
     assert sequences.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649, abs=1e-8)
     bound = [sequences.fit_vb_hmm(normal, s, 3)[3] for s in (1, 2)]
     assert bound[1] > bound[0]
-    z, n, _ = sequences.regimes(normal + [np.array([2, 2, 2, 1, 2, 2, 2, 2])] * 10, 3)
-    assert n >= 2 and len(set(z[:20])) == 1 and z[0] != z[-1]
 
 
 def test_batched_recursions_equal_single_ones():

@@ -1,6 +1,7 @@
 """Values of the queries that SQL can't express, against plain Python over the same tables."""
 
 import collections
+import functools
 import hashlib
 import re
 
@@ -35,21 +36,82 @@ def rates():
     return out
 
 
+def divisive(lines, similar=0.4):
+    """Template of each different list of words, a group at a time."""
+    groups, out = collections.defaultdict(list), {}
+    for w in {tuple(x) for x in lines}:
+        groups[len(w), w[:2]].append(w)
+    todo = list(groups.values())
+    while todo:
+        g = todo.pop()
+        kinds = [len(set(c)) for c in zip(*g)]
+        if sum(k == 1 for k in kinds) / len(kinds) >= similar or max(kinds) == 1:
+            made = " ".join(c[0] if len(set(c)) == 1 and not re.fullmatch("<[A-Z]+>", c[0]) else "<*>" for c in zip(*g))
+            out |= dict.fromkeys(g, made)
+            continue
+        at = min((k, i) for i, k in enumerate(kinds) if k > 1)[1]
+        parts = collections.defaultdict(list)
+        for w in g:
+            parts[w[at]].append(w)
+        todo += parts.values()
+    return out
+
+
 def test_template_mining(run):
     masks = [(re.compile(p), m) for p, m in TEXT.MASKS]
-    groups = collections.defaultdict(list)
+    lines = []
     for (text,) in sql("SELECT text FROM conversations"):
         for line in (text or "").split("\n"):
             if line:
                 for p, m in masks:
                     line = p.sub(m, line)
-                words = re.split(r"\s+", line.strip())
-                groups[len(words), tuple(words[:2])].append(words)
-    want = collections.Counter()
-    for g in groups.values():
-        made = [w[0] if len(set(w)) == 1 and not re.fullmatch("<[A-Z]+>", w[0]) else "<*>" for w in zip(*g)]
-        want[" ".join(made)] += len(g)
+                lines.append(tuple(re.split(r"\s+", line.strip())))
+    made = divisive(lines)
+    want = collections.Counter(made[w] for w in lines)
     assert {r.template: r.hits for r in run("template_mining")} == want
+    top = sorted(want.items(), key=lambda t: (-t[1], t[0]))[:10]
+    assert [(r.template, r.hits, r["rank"]) for r in sorted(run("busiest_templates"), key=lambda r: r["rank"])] == [(*t, i + 1) for i, t in enumerate(top)]
+
+
+def test_templates_keep_their_likeness(spark):
+    from weftline.operators import mining
+
+    lines = ["alpha beta ca da ea fa ga ha ia ja", "alpha beta cb db eb fb gb hb ib jb"]
+    name = "stuvwxyz"
+    lines += [f"job run a{name[i % 2]} x{c} y{c} z{c} w{c} v{c} same q{c}" for i, c in enumerate(name)]
+    lines += [f"disk sda{i} failed at sector {i * 7} on host h{i}" for i in range(5)]
+    for order in (lines, lines[::-1]):
+        got = mining.templates(spark.createDataFrame([(x,) for x in order], "message string")).collect()
+        mask = lambda x: functools.reduce(lambda s, m: re.sub(m[0], m[1], s), TEXT.MASKS, x)
+        plain = divisive([tuple(mask(x).split()) for x in lines])
+        assert {r.message: r.template for r in got} == {x: plain[tuple(mask(x).split())] for x in lines}
+        assert len({r.template for r in got if r.message.startswith("alpha")}) == 2
+    assert mining.templates(spark.createDataFrame([(None,), ("",), ("",)], "message string")).count() == 2
+
+
+def test_merging_in_rounds_equals_the_list(spark):
+    import random
+
+    from weftline.operators import mining
+
+    rnd = random.Random(3)
+    names = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(4, 7))) for _ in range(60)})
+    rows = [(n, rnd.randint(10, 20)) for n in names]
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            d, last = [i + 1], d
+            for j, y in enumerate(b):
+                d.append(min(last[j + 1] + 1, d[j] + 1, last[j] + (x != y)))
+        return d[-1]
+
+    want, ranked = {}, sorted(rows, key=lambda r: (-r[1], r[0]))
+    for i, (a, _) in enumerate(ranked):
+        if a not in want:
+            want |= {b: a for b, _ in ranked[i + 1:] if b not in want and distance(a, b) <= 2}
+    got = mining.merge_templates(spark.createDataFrame(rows, "template string, hits long"))
+    assert {r.template: r.survivor for r in got.collect()} == want and len(want) > 20
 
 
 def test_causal_tests_and_graph(run, rates):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .text_match import containing
 from .vectors import TIERS, tier_rank
 
 MASK = "•••"
@@ -88,13 +89,60 @@ def compile_plan(plan: Plan, mapping: Mapping, tables: dict[str, DataFrame], cei
     return df.select(*columns).limit(plan.limit)
 
 
+#: The nodes that a parsed or analysed query may consist of; anything else is refused, new kinds of command too.
+QUERY_NODES = frozenset((
+    "Aggregate", "CTERelationDef", "CTERelationRef", "Deduplicate", "Distinct", "Except", "Expand", "Filter", "Generate", "GlobalLimit",
+    "HiveTableRelation", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "LogicalRDD", "LogicalRelation",
+    "DataSourceV2Relation", "Offset", "OneRowRelation", "Pivot", "Project", "Range", "RelationTimeTravel", "ResolvedHint", "Sample", "Sort",
+    "SubqueryAlias", "Tail", "Union", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedPivot",
+    "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedWith", "Unpivot", "View", "Window",
+    "WithCTE", "WithWindowDefinition",
+))
+#: Functions that call any method of a class, by name and as resolved expressions.
+REFLECTION = frozenset(("reflect", "java_method", "try_reflect", "CallMethodViaReflection", "TryReflect"))
+
+
+def _walk(plan):
+    """Nodes and expressions of a JVM plan, those of its subqueries and common tables too: (kind, object)."""
+    todo = [("node", plan)]
+    while todo:
+        kind, x = todo.pop()
+        yield kind, x
+        each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+        name = x.getClass().getSimpleName()
+        todo += [(kind, c) for c in each(x.children())]
+        if kind == "node":
+            todo += [("node", c) for c in each(x.innerChildren().toSeq()) if hasattr(c, "innerChildren") and "plans" in c.getClass().getName()]
+            todo += [("expression", e) for e in each(x.expressions())]
+        elif "plan" in dir(x) and ("Subquery" in name or name in ("Exists", "ListQuery", "InSubquery")):
+            todo.append(("node", x.plan()))
+
+
+def refused(plan) -> str | None:
+    """Why a plan isn't a plain query: the first node that isn't allowed, or a call of a method by its name."""
+    for kind, x in _walk(plan):
+        name = x.getClass().getSimpleName()
+        if kind == "node" and name not in QUERY_NODES:
+            return name
+        called = [name]
+        if name in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            parts = x.nameParts() if name == "UnresolvedFunction" else x.name()
+            called.append(parts.last().lower())
+        if REFLECTION.intersection(called):
+            return called[-1]
+    return None
+
+
 def read_only(spark: SparkSession, sql: str) -> DataFrame:
-    """A single query; anything that Spark's parser takes for a command is refused before it runs."""
+    """A single query. What the parser makes of it must consist of allowed nodes throughout, before anything runs; views are then
+    looked through as well."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    text = plan.getClass().getName()
-    if any(k in text for k in ("Command", "Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Set")) and "SetOp" not in text:
-        raise PermissionError("only queries are allowed")
-    return spark.sql(sql)
+    if why := refused(plan):
+        raise PermissionError(f"only queries are allowed, not {why}")
+    df = spark.sql(sql)
+    if why := refused(df._jdf.queryExecution().analyzed()):
+        raise PermissionError(f"only queries are allowed, not {why}")
+    return df
 
 
 def limited(df: DataFrame, most: int = LIMIT) -> DataFrame:
@@ -154,14 +202,20 @@ def reject_summary(gated: DataFrame) -> DataFrame:
 def policy(text: str) -> Column:
     """A predicate like: confidence >= 0.8 and status in (a, b). Types that don't fit make it false."""
     parts = []
-    for clause in re.split(r"\s+and\s+", text.strip(), flags=re.I):
+    quoted = r"'[^']*'|\"[^\"]*\""
+    clauses = [""]
+    for piece in re.split(rf"({quoted})", text.strip()):  # an "and" inside of quotes is text
+        first, *more = [piece] if re.fullmatch(quoted, piece) else re.split(r"\s+and\s+", piece, flags=re.I)
+        clauses[-1] += first
+        clauses += more
+    for clause in clauses:
         m = re.fullmatch(r"(\w+)\s*(==|!=|>=|<=|>|<|not in|in|startswith|contains)\s*(.+)", clause.strip(), flags=re.I)
         if not m:
             raise ValueError(f"can't read {clause!r}")
         c, op, raw = F.col(m[1]), m[2].lower(), m[3].strip()
         plain = lambda s: s.strip().strip("'\"")
         if op in ("in", "not in"):
-            some = c.cast("string").isin(*[plain(v) for v in raw.strip("()[]").split(",")])
+            some = c.cast("string").isin(*[plain(v) for v in re.findall(rf"{quoted}|[^,]+", raw.strip("()[]")) if v.strip()])
             x = some if op == "in" else ~some
         elif op in ("startswith", "contains"):
             x = getattr(c.cast("string"), op)(plain(raw))
@@ -205,6 +259,25 @@ KIND_RISK = {"NEW_CLASS": 0.80, "NEW_PROPERTY": 0.80, "NEW_CONSTRAINT": 0.60, "D
 VOLUME, DAYS, DOMAINS, TITLE = 30, 30.0, 3, 40
 
 
+def nearest_names(titles: DataFrame, known: DataFrame) -> DataFrame:
+    """(title, _near): the greatest likeness of a title to a known name, of those that share a word or contain each other.
+
+    0.7 where one contains the other, else the share of common words. Titles and names meet on their words
+    and by scans for each other, not as all pairs; what shares nothing has likeness 0 and no row.
+    """
+    low = lambda c: F.lower(F.col(c))
+    t = titles.filter("title <> ''").distinct().withColumn("_t", low("title"))
+    n = known.filter("name <> ''").select(low("name").alias("_n")).distinct()
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    inside = containing(t, "_t", n.select("_n"), "_n").select("_t").unionByName(containing(n, "_n", t.select("_t"), "_t").select("_t"))
+    left = t.select("_t", F.size(words("_t")).alias("a"), F.explode(words("_t")).alias("w")).distinct()
+    right = n.select("_n", F.size(words("_n")).alias("b"), F.explode(words("_n")).alias("w"))
+    both = left.join(right, "w").groupBy("_t", "_n", "a", "b").agg(F.count("*").alias("k"))
+    apart = both.filter(~F.contains("_t", F.col("_n")) & ~F.contains("_n", F.col("_t")))
+    every = inside.distinct().withColumn("v", F.lit(0.7)).unionByName(apart.select("_t", (F.col("k") / (F.col("a") + F.col("b") - F.col("k"))).alias("v")))
+    return t.join(every.groupBy("_t").agg(F.max("v").alias("_near")), "_t").select("title", "_near")
+
+
 def proposal_dimensions(proposals: DataFrame, evidence: DataFrame, known: DataFrame, now: str) -> DataFrame:
     """proposals(proposal_id, title, kind, volume), evidence(text, source, generated_at), known(name): adds the five dimensions.
 
@@ -213,17 +286,10 @@ def proposal_dimensions(proposals: DataFrame, evidence: DataFrame, known: DataFr
     """
     word = F.lower(F.substring(F.trim(F.split_part("title", F.lit("\u2014"), F.lit(1))), 1, TITLE))
     p = proposals.withColumn("_word", F.coalesce(word, F.lit("")))
-    # each keyword meets each text once, in the task that holds the text; proposals are a review queue
-    hits = evidence.join(p.filter("_word <> ''").select("_word").distinct(), F.contains(F.lower("text"), F.col("_word")))
-    seen = hits.groupBy("_word").agg(
+    lowered = evidence.select(F.lower("text").alias("_text"), "source", "generated_at")
+    seen = containing(lowered, "_text", p.select("_word"), "_word").groupBy("_word").agg(
         F.count("*").alias("_n"), F.max("generated_at").alias("_last"), F.countDistinct("source").alias("_sources"))
-    tokens = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != ""))
-    title, name = F.lower("title"), F.lower("name")
-    either = F.size(F.array_union(tokens(title), tokens(name)))
-    overlap = F.when(F.contains(title, name) | F.contains(name, title), 0.7).otherwise(
-        F.when(either > 0, F.size(F.array_intersect(tokens(title), tokens(name))) / either).otherwise(0.0))
-    names = known.filter("name <> ''").select("name").distinct()
-    near = p.filter("title <> ''").select("title").distinct().join(names, F.lit(True)).groupBy("title").agg(F.max(overlap).alias("_near"))
+    near = nearest_names(p.select("title"), known)
     x = p.join(seen, "_word", "left").join(near, "title", "left")
     age = (F.unix_micros(F.to_timestamp(F.lit(now))) - F.unix_micros(F.to_timestamp("_last"))) / F.lit(86_400e6)
     no_word, clip = F.col("_word") == "", lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))

@@ -31,26 +31,56 @@ def seconds(ts) -> object:
     return F.unix_micros(F.to_timestamp(ts)) / F.lit(1e6)
 
 
+#: A bucket of time in which a kind comes more often than this, on average, is counted by running sums.
+REPEATS = 8
+#: Rows of one side of a bucket that one task pairs.
+SLICE = 2_000
+
+
 def ordered_pair_counts(rows: DataFrame, kind: str, micros: str, width: int) -> DataFrame:
     """How many pairs of rows lie within width of each other, by kind: (x, y, later, same).
 
     later counts pairs with 0 < y's time - x's time <= width, same those with
-    equal times. No pair is made: rows are counted by (kind, time) first, then
-    each time of x reads two running counts of y, those after it in its own
-    bucket of the width and those of the next bucket, moved back by the width.
-    The work is rows times the kinds that share a bucket, not pairs.
+    equal times. Rows are counted by (kind, time) first, and times cut into
+    buckets of the width; a row of x meets its own bucket and the next one,
+    moved back by the width. Where kinds repeat little, these rows meet in a
+    join, sliced where a bucket is large: what comes out of it is about the
+    result. Where kinds repeat (REPEATS), no pair is made: each time of x reads
+    two running counts of y, and the work is rows times the kinds of the bucket.
     """
     n = rows.groupBy(F.col(kind).alias("k"), F.col(micros).alias("t")).agg(F.count("*").alias("n"))
     n = n.withColumn("b", F.floor(F.col("t") / width).cast("long"))
-    moved = n.select("k", (F.col("t") - width).alias("t"), "n", (F.col("b") - 1).alias("b"))
-    present = n.select("k", "b").unionByName(moved.select("k", "b")).distinct()
-    ask = n.select("b", "t", F.col("k").alias("x"), F.col("n").alias("weight")).join(present.withColumnRenamed("k", "y"), "b")
+    ahead = n.select("b", "k", "t", "n", F.lit(0).alias("step"))
+    reach = ahead.unionByName(n.select((F.col("b") - 1).alias("b"), "k", (F.col("t") - width).alias("t"), "n", F.lit(1).alias("step")))
+    kinds = reach.groupBy("b", "k").agg(F.count("*").alias("m")).groupBy("b").agg(F.sum("m").alias("m"), F.count("*").alias("kinds"))
+    size = kinds.select("b", (F.col("m") > REPEATS * F.col("kinds")).alias("often"), F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
+    own, reach = n.join(size, "b"), reach.join(size, "b")
+    often, seldom = F.col("often"), ~F.col("often")
+    return _paired(own.filter(seldom), reach.filter(seldom)).unionByName(_counted(own.filter(often), reach.filter(often))).groupBy("x", "y").agg(
+        F.sum("later").alias("later"), F.sum("same").alias("same"))
+
+
+def _paired(own: DataFrame, reach: DataFrame) -> DataFrame:
+    """Pairs by a join on buckets: x's rows are dealt into slices, y's go to each."""
+    x = own.select("b", F.col("k").alias("x"), "t", F.col("n").alias("weight"), F.pmod(F.xxhash64("k", "t"), F.col("slices")).cast("int").alias("slice"))
+    y = reach.select("b", F.col("k").alias("y"), F.col("t").alias("at"), F.col("n").alias("other"), "step",
+                     F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    # moved rows of the next bucket are within the width up to x's own time
+    pair = x.join(y, ["b", "slice"]).filter(F.when(F.col("step") == 0, F.col("at") >= F.col("t")).otherwise(F.col("at") <= F.col("t")))
+    product, zero = F.col("weight") * F.col("other"), F.lit(0).cast("long")
+    same = (F.col("step") == 0) & (F.col("at") == F.col("t"))
+    return pair.groupBy("x", "y").agg(F.sum(F.when(same, zero).otherwise(product)).alias("later"), F.sum(F.when(same, product).otherwise(zero)).alias("same"))
+
+
+def _counted(own: DataFrame, reach: DataFrame) -> DataFrame:
+    """The same counts by running sums of y at the times of x."""
+    present = reach.select("b", F.col("k").alias("y")).distinct()
     zero = F.lit(0).cast("long")
-    own = n.select("b", F.col("k").alias("y"), "t", F.col("n").alias("own"), zero.alias("next"))
-    nxt = moved.select("b", F.col("k").alias("y"), "t", zero.alias("own"), F.col("n").alias("next"))
-    asked = ask.select("b", "y", "t", zero.alias("own"), zero.alias("next"), "x", "weight")
+    at = lambda step: F.when(F.col("step") == step, F.col("n")).otherwise(zero)
+    asked = own.select("b", "t", F.col("k").alias("x"), F.col("n").alias("weight")).join(present, "b").select(
+        "b", "y", "t", zero.alias("own"), zero.alias("next"), "x", "weight")
     none = [F.lit(None).cast(dict(asked.dtypes)["x"]).alias("x"), F.lit(None).cast("long").alias("weight")]
-    every = asked.unionByName(own.select("*", *none)).unionByName(nxt.select("*", *none))
+    every = asked.unionByName(reach.select("b", F.col("k").alias("y"), "t", at(0).alias("own"), at(1).alias("next"), *none))
     so_far = W.partitionBy("b", "y").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
     now, whole = W.partitionBy("b", "y").orderBy("t").rangeBetween(0, 0), W.partitionBy("b", "y")
     later = F.sum("own").over(whole) - F.sum("own").over(so_far) + F.sum("next").over(so_far)

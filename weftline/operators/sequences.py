@@ -1,9 +1,7 @@
 """Event sequences: trajectories, hidden Markov models, regimes, anomaly scores.
 
-Trajectories, rates of their symbols and ranks are made by Spark over all rows.
-A service's models are fitted by numpy on its first FIT_TRAJECTORIES by hash
-order (all, if it has no more), all sequences of a step at once; every
-trajectory is scored, in groups of bounded size.
+Trajectories, rates of their symbols and ranks are made by Spark over all rows,
+and so are the models (hmm): the numpy fits here are for one set of sequences.
 """
 
 from __future__ import annotations
@@ -11,12 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranks import lowest
+from .graph import cut
+from .ranks import lowest, quantile
 
 
 def trajectories(records: DataFrame, keys: list[str], ts: str, symbol: str, least: int = 4, tie: str | None = None) -> DataFrame:
@@ -186,133 +184,57 @@ def choose_vb_hmm(seqs: list[np.ndarray], symbols: int, sizes: tuple[int, ...] =
     return max(((fit_vb_hmm(seqs, k, symbols), k) for k in sizes), key=lambda f: f[0][3])
 
 
-def regimes(seqs: list[np.ndarray], symbols: int, most: int = 5, rounds: int = 10) -> tuple[np.ndarray, int, np.ndarray]:
-    """Clusters of sequences by models of their transitions: the K whose members all number 2 or more and whose bound is best.
-
-    Gives the clusters, K, and each cluster's log transition table.
-    """
-    width = (symbols + 1) * symbols
-    moves = np.zeros((len(seqs), width))
-    for i, q in enumerate(seqs):
-        np.add.at(moves[i], np.concatenate([[symbols], q[:-1]]) * symbols + q, 1)
-
-    def models(z, k):
-        e = np.stack([moves[z == j].sum(axis=0) for j in range(k)]).reshape(k, symbols + 1, symbols) + 0.5
-        return np.log(e / e.sum(2, keepdims=True))
-
-    def bound(z, tables):
-        return float(np.take_along_axis(moves @ tables.reshape(len(tables), -1).T, z[:, None], 1).sum()) - (
-            len(tables) * symbols * math.log(len(seqs) + 1))
-
-    z = np.zeros(len(seqs), int)
-    one = models(z, 1)
-    best = (z, 1, one, bound(z, one))
-    for k in range(2, min(most, len(seqs) // 2) + 1):
-        z = np.random.RandomState(k).randint(0, k, len(seqs))
-        for _ in range(rounds):
-            tables = models(z, k)
-            new = (moves @ tables.reshape(k, -1).T).argmax(axis=1)
-            if (new == z).all():
-                break
-            z = new
-        if min(np.bincount(z, minlength=k)) >= 2 and bound(z, tables) > best[3]:
-            best = (z, k, tables, bound(z, tables))
-    return best[:3]
-
-
 #: Least observations and symbols of a service, share of scores below a threshold, shares of rare and common
 #: symbols, weight of novelty, and the floors of confidence by the rarest symbol's share.
 LEAST_STEPS, LEAST_SYMBOLS, LOW_SHARE, RARE, COMMON, NOVELTY = 12, 2, 0.05, 0.3, 0.5, 2.0
 FLOORS = ((0.1, 0.8), (0.2, 0.7), (1.0, 0.6))
 MISSING_FLOOR = 0.5
-FIT_TRAJECTORIES, GROUP_ROWS = 5_000, 50_000
-
-
-def fit_services(traj: DataFrame, service: str, sample: int = FIT_TRAJECTORIES) -> DataFrame:
-    """(service, symbols, states, start, move, emit, threshold, regimes): a row for each service with enough to fit."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({s for q in pdf["symbols"] for s in q})
-        at = {s: i for i, s in enumerate(names)}
-        seqs = [np.array([at[s] for s in q]) for q in pdf["symbols"]]
-        if len(names) < LEAST_SYMBOLS or sum(map(len, seqs)) < LEAST_STEPS:
-            return pd.DataFrame(columns=columns)
-        (start, move, emit, _), _, k = choose_hmm(seqs, len(names))
-        x, n = padded(seqs)
-        threshold = float(np.percentile(log_likelihoods(x, n, start, move, emit) / n, 100 * LOW_SHARE))
-        tables = regimes(seqs, len(names))[2] if len(seqs) >= 4 else np.zeros((1, len(names) + 1, len(names)))
-        return pd.DataFrame([[pdf[service].iloc[0], names, k, start.tolist(), move.ravel().tolist(), emit.ravel().tolist(),
-                              threshold, tables.ravel().tolist()]], columns=columns)
-
-    columns = [service, "symbols", "states", "start", "move", "emit", "threshold", "regimes"]
-    kinds = dict(traj.dtypes)
-    order = W.partitionBy(service).orderBy(F.xxhash64("trace"), "trace")
-    some = traj.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= sample).drop("_k")
-    return some.select(service, "trace", "symbols").orderBy(service, F.xxhash64("trace"), "trace").groupBy(service).applyInPandas(
-        run, f"{service} {kinds[service]}, symbols {kinds['symbols']}, states int, start array<double>, move array<double>, "
-        "emit array<double>, threshold double, regimes array<double>")
 
 
 def score_trajectories(traj: DataFrame, service: str, share: float = LOW_SHARE) -> DataFrame:
     """traj(service, trace, symbols, ...): how unusual each trajectory is.
 
     per_step is the log likelihood a step under the service's model (0 without
-    one, or with a symbol that the model doesn't know), novelty counts its rare
-    and missing common symbols over the common ones, score = per_step - 2 *
-    novelty. The lowest share of all trajectories, one at least, is anomalous.
-    The change point is the first place of the symbol that is rarest in the
-    service; confidence blends novelty and the gap to the service's threshold,
-    with floors where rare symbols occur or common ones are missing.
+    one), novelty counts its rare and missing common symbols over the common
+    ones, score = per_step - 2 * novelty. The lowest share of all trajectories,
+    one at least, is anomalous. The change point is the first place of the symbol
+    that is rarest in the service; confidence blends novelty and the gap to the
+    service's threshold, with floors where rare symbols occur or common ones are
+    missing. Models, rates and thresholds are of all rows.
     """
+    from . import hmm
+
     kinds = dict(traj.dtypes)
     n = traj.groupBy(service).agg(F.count("*").alias("_n"))
     each = traj.select(service, "trace", F.explode(F.array_distinct("symbols")).alias("s"))
     rates = each.groupBy(service, "s").agg(F.count("*").alias("k")).join(n, service)
-    rates = rates.groupBy(service).agg(F.map_from_entries(F.collect_list(F.struct("s", F.col("k") / F.col("_n")))).alias("rates"))
-    facts = n.join(rates, service).join(fit_services(traj, service), service, "left")
-    parts = F.ceil(F.col("_n") / GROUP_ROWS).cast("int")
-    left = traj.select(service, "trace", "symbols").join(n, service).withColumn("_part", F.pmod(F.xxhash64("trace"), parts).cast("int"))
-    right = facts.withColumn("_each", F.explode(F.sequence(F.lit(0), parts - 1))).select(
-        F.col(service).alias("_service"), F.col("_each").alias("_at"), *[F.col(c).alias(c) for c in (
-            "rates", "symbols", "states", "start", "move", "emit", "threshold", "regimes")])
-
-    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        m = known.iloc[0]
-        rate = dict(m["rates"])
-        common = {s for s, r in rate.items() if r >= COMMON}
-        per_step, regime, threshold, states = np.zeros(len(pdf)), np.zeros(len(pdf), int), 0.0, 0
-        if m["symbols"] is not None:
-            at, k = {s: i for i, s in enumerate(m["symbols"])}, int(m["states"])
-            size, states, threshold = len(at), k, float(m["threshold"])
-            fits = [i for i, q in enumerate(pdf["symbols"]) if all(s in at for s in q)]
-            if fits:
-                x, steps = padded([np.array([at[s] for s in pdf["symbols"].iloc[i]]) for i in fits])
-                model = np.array(m["start"]), np.array(m["move"]).reshape(k, k), np.array(m["emit"]).reshape(k, size)
-                tables = np.array(m["regimes"]).reshape(-1, size + 1, size)
-                before = np.concatenate([np.full((len(x), 1), size), x[:, :-1]], axis=1)
-                live = np.arange(x.shape[1]) < steps[:, None]
-                per_step[fits] = log_likelihoods(x, steps, *model) / steps
-                regime[fits] = (tables[:, before, x] * live).sum(axis=2).argmax(axis=0)
-        out = []
-        for symbols, step in zip(pdf["symbols"], per_step, strict=True):
-            mine = set(symbols)
-            novel, missing = [s for s in mine if rate[s] < RARE], common - mine
-            bag = (len(missing) + len(novel)) / max(1, len(common))
-            change = min(list(dict.fromkeys(symbols)), key=rate.__getitem__)
-            gap = min(1.0, max(0.0, (threshold - step) / (abs(threshold) + 1))) if states else 0.0
-            sure = 0.5 * min(1.0, bag) + 0.5 * gap
-            if novel:
-                sure = max(sure, next(f for r, f in FLOORS if min(rate[s] for s in novel) <= r))
-            elif missing:
-                sure = max(sure, MISSING_FLOOR)
-            out.append((bag, step - NOVELTY * bag, list(symbols).index(change), change, sure))
-        cols = list(zip(*out, strict=True))
-        return pd.DataFrame({
-            service: pdf[service], "trace": pdf["trace"], "steps": [len(q) for q in pdf["symbols"]], "states": states, "regime": regime,
-            "per_step": per_step, "novelty": cols[0], "score": cols[1], "change_at": cols[2], "change": cols[3], "confidence": cols[4],
-        })
-
+    rates = rates.groupBy(service).agg(F.map_from_entries(F.collect_list(F.struct("s", F.col("k") / F.col("_n")))).alias("_rates"))
+    data, facts = hmm.encoded(traj, service)
+    models = hmm.plain_models(data, facts)
     symbol = kinds["symbols"].removeprefix("array<").removesuffix(">")
-    schema = (f"{service} {kinds[service]}, trace {kinds['trace']}, steps int, states int, regime int, per_step double, "
-              f"novelty double, score double, change_at int, change {symbol}, confidence double")
-    scored = left.groupBy(service, "_part").cogroup(right.groupBy("_service", "_at")).applyInPandas(run, schema)
+    steps = cut(hmm.assigned(data, models, symbol).select("key", "trace", "per_step"))
+    limits = quantile(steps, ["key"], "per_step", LOW_SHARE, "threshold")
+    states = traj.sparkSession.createDataFrame([(k, m.states) for k, (_, m) in models.items()], "key string, states int")
+    steps = steps.join(limits, "key").join(states, "key")
+    x = traj.select(service, "trace", "symbols", F.col(service).cast("string").alias("key")).join(steps, ["key", "trace"], "left").join(rates, service)
+    rate = lambda s: F.col("_rates")[s]
+    mine = F.array_distinct("symbols")
+    x = x.withColumns({"_novel": F.filter(mine, lambda s: rate(s) < RARE), "_common": F.filter(F.map_keys("_rates"), lambda s: rate(s) >= COMMON)})
+    x = x.withColumn("_missing", F.size(F.array_except("_common", "symbols")))
+    x = x.withColumn("novelty", (F.col("_missing") + F.size("_novel")) / F.greatest(F.lit(1), F.size("_common")))
+    x = x.withColumns({c: F.coalesce(c, F.lit(0).cast(t)) for c, t in (("states", "int"), ("per_step", "double"), ("threshold", "double"))})
+    rarest = F.array_min(F.transform("symbols", lambda s, i: F.struct(rate(s).alias("r"), i.alias("i"))))
+    x = x.withColumn("_rarest", rarest).withColumn("_least", F.array_min(F.transform("_novel", rate)))
+    gap = F.when(F.col("states") > 0, F.least(F.lit(1.0), F.greatest(
+        F.lit(0.0), (F.col("threshold") - F.col("per_step")) / (F.abs("threshold") + 1)))).otherwise(0.0)
+    floor = F.lit(MISSING_FLOOR)
+    for most, least in reversed(FLOORS):
+        floor = F.when(F.col("_least") <= most, least).otherwise(floor)
+    sure = 0.5 * F.least(F.lit(1.0), F.col("novelty")) + 0.5 * gap
+    odd = (F.size("_novel") > 0) | (F.col("_missing") > 0)
+    scored = x.select(
+        service, "trace", F.size("symbols").alias("steps"), "states", "per_step", "novelty",
+        (F.col("per_step") - NOVELTY * F.col("novelty")).alias("score"), F.col("_rarest.i").alias("change_at"),
+        F.get("symbols", F.col("_rarest.i")).alias("change"), F.when(odd, F.greatest(sure, floor)).otherwise(sure).alias("confidence"),
+    )
     return lowest(scored, "score", [service, "trace"], share).withColumnRenamed("low", "anomalous")

@@ -151,6 +151,13 @@ def template_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.templates(lines.filter("message != ''")).groupBy("template").agg(F.count("*").alias("hits"))
 
 
+@query()
+def busiest_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten templates of conversation lines with most records."""
+    lines = table(spark, sf_dir, "conversations").select(F.col("turn").alias("ts"), F.explode(F.split("text", "\n")).alias("message"))
+    return M.busiest_templates(M.templates(lines.filter("message != ''")), 10).drop("cluster_id")
+
+
 def _masked_sql(column: str) -> str:
     for pattern, name in T.MASKS:
         column = f"regexp_replace({column}, '{pattern}', '{name}', 'g')"

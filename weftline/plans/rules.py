@@ -204,16 +204,47 @@ def orphan_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("k", F.col("i").alias("inbound"), F.col("o").alias("outbound"), kind.alias("kind"))
 
 
-@query()
-def trajectory_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hidden Markov scores of each conversation's and user's event sequences, by cohort."""
+def _cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's day as a trajectory of its cohort: (service, trace, symbols, times)."""
     from weftline.operators import sequences as S
 
     e = table(spark, sf_dir, "events").select(
         F.concat(F.lit("cohort"), F.col("user_id") % 8).alias("service"), F.concat_ws("|", F.col("user_id"), F.to_date("ts")).alias("trace"),
         "ts", "event_type", "event_id")
-    t = S.trajectories(e, ["service", "trace"], "ts", "event_type", 4, "event_id")
-    return S.score_trajectories(t, "service")
+    return S.trajectories(e, ["service", "trace"], "ts", "event_type", 4, "event_id")
+
+
+@query()
+def trajectory_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden Markov scores of each user's days, by cohort."""
+    from weftline.operators import sequences as S
+
+    return S.score_trajectories(_cohorts(spark, sf_dir), "service")
+
+
+@query()
+def regime_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's day with its regime (mixtures of up to three) and whether it is unusual there."""
+    from weftline.operators import hmm
+
+    return hmm.regime_anomalies(_cohorts(spark, sf_dir), "service", most=3, restarts=1, rounds=15).drop("regimes")
+
+
+@query()
+def global_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regimes of eight windows of time that all cohorts share."""
+    from weftline.operators import hmm
+
+    t = _cohorts(spark, sf_dir).withColumn("at", F.col("times")[0])
+    return hmm.two_levels(t, "service", "at", 2, 8, 4, most=1, restarts=1, rounds=8)[0]
+
+
+@query()
+def variational_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sure it is, over a posterior of models, that a user's day lies below its cohort's threshold."""
+    from weftline.operators import hmm
+
+    return hmm.variational_confidence(_cohorts(spark, sf_dir), "service", sizes=(2, 3), restarts=1, rounds=15)
 
 
 @query("""WITH x AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, ts, event_id, lag(event_type) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id, event_type) AS p FROM events),
