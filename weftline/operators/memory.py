@@ -58,6 +58,32 @@ def compress(records: DataFrame) -> DataFrame:
     ).filter("n > 1")
 
 
+def compress_old(records: DataFrame, cutoff: str, now: str) -> DataFrame:
+    """records with the old measurements of an entity and kind summed up and invalidated by their summary.
+
+    Active measurements generated before the cutoff, two or more of an entity and kind, are invalidated by a
+    SYNTHESIZED record that says how many they are, from when to when, and their mean confidence. Its identifier
+    follows from entity, kind and cutoff, so a second run finds nothing left to do. All other records stay as they are.
+    Identifiers are text in the result; summaries have a text column ``summary`` and no value.
+    """
+    t = F.lit(cutoff).cast("timestamp_ntz")
+    x = records.withColumn("record", F.col("record").cast("string")).withColumn("invalidated_by", F.col("invalidated_by").cast("string"))
+    old = F.col("invalidated_by").isNull() & (F.col("method") == "MEASURED") & (F.col("generated_at") < t)
+    iri = F.concat(F.lit("memory/summary/"), F.substring(F.sha2(F.concat_ws("|", "entity", "kind", F.lit(cutoff)), 256), 1, 32))
+    groups = x.filter(old).groupBy("entity", "kind").agg(
+        F.count("*").alias("_n"), F.min("generated_at").alias("_first"), F.max("generated_at").alias("_last"), F.avg("confidence").alias("_confidence"),
+    ).filter("_n > 1").withColumn("_iri", iri)
+    marked = x.join(groups.select("entity", "kind", "_iri"), ["entity", "kind"], "left")
+    marked = marked.withColumn("invalidated_by", F.when(old & F.col("_iri").isNotNull(), F.col("_iri")).otherwise(F.col("invalidated_by")))
+    marked = marked.withColumn("summary", F.lit(None).cast("string")).select(*records.columns, "summary")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    text = F.to_json(F.struct(F.lit("temporal_compression").alias("summary_type"), F.col("_n").alias("point_count"), stamp("_first").alias("earliest"), stamp("_last").alias("latest")))
+    known = {"record": F.col("_iri"), "entity": F.col("entity"), "kind": F.col("kind"), "method": F.lit("SYNTHESIZED"), "confidence": F.col("_confidence"),
+             "generated_at": F.lit(now).cast("timestamp_ntz"), "valid_from": F.col("_first")}
+    fresh = groups.select(*[known.get(c, F.lit(None)).cast(t_).alias(c) for c, t_ in marked.drop("summary").dtypes], text.alias("summary"))
+    return marked.unionByName(fresh)
+
+
 def contradictions(records: DataFrame, keys: list[str]) -> DataFrame:
     """Keys under which active records differ in value, with the spread (one row for each key, not for each pair)."""
     g = active(records).groupBy(*keys).agg(

@@ -70,6 +70,17 @@ def memory_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.compress(observations(spark, sf_dir))
 
 
+@query(f"""WITH {OBS}, g AS (SELECT entity, kind, count(*) AS n, min(generated_at) AS a, max(generated_at) AS z, avg(confidence) AS c, 'memory/summary/' || substr(sha256(entity || '|' || kind || '|' || '{T2}'), 1, 32) AS iri FROM o
+ WHERE invalidated_by IS NULL AND method = 'MEASURED' AND generated_at < TIMESTAMP '{T2}' GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT CAST(record AS VARCHAR) AS record, o.entity, o.kind, method, round(confidence, 6) AS confidence, CASE WHEN invalidated_by IS NULL AND method = 'MEASURED' AND generated_at < TIMESTAMP '{T2}' AND iri IS NOT NULL THEN iri ELSE CAST(invalidated_by AS VARCHAR) END AS invalidated_by,
+ valid_from, NULL AS summary FROM o LEFT JOIN g ON o.entity = g.entity AND o.kind = g.kind
+UNION ALL SELECT iri, entity, kind, 'SYNTHESIZED', round(c, 6), NULL, a, '{{"summary_type":"temporal_compression","point_count":' || n || ',"earliest":"' || strftime(a, '%Y-%m-%d %H:%M:%S') || '","latest":"' || strftime(z, '%Y-%m-%d %H:%M:%S') || '"}}' FROM g""")
+def memory_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records once old measurements are invalidated by their summaries."""
+    x = M.compress_old(observations(spark, sf_dir), T2, T2)
+    return x.select("record", "entity", "kind", "method", F.round("confidence", 6).alias("confidence"), "invalidated_by", "valid_from", "summary")
+
+
 @query(f"WITH {OBS} SELECT entity, kind, count(DISTINCT value) AS n_values, count(*) AS n, min(value) AS lo, max(value) AS hi FROM o WHERE invalidated_by IS NULL GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities and kinds whose active values differ."""

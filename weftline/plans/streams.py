@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.catalogue import query
-from weftline.session import shared_folder, table
+from weftline.session import scratch_folder, table
 from weftline.streaming import rates as R
 
 
@@ -32,18 +30,44 @@ def rate_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.operators.series import hourly_counts
 
     hourly = hourly_counts(table(spark, sf_dir, "events").withColumnRenamed("event_type", "cluster"), "cluster", "ts")
-    path = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "hourly")
     hourly.write.parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     found = _update(spark, R.detect_rates(spark.readStream.schema(hourly.schema).parquet(path)))
     return found.select("cluster", "hour", "day", "n", *[F.round(c, 6).alias(c) for c in ("expected", "sd", "z")], "direction")
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def _update(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """An update-mode stream, each batch appended to Parquet."""
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{root}/out")).outputMode("update").option(
-        "checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    """An update-mode stream, each batch written under its number; the session's state store is put back."""
+    root, before = scratch_folder(spark, "stream"), spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out/batch={i}")).outputMode("update").option(
+            "checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query()
+def refitted_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts in batches of days; each batch is scored by the baselines fitted on those before it."""
+    from weftline.operators.series import hourly_counts
+    from weftline.streaming import refits
+
+    hourly = hourly_counts(table(spark, sf_dir, "events").withColumnRenamed("event_type", "cluster"), "cluster", "ts").select(
+        "cluster", F.col("hour").cast("int"), "day", F.col("n").cast("long").alias("n"))
+    root = scratch_folder(spark, "refits")
+    for part in range(3):  # three files in their order: days of the first, second and last third of a month
+        some = hourly.filter(F.least(F.floor((F.dayofmonth("day") - 1) / 10), F.lit(2)) == part).coalesce(1)
+        some.write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(refits.COUNTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    refits.detect_and_refit(stream, f"{root}/out", f"{root}/log").awaitTermination()
+    schema = "cluster string, hour int, day date, n long, expected double, sd double, z double, is_anomaly boolean, direction string, via string, batch long"
+    return spark.read.schema(schema).parquet(f"{root}/out/scores")

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,18 @@ def shared_folder(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared folder, deleted when the driver ends."""
+    name = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended; the folder goes with it
+            pass
+
+    atexit.register(delete)
+    return name
