@@ -246,3 +246,80 @@ def test_graphql_types(run):
     assert set(got) >= {"region", "nation", "orders", "events"}
     assert got["region"].startswith("type Region {\n") and "r_regionkey: Int" in got["region"] and "r_name: String" in got["region"]
     assert "o_totalprice: Float" in got["orders"] and got["orders"].endswith("\n}")
+
+
+def cohorts():
+    """(service, trace) -> symbols of each user's day."""
+    rows = sql("SELECT user_id, CAST(ts AS DATE), event_type FROM events ORDER BY user_id, CAST(ts AS DATE), ts, event_id, event_type")
+    seqs = collections.defaultdict(list)
+    for u, d, k in rows:
+        if not seqs[u, d] or seqs[u, d][-1] != k:
+            seqs[u, d].append(k)
+    return {(f"cohort{u % 8}", f"{u}|{d}"): q for (u, d), q in seqs.items() if len(q) >= 4}
+
+
+def modelled(traj, least):
+    """Services with enough trajectories, steps and symbols for a model."""
+    by = collections.defaultdict(list)
+    for (s, _), q in traj.items():
+        by[s].append(q)
+    return {s for s, v in by.items() if len(v) >= least and sum(map(len, v)) >= 12 and len({x for q in v for x in q}) >= 2}
+
+
+def test_regime_anomalies(run):
+    traj = cohorts()
+    got = {(r.service, r.trace): r for r in run("regime_anomalies")}
+    some = modelled(traj, 4)
+    assert got.keys() == {k for k in traj if k[0] in some} and got
+    limits = {(r.service, r.regime): r.threshold for r in got.values()}
+    for key, limit in limits.items():
+        steps = [r.per_step for r in got.values() if (r.service, r.regime) == key]
+        assert limit == pytest.approx(np.percentile(steps, 5))
+    for (s, t), r in got.items():
+        q = traj[s, t]
+        assert r.anomalous == (r.per_step < r.threshold) and (r.confidence is None) == (not r.anomalous)
+        assert q[r.change_at] == r.change and q.index(r.change) == r.change_at and 0 < r.posterior <= 1 and r.per_step < 0
+
+
+def test_global_regimes(run):
+    traj = cohorts()
+    got = sorted(run("global_regimes"), key=lambda r: r.window)
+    by = collections.Counter(s for s, _ in traj)
+    want = {w: sorted({s for s, n in by.items() for i in range(n) if min(7, i * 8 // n) == w}) for w in range(8)}
+    assert [(r.window, r.services) for r in got] == [(w, want[w]) for w in range(8)]
+    assert all(r.global_regime in (0, 1) and r.log_likelihood < 0 for r in got)
+
+
+def test_variational_confidence(run):
+    traj = cohorts()
+    got = {(r.service, r.trace): r for r in run("variational_confidence")}
+    some = modelled(traj, 1)
+    assert got.keys() == {k for k in traj if k[0] in some} and got
+    for s in some:
+        mine = [r for r in got.values() if r.service == s]
+        assert {r.threshold for r in mine} == {pytest.approx(np.percentile([r.per_step for r in mine], 5))}
+        assert all(0 <= r.confidence <= 1 and (r.confidence > 0.5) == (r.per_step < r.threshold) for r in mine if r.deviation > 1e-9 and r.per_step != r.threshold)
+
+
+def test_interventional_graph(run):
+    before = {(r.u, r.v, r.directed) for r in run("causal_graph")}
+    after = {(r.u, r.v, r.directed) for r in run("interventional_graph")}
+    assert {frozenset(e[:2]) for e in before} == {frozenset(e[:2]) for e in after}
+    set_ = sorted({k for (k,) in sql("SELECT DISTINCT event_type FROM events")})[:2]
+    assert all(d for u, v, d in after if {u, v} & set(set_))
+    assert {e for e in before if e[2]} <= after
+
+
+def test_refitted_detector(run):
+    counts = sql("SELECT event_type, CAST(hour(ts) AS INT), CAST(ts AS DATE), count(*) FROM events GROUP BY 1, 2, 3")
+    got = {(r.cluster, r.hour, r.day): r for r in run("refitted_detector")}
+    assert got.keys() == {(c, h, d) for c, h, d, _ in counts} and {r.batch for r in got.values()} == {0, 1, 2}
+    first = min(d for _, _, d, _ in counts)
+    for c, h, d, n in counts:
+        r = got[c, h, d]
+        part = min((d.day - 1) // 10, 2)
+        # later batches stand on fits of those before; the first on plain medians
+        assert r.n == n and r.batch == part and (r.via == "gp") == (part > 0) and r.z == pytest.approx((n - r.expected) / r.sd)
+        if part == 0:
+            past = [k for x, y, e, k in sorted(counts, key=lambda q: q[2]) if (x, y) == (c, h) and first <= e < d][-30:]
+            assert r.expected == pytest.approx(float(np.median(past)) if past else 0.0)

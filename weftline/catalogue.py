@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 _MODULES = tuple(
-    f"weftline.plans.{m}" for m in ("mining", "series", "memory", "relational", "retrieval", "graph", "rules", "streams", "catalog", "scans", "knowledge")
+    f"weftline.plans.{m}" for m in ("mining", "series", "memory", "relational", "retrieval", "graph", "rules", "streams", "catalog", "scans", "knowledge", "details")
 )
 
 

@@ -30,6 +30,38 @@ def clean_line(text: Column, least: int = 10) -> Column:
     return F.when(F.length(t) > least, t)
 
 
+#: Leading times (ISO 8601, BSD syslog, epoch), levels anywhere, and what variable parts become.
+LINE_TIMES = (
+    r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?\s*", r"^\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+", r"^\d{10,13}\s+",
+)
+LINE_LEVELS = r"(?i)\b(?:DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|FATAL|TRACE)\b\s*:?\s*"
+LINE_PARTS = (
+    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "UUID"), (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "IPADDR"),
+    (r"\b[0-9a-fA-F]{8,}\b", "HEXVAL"), (r"\b\d+(?:\.\d+)?\b", "NUM"),
+)
+
+
+def plain_line(text: Column, least: int = 10) -> Column:
+    """A line without leading times and without levels wherever they stand, its variable parts named; null if little is left."""
+    t = F.trim(text)
+    for pattern in (*LINE_TIMES, LINE_LEVELS):
+        t = F.regexp_replace(t, pattern, "")
+    for pattern, name in LINE_PARTS:
+        t = F.regexp_replace(t, pattern, name)
+    t = F.trim(t)
+    return F.when(F.length(t) > least, t)
+
+
+def template_signature(template: Column, slot_types: Column) -> tuple[Column, Column, Column]:
+    """(signature, tokens hash, slots hash) of a template's sorted words and its slots' types, 16 hexadecimal digits each."""
+    short = lambda c: F.substring(F.sha2(c, 256), 1, 16)
+    bare = F.lower(F.regexp_replace(F.coalesce(template, F.lit("")), r"<\*>", " "))
+    tokens = F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit("[a-z_]{2,}"), 0)))
+    a = short(F.concat(F.lit("tokens:"), F.array_join(tokens, ",")))
+    b = short(F.concat(F.lit("slots:"), F.array_join(F.transform(F.coalesce(slot_types, F.array().cast("array<string>")), F.upper), ",")))
+    return short(F.concat_ws("|", a, b)), a, b
+
+
 def words(text: Column, pattern: str = r"[A-Za-z0-9_]{2,}") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)
 

@@ -84,12 +84,31 @@ def nearest_templates(vectors: DataFrame, most: float = 0.25, block: int = 10_00
     return found
 
 
+#: The numeric features of a proposal.
+RANKER_FEATURES = (
+    "confidence_score", "evidence_volume", "evidence_recency", "cross_domain", "consistency_risk", "title_token_count", "age_seconds", "regime_id",
+)
+
+
+def ranker_features(proposals: DataFrame, now: str) -> DataFrame:
+    """proposals(title, created_at, .. and the scores) with RANKER_FEATURES as doubles; what is missing or no number is null."""
+    have = set(proposals.columns)
+    number = lambda c: F.col(c).cast("string").try_cast("double") if c in have else F.lit(None).cast("double")
+    made = F.try_to_timestamp(F.regexp_replace(F.split_part(F.col("created_at").cast("string"), F.lit("."), F.lit(1)), "T", " "))
+    age = (F.unix_micros(F.to_timestamp(F.lit(now))) - F.unix_micros(made)) / F.lit(1e6)
+    words = F.size(F.filter(F.split(F.coalesce("title", F.lit("")), r"\s+"), lambda w: w != "")).cast("double")
+    special = {"title_token_count": words, "age_seconds": F.when(age.isNotNull(), F.greatest(age, F.lit(0.0)))}
+    return proposals.withColumns({c: special[c] if c in special else number(c) for c in RANKER_FEATURES})
+
+
 def review_ranker(decisions: DataFrame, numeric: list[str], kind: str, label: str = "approved", least: int = 20):
     """Fitted pipeline (median impute, scale, one-hot, balanced logistic), or None with fewer decisions or one outcome."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 
+    # a feature that no decision has says nothing, and can't be imputed
+    numeric = [c for c, k in decisions.agg(*[F.count(c).alias(c) for c in numeric]).first().asDict().items() if k]
     n = decisions.groupBy(label).agg(F.count("*").alias("n")).collect()
     total = sum(r["n"] for r in n)
     if total < least or len(n) < 2:

@@ -197,3 +197,28 @@ def merge_sources(sources: dict[str, DataFrame], width: float) -> DataFrame:
     grid = rows.select("node").distinct().crossJoin(F.broadcast(span)).select(
         "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))
     return grid.join(binned, ["node", "bin"], "left").select("node", "bin", F.coalesce("n", F.lit(0.0)).alias("n"))
+
+
+#: Fixed value: an impulse below this is over.
+SMALLEST = 1e-4
+
+
+def impulses(events: DataFrame, key: str, at: str, width: float, half_life: float, start: float | None = None, stop: float | None = None) -> DataFrame:
+    """Point events as impulses of 1 that halve every half_life seconds, by bin: (key, bin, n) where it isn't 0.
+
+    An impulse goes on until it is below SMALLEST or the series ends, and events outside start .. stop count in the
+    first or last bin. Without a half-life it is one bin. Bins begin at start (the first event by default).
+    """
+    lo, hi = F.min(at).alias("_lo"), F.max(at).alias("_hi")
+    span = events.agg(lo, hi).select(F.coalesce(F.lit(start), "_lo").alias("_t0"), F.coalesce(F.lit(stop), "_hi").alias("_t1"))
+    x = events.select(key, at).crossJoin(F.broadcast(span))  # one row
+    bins = F.greatest(F.lit(1), F.floor((F.col("_t1") - F.col("_t0")) / width) + 1)
+    first = F.least(bins - 1, F.greatest(F.lit(0), F.floor((F.col(at) - F.col("_t0")) / width)))
+    x = x.select(key, first.cast("long").alias("first"), bins.cast("long").alias("bins")).groupBy(key, "first", "bins").agg(F.count("*").alias("k"))
+    if not half_life:
+        return x.groupBy(key, F.col("first").alias("bin")).agg(F.sum("k").cast("double").alias("n"))
+    decay = math.exp(-width * math.log(2) / half_life)
+    # the bin in which it falls below SMALLEST is the first without it
+    long = math.floor(math.log(SMALLEST) / math.log(decay)) + 1
+    x = x.withColumn("bin", F.explode(F.sequence("first", F.least(F.col("bins") - 1, F.col("first") + long - 1))))
+    return x.groupBy(key, "bin").agg(F.sum(F.col("k") * F.pow(F.lit(decay), F.col("bin") - F.col("first"))).alias("n"))

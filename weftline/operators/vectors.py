@@ -62,3 +62,42 @@ def search_many(records: DataFrame, queries: DataFrame, k: int, block: int = QUE
 def unchanged_removed(rows: DataFrame, index: DataFrame) -> DataFrame:
     """Rows that the index doesn't hold under the same hash."""
     return rows.join(index, ["iri", "content_hash"], "left_anti")
+
+
+def retrieval_metrics(plain: DataFrame, bounded: DataFrame, queries: DataFrame, times: DataFrame) -> DataFrame:
+    """(strategy, queries, precision, mrr, wrong_class_blocked, p50_ms, p95_ms) of two rankings of the same queries.
+
+    plain and bounded(qid, vec_id, cls, rank) are hits without and within the expected class, queries(qid, expected), times(strategy,
+    qid, ms). wrong_class_blocked is, for the bounded ranking, the share of the plain hits of another class that it doesn't hold:
+    1 where there are none, 0 without plain hits. Latencies are those at index n / 2 and round(0.95 n) - 1 of the sorted times.
+    """
+    good = F.col("cls").eqNullSafe(F.col("expected"))
+    held = bounded.select("qid", "vec_id", F.lit(True).alias("held")).distinct()
+    wrong = plain.join(queries, "qid").filter(~good).join(held, ["qid", "vec_id"], "left").groupBy("qid").agg(
+        (F.count_if(F.col("held").isNull()) / F.count("*")).alias("blocked"))
+    some = plain.groupBy("qid").agg(F.count("*").alias("n"))
+    blocked = queries.join(wrong, "qid", "left").join(some, "qid", "left").agg(
+        F.avg(F.coalesce("blocked", F.when(F.col("n") > 0, 1.0).otherwise(0.0))).alias("wrong_class_blocked"))
+    out = None
+    for name, hits in (("plain", plain), ("bounded", bounded)):
+        by = queries.join(hits, "qid", "left").groupBy("qid").agg(
+            F.coalesce(F.count_if(good & F.col("rank").isNotNull()) / F.nullif(F.count("rank"), F.lit(0)), F.lit(0.0)).alias("p"),
+            F.coalesce(1 / F.min(F.when(good & F.col("rank").isNotNull(), F.col("rank"))), F.lit(0.0)).alias("rr"))
+        one = by.agg(F.count("*").alias("queries"), F.round(F.avg("p"), 4).alias("precision"), F.round(F.avg("rr"), 4).alias("mrr"))
+        one = one.crossJoin(F.broadcast(blocked)) if name == "bounded" else one.withColumn("wrong_class_blocked", F.lit(0.0))
+        one = one.withColumn("strategy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    from .ranks import ranked
+
+    r = ranked(times, ["strategy"], "ms", ["qid"])
+    at = lambda i: F.max(F.when(F.col("rank") == i, F.col("ms")))
+    last = F.greatest(F.lit(0), F.floor(0.95 * F.col("n") + 0.5) - 1)
+    late = r.groupBy("strategy").agg(at(F.floor(F.col("n") / 2)).alias("p50_ms"), at(last).alias("p95_ms"))
+    return out.withColumn("wrong_class_blocked", F.round("wrong_class_blocked", 4)).join(late, "strategy", "left")
+
+
+def federated(records: DataFrame, ceiling: str, column: str = "tier") -> DataFrame:
+    """What a partner with a ceiling may see: tiers up to it, never the highest, whatever the ceiling; unknown tiers are refused."""
+    if ceiling not in TIERS:
+        raise ValueError(f"unknown tier {ceiling!r}")
+    return records.filter(F.col(column).isin(*TIERS[: min(TIERS.index(ceiling) + 1, len(TIERS) - 1)]))

@@ -190,3 +190,22 @@ def enriched_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     iri = F.when(i % 3 == 0, F.concat(F.lit("Customer/"), i + 1)).when(i % 3 == 1, F.concat(F.lit("Order/"), i)).otherwise(F.concat(F.lit("Other/"), i))
     hits = table(spark, sf_dir, "embeddings").select("vec_id", iri.alias("iri"))
     return R.enriched(hits, {"Customer": (table(spark, sf_dir, "customer"), "c_custkey", CUSTOMER), "Order": (table(spark, sf_dir, "orders"), "o_orderkey", ORDER)}, "Public")
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'supplier/' || s_suppkey AS s, 'nation/' || s_nationkey AS o FROM supplier UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation),
+far AS (SELECT a.s, b.o FROM e a JOIN e b ON a.o = b.s), every AS (SELECT * FROM e UNION SELECT * FROM far),
+rich AS (SELECT 'supplier/' || s_suppkey AS s FROM supplier JOIN every ON s = 'supplier/' || s_suppkey JOIN region ON o = 'region/' || r_regionkey AND r_name = 'EUROPE' WHERE s_acctbal > 5000)
+SELECT s, 'in' AS p, o, 'place_of_supplier' AS rule FROM far UNION ALL SELECT s, 'rdf:type', 'RichEuropean', 'rich_supplier' FROM rich
+UNION ALL SELECT DISTINCT o, 'rdf:type', 'RichRegion', 'region_with_rich' FROM every JOIN rich USING (s) WHERE o LIKE 'region/%'""")
+def folder_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the library's folder of SQL rules derives from the star schema's triples."""
+    import os
+
+    from weftline import operators
+    from weftline.operators import rule_folder
+    from weftline.plans.graph import triples
+
+    # the files come with the package, which every driver has
+    folder = os.path.join(os.path.dirname(os.path.dirname(operators.__file__)), "rules")
+    rules = {name.removesuffix(".sql"): open(os.path.join(folder, name)).read() for name in sorted(os.listdir(folder)) if name.endswith(".sql")}
+    return rule_folder.run_rules(triples(spark, sf_dir), rules).select("s", "p", "o", "rule")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +66,39 @@ def probe(df: DataFrame, column: str, most: int = 20) -> DataFrame:
     return df.select(column).distinct().limit(most)
 
 
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n): rows of each table, from the formats' statistics where they have them."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in sorted(tables.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sample_rows(df: DataFrame, order: list[str], most: int = 5) -> DataFrame:
+    """A table's first rows as JSON, with their rank: what a catalogue shows."""
+    some = df.orderBy(*order).limit(most).withColumn("_json", F.to_json(F.struct(*df.columns)))
+    return some.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), F.col("_json").alias("record"))  # most rows at most
+
+
+def found_keys(tables: dict[str, DataFrame], unique: dict[str, str], least: int = 2) -> DataFrame:
+    """(table_name, column_name, target, key): columns all of whose values a table's key has, found from the rows.
+
+    unique names each target's key. Columns are compared with keys of their own type that share the last part of the name
+    (l_orderkey, o_orderkey); a column with fewer than ``least`` different values isn't judged. One anti join for each pair.
+    """
+    end = lambda c: c.split("_", 1)[-1].lower()
+    parts = []
+    for target, key in sorted(unique.items()):
+        keys = tables[target].select(F.col(key).alias("k")).distinct()
+        kind = dict(tables[target].dtypes)[key]
+        for name, df in sorted(tables.items()):
+            for c, t in df.dtypes:
+                if name != target and t == kind and end(c) == end(key):
+                    mine = df.select(F.col(c).alias("k")).filter("k is not null").distinct()
+                    got = mine.join(keys.withColumn("hit", F.lit(True)), "k", "left").agg(
+                        F.count("*").alias("n"), F.count_if(F.col("hit").isNull()).alias("lost")).filter((F.col("n") >= least) & (F.col("lost") == 0))
+                    parts.append(got.select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(target).alias("target"), F.lit(key).alias("key"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def parse_type(text: str) -> T.DataType:
     """Spark's type for an SQL type; what isn't known is a string."""
     t = text.strip().lower()
