@@ -19,8 +19,9 @@ from .graph import cut
 
 def rules_of(spark: SparkSession, folder: str) -> dict[str, str]:
     """File name without .sql -> query, in the order of names. A folder of rules is small: they come to the driver."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.sql").text(folder).select(F.col("_metadata.file_name").alias("name"), "value")
-    return {r["name"].removesuffix(".sql"): r["value"].strip().rstrip(";") for r in rows.orderBy("name").collect()}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sql").load(folder)
+    rows = files.select(F.regexp_extract("path", r"([^/]+)\.sql$", 1).alias("name"), F.col("content").cast("string").alias("text"))
+    return {r["name"]: r["text"].strip().rstrip(";") for r in rows.orderBy("name").collect()}
 
 
 def run_rules(triples: DataFrame, rules: dict[str, str], rounds: int = 100) -> DataFrame:

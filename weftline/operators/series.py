@@ -214,11 +214,11 @@ def impulses(events: DataFrame, key: str, at: str, width: float, half_life: floa
     x = events.select(key, at).crossJoin(F.broadcast(span))  # one row
     bins = F.greatest(F.lit(1), F.floor((F.col("_t1") - F.col("_t0")) / width) + 1)
     first = F.least(bins - 1, F.greatest(F.lit(0), F.floor((F.col(at) - F.col("_t0")) / width)))
-    x = x.select(key, first.cast("long").alias("first"), bins.cast("long").alias("bins")).groupBy(key, "first", "bins").agg(F.count("*").alias("k"))
+    x = x.select(key, first.cast("long").alias("first"), bins.cast("long").alias("bins")).groupBy(key, "first", "bins").agg(F.count("*").alias("_k"))
     if not half_life:
-        return x.groupBy(key, F.col("first").alias("bin")).agg(F.sum("k").cast("double").alias("n"))
+        return x.groupBy(key, F.col("first").alias("bin")).agg(F.sum("_k").cast("double").alias("n"))
     decay = math.exp(-width * math.log(2) / half_life)
     # the bin in which it falls below SMALLEST is the first without it
     long = math.floor(math.log(SMALLEST) / math.log(decay)) + 1
     x = x.withColumn("bin", F.explode(F.sequence("first", F.least(F.col("bins") - 1, F.col("first") + long - 1))))
-    return x.groupBy(key, "bin").agg(F.sum(F.col("k") * F.pow(F.lit(decay), F.col("bin") - F.col("first"))).alias("n"))
+    return x.groupBy(key, "bin").agg(F.sum(F.col("_k") * F.pow(F.lit(decay), F.col("bin") - F.col("first"))).alias("n"))

@@ -201,11 +201,13 @@ def folder_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the library's folder of SQL rules derives from the star schema's triples."""
     import os
 
-    from weftline import operators
     from weftline.operators import rule_folder
     from weftline.plans.graph import triples
 
     # the files come with the package, which every driver has
-    folder = os.path.join(os.path.dirname(os.path.dirname(operators.__file__)), "rules")
-    rules = {name.removesuffix(".sql"): open(os.path.join(folder, name)).read() for name in sorted(os.listdir(folder)) if name.endswith(".sql")}
+    folder = os.path.join(os.path.dirname(os.path.dirname(rule_folder.__file__)), "rules")
+    rules = {}
+    for name in sorted(n for n in os.listdir(folder) if n.endswith(".sql")):
+        with open(os.path.join(folder, name)) as f:
+            rules[name.removesuffix(".sql")] = f.read()
     return rule_folder.run_rules(triples(spark, sf_dir), rules).select("s", "p", "o", "rule")
