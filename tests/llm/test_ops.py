@@ -205,7 +205,7 @@ def test_near_pairs_within_a_shared_passage(spark):
 
 def test_near_regions_over_cuts(spark):
     """With a range for each row every pair of a region is a candidate or goes to the exact join."""
-    same = bytes(range(256))
+    same = bytes(i % 256 for i in range(4 * neardup.POOL))
     reps = spark.createDataFrame([(i, 100, same) for i in (1, 2, 3, 4)], "rep long, n long, sig binary")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(4 * neardup.TREES))
