@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, width: float, strict: bool = True) -> DataFrame:
     """left columns and right columns prefixed r_, where keys are equal and |left.at - right.at| < width (<= if not strict)."""
@@ -38,7 +40,12 @@ SLICE = 2_000
 
 
 def ordered_pair_counts(rows: DataFrame, kind: str, micros: str, width: int) -> DataFrame:
-    """How many pairs of rows lie within width of each other, by kind: (x, y, later, same).
+    """How many pairs of rows lie within width of each other, by kind: (x, y, later, same), as pair_rows() counts them."""
+    return pair_rows(rows, kind, micros, width).groupBy("x", "y").agg(F.sum("later").alias("later"), F.sum("same").alias("same"))
+
+
+def pair_rows(rows: DataFrame, kind: str, micros: str, width: int) -> DataFrame:
+    """Parts of the counts of pairs within width, to be summed by kinds: (x, y, later, same).
 
     later counts pairs with 0 < y's time - x's time <= width, same those with
     equal times. Rows are counted by (kind, time) first, and times cut into
@@ -49,15 +56,14 @@ def ordered_pair_counts(rows: DataFrame, kind: str, micros: str, width: int) ->
     two running counts of y, and the work is rows times the kinds of the bucket.
     """
     n = rows.groupBy(F.col(kind).alias("k"), F.col(micros).alias("t")).agg(F.count("*").alias("n"))
-    n = n.withColumn("b", F.floor(F.col("t") / width).cast("long"))
+    n = cut(n.withColumn("b", F.floor(F.col("t") / width).cast("long")))  # read four times
     ahead = n.select("b", "k", "t", "n", F.lit(0).alias("step"))
     reach = ahead.unionByName(n.select((F.col("b") - 1).alias("b"), "k", (F.col("t") - width).alias("t"), "n", F.lit(1).alias("step")))
     kinds = reach.groupBy("b", "k").agg(F.count("*").alias("m")).groupBy("b").agg(F.sum("m").alias("m"), F.count("*").alias("kinds"))
     size = kinds.select("b", (F.col("m") > REPEATS * F.col("kinds")).alias("often"), F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
     own, reach = n.join(size, "b"), reach.join(size, "b")
     often, seldom = F.col("often"), ~F.col("often")
-    return _paired(own.filter(seldom), reach.filter(seldom)).unionByName(_counted(own.filter(often), reach.filter(often))).groupBy("x", "y").agg(
-        F.sum("later").alias("later"), F.sum("same").alias("same"))
+    return _paired(own.filter(seldom), reach.filter(seldom)).unionByName(_counted(own.filter(often), reach.filter(often)))
 
 
 def _paired(own: DataFrame, reach: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def _paired(own: DataFrame, reach: DataFrame) -> DataFrame:
     pair = x.join(y, ["b", "slice"]).filter(F.when(F.col("step") == 0, F.col("at") >= F.col("t")).otherwise(F.col("at") <= F.col("t")))
     product, zero = F.col("weight") * F.col("other"), F.lit(0).cast("long")
     same = (F.col("step") == 0) & (F.col("at") == F.col("t"))
-    return pair.groupBy("x", "y").agg(F.sum(F.when(same, zero).otherwise(product)).alias("later"), F.sum(F.when(same, product).otherwise(zero)).alias("same"))
+    return pair.select("x", "y", F.when(same, zero).otherwise(product).alias("later"), F.when(same, product).otherwise(zero).alias("same"))
 
 
 def _counted(own: DataFrame, reach: DataFrame) -> DataFrame:
@@ -85,5 +91,4 @@ def _counted(own: DataFrame, reach: DataFrame) -> DataFrame:
     now, whole = W.partitionBy("b", "y").orderBy("t").rangeBetween(0, 0), W.partitionBy("b", "y")
     later = F.sum("own").over(whole) - F.sum("own").over(so_far) + F.sum("next").over(so_far)
     each = every.select("x", "y", "weight", later.alias("later"), F.sum("own").over(now).alias("same")).filter("weight is not null")
-    return each.groupBy("x", "y").agg(
-        F.sum(F.col("weight") * F.col("later")).alias("later"), F.sum(F.col("weight") * F.col("same")).alias("same"))
+    return each.select("x", "y", (F.col("weight") * F.col("later")).alias("later"), (F.col("weight") * F.col("same")).alias("same"))
