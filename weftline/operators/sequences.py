@@ -205,6 +205,7 @@ def score_trajectories(traj: DataFrame, service: str, share: float = LOW_SHARE)
     from . import hmm
 
     kinds = dict(traj.dtypes)
+    traj = cut(traj)  # read five times
     n = traj.groupBy(service).agg(F.count("*").alias("_n"))
     each = traj.select(service, "trace", F.explode(F.array_distinct("symbols")).alias("s"))
     rates = each.groupBy(service, "s").agg(F.count("*").alias("k")).join(n, service)
@@ -237,4 +238,4 @@ def score_trajectories(traj: DataFrame, service: str, share: float = LOW_SHARE)
         (F.col("per_step") - NOVELTY * F.col("novelty")).alias("score"), F.col("_rarest.i").alias("change_at"),
         F.get("symbols", F.col("_rarest.i")).alias("change"), F.when(odd, F.greatest(sure, floor)).otherwise(sure).alias("confidence"),
     )
-    return lowest(scored, "score", [service, "trace"], share).withColumnRenamed("low", "anomalous")
+    return lowest(cut(scored), "score", [service, "trace"], share).withColumnRenamed("low", "anomalous")
