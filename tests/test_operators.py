@@ -404,9 +404,6 @@ def test_models():
     y = 10 + 5 * np.sin(2 * np.pi * x / 24)
     assert np.abs(models.gp_baseline(x, y, x) - y).max() < 0.5
     assert np.abs(models.sparse_gp(x, y, x, 40) - y).max() < 1.0
-    seqs = [np.array([0, 1, 2] * 4) for _ in range(10)]
-    m = models.AttentionModel(3).fit(seqs)
-    assert m.score(seqs[0]) > m.score(np.array([2, 1, 0] * 4))
 
 
 def test_gp_rates_fit_long_series_in_full(spark):

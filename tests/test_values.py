@@ -324,3 +324,26 @@ def test_refitted_detector(run):
         if part == 0:
             past = [k for x, y, e, k in sorted(counts, key=lambda q: q[2]) if (x, y) == (c, h) and first <= e < d][-30:]
             assert r.expected == pytest.approx(float(np.median(past)) if past else 0.0)
+
+
+def test_attention_scores(run):
+    got = run("attention_scores")
+    days = sql("""SELECT 'cohort' || user_id % 8 AS s, user_id || '|' || CAST(ts AS DATE) AS t, list(event_type ORDER BY ts, event_type, event_id) FROM events GROUP BY 1, 2""")
+    walks = {}
+    for s, t, types in days:
+        q = [x for i, x in enumerate(types) if not i or types[i - 1] != x]
+        if len(q) >= 4:
+            walks[s, t] = q
+    fitted = {s for s in {k[0] for k in walks} if sum(len(q) for k, q in walks.items() if k[0] == s) >= 12}
+    assert got and {(r.service, r.trace) for r in got} == {k for k in walks if k[0] in fitted}
+    kinds = {s: len({x for k, q in walks.items() if k[0] == s for x in q}) for s in fitted}
+    for r in got:
+        q = walks[r.service, r.trace]
+        assert r.per_step < 0 and q[r.surprise_at] == r.surprise
+        if r.surprise_at > 1:
+            assert r.attended_at < r.surprise_at - 1 and q[r.attended_at] == r.attended and 0 <= r.weight <= 1
+        else:
+            assert r.attended_at is None and r.attended is None
+    for s in fitted:  # what is learnt beats a guess
+        mine = [(r.per_step, len(walks[s, r.trace]) - 1) for r in got if r.service == s]
+        assert sum(p * n for p, n in mine) / sum(n for _, n in mine) > -np.log(kinds[s])

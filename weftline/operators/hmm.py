@@ -59,6 +59,11 @@ class Model:
     def states(self) -> int:
         return self.start.shape[1]
 
+    @property
+    def numbers(self) -> int:
+        """Length of its statistics."""
+        return 2 + 2 * self.regimes + self.start.size + self.move.size + self.emit.size
+
 
 def forward(x: np.ndarray, n: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """Scaled forward values (T, K, rows, S) and scales (T, K, rows) of padded sequences under each regime."""
@@ -138,8 +143,8 @@ def encoded(traj: DataFrame, key: str, *carry: str) -> tuple[DataFrame, DataFram
     return cut(data.select("key", "trace", *carry, seq.alias("seq"))), facts
 
 
-def expect(data: DataFrame, models: dict[str, list[Model]]) -> dict[tuple[str, int], np.ndarray]:
-    """Sums of statistics over all rows of data(key, seq) for the candidates of each key that aren't done."""
+def expect(data: DataFrame, models: dict[str, list], counts: Callable = statistics) -> dict[tuple[str, int], np.ndarray]:
+    """Sums of counts(padded, lengths, model) over all rows of data(key, seq) for the candidates of each key that aren't done."""
     live = {k: [(i, m) for i, m in enumerate(c) if not m.done] for k, c in models.items()}
     shared = data.sparkSession.sparkContext.broadcast({k: c for k, c in live.items() if c})
 
@@ -148,7 +153,7 @@ def expect(data: DataFrame, models: dict[str, list[Model]]) -> dict[tuple[str, i
         for key, seqs, _ in _by_key(batches, shared.value):
             for _, x, n in blocks(seqs):
                 for i, m in shared.value[key]:
-                    sums[key, i] = sums.get((key, i), 0) + statistics(x, n, m)
+                    sums[key, i] = sums.get((key, i), 0) + counts(x, n, m)
         for (key, i), v in sums.items():
             some = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays(
@@ -157,8 +162,7 @@ def expect(data: DataFrame, models: dict[str, list[Model]]) -> dict[tuple[str, i
             )
 
     rows = data.select("key", "seq").mapInArrow(run, "key string, c int, at int, v double").groupBy("key", "c", "at").agg(F.sum("v").alias("v"))
-    size = lambda m: 2 + 2 * m.regimes + m.start.size + m.move.size + m.emit.size
-    out = {(k, i): np.zeros(size(m)) for k, c in live.items() for i, m in c}
+    out = {(k, i): np.zeros(m.numbers) for k, c in live.items() for i, m in c}
     got = rows.toPandas()  # as many numbers as the models have
     for (k, i), g in got.groupby(["key", "c"]):
         out[k, i][g["at"].to_numpy()] = g["v"].to_numpy()
@@ -195,16 +199,18 @@ def random_model(regimes: int, states: int, symbols: int, seed: int) -> Model:
     return Model(draw(regimes, states), draw(regimes, states, states), draw(regimes, states, symbols), np.full(regimes, -math.log(regimes)))
 
 
-def fit(data: DataFrame, models: dict[str, list[Model]], rounds: int = ROUNDS, step: Callable[[Model, np.ndarray], None] = improve) -> None:
+def fit(
+    data: DataFrame, models: dict[str, list], rounds: int = ROUNDS, step: Callable[[Model, np.ndarray], None] = improve, counts: Callable = statistics,
+) -> None:
     """Rounds of expectation and new parameters until no candidate moves; models change in place."""
     for _ in range(rounds):
-        for (k, i), v in expect(data, models).items():
+        for (k, i), v in expect(data, models, counts).items():
             step(models[k][i], v)
         if all(m.done for c in models.values() for m in c):
             break
 
 
-def in_groups(facts: DataFrame, start: Callable[[int], list[Model]], fields: int) -> Iterator[tuple[DataFrame, dict, dict]]:
+def in_groups(facts: DataFrame, start: Callable[[int], list], fields: int) -> Iterator[tuple[DataFrame, dict, dict]]:
     """(filter for the data, alphabets, first models) of groups of keys with MODEL_BYTES of models at most; fields is what a symbol costs."""
     ok = facts.filter((F.size("alphabet") >= LEAST_SYMBOLS) & (F.col("steps") >= LEAST_STEPS))
     cost = ok.agg(F.sum((F.size("alphabet") + 8) * fields * 8)).first()[0] or 0

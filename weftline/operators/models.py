@@ -1,4 +1,4 @@
-"""Models on grouped data: Gaussian processes, template embeddings, the review ranker, attention."""
+"""Models on grouped data: Gaussian processes, template embeddings, the review ranker."""
 
 from __future__ import annotations
 
@@ -171,39 +171,3 @@ def review_ranker(decisions: DataFrame, numeric: list[str], kind: str, label: st
         LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1e-3),
     ]
     return Pipeline(stages=stages).fit(x)
-
-
-class AttentionModel:
-    """Next-symbol model: embeddings attend to the last ones of a window; only the embeddings are trained."""
-
-    def __init__(self, symbols: int, dim: int = 16, window: int = 8, seed: int = 0):
-        rng = np.random.RandomState(seed)
-        self.e, self.o, self.window, self.dim = rng.normal(0, 0.3, (symbols, dim)), rng.normal(0, 0.3, (symbols, dim)), window, dim
-
-    def _context(self, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.e[past[-self.window :]]
-        a = x @ x[-1] / np.sqrt(self.dim)
-        a = np.exp(a - a.max())
-        a /= a.sum()
-        return a @ x, a
-
-    def probabilities(self, past: np.ndarray) -> np.ndarray:
-        z = self.o @ self._context(past)[0]
-        p = np.exp(z - z.max())
-        return p / p.sum()
-
-    def fit(self, seqs: list[np.ndarray], epochs: int = 5, rate: float = 0.1) -> AttentionModel:
-        for _ in range(epochs):
-            for q in seqs:
-                for i in range(1, len(q)):
-                    c, a = self._context(q[:i])
-                    p = self.probabilities(q[:i])
-                    p[q[i]] -= 1
-                    g = p @ self.o
-                    self.o -= rate * np.outer(p, c)
-                    np.add.at(self.e, q[:i][-self.window :], -rate * a[:, None] * g)
-        return self
-
-    def score(self, q: np.ndarray) -> float:
-        """Mean log probability of each next symbol."""
-        return float(np.mean([np.log(self.probabilities(q[:i])[q[i]] + 1e-12) for i in range(1, len(q))])) if len(q) > 1 else 0.0

@@ -256,3 +256,11 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_type", "event_id")
     return S.trajectories(e, ["user_id", "day"], "ts", "event_type", 4, "event_id").select("user_id", "day", F.array_join("symbols", ",").alias("symbols"))
+
+
+@query()
+def attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's day under a next-symbol model of its cohort: the least likely event and what the model looked at."""
+    from weftline.operators import attention
+
+    return attention.attention_scores(_cohorts(spark, sf_dir), "service", rounds=20)
