@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def _near(d: np.ndarray, scale: float = 6.0, period: float = 24.0) -> np.ndarray:
     """Covariance of two hours by their distance."""
@@ -97,22 +99,84 @@ def gp_rates(hourly: DataFrame, key: str, least: int = 12, hours: int = 4, induc
     return x.groupBy(key).applyInPandas(run, f"{key} {kind}, day timestamp, hour int, n long, expected double, z double")
 
 
-def template_vectors(templates: DataFrame, k: int = 12, words: int = 4096) -> DataFrame:
-    """Bags of words reduced by PCA and scaled to length 1; with more than ``words`` words the rarest have no place of
-    their own and count together as one."""
-    from pyspark.ml.feature import PCA, CountVectorizer, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    x = templates.withColumn("_w", F.regexp_extract_all(F.lower("template"), F.lit(r"[a-z_]{2,}"), 0))
-    often = x.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(words - 1)
-    kept = F.broadcast(often.agg(F.collect_set("w").alias("_kept")))  # one row of words - 1 words at most
-    x = x.crossJoin(kept).withColumn("_w", F.transform("_w", lambda w: F.when(F.array_contains("_kept", w), w).otherwise("<rare>")))
-    cv = CountVectorizer(inputCol="_w", outputCol="_bag", vocabSize=words).fit(x)
-    x = cv.transform(x)
-    k = min(k, len(cv.vocabulary))
-    x = PCA(k=k, inputCol="_bag", outputCol="_pca").fit(x).transform(x)
-    x = Normalizer(inputCol="_pca", outputCol="_unit").transform(x)
-    return x.select(*templates.columns, vector_to_array("_unit").alias("v"))
+#: Columns beyond k that the iteration carries, the most rounds, and how little the variances move at its end (relative).
+SPARE, PCA_ROUNDS, PCA_MOVE = 8, 40, 1e-6
+
+
+def template_vectors(templates: DataFrame, k: int = 12, rounds: int = PCA_ROUNDS) -> DataFrame:
+    """Bags of words projected on the k directions of most variance and scaled to length 1 (zeros without a word): adds v.
+
+    All words take part, whatever their number: the directions are found by
+    subspace iteration, in which a round is two joins of (template, word, count)
+    with one row of k + SPARE numbers for each word or template. Only sums of
+    products of these columns come to the driver. With fewer words than k there are as
+    many directions as words. Each row is its own, so repeated templates stay.
+    """
+    x = cut(templates.withColumn("_id", F.monotonically_increasing_id()))
+    cells = x.select("_id", F.explode(F.regexp_extract_all(F.lower("template"), F.lit(r"[a-z_]{2,}"), 0)).alias("_word"))
+    cells = cut(cells.groupBy("_id", "_word").agg(F.count("*").cast("double").alias("_c")))
+    total = x.count()
+    words = cells.groupBy("_word").agg((F.sum("_c") / total).alias("_mean"))
+    wide = min(k + SPARE, words.count())
+    if not wide:
+        return templates.withColumn("v", F.array().cast("array<double>"))
+    ys, zs = [f"_y{i}" for i in range(wide)], [f"_z{i}" for i in range(wide)]
+    # any start will do that is the same each time
+    v = cut(words.select("_word", "_mean", *[(F.xxhash64("_word", F.lit(i)) / F.lit(2.0**63)).alias(z) for i, z in enumerate(zs)]))
+    v, last = cut(_turned(v, zs, zs, _whitened(_products(v, zs)))), None
+    for turns in range(1, rounds + 1):
+        y = cut(_projected(cells, v, zs, ys))
+        # centred: what the mean bag has is taken off each template, those without words included
+        mean = np.array(v.agg(*[F.sum(F.col("_mean") * F.col(z)) for z in zs]).first(), float)
+        inner = _products(y, ys) - total * np.outer(mean, mean)
+        variance, turn = np.linalg.eigh(inner)
+        variance, turn = variance[::-1], turn[:, ::-1]
+        settled = last is not None and (np.abs(variance - last)[:k] <= PCA_MOVE * variance[0]).all()
+        # without any variance (one bag of words) each direction is as good
+        if settled or turns == rounds or variance[0] <= 1e-9 * (1 + total * mean @ mean):
+            break
+        last = variance
+        back = cells.join(y, "_id").groupBy("_word").agg(*[F.sum(F.col("_c") * F.col(c)).alias(c) for c in ys])
+        # the sum of (count - mean) * (y - its mean) over templates
+        z = back.join(v.select("_word", "_mean"), "_word").select(
+            "_word", "_mean", *[(F.col(c) - total * F.col("_mean") * float(m)).alias(d) for c, d, m in zip(ys, zs, mean, strict=True)])
+        z = cut(z)  # read for its products and again
+        v = cut(_turned(z, zs, zs, _whitened(_products(z, zs))))
+    most = [f"_p{i}" for i in range(min(k, wide))]
+    p = _projected(cells, _turned(v, zs, most, turn[:, : len(most)]), most, most)
+    size = F.sqrt(sum(F.col(c) * F.col(c) for c in most))
+    unit = F.array(*[F.when(size > 0, F.col(c) / size).otherwise(0.0) for c in most])
+    none = F.array(*[F.lit(0.0)] * len(most))
+    return x.join(p.select("_id", unit.alias("v")), "_id", "left").select(*templates.columns, F.coalesce("v", none).alias("v"))
+
+
+def _products(rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """Sums of products of all pairs of columns."""
+    n = len(columns)
+    at = [(i, j) for i in range(n) for j in range(i, n)]
+    got = rows.agg(*[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"{i}_{j}") for i, j in at]).first()
+    out = np.zeros((n, n))
+    for (i, j), g in zip(at, got, strict=True):
+        out[i, j] = out[j, i] = g or 0.0
+    return out
+
+
+def _whitened(products: np.ndarray) -> np.ndarray:
+    """Turns columns with these products into orthonormal ones; directions without length become zeros."""
+    size, turn = np.linalg.eigh(products)
+    ok = size > 1e-12 * max(size.max(), 1e-300)
+    return turn * np.where(ok, 1 / np.sqrt(np.where(ok, size, 1)), 0)
+
+
+def _turned(rows: DataFrame, columns: list[str], names: list[str], turn: np.ndarray) -> DataFrame:
+    made = [sum(F.col(c) * float(t) for c, t in zip(columns, turn[:, i], strict=True)).alias(n) for i, n in enumerate(names)]
+    return rows.select(*[c for c in rows.columns if c not in columns], *made)
+
+
+def _projected(cells: DataFrame, v: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+    """(_id, names): each template's counts times the rows of its words."""
+    return cells.join(v.select("_word", *columns), "_word").groupBy("_id").agg(
+        *[F.sum(F.col("_c") * F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)])
 
 
 def nearest_templates(vectors: DataFrame, most: float = 0.25, block: int = 10_000) -> DataFrame:
