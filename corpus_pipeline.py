@@ -53,11 +53,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the budgets of domain, language and source select."""
     scratch = Scratch(spark, "mix")
     rows, key = keyed(docs, scratch, repeatable=True)
-    result = mixing.mix(rows, scratch, carry=(key,), **MIX)
-    # a plain join: this stage runs DataFrame operations only
-    dropped = scratch.save(result.filter("copies = 0").select(key), "dropped")
+    kept = mixing.selected(rows, key, scratch, **MIX)
     scratch.drop("tokens", "plan")
-    return rows.join(dropped, key, "left_anti").select(*docs.columns)
+    return kept.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,6 +203,15 @@ def test_near_pairs_within_a_shared_passage(spark):
     assert sum(got[i] != want[i] for i in ids) == 0
 
 
+def test_near_pairs_take_their_sets_only(spark):
+    scratch = Scratch(spark, "t")
+    sets = scratch.save(spark.range(20_000).selectExpr("id", "cast(cast(id as string) as binary) as items"), "sets")
+    pairs = scratch.save(spark.createDataFrame([(3, 900), (3, 19_999), (70, 71)], "a long, b long"), "pairs")
+    got = {r.id for r in neardup._ends(pairs, sets, scratch).collect()}
+    assert got >= {3, 900, 19_999, 70, 71} and len(got) < 100
+    assert neardup._ends(pairs.limit(0), sets, scratch).count() == 0
+
+
 def test_near_regions_over_cuts(spark):
     """With a range for each row every pair of a region is a candidate or goes to the exact join."""
     same = bytes(i % 256 for i in range(4 * neardup.POOL))

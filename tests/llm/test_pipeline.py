@@ -10,6 +10,7 @@ import pytest
 import corpus_pipeline as P
 from test_ops import brute_components
 from weftline.llm import mixing
+from weftline.llm.common import Scratch, keyed
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +127,35 @@ def test_run_is_repeatable(spark, data):
     a = sorted((r.doc_id or -1, r.ids_sha256) for r in P.run(spark, data).collect())
     b = sorted((r.doc_id or -1, r.ids_sha256) for r in P.run(spark, data).collect())
     assert a == b and a
+
+
+def test_mixing_shuffles_no_text(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i if i % 7 else None, " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 30))), f"l{i % 2}", f"src{i % 3}", i) for i in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16k")  # less than the keys of all rows that are left out
+    try:
+        out = P.mix_sources(spark, docs, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r.n for r in out.collect())
+    finally:
+        spark.conf.set(name, before)
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert set(got) == brute_mix([(n, i, t, lang, source) for i, t, lang, source, n in rows], P.MIX["fraction"], mixing.WEIGHTS)
+    assert len(got) == len(set(got))
+
+
+def test_mixing_cuts_among_equal_rows(spark):
+    rows = [(1, "a b", "en", "src0")] * 301 + [(None, "c d", "en", "src0")] * 100 + [(2, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    scratch = Scratch(spark, "t")
+    keys, key = keyed(docs, scratch, repeatable=True)
+    for epochs, fraction in ((1, (1, 2)), (1, (1, 1)), (2, (3, 2)), (1, (0, 1))):
+        kept = mixing.selected(keys, key, scratch, fraction, epochs)
+        read = mixing.mix(docs, scratch, fraction, epochs).filter("copies > 0")
+        assert kept.columns == keys.columns
+        assert sorted(kept.groupBy("doc_id").count().collect(), key=str) == sorted(read.groupBy("doc_id").count().collect(), key=str)
+        assert kept.count() == read.count() == {(1, 2): 201, (1, 1): 401, (3, 2): 401, (0, 1): 0}[fraction]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch
+from .common import Scratch, free_name
 
 #: Target weights by level; what isn't listed has the weight under "*".
 WEIGHTS = {
@@ -100,20 +100,28 @@ def plan_budgets(leaves: DataFrame, budget: Column, max_epochs: int, weights: di
     )
 
 
-def mix(
-    docs: DataFrame, scratch: Scratch, fraction: tuple[int, int] = (3, 5), max_epochs: int = 2,
-    weights: dict = WEIGHTS, seed: str = "mix", carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """How often each row is read: (doc_id, domain, lang, source, tokens, leaf_budget, copies), a row for each row.
+def _leaf(lang: Column, source: Column) -> list[Column]:
+    lang, source = (F.coalesce(c, F.lit("")) for c in (lang, source))
+    return [domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source")]
 
-    The budget is fraction (as a quotient of integers) of all tokens. copies
-    counts the epochs that hold the row, 0 if none does. Carried columns come last.
-    """
-    lang, source = (F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _place(seed: str, whole: Column, digest: Column) -> Column:
+    """A row's place in the order of the epoch that is read in part, which has its number in the hash."""
+    return F.md5(F.concat_ws(":", F.lit(seed), whole, F.col("doc_id"), digest))
+
+
+def _placed(
+    docs: DataFrame, scratch: Scratch, fraction: tuple[int, int], max_epochs: int, weights: dict, seed: str,
+    carry: tuple[str, ...], order: tuple[str, ...] = ("h", "doc_id", "tokens"),
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, domain, lang, source, tokens, leaf_budget, copies, whole, h, carried columns) for each row, and the plan by leaf."""
     rows = docs.select(
-        "doc_id", domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"),
-        word_count(text).alias("tokens"), F.md5(text).alias("digest"), *carry,
+        "doc_id", *_leaf(F.col("lang"), F.col("source")),
+        word_count(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"), _digest(F.col("text")).alias("digest"), *carry,
     )
     rows = scratch.save(rows, "tokens")
     leaf = ["domain", "lang", "source"]
@@ -126,19 +134,49 @@ def mix(
     )
     # written, so that its size is known where the join is planned: a small plan is broadcast, a large one isn't
     plan = scratch.save(plan, "plan")
-    # the order of the epoch that is read in part has its number in the hash
-    keyed = rows.join(plan, leaf).withColumn(
-        "h", F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.col("doc_id"), F.col("digest"))),
-    ).withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
+    keyed = rows.join(plan, leaf).withColumn("h", _place(seed, F.col("whole"), F.col("digest"))).withColumn(
+        "b", F.substring("h", 1, BUCKET_DIGITS))
     buckets = keyed.groupBy(*leaf, "b").agg(F.sum("tokens").alias("n"))
     run = W.partitionBy(*leaf).orderBy("b")
     buckets = buckets.select(*leaf, "b", (F.sum("n").over(run) - F.col("n")).alias("base"))
     inside = F.sum("tokens").over(
-        W.partitionBy(*leaf, "b").orderBy("h", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, 0)
+        W.partitionBy(*leaf, "b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     )
     placed = keyed.withColumn("_in", inside - F.col("tokens")).join(buckets, [*leaf, "b"])
     copies = F.col("whole") + (F.col("base") + F.col("_in") < F.col("rest")).cast("long")
-    return placed.select("doc_id", *leaf, "tokens", "leaf_budget", copies.alias("copies"), *carry)
+    return placed.select("doc_id", *leaf, "tokens", "leaf_budget", copies.alias("copies"), "whole", "h", *carry), plan
+
+
+def mix(
+    docs: DataFrame, scratch: Scratch, fraction: tuple[int, int] = (3, 5), max_epochs: int = 2,
+    weights: dict = WEIGHTS, seed: str = "mix", carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """How often each row is read: (doc_id, domain, lang, source, tokens, leaf_budget, copies), a row for each row.
+
+    The budget is fraction (as a quotient of integers) of all tokens. copies
+    counts the epochs that hold the row, 0 if none does. Carried columns come last.
+    """
+    return _placed(docs, scratch, fraction, max_epochs, weights, seed, carry)[0].drop("whole", "h")
+
+
+def selected(
+    docs: DataFrame, key: str, scratch: Scratch, fraction: tuple[int, int] = (3, 5), max_epochs: int = 2,
+    weights: dict = WEIGHTS, seed: str = "mix",
+) -> DataFrame:
+    """The rows of docs that ``mix`` reads at least once, with all their columns; key tells rows apart.
+
+    What is read of a leaf is a prefix of its order, so the last row of that
+    prefix decides about every other: texts meet a table with one row for each
+    leaf, which is broadcast while it is small, and aren't shuffled by row.
+    """
+    placed, plan = _placed(docs, scratch, fraction, max_epochs, weights, seed, (key,), ("h", key))
+    leaf, last = free_name(docs, "leaf"), free_name(docs, "last")
+    lasts = placed.filter("copies > 0").groupBy(F.struct("domain", "lang", "source").alias(leaf)).agg(
+        F.max(F.struct("whole", "h", F.col(key).alias("key"))).alias(last))
+    lasts = scratch.save(lasts, "lasts", plan.count())
+    rows = docs.withColumn(leaf, F.struct(*_leaf(F.col("lang"), F.col("source")))).join(lasts, leaf)
+    place = F.struct(_place(seed, F.col(last)["whole"], _digest(F.col("text"))).alias("h"), F.col(key).alias("key"))
+    return rows.filter(place <= F.struct(F.col(last)["h"], F.col(last)["key"])).drop(leaf, last)
 
 
 def mix_sql(fraction: tuple[int, int] = (3, 5), max_epochs: int = 2, weights: dict = WEIGHTS, seed: str = "mix") -> str:

@@ -289,6 +289,12 @@ def candidates(reps: DataFrame, classes: int, scratch: Scratch) -> tuple[DataFra
     return pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")), dense
 
 
+def _ends(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sets without most of those that pairs, a written table, don't name: sets are long and are shuffled by id."""
+    ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+    return sets.filter(Bloom(scratch.save(ids, "ends"), "id").flag("id"))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x, y = (sets.select(F.col("id").alias(k), F.col("items").alias(f"s{k}")) for k in ("a", "b"))
     both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb")
@@ -427,18 +433,21 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(
         dense.select(F.col("v").alias("rep"))).distinct()
     wanted = scratch.save(reps.select("rep", "row").join(ids, "rep"), "wanted", n)
-    near = texts.filter(Bloom(wanted, "row").flag("row")).join(wanted, "row").select("rep", "text")
+    # merged where a broadcast would do too: else filter and sets share a task, with a Python worker each that stays in memory
+    near = texts.filter(Bloom(wanted, "row").flag("row")).join(wanted.hint("merge"), "row").select("rep", "text")
     sets = scratch.save(near.mapInArrow(_full_sets, "id long, items binary"), "sets")
+    # nearly all of the sets have a leader or are one
     links = scratch.save(_verify(pairs.filter(F.col("kind") == LEADER), sets), "links0")
     labels = scratch.save(_labels(links), "labels", n)
     open_ = scratch.save(_labelled(pairs.filter(F.col("kind") == NEIGHBOUR), labels), "open", n)
-    more = scratch.save(_verify(open_, sets), "links1")
+    more = scratch.save(_verify(open_, scratch.save(_ends(open_, sets, scratch), "sets1")), "links1")
+    scratch.drop("sets1")
     edges = links.unionByName(more)
     merged = scratch.save(components(_between(edges, labels), scratch, "c1_"), "merged1", n)
     labels = scratch.save(_renamed(labels, merged), "labels1", n)
     rest = scratch.save(_rare_pairs(dense, labels, sets, scratch), "rest")  # takes every open pair there is
-    last = scratch.save(_verify(rest, sets), "links2")
-    scratch.drop("rare", "met", "rest", "sets", "pairs", "open")
+    last = scratch.save(_verify(rest, scratch.save(_ends(rest, sets, scratch), "sets2")), "links2")
+    scratch.drop("rare", "met", "rest", "sets", "sets2", "ends", "pairs", "open")
     if not last.isEmpty():
         edges = edges.unionByName(last)
         merged = scratch.save(components(_between(last, labels), scratch, "c2_"), "merged2", n)
