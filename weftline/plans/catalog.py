@@ -12,7 +12,7 @@ from weftline.operators import catalog_rules as R
 from weftline.operators import gates as G
 from weftline.operators import graph, models
 from weftline.operators import sequences as S
-from weftline.operators.mining import WINDOW_SECONDS, directed, lead_ratio
+from weftline.operators.mining import directed
 from weftline.operators.series import hourly_counts
 from weftline.plans.graph import triples
 from weftline.plans.mining import ENTITIES, entity_edges
@@ -154,8 +154,7 @@ d AS (SELECT CASE WHEN lead <= 0.3 THEN dst ELSE src END AS src, CASE WHEN lead
 SELECT src, dst, printf('rule: %s_then_%s%swhen: %s followed_by %s within 60s%sconfidence: %.2f', src, dst, chr(10), src, dst, chr(10), lead) AS rule FROM d""")
 def detection_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed edges of slot values as correlation rules."""
-    ent, edges = entity_edges(spark, sf_dir)
-    return sinks.detection_rules(directed(edges, lead_ratio(ent, WINDOW_SECONDS)))
+    return sinks.detection_rules(directed(entity_edges(spark, sf_dir)[1]))
 
 
 @query("""SELECT concat('<http://example.org/nation/', n_nationkey, '> <http://example.org/name> "', n_name, '" .') AS value FROM nation""")
