@@ -340,3 +340,47 @@ def test_toxicity_forward_pass_is_plain_convolution():
         z = float(pooled @ model.out + model.offset) - model.thresholds[toxicity.languages(h, np.array([0, len(h)]))[0]]
         got = float(model.scores(h, np.array([0, len(h)]))[0])
         assert abs(got - 1 / (1 + math.exp(-max(-50, min(50, z))))) < 1e-4, text
+
+
+def test_phrases_dealt_by_language():
+    deal = collocations.dealt({"en": 25, "fr": 9, "de": 4, "es": 3, "und": 10}, 10)
+    assert deal == [(["es", "de"], 1, 0), (["fr"], 1, 0), (["und"], 1, 0), (["en"], 3, 0), (["en"], 3, 1), (["en"], 3, 2)]
+    assert collocations.dealt({}, 10) == []
+
+
+def test_phrases_of_one_hash_stay_apart(monkeypatch):
+    texts = [collocations.guarded(t) for t in ("ab cd, ab cd", "ef gh ab cd ef gh", "ij kl")]
+    words = [collocations.Words(texts[:2], np.array([0, 0])), collocations.Words(texts[1:], np.array([0, 1]))]
+    for same in (False, True):
+        seen = collocations.Seen()
+        for w in words:
+            grams = collocations.Grams(w, np.arange(2, dtype=np.uint64), [])
+            grams.grow()
+            if same:
+                grams.hash[1][:] = 7
+            seen.add(grams, grams.ok[1], 1)
+        got = collections.Counter()
+        for langs, phrases, counts in seen.rows():
+            got.update({(k, p): 0 for k, p in zip(langs, phrases)})
+            for k, p, n in zip(langs, phrases, counts):
+                got[k, p] += n
+        pairs = {b"ab cd": 4, b"ef gh": 4, b"gh ab": 2, b"cd ef": 2}
+        assert got == {**{(0, p): n for p, n in pairs.items()}, (1, b"ij kl"): 1}
+
+
+@pytest.mark.parametrize("shard", [200_000, 3])
+def test_only_phrases_that_reach_the_threshold_are_dealt(spark, monkeypatch, shard):
+    rows = [(f"w{i} x{i} w{i} x{i}", "en") for i in range(40)] + [("new york city", "en"), ("bon jour", "fr")] * 12
+    asked, texts_of = [], []
+    plain = collocations.count_patterns
+
+    def counted(texts, patterns):
+        asked.append({p for ps in patterns.values() for p in ps})
+        texts_of.append({r.lang for r in texts.collect()} - set(patterns))
+        return plain(texts, patterns)
+
+    monkeypatch.setattr(collocations, "count_patterns", counted)
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), Scratch(spark, "t"), least=10, bits=4, shard=shard)
+    assert {(r.lang, r.phrase, r.a) for r in got.collect()} == {("en", "new york city", 12), ("fr", "bon jour", 12)}
+    assert set().union(*asked) == {"new york", "york city", "new york city", "new", "york", "city", "bon jour", "bon", "jour"}
+    assert not any(texts_of) and (shard > 3 or len(asked) > 2)

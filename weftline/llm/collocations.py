@@ -9,11 +9,12 @@ admitted words, then phrases of three to five words whose pairs are all admitted
 Tasks cut their counts at the threshold before they pass them on, which leaves
 the bits as they are and makes a cell one or two bytes.
 
-A further scan collects the different phrases that the last bits admit; together
-with their first and last words they are the candidates. They are dealt into
-shards of ``shard`` phrases at most; each shard is broadcast (its size is bounded
-by that), compiled into an automaton for each language, and counted over all
-texts. In texts and patterns each word stands between single spaces and a line
+A further scan collects the different phrases that the last bits admit, with how
+often each occurs; those whose sums reach the threshold, together with their first
+and last words, are the candidates. They are dealt by language into shards of
+``shard`` phrases at most; each shard is broadcast (its size is bounded by that),
+compiled into an automaton for each language, and counted over the texts of its
+languages. In texts and patterns each word stands between single spaces and a line
 feed divides pieces, so that the automaton's overlapping matches are exactly the
 occurrences of whole words within pieces. Sums over shards and tasks are exact
 counts; thresholds and scores apply to those alone.
@@ -21,8 +22,8 @@ counts; thresholds and scores apply to those alone.
 Memory: a sketch has at most 2^MAX_BITS cells a row whatever the input. Where a
 cell's share of the phrases comes near the threshold (beyond some 4 GB of text
 for a threshold of 100; a threshold that grows with the corpus keeps its
-distance), more phrases become candidates than need be: they cost shards, that
-is further scans, never results.
+distance), more phrases are collected than need be; their sums drop them before
+any shard is made, so they cost rows of one shuffle, never results.
 
 Edge cases: null texts count as empty, null languages as ``und``; empty texts
 have no pieces; a text of any length is read whole, hashes of its words in
@@ -51,8 +52,10 @@ ROWS, MIN_BITS, MAX_BITS = 3, 16, 24
 BLOCK = 1 << 15  # cells that travel together
 SHARD = 200_000
 TASK_BYTES = 1 << 29
-HASH_BYTES = 1 << 20  # of text whose words are hashed at once
+HASH_BYTES = 1 << 16  # of text whose words are hashed at once
+TEXT_BYTES = 1 << 22  # of text whose words are held at once
 HELD = 1 << 22  # hashes that wait to be counted
+PHRASES = 1 << 20  # different phrases that a task holds
 UNKNOWN = "und"
 
 #: Capital letters fall, marks that end a piece become line feeds, tabs become spaces.
@@ -60,6 +63,16 @@ _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256)
 )
 _WEIGHTS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS, _INVERSE = (_powers(b, HASH_BYTES + 2) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -95,10 +108,11 @@ class Words:
                 self.hashes[i] = zlib.crc32(self.data[a : self.ends[i]])
                 i += 1
                 continue
-            at = self.starts[i:j] - a
-            part = buf[a : self.ends[j - 1] + 1]
-            inside = np.arange(len(part)) - np.repeat(at, np.diff(at, append=len(part)))
-            self.hashes[i:j] = np.add.reduceat((part + np.uint64(1)) * _WEIGHTS[inside & 255], at)
+            at, to = self.starts[i:j] - a, self.ends[i:j] - a
+            # a polynomial's sums up to each byte: a word is a difference, moved to where it would start at 0
+            sums = np.zeros(to[-1] + 1, np.uint64)
+            np.cumsum(_WEIGHTS[buf[a : self.ends[j - 1]]] * _POWERS[: to[-1]], out=sums[1:])
+            self.hashes[i:j] = (sums[to] - sums[at]) * _INVERSE[at]
             i = j
 
     def __len__(self) -> int:
@@ -138,6 +152,13 @@ class Grams:
         return _mix(self.hash[i][self.ok[i]])
 
 
+def runs(ordered: np.ndarray, firsts: bool = False) -> tuple:
+    """The different values of a sorted array and how often each comes; where each begins, too, if firsts."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+    out = ordered[first], np.diff(first, append=len(ordered))
+    return (*out, first) if firsts else out
+
+
 def cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((h * _ODD[row]) >> np.uint64(65 - int(width).bit_length())).astype(np.int64)
 
@@ -150,7 +171,7 @@ def _batches(batches: Iterator[pa.RecordBatch], langs: dict[str, int]) -> Iterat
             held.append(guarded(text.as_py() or ""))
             of.append(langs.setdefault(UNKNOWN if lang is None else lang, len(langs)))
             size += len(held[-1])
-            if size >= 4 * HASH_BYTES:
+            if size >= TEXT_BYTES:
                 yield Words(held, np.array(of))
                 held, of, size = [], [], 0
         if held:
@@ -173,9 +194,13 @@ def sketch(texts: DataFrame, level: int, earlier: list, width: int, least: int,
         held: list[np.ndarray] = []
 
         def add() -> None:
-            h = np.concatenate(held)
+            # equal phrases first, then equal cells: what is touched are the cells of different phrases, in order
+            h, n = runs(np.sort(np.concatenate(held)))
             for r in range(ROWS):
-                table[r] = np.minimum(np.bincount(cells(h, r, width), minlength=width) + table[r], least)
+                packed = np.sort(cells(h, r, width) << 32 | np.minimum(n, least))
+                c, _, first = runs(packed >> 32, True)
+                total = np.add.reduceat(packed & 0xFFFFFFFF, first) if len(first) else first
+                table[r, c] = np.minimum(table[r, c] + total, least)
             held.clear()
 
         for words in _batches(batches, langs):
@@ -218,20 +243,74 @@ def sketch(texts: DataFrame, level: int, earlier: list, width: int, least: int,
     return out.reshape(ROWS, width // 8)
 
 
+class Seen:
+    """Phrases of a task and how often each came; what is known by its hash is counted without its letters.
+
+    A hash stands for the first phrase that has it; another one is told by its length and its outer words, and counted by its letters.
+    """
+
+    def __init__(self):
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # in the hashes' order
+        self.at = np.zeros(0, np.int64)  # places in phrases
+        self.phrases: list[tuple[int, bytes]] = []
+        self.counts = np.zeros(0, np.int64)
+        self.odd: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self.phrases) + len(self.odd)
+
+    def add(self, grams: Grams, ok: np.ndarray, i: int) -> None:
+        """Counts the phrases of i + 1 words that start where ok."""
+        words, at = grams.words, np.flatnonzero(ok)
+        spelled = lambda k: [(x, words.data[a:b]) for x, a, b in zip(
+            words.lang[k].tolist(), words.starts[k].tolist(), words.ends[k + i].tolist(), strict=True)]
+        h = grams.hash[i][at]
+        check = (words.ends[at + i] - words.starts[at]).astype(np.uint64) * _ODD[0] + words.hashes[at] * _ODD[1] + words.hashes[at + i] * _ODD[2]
+        order = np.argsort(h)
+        at, check = at[order], check[order]
+        h, n, first = runs(h[order], True)
+        same = check == np.repeat(check[first], n)
+        if not same.all():
+            self.odd.update(spelled(at[~same]))
+            n = np.add.reduceat(same.astype(np.int64), first)
+        at, check = at[first], check[first]
+        place = np.searchsorted(self.hashes, h)
+        known = np.zeros(len(h), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == h[inside]
+        alike = known.copy()
+        alike[known] = self.checks[place[known]] == check[known]
+        self.counts[self.at[place[alike]]] += n[alike]
+        for phrase, k in zip(spelled(at[known & ~alike]), n[known & ~alike].tolist(), strict=True):
+            self.odd[phrase] += k
+        new, size = ~known, len(self.phrases)
+        self.phrases += spelled(at[new])
+        self.counts = np.concatenate([self.counts, n[new]])
+        self.hashes = np.insert(self.hashes, place[new], h[new])
+        self.checks = np.insert(self.checks, place[new], check[new])
+        self.at = np.insert(self.at, place[new], np.arange(size, len(self.phrases)))
+
+    def rows(self) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+        """Languages, phrases and counts, a part at a time."""
+        for phrases, counts in ((self.phrases, self.counts.tolist()), (list(self.odd), list(self.odd.values()))):
+            for a in range(0, len(phrases), BLOCK):
+                part = phrases[a : a + BLOCK]
+                yield [x for x, _ in part], [p for _, p in part], counts[a : a + BLOCK]
+
+
 def admitted_phrases(texts: DataFrame, bits: list, most: int) -> DataFrame:
-    """(lang, phrase, n): the different phrases of two words and more that the bits admit, n = 0; and a null phrase with a task's words."""
+    """(lang, phrase, n): the phrases of two words and more that the bits admit and how often each occurs; and a null phrase with all words."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
         words_of: Counter = Counter()
-        seen: set[tuple[int, bytes]] = set()
+        seen = Seen()
         levels = [b.value for b in bits]
 
-        def out(rows: list[tuple[int, bytes | None, int]]) -> pa.RecordBatch:
+        def out(of: list[int], phrases: list[bytes | None], n: list[int]) -> pa.RecordBatch:
             names = list(langs)
             return pa.RecordBatch.from_arrays([
-                pa.array([names[i] for i, _, _ in rows], pa.string()),
-                pa.array([None if p is None else p.decode() for _, p, _ in rows], pa.string()), pa.array([n for _, _, n in rows], pa.int64()),
+                pa.array([names[i] for i in of], pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()),
             ], names=["lang", "phrase", "n"])
 
         for words in _batches(batches, langs):
@@ -240,14 +319,12 @@ def admitted_phrases(texts: DataFrame, bits: list, most: int) -> DataFrame:
             for i in range(1, most):
                 grams.grow(levels[1] if i == 1 else None)
                 # longer phrases grow from all phrases whose pairs are admitted; their own bits decide here only
-                ok = grams.ok[1] if i == 1 else grams._admitted(i, levels[2])
-                at = np.flatnonzero(ok)
-                spans = zip(words.lang[at].tolist(), words.starts[at].tolist(), words.ends[at + i].tolist(), strict=True)
-                seen.update([(k, words.data[a:b]) for k, a, b in spans])
-            if len(seen) >= SHARD:
-                yield out([(k, p, 0) for k, p in seen])
-                seen = set()
-        yield out([(k, p, 0) for k, p in seen] + [(k, None, n) for k, n in words_of.items()])
+                seen.add(grams, grams.ok[1] if i == 1 else grams._admitted(i, levels[2]), i)
+            if len(seen) >= PHRASES:
+                yield from (out(*part) for part in seen.rows())
+                seen = Seen()
+        yield from (out(*part) for part in seen.rows())
+        yield out(list(words_of), [None] * len(words_of), list(words_of.values()))
 
     found = texts.mapInArrow(collect, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -320,16 +397,33 @@ def count_patterns(texts: DataFrame, patterns: dict[str, list[str]]) -> DataFram
 
 
 def exact_counts(texts: DataFrame, wanted: DataFrame, scratch: Scratch, shard: int = SHARD) -> DataFrame:
-    """(lang, phrase, f) for the (lang, phrase) rows of wanted, a written table; a shard at a time."""
-    shards = -(-wanted.count() // shard) or 1
-    numbered = wanted.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
+    """(lang, phrase, f) for the (lang, phrase) rows of wanted, a written table; a shard at a time, over the texts of its languages."""
+    lang = F.coalesce("lang", F.lit(UNKNOWN))
     out = None
-    for i in range(shards):
+    for i, (langs, parts, part) in enumerate(dealt({r.lang: r["count"] for r in wanted.groupBy("lang").count().collect()}, shard)):
         patterns: dict[str, list[str]] = {}
-        for r in numbered.filter(F.col("shard") == i).select("lang", "phrase").toLocalIterator():
+        mine = wanted.filter(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part))
+        for r in mine.select("lang", "phrase").toLocalIterator():
             patterns.setdefault(r.lang, []).append(r.phrase)
-        counts = scratch.save(count_patterns(texts, patterns), f"counts{i}")
+        counts = scratch.save(count_patterns(texts.filter(lang.isin(langs)), patterns), f"counts{i}")
         out = counts if out is None else out.unionByName(counts)
+    if out is None:  # nothing is wanted
+        return wanted.select("lang", "phrase", F.lit(0).cast("long").alias("f"))
+    return out
+
+
+def dealt(sizes: dict[str, int], shard: int) -> list[tuple[list[str], int, int]]:
+    """Shards as (languages, parts, part): languages together while they fit, a larger one alone in several parts."""
+    out: list[tuple[list[str], int, int]] = []
+    room = 0
+    for lang, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        parts = -(-n // shard)
+        if parts == 1 and n <= room:
+            out[-1][0].append(lang)
+            room -= n
+        else:
+            out += [([lang], parts, i) for i in range(parts)]
+            room = shard - n
     return out
 
 
@@ -368,11 +462,12 @@ def first_of_each(rows: DataFrame, first: int = FIRST) -> DataFrame:
 def sized(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs(text, lang) in few tasks, and the bits of a cell's number.
 
-    A task sends a sketch and its own different phrases, so tasks are as few as keep all cores busy, with TASK_BYTES
-    of text at most; a row of the sketch has a cell for about 256 bytes of text, within bounds.
+    A task sends a sketch and its own different phrases, so tasks are as few as keep all cores busy to the end (whole
+    waves of them), with TASK_BYTES of text at most; a row of the sketch has a cell for about 256 bytes of text, within bounds.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * max(1, -(-size // (cores * TASK_BYTES)))
     return docs.select("text", "lang").coalesce(tasks), min(MAX_BITS, max(MIN_BITS, (size >> 8).bit_length()))
 
 
@@ -389,7 +484,7 @@ def collocations(
         levels.append(spark.sparkContext.broadcast(sketch(texts, level, levels, width, least, most)))
     admitted = scratch.save(admitted_phrases(texts, levels, most), "admitted")
     totals = admitted.filter("phrase is null").select("lang", "n")
-    phrases = admitted.filter("phrase is not null").select("lang", "phrase")
+    phrases = admitted.filter("phrase is not null").filter(F.col("n") >= least).select("lang", "phrase")
     ends = phrases.select("lang", F.explode(F.array(F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1))).alias("phrase"))
     wanted = scratch.save(phrases.unionByName(ends.distinct()), "wanted")
     rows = scored(exact_counts(texts, wanted, scratch, shard), totals, least)
